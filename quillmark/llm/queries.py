@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import exact_dedup, license_scan, simhash_dedup
+from quillmark.llm import exact_dedup, language_id, license_scan, simhash_dedup, toxicity
 from quillmark.llm._common import table
 
 
@@ -22,8 +22,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op8_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
