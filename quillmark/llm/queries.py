@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import exact_dedup, language_id, license_scan, simhash_dedup, toxicity
+from quillmark.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, simhash_dedup, toxicity
 from quillmark.llm._common import table
 
 
@@ -26,12 +26,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op8_language_id)
+    f.__name__: f
+    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op8_language_id, op9_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
