@@ -27,6 +27,8 @@ RADIUS = 2
 SEED = 42
 #: Subtrees of about so many fingerprints go to a task together.
 SUBTREE = 32768
+#: The top of the trie is split so deep at least, so that small inputs are dealt out as large ones are.
+MIN_DEPTH = 4
 #: The driver sees counts for this many leading bits, at most 2 ** TOP_BITS.
 TOP_BITS = 16
 #: Node pairs with at most so many fingerprint pairs are compared directly.
@@ -68,7 +70,10 @@ def top_pairs(counts: np.ndarray, radius: int, subtree: int) -> tuple[np.ndarray
     """Leaf of each prefix, and the leaf pairs within the radius so far.
 
     ``counts``: fingerprints by prefix of TOP_BITS bits. A node is split while
-    it holds more than ``subtree`` fingerprints and has bits left.
+    it holds more than ``subtree`` fingerprints or is near the root, and has
+    bits left. A fingerprint goes to a task for each leaf within the radius of
+    its own, so its copies grow with the square of the depth: with the squared
+    logarithm of the table.
     """
     bits = int(np.log2(len(counts)))
     total = np.concatenate(([0], np.cumsum(counts)))
@@ -79,7 +84,7 @@ def top_pairs(counts: np.ndarray, radius: int, subtree: int) -> tuple[np.ndarray
         return int(total[(prefix + 1) * width] - total[prefix * width])
 
     def is_leaf(node: tuple[int, int]) -> bool:
-        return node[0] == bits or size(*node) <= subtree
+        return node[0] == bits or node[0] >= MIN_DEPTH and size(*node) <= subtree
 
     def leaf(node: tuple[int, int]) -> int:
         if node not in leaves:
