@@ -32,16 +32,24 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
-    """Hashes of the word shingles, repeats included; a shorter text is one shingle."""
+    """``hashes`` of the word shingles, repeats included, and ``n_words``.
+
+    A text of fewer words is one shingle. The words are bound as a lambda's
+    variable, so they are split once wherever the optimizer puts the expression.
+    """
     words = F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
-    n = F.size("words")
-    each = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice("words", i, F.lit(width))))
-    return words, F.when(n >= width, each).when(n > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))
+        hashes = F.when(n >= width, each).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(hashes.alias("hashes"), n.alias("n_words"))
+
+    return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str, width: int, name: str) -> DataFrame:
-    words, hashes = shingles(F.col(text_col), width)
-    return df.select(F.col(id_col).cast("long").alias(name), words.alias("words")).select(name, hashes.alias("hashes"), F.size("words").alias("n_words"))
+    return df.select(F.col(id_col).cast("long").alias(name), shingles(F.col(text_col), width).alias("s")).select(name, "s.hashes", "s.n_words")
 
 
 def simhash(hashes: Column) -> Column:
@@ -94,14 +102,15 @@ def contaminated(
 
     hashed = _hashed(docs, id_col, text_col, width, "doc_id")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("hashes") - F.col("m")))
+    # Outer explodes, as others make the optimizer infer a filter that hashes every text twice.
     if seeds.count() <= broadcast_rows:
-        hits = hashed.select("doc_id", "hashes", F.posexplode("hashes").alias("pos", "h")).join(F.broadcast(seeds), "h")
+        hits = hashed.select("doc_id", "hashes", F.posexplode_outer("hashes").alias("pos", "h")).join(F.broadcast(seeds), "h")
         # One window a hit here; neighbours of the distinct windows are laid below.
         span = F.slice("hashes", F.greatest(F.lit(1), start + 1 - F.col("slack")), F.col("m") + 2 * F.col("slack"))
         near = hits.select("doc_id", "item_id", "m", "length", start.alias("start"), "slack", span.alias("span"))
         near = near.groupBy("doc_id", "item_id", "m", "length", "start", "slack").agg(F.first("span").alias("span"))
     else:
-        hits = hashed.select("doc_id", F.size("hashes").alias("size"), F.posexplode("hashes").alias("pos", "h")).join(seeds, "h")
+        hits = hashed.select("doc_id", F.size("hashes").alias("size"), F.posexplode_outer("hashes").alias("pos", "h")).join(seeds, "h")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("m")))
         hits = hits.select("doc_id", "item_id", "m", "length", start.alias("start"), "slack").distinct()
         near = hashed.select("doc_id", "hashes").join(hits, "doc_id").select(
@@ -118,8 +127,8 @@ def contaminated(
     windows = scratch.save(windows.select("*", simhash(F.col("w")).alias("fp")))
 
     keyed = scratch.save(bench.select("item_id", F.col("hashes").alias("item"), simhash(F.col("hashes")).alias("item_fp")))
-    left = windows.select("*", F.inline(blocks(F.col("fp"), radius)))
-    right = keyed.select("*", F.inline(blocks(F.col("item_fp"), radius)))
+    left = windows.select("*", F.inline_outer(blocks(F.col("fp"), radius)))
+    right = keyed.select("*", F.inline_outer(blocks(F.col("item_fp"), radius)))
     met = left.join(right, ["item_id", "no", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # A pair may meet on several blocks: keep its first.
     first_block = F.array_min(F.transform(F.filter(F.arrays_zip(blocks(F.col("fp"), radius).alias("a"), blocks(F.col("item_fp"), radius).alias("b")), lambda z: z["a"] == z["b"]), lambda z: z["a"]["no"]))
