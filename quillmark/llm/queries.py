@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, simhash_dedup, toxicity
+from quillmark.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, mixing, simhash_dedup, toxicity
 from quillmark.llm._common import table
 
 
@@ -30,6 +30,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.chat_report(rows.unionByName(chat_format.injected(rows)))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op8_language_id, op9_decontamination)
+    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op7_chat_format, op8_language_id, op9_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -49,4 +54,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op7_chat_format": chat_format.oracle(),
 }
