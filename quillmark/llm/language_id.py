@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,6 +139,13 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_label
     return rows.join(F.broadcast(chosen), "i", "left_semi").where("label IS NOT NULL AND text IS NOT NULL").select("text", "label")
 
 
+def _one(t: str | None, model: Model | None) -> tuple[str, float, bool]:
+    if model is None or not t or not _LETTER.search(t):
+        return UNKNOWN, 0.0, False
+    lang, score, gap = decode(margins(t, model), model)
+    return lang, score, gap < AMBIGUOUS
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous``, a row per input row.
 
@@ -146,21 +154,30 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     sorts first. Repeated rows are scored each; other columns are not read.
     """
 
-    def one(t: str | None) -> tuple[str, float, bool]:
-        if model is None or not t or not _LETTER.search(t):
-            return UNKNOWN, 0.0, False
-        lang, score, gap = decode(margins(t, model), model)
-        return lang, score, gap < AMBIGUOUS
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [one(t) for t in b["text"]]
+            out = [_one(t, model) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "ambiguous": [x[2] for x in out]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not ``und``.
+
+    Clean documents stay even if they are ambiguous. Columns pass through
+    untouched, as Arrow batches.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([_one(t, model)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
     """Trains on a bounded sample of the rows whose ``label`` is not null."""
     got = sample(docs, id_col, text_col, label, per_language).orderBy("label", "text").limit(per_language * MAX_LANGUAGES).toPandas()

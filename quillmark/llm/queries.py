@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, mixing, simhash_dedup, toxicity
+from quillmark.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, toxicity
 from quillmark.llm._common import table
 
 
@@ -43,9 +43,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op7_chat_format, op8_language_id, op9_decontamination)
+    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op7_chat_format, op8_language_id, op9_decontamination, op10_html_extract)
 }
 
 ORACLE_SQL: dict[str, str] = {
