@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, toxicity
+from quillmark.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, suffix_dedup, toxicity
 from quillmark.llm._common import table
 
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_format.chat_report(rows.unionByName(chat_format.injected(rows)))
@@ -49,7 +53,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op7_chat_format, op8_language_id, op9_decontamination, op10_html_extract)
+    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_suffix_dedup, op7_chat_format, op8_language_id, op9_decontamination, op10_html_extract)
 }
 
 ORACLE_SQL: dict[str, str] = {
