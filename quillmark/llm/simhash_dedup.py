@@ -6,7 +6,14 @@ differ so far and is dropped once that exceeds the budget. The top of the trie
 is walked on the driver over a histogram of leading bits, whose size is fixed,
 and gives pairs of subtrees; each pair is one task that walks on to the
 fingerprints. A task returns the spanning forest of the links it found, never
-the pairs themselves, so a dense group costs its size and not its square.
+the pairs themselves, and passes over pairs of subtrees that are connected
+already, so a dense group costs its size and not its square.
+
+A wide radius leaves little to prune near the root. Then the join runs over
+several rotations of the bits: if two fingerprints differ in at most r of 64
+bits, some rotation has, at the end of each of its n units, at most its even
+share of them (cycle lemma), so the budget of a rotation grows with the depth
+from nothing to r. Longer fingerprints confirm what such a join finds.
 """
 
 from __future__ import annotations
@@ -31,23 +38,29 @@ SUBTREE = 32768
 MIN_DEPTH = 4
 #: The driver sees counts for this many leading bits, at most 2 ** TOP_BITS.
 TOP_BITS = 16
+#: The near-duplicate stage: five-word shingles, similarity of 0.8 or more. At 0.8,
+#: two fingerprints differ in 9.7 of 64 bits (deviation 2.9) and 38.8 of 256 (5.7).
+NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_TOTAL, NEAR_ROTATIONS = 5, 256, 14, 45, 16
 #: Node pairs with at most so many fingerprint pairs are compared directly.
 _DIRECT = 64
 _FRONTIER = 1 << 17
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of the word shingles of a text; 0 without a word."""
+def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and blanks only
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([h(joined, SEED)], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], stops[:-width] + 1)).tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter([h(joined[a:b], SEED) for a, b in zip(starts, stops[width - 1 :].tolist(), strict=True)], np.uint64, len(starts))
+    return np.fromiter([h(joined[a:b], SEED) for a, b in zip(starts, stops[width - 1 :].tolist(), strict=True)], np.uint64, len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         part = hashes[i : i + 8192].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
@@ -55,21 +68,48 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits), a row per input row."""
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS, words: int = 1) -> list[int]:
+    """SimHash of 64 bits a word; zeros without a word of text.
+
+    The first 64 bits are those of the hashes, the others those of the hashes
+    mixed with a constant.
+    """
+    h = shingle_hashes(text, width)
+    out = []
+    for k in range(words):
+        x = h
+        if k:  # the finaliser of splitmix64
+            x = h + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out.append(simhash(x))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
+    """``doc_id, f0, f1, ...`` (signed 64 bits each), a row per input row."""
+    names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter(map(fingerprint, b["text"]), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            fp = np.array([fingerprint(t, width, words) for t in b["text"]], np.uint64).reshape(-1, words).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: fp[:, k] for k, n in enumerate(names)}})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
 
+def budgets(radius: int, rotations: int = 1) -> list[int]:
+    """Most differing bits among the first 0, 1, ..., 64 bits of the right rotation."""
+    unit = 64 // rotations
+    return [radius * -(-level // unit) // rotations for level in range(65)]
 
-def top_pairs(counts: np.ndarray, radius: int, subtree: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Leaf of each prefix, and the leaf pairs within the radius so far.
 
-    ``counts``: fingerprints by prefix of TOP_BITS bits. A node is split while
+def top_pairs(counts: np.ndarray, budget: list[int], subtree: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Leaf of each prefix, and the leaf pairs within the budget so far.
+
+    ``counts``: fingerprints by prefix. A node is split while
     it holds more than ``subtree`` fingerprints or is near the root, and has
     bits left. A fingerprint goes to a task for each leaf within the radius of
     its own, so its copies grow with the square of the depth: with the squared
@@ -102,7 +142,7 @@ def top_pairs(counts: np.ndarray, radius: int, subtree: int) -> tuple[np.ndarray
             found.add((min(leaf(x), leaf(y)), max(leaf(x), leaf(y))))
         elif x == y:
             d, p = x[0] + 1, x[1] * 2
-            stack += [((d, p), (d, p), differ), ((d, p + 1), (d, p + 1), differ)] + [((d, p), (d, p + 1), differ + 1)] * (differ < radius)
+            stack += [((d, p), (d, p), differ), ((d, p + 1), (d, p + 1), differ)] + [((d, p), (d, p + 1), differ + 1)] * (differ < budget[d])
         else:
             # The shallower side steps down; sides at one depth step together.
             down = [n if is_leaf(n) or n[0] > min(v[0] for v in (x, y) if not is_leaf(v)) else None for n in (x, y)]
@@ -114,7 +154,7 @@ def top_pairs(counts: np.ndarray, radius: int, subtree: int) -> tuple[np.ndarray
                         continue
                     d = min(a[0], b[0])
                     apart = bin((a[1] >> (a[0] - d)) ^ (b[1] >> (b[0] - d))).count("1")
-                    if apart <= radius:
+                    if apart <= budget[d]:
                         stack.append((a, b, apart))
     return leaf_of, sorted(found)
 
@@ -123,12 +163,13 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
 
 
-def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links(a: np.ndarray, b: np.ndarray | None, budget: list[int], root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i in a, j in b) of sorted uint64 arrays within the radius, in chunks.
 
-    Without ``b``, pairs i < j within ``a``.
+    Without ``b``, pairs i < j within ``a``. ``root`` holds the groups found so
+    far (of a, then b): pairs of subtrees that are one group are passed over.
     """
-    own = b is None
+    own, radius = b is None, budget[64]
     b = a if own else b
     if not len(a) or not len(b):
         return
@@ -136,23 +177,31 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np
     def zeros(x: np.ndarray, level: int) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(((x >> np.uint64(63 - level)) & np.uint64(1)) == 0)))
 
+    def changes(r: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(r[1:] != r[:-1])))
+
     cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     one = lambda *v: tuple(np.array([x], np.int64) for x in v)
     stack = [(0, *one(0, len(a), 0, len(b), 0))]
     while stack:
         level, a0, a1, b0, b1, e = stack.pop()
+        if root is not None and level > 3:
+            ra, rb = root[: len(a)], root if own else root[len(a) :]
+            ca, cb = changes(ra), changes(rb)
+            live = (ra[a0] != rb[b0]) | (ca[a1 - 1] != ca[a0]) | (cb[b1 - 1] != cb[b0])
+            a0, a1, b0, b1, e = (x[live] for x in (a0, a1, b0, b1, e))
         small = (a1 - a0) * (b1 - b0) <= _DIRECT if level < 64 else np.ones(len(a0), bool)
-        for k in range(0, int(small.sum()), _FRONTIER // 16):
-            s = np.flatnonzero(small)[k : k + _FRONTIER // 16]
-            if level == 64:  # equal prefixes of 64 bits: one fingerprint on either side
-                n, m = a1[s] - a0[s], b1[s] - b0[s]
-            else:
-                n, m = a1[s] - a0[s], b1[s] - b0[s]
+        at, k = np.flatnonzero(small), 0
+        weight = np.cumsum((a1 - a0)[at] * (b1 - b0)[at])
+        while k < len(at):  # so many node pairs as give a chunk of fingerprint pairs, one at least
+            stop = max(k + 1, int(np.searchsorted(weight, (weight[k - 1] if k else 0) + 8 * _FRONTIER)))
+            s, k = at[k:stop], stop
+            n, m = a1[s] - a0[s], b1[s] - b0[s]
             i = np.repeat(_ranges(a0[s], n), np.repeat(m, n))
             j = _ranges(np.repeat(b0[s], n), np.repeat(m, n))
-            if own:
-                i, j = i[i < j], j[i < j]
             near = np.bitwise_count(a[i] ^ b[j]) <= radius
+            if own:
+                near &= i < j
             if near.any():
                 yield i[near], j[near]
         if level == 64 or small.all():
@@ -171,7 +220,7 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np
         parts = [(a0, am, b0, bm, e), (am, a1, bm, b1, e), (a0, am, bm, b1, e + 1), (am, a1, b0, bm, e + 1)]
         kept = [np.ones(len(a0), bool)] * 3 + [~same]
         a0, a1, b0, b1, e = (np.concatenate([p[q][k] for p, k in zip(parts, kept, strict=True)]) for q in range(5))
-        live = (a1 > a0) & (b1 > b0) & (e <= radius)
+        live = (a1 > a0) & (b1 > b0) & (e <= budget[level + 1])
         stack.append((level + 1, *(x[live] for x in (a0, a1, b0, b1, e))))
 
 
@@ -190,41 +239,68 @@ def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root[:] = flat
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, subtree: int = SUBTREE) -> DataFrame:
-    """``a, b``: links that span every group of distinct fingerprints (column ``fp``)."""
-    prefix = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
-    counts = np.zeros(1 << TOP_BITS, np.int64)
-    for k, n in fps.groupBy(prefix.alias("k")).count().toPandas().itertuples(index=False):  # at most 65,536 rows
-        counts[k] = n
-    leaf_of, pairs = top_pairs(counts, radius, subtree)
-    sides: dict[int, list[tuple[int, int]]] = {}
-    for t, (x, y) in enumerate(pairs):
-        sides.setdefault(x, []).append((t, 0))
-        if y != x:
-            sides.setdefault(y, []).append((t, 1))
-    own = np.array([x == y for x, y in pairs], bool)
+def near_links(fps: DataFrame, words: int = 1, radius: int = RADIUS, total: int | None = None, rotations: int = 1, subtree: int = SUBTREE) -> DataFrame:
+    """``a, b``: nodes of links that span every group of distinct fingerprints.
+
+    ``fps``: ``node`` and the words ``f0, f1, ...``. Linked are fingerprints
+    that differ in at most ``radius`` bits of their first word and, if given,
+    ``total`` bits of all.
+    """
+    unit, budget, bits = 64 // rotations, budgets(radius, rotations), TOP_BITS if rotations == 1 else TOP_BITS - 4
+    names = [f"f{k}" for k in range(words)]
+    turned = fps.select("f0", F.explode(F.sequence(F.lit(0), F.lit(rotations - 1))).alias("r"))
+    shift = lambda f, c, n: F.call_function(f, c, n.cast("int"))
+    key = shift("shiftleft", F.col("f0"), F.col("r") * unit).bitwiseOR(shift("shiftrightunsigned", F.col("f0"), 64 - F.col("r") * unit))
+    key = F.col("f0") if rotations == 1 else F.when(F.col("r") == 0, F.col("f0")).otherwise(key)
+    counts = np.zeros((rotations, 1 << bits), np.int64)
+    for r, k, n in turned.groupBy("r", F.shiftrightunsigned(key, 64 - bits).cast("int").alias("k")).count().toPandas().itertuples(index=False):  # at most 65,536 rows
+        counts[r, k] = n
+    plans, own = [], []
+    for r in range(rotations):
+        leaf_of, pairs = top_pairs(counts[r], budget, subtree)
+        rows = sorted((leaf, len(own) + t, side) for t, (x, y) in enumerate(pairs) for side, leaf in enumerate((x, y)[: 1 + (x != y)]))
+        leaf, task, side = np.array(rows, np.int64).reshape(-1, 3).T
+        first = np.searchsorted(leaf, np.arange(leaf_of.max() + 2))
+        plans.append((leaf_of, first, task, side))
+        own += [x == y for x, y in pairs]
+    own = np.array(own, bool)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy()
-            leaf = leaf_of[(fp.view(np.uint64) >> np.uint64(64 - TOP_BITS)).astype(np.int64)]
-            for x in np.unique(leaf):
-                mine = fp[leaf == x]
-                for t, side in sides[int(x)]:
-                    yield pd.DataFrame({"task": np.int32(t), "side": np.int32(side), "fp": mine})
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
-        a, b = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-        root = np.arange(len(a) + len(b))
-        for i, j in links(a, None if own[key[0]] else b, radius):
-            forest(root, i, j if own[key[0]] else j + len(a))
-        every = np.concatenate((a, b)).view(np.int64)
+            f0 = b["f0"].to_numpy().view(np.uint64)
+            for r, (leaf_of, first, task, side) in enumerate(plans):
+                k = f0 if not r else (f0 << np.uint64(r * unit)) | (f0 >> np.uint64(64 - r * unit))
+                leaf = leaf_of[(k >> np.uint64(64 - bits)).astype(np.int64)]
+                n = first[leaf + 1] - first[leaf]
+                to, row = _ranges(first[leaf], n), np.repeat(np.arange(len(b)), n)
+                yield pd.DataFrame({"task": task[to].astype(np.int32), "side": side[to].astype(np.int32), "node": b["node"].to_numpy()[row], "f0": k[row].view(np.int64), **{c: b[c].to_numpy()[row] for c in names[1:]}})
+
+    def walk(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "f0", "node"], key=lambda c: c.astype("int64").to_numpy().view(np.uint64) if c.name == "f0" else c)
+        node, f = pdf["node"].to_numpy(), [pdf[c].to_numpy().view(np.uint64) for c in names]
+        na = int((pdf["side"] == 0).sum())
+        root = np.arange(len(node))
+
+        def join(i: np.ndarray, j: np.ndarray, known: bool = True) -> None:
+            if not known:
+                i, j = (x[np.bitwise_count(f[0][i] ^ f[0][j]) <= radius] for x in (i, j))
+            if total is not None:
+                apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
+                i, j = i[apart <= total], j[apart <= total]
+            if len(i):
+                forest(root, i, j)
+
+        for step in range(1, 9):  # neighbours first, so that dense groups are soon one
+            at = np.arange(max(0, len(node) - step))
+            join(at, at + step, known=False)
+        a, b = f[0][:na], f[0][na:]
+        for i, j in links(a, None if own[group[0]] else b, budget, root):
+            join(i, j if own[group[0]] else j + na)
         moved = root != np.arange(len(root))
-        return pd.DataFrame({"a": every[moved], "b": every[root[moved]]})
+        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
 
-    dealt = fps.select("fp").mapInPandas(deal, "task int, side int, fp long")
-    return dealt.groupBy("task").applyInPandas(walk, "a long, b long")
+    schema = ", ".join(["task int, side int, node long", *(f"{c} long" for c in names)])
+    return fps.select("node", *names).mapInPandas(deal, schema).groupBy("task").applyInPandas(walk, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, subtree: int = SUBTREE) -> DataFrame:
@@ -237,12 +313,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows always do. ``component_id`` is the smallest id that is reachable
     (null ids count only if a group has no other). Other columns are not read.
     """
+    out = groups_of(docs, id_col, text_col, radius=radius, subtree=subtree)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id, component_size`` at a similarity of about 0.8 or more.
+
+    As ``simhash_groups``, with five-word shingles and the wide radius.
+    """
+    out = groups_of(docs, id_col, text_col, NEAR_WORDS, NEAR_BITS // 64, NEAR_RADIUS, NEAR_TOTAL, NEAR_ROTATIONS)
+    return out.select("doc_id", "component_id", "component_size")
+
+
+def groups_of(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE_WORDS, words: int = 1, radius: int = RADIUS, total: int | None = None, rotations: int = 1, subtree: int = SUBTREE) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.save(fingerprints(docs, id_col, text_col))
-    distinct = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(near_links(distinct, radius, subtree))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    names = [f"f{k}" for k in range(words)]
+    marked = scratch.save(fingerprints(docs, id_col, text_col, width, words))
+    node = F.col("f0") if words == 1 else F.xxhash64(*names)
+    distinct = scratch.save(marked.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", node))
+    roots = connected_components(near_links(distinct, words, radius, total, rotations, subtree)).withColumnRenamed("node", "linked")
+    joined = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", *names, "least", "n", F.coalesce("root", "node").alias("root"))
     groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    groups = scratch.save(joined.join(groups, "root").select("fp", "component_id", "component_size"))
-    out = marked.join(groups, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+    groups = scratch.save(joined.join(groups, "root").select("node", "component_id", "component_size"))
+    return marked.withColumn("node", node).join(groups, "node")
