@@ -13,14 +13,19 @@ def _group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def answer_block(text: Column) -> Column:
     """The first ``<answer>`` block, trimmed."""
-    return F.trim(_group(text, r"(?is)<answer>(.*?)</answer>"))
+    return strip(_group(text, r"(?is)<answer>(.*?)</answer>"))
 
 
 def last_answer_block(text: Column) -> Column:
     every = F.regexp_extract_all(text, F.lit(r"(?is)<answer>(.*?)</answer>"), F.lit(1))
-    return F.when(F.size(every) > 0, F.trim(F.element_at(every, -1)))
+    return F.when(F.size(every) > 0, strip(F.element_at(every, -1)))
 
 
 def string_field(text: Column, name: str) -> Column:
@@ -28,7 +33,7 @@ def string_field(text: Column, name: str) -> Column:
     return F.coalesce(
         _group(text, rf'(?is)"{name}"\s*:\s*"([^"]*)"'),
         _group(text, rf"(?is)'{name}'\s*:\s*'([^']*)'"),
-        F.trim(_group(text, rf"(?is)\b{name}\s*[:=]\s*([^,;\n}}\"']+)")),
+        strip(_group(text, rf"(?is)\b{name}\s*[:=]\s*([^,;\n}}\"']+)")),
     )
 
 
@@ -61,19 +66,19 @@ def json_objects(text: Column) -> Column:
 
 def address_parts(text: Column) -> Column:
     """Non-blank trimmed parts between semicolons of either width."""
-    return F.filter(F.transform(F.split(text, "[;；]"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "[;；]"), lambda p: strip(p)), lambda p: p != "")
 
 
 def normalize_address(text: Column) -> Column:
     body = F.coalesce(answer_block(text), text)
-    return F.array_join(F.filter(F.transform(F.split(body, "[;,]"), lambda p: F.trim(p)), lambda p: p != ""), ", ")
+    return F.array_join(F.filter(F.transform(F.split(body, "[;,]"), lambda p: strip(p)), lambda p: p != ""), ", ")
 
 
 def geocode_key(text: Column) -> Column:
     """Cache key of an address: comma separators, single blanks, lower case."""
     commas = F.regexp_replace(text, "[;；，]", ",")
     tight = F.regexp_replace(commas, r"\s*,\s*", ",")
-    return F.lower(F.trim(F.regexp_replace(tight, r"\s+", " ")))
+    return F.lower(strip(F.regexp_replace(tight, r"\s+", " ")))
 
 
 def geocode_candidates(text: Column) -> Column:
@@ -84,18 +89,18 @@ def geocode_candidates(text: Column) -> Column:
 
 
 def strip_quotes(text: Column) -> Column:
-    t = F.trim(text)
+    t = strip(text)
     quoted = (F.length(t) >= 2) & t.rlike(r"(?s)^(\".*\"|'.*')$")
     return F.when(quoted, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
 def without_thoughts(text: Column) -> Column:
     """What follows the last ``</think>``, trimmed."""
-    return F.trim(F.element_at(F.split(text, "</think>"), -1))
+    return strip(F.element_at(F.split(text, "</think>"), -1))
 
 
 def to_bool(text: Column) -> Column:
-    t = F.lower(F.trim(text.cast("string")))
+    t = F.lower(strip(text.cast("string")))
     return F.when(t.isin("true", "1", "yes", "y", "t"), True).when(t.isin("false", "0", "no", "n", "f", ""), False)
 
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import strip
+
 CALLS = "array<struct<name:string,arguments:string>>"
 
 
@@ -28,7 +30,7 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 def _pairs(text: Column, pattern: str) -> Column:
     z = F.arrays_zip(_all(text, pattern, 1).alias("k"), _all(text, pattern, 2).alias("v"))
-    return F.transform(z, lambda x: _call(F.trim(x["k"]), F.trim(x["v"])))
+    return F.transform(z, lambda x: _call(strip(x["k"]), strip(x["v"])))
 
 
 def _from_json(blocks: Column, arguments: str = "arguments") -> Column:
@@ -61,19 +63,19 @@ def glm4(text: Column) -> Column:
     pieces = F.transform(F.split(text, r"<\|assistant\|>"), lambda p: F.regexp_replace(p, r"<\|observation\|>", ""))
     pattern = r"(?s)^\s*([^\n{]+)\n\s*(\{.*\})"
     hits = F.filter(pieces, lambda p: p.rlike(pattern))
-    return F.transform(hits, lambda p: _call(F.trim(F.regexp_extract(p, pattern, 1)), F.trim(F.regexp_extract(p, pattern, 2))))
+    return F.transform(hits, lambda p: _call(strip(F.regexp_extract(p, pattern, 1)), strip(F.regexp_extract(p, pattern, 2))))
 
 
 def _keyed(block: Column, key: str, value: str) -> Column:
     """JSON of key-value marks; a later repeat of a key wins; unequal counts give null."""
-    k, v = F.transform(_all(block, key), lambda x: F.trim(x)), F.transform(_all(block, value), lambda x: F.trim(x))
+    k, v = F.transform(_all(block, key), lambda x: strip(x)), F.transform(_all(block, value), lambda x: strip(x))
     last = F.filter(F.arrays_zip(k.alias("k"), v.alias("v"), F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1))).alias("i")), lambda x: x["k"].isNotNull() & ~F.array_contains(F.slice(k, x["i"] + 1, F.size(k)), x["k"]))
     return F.when(F.size(k) == F.size(v), F.to_json(F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))))
 
 
 def glm4_5(text: Column) -> Column:
     blocks = _all(text, r"(?s)<tool_call>(.*?)</tool_call>")
-    calls = F.transform(blocks, lambda b: _call(F.trim(F.regexp_extract(b, r"(?s)^\s*([^<\n]*)", 1)), _keyed(b, r"(?s)<arg_key>(.*?)</arg_key>", r"(?s)<arg_value>(.*?)</arg_value>")))
+    calls = F.transform(blocks, lambda b: _call(strip(F.regexp_extract(b, r"(?s)^\s*([^<\n]*)", 1)), _keyed(b, r"(?s)<arg_key>(.*?)</arg_key>", r"(?s)<arg_value>(.*?)</arg_value>")))
     return F.filter(calls, lambda c: (c["name"] != "") & c["arguments"].isNotNull())
 
 

@@ -33,7 +33,7 @@ def sample(df: DataFrame, n: int, ids: tuple[str, ...] = (), seed: int = 42, shu
     order = [uniform(seed, *[F.col(c) for c in ids])] if shuffle and ids else []
     parts = [df.join(F.broadcast(df.sparkSession.range(copies).select()), how="cross")] if copies else []
     if rest or not parts:
-        parts.append(df.orderBy(*order, *ids).limit(rest))
+        parts.append((df.orderBy(*order, *ids) if ids else df).limit(rest))
     return reduce(DataFrame.unionAll, parts)
 
 
