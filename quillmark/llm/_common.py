@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: White space that separates words and collapses in normalised texts.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -40,6 +44,25 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def map_texts(rows: DataFrame, fn: Callable[[list[str | None]], list[list]], added: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """Adds columns that ``fn`` makes of the last column's texts, batch by batch, and drops the texts.
+
+    The other columns pass through as Arrow arrays, so ids stay exact even
+    beside nulls.
+    """
+    kept = rows.schema[:-1]
+    schema = T.StructType([*kept.fields, *(T.StructField(n, from_arrow_type(t)) for n, t in added)])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(b.column(b.num_columns - 1).to_pylist())
+            new = [pa.array(v, t) for v, (_, t) in zip(made, added, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -16,14 +16,14 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm._common import map_texts
 from quillmark.llm.html_pages import PAGES
 
 BLOCKS = set(
@@ -227,10 +227,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     model = train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [extract(h, model) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(texts: list[str | None]) -> list[list]:
+        text = [extract(h, model) for h in texts]
+        return [text, [len(t) for t in text]]
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_texts(rows, run, [("text", pa.string()), ("n_chars", pa.int64())])

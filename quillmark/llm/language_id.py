@@ -16,12 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm._common import map_texts
+
 UNKNOWN = "und"
 #: Training takes at most so many documents of each of at most so many languages.
 PER_LANGUAGE = 200
@@ -154,13 +155,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     sorts first. Repeated rows are scored each; other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [_one(t, model) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "ambiguous": [x[2] for x in out]})
+    def run(texts: list[str | None]) -> list[list]:
+        return [list(x) for x in zip(*[_one(t, model) for t in texts], strict=True)] or [[], [], []]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return map_texts(rows, run, [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import Scratch
+from quillmark.llm._common import Scratch, map_texts
 from quillmark.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -89,15 +90,11 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, words: int = 1) ->
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
     """``doc_id, f0, f1, ...`` (signed 64 bits each), a row per input row."""
-    names = [f"f{k}" for k in range(words)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, width, words) for t in b["text"]], np.uint64).reshape(-1, words).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: fp[:, k] for k, n in enumerate(names)}})
+    def run(texts: list[str | None]) -> list[np.ndarray]:
+        return list(np.array([fingerprint(t, width, words) for t in texts], np.uint64).reshape(-1, words).view(np.int64).T.copy())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return map_texts(rows, run, [(f"f{k}", pa.int64()) for k in range(words)])
 
 
 def budgets(radius: int, rotations: int = 1) -> list[int]:

@@ -19,10 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm._common import map_texts
+
 #: Training takes at most so many labelled documents of each class.
 PER_CLASS = 2000
 #: A feature is kept if so many sampled documents hold it and toxic ones hold it
@@ -142,21 +144,19 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     first counts. Repeated rows are scored each; other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            score, span = [], []
-            for t in b["text"]:
-                found = list(model.sentences(t or ""))
-                z = np.array([x[2] for x in found] or [model.bias])
-                score.append(-np.expm1(-np.logaddexp(0, z).sum()))
-                span.append(found[int(z.argmax())][:2] if found else (None, None))
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "score": score,
-                "worst_start": pd.array([x[0] for x in span], "Int64"), "worst_stop": pd.array([x[1] for x in span], "Int64"),
-            })
+    def run(texts: list[str | None]) -> list[list]:
+        score, starts, stops = [], [], []
+        for t in texts:
+            found = list(model.sentences(t or ""))
+            z = np.array([x[2] for x in found] or [model.bias])
+            score.append(float(-np.expm1(-np.logaddexp(0, z).sum())))
+            span = found[int(z.argmax())] if found else (None, None)
+            starts.append(span[0])
+            stops.append(span[1])
+        return [score, starts, stops]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double, worst_start long, worst_stop long")
+    return map_texts(rows, run, [("score", pa.float64()), ("worst_start", pa.int64()), ("worst_stop", pa.int64())])
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
