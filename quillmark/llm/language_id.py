@@ -50,7 +50,7 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     if n <= 1:
         return np.ones((n, 1), np.int8)
     if n <= 6:
-        cols = np.arange(1, 2 ** (n - 1))
+        cols = np.arange(2 ** (n - 1) - 1)  # without the split that has all on one side
         return np.array([[1] * len(cols)] + [[1 if c >> k & 1 else -1 for c in cols] for k in range(n - 1)], np.int8)
     rng, best = np.random.default_rng(seed), (0, None)
     for _ in range(200):
