@@ -317,23 +317,24 @@ def issue_counts(spark, sf_dir):
 
 # --- rewards to advantages ---------------------------------------------------------
 
-def _adv(name: str, expr: str, digits: int = 6, **kw) -> None:
+def _adv(name: str, expr: str, **kw) -> None:
+    # The small number keeps exact halves from being rounded either way by the last bit of a sum.
     def run(spark, sf_dir):
         e = t(spark, sf_dir, "events").select("event_id", "user_id", "value")
-        return stats.advantages(e, "user_id", "value", **kw).select("event_id", F.round("advantage", digits).alias("advantage"))
+        return stats.advantages(e, "user_id", "value", **kw).select("event_id", F.round(F.col("advantage") + 1e-9, 6).alias("advantage"))
 
     run.__name__ = name
     query(f"""
         WITH e AS (SELECT event_id, user_id, coalesce(value, 0.0) AS r FROM events),
         w AS (SELECT *, avg(r) OVER (PARTITION BY user_id) AS m, coalesce(stddev_samp(r) OVER (PARTITION BY user_id), 0.0) AS sd, count(*) OVER (PARTITION BY user_id) AS n,
               coalesce(stddev_samp(r) OVER (), 0.0) AS bsd FROM e)
-        SELECT event_id, round({expr}, {digits}) AS advantage FROM w""")(run)
+        SELECT event_id, round({expr} + 1e-9, 6) AS advantage FROM w""")(run)
 
 
 _adv("advantage_grpo", "(r - m) / (sd + 1e-4)")
 _adv("advantage_batch", "(r - m) / (bsd + 1e-4)", scale="batch")
 _adv("advantage_unscaled", "r - m", scale="none")
-_adv("advantage_rloo", "CASE WHEN n > 1 THEN (r - m) * n / (n - 1) ELSE 0.0 END", digits=9, estimator="rloo", scale="none")
+_adv("advantage_rloo", "CASE WHEN n > 1 THEN (r - m) * n / (n - 1) ELSE 0.0 END", estimator="rloo", scale="none")
 _adv("advantage_rpp", "(r - m) / (coalesce(stddev_samp(r - m) OVER (), 0.0) + 1e-4)", estimator="reinforce_plus_plus")
 
 
