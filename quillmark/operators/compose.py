@@ -43,17 +43,17 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     Rows are range-partitioned and sorted; each partition's offset is the sum of
     the sizes before it, one number per partition.
     """
-    keys = [f"__k{i}" for i in range(len(order))]
+    keys = [f"__key{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
-    parts = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    parts = parts.withColumn("__i", F.col("__i").bitwiseAND((1 << 33) - 1))
-    sizes = {r[0]: r[1] for r in parts.groupBy("__p").count().collect()}  # one row per partition
+    parts = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__in_part", F.monotonically_increasing_id())
+    parts = parts.withColumn("__in_part", F.col("__in_part").bitwiseAND((1 << 33) - 1))
+    sizes = {r[0]: r[1] for r in parts.groupBy("__part").count().collect()}  # one row per partition
     offsets, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
         offsets.append(total)
         total += sizes.get(p, 0)
-    at = F.element_at(F.array(*[F.lit(x) for x in offsets or [0]]), F.col("__p") + 1)
-    return parts.withColumn(name, (F.col("__i") + at + 1).cast("long")).drop("__p", "__i", *keys)
+    at = F.element_at(F.array(*[F.lit(x) for x in offsets or [0]]), F.col("__part") + 1)
+    return parts.withColumn(name, (F.col("__in_part") + at + 1).cast("long")).drop("__part", "__in_part", *keys)
 
 
 def split(df: DataFrame, ratio: float, ids: tuple[str, ...], seed: int = 42) -> tuple[DataFrame, DataFrame]:

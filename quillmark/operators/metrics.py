@@ -145,3 +145,69 @@ def rouge_bleu_rows(df: DataFrame, key: str, hypothesis: str, reference: str) ->
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(hypothesis).alias("h"), F.col(reference).alias("r"))
     return rows.mapInPandas(run, "id long, rouge_1 double, rouge_2 double, rouge_l double, bleu_4 double")
+
+
+def token_accuracy(df: DataFrame, prediction: str, label: str, ignore: int = -100) -> DataFrame:
+    """Token and sequence accuracy: predictions shifted by one, ignored labels left out."""
+    pairs = F.arrays_zip(F.slice(prediction, F.lit(1), F.greatest(F.size(prediction) - 1, F.lit(0))).alias("p"), F.slice(label, F.lit(2), F.greatest(F.size(label) - 1, F.lit(0))).alias("l"))
+    kept = F.filter(pairs, lambda x: x["l"].isNotNull() & (x["l"] != ignore))
+    hits = F.size(F.filter(kept, lambda x: x["p"] == x["l"]))
+    rows = df.select(hits.alias("h"), F.size(kept).alias("n"))
+    return rows.agg((F.sum("h") / F.nullif(F.sum("n"), F.lit(0))).alias("token_acc"), F.avg((F.col("h") == F.col("n")).cast("double")).alias("seq_acc"))
+
+
+def infonce(df: DataFrame, batch: str, row: str, query: str, doc: str) -> DataFrame:
+    """Mean similarity of positives and of in-batch negatives, and their margin.
+
+    Each query meets each document of its batch, whose size is fixed: the join
+    grows with rows times the size of a batch.
+    """
+    q = df.select(batch, F.col(row).alias("i"), F.col(query).alias("q"))
+    d = df.select(batch, F.col(row).alias("j"), F.col(doc).alias("d"))
+    s = q.join(d, batch).select("i", "j", (dot(F.col("q"), F.col("d")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("d"), F.col("d")))).alias("s"))
+    pos, neg = F.avg(F.when(F.col("i") == F.col("j"), F.col("s"))), F.avg(F.when(F.col("i") != F.col("j"), F.col("s")))
+    return s.agg(pos.alias("mean_pos"), neg.alias("mean_neg"), (pos - neg).alias("margin"))
+
+
+def effective_sample_size(df: DataFrame, weight: str, limit: float = 2.0) -> DataFrame:
+    """Mean weight and 1 / E[(w / E[w])^2], weights clamped to [1 / limit, limit]."""
+    w = F.least(F.greatest(F.col(weight), F.lit(1 / limit)), F.lit(limit))
+    g = df.agg(F.avg(weight).alias("is_weight_mean"), F.avg(w).alias("m"), F.avg(w * w).alias("m2"))
+    return g.select("is_weight_mean", (1.0 / F.greatest(F.col("m2") / F.pow(F.col("m") + 1e-8, 2), F.lit(1e-10))).alias("ess"))
+
+
+def sequence_mask(df: DataFrame, sequence: str, old: str, new: str, advantage: str, delta: float) -> DataFrame:
+    """Sequences that stay: not both far off policy and of negative advantage."""
+    g = df.groupBy(sequence).agg(F.avg(F.col(old) - F.col(new)).alias("off"), F.max(advantage).alias("advantage"))
+    return g.where(~((F.col("off") > delta) & (F.col("advantage") < 0)))
+
+
+def reward_metrics(df: DataFrame, group: str, reward: str) -> DataFrame:
+    """Mean, sample deviation and share of groups without variance."""
+    g = df.groupBy(group).agg(F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("s"), F.sum(reward).alias("t"), F.count(reward).alias("n"), F.sum(F.col(reward) * F.col(reward)).alias("q"))
+    mean = F.sum("t") / F.sum("n")
+    var = (F.sum("q") - F.sum("n") * mean * mean) / (F.sum("n") - 1)
+    return g.agg(mean.alias("reward"), F.sqrt(var).alias("reward_std"), F.avg((F.col("s") == 0).cast("double")).alias("frac_zero_std"))
+
+
+def distance_summary(df: DataFrame, km: str) -> DataFrame:
+    """Mean, median and the nearest-rank p90: the sorted value at min(n - 1, max(0, int(0.9 n) - 1))."""
+    from quillmark.operators.compose import ranked
+
+    d = df.where(F.col(km).isNotNull())
+    n = d.count()
+    at = min(n - 1, max(0, int(0.9 * n) - 1)) + 1
+    p90 = ranked(d, [F.col(km)]).where(F.col("rn") == at).select(F.col(km).alias("p90"))
+    return d.agg(F.count(km).alias("n"), F.avg(km).alias("mean"), F.median(km).alias("median")).join(F.broadcast(p90), how="left")
+
+
+def contrastive(df: DataFrame, similarity: str, label: str, margin: float = 0.5) -> DataFrame:
+    """Contrastive loss over distances (1 - similarity)."""
+    d = 1 - F.col(similarity)
+    return df.agg(F.avg(0.5 * (F.col(label) * d * d + (1 - F.col(label)) * F.pow(F.greatest(F.lit(0.0), margin - d), 2))).alias("loss"))
+
+
+def best_runs(df: DataFrame, metric: str, group: str) -> DataFrame:
+    """Marks the runs that reach their group's best metric."""
+    top = F.max(metric).over(Window.partitionBy(group))
+    return df.withColumn("best", F.abs(F.col(metric) - top) <= 1e-9 * F.greatest(F.abs(top), F.lit(1.0)))

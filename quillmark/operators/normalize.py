@@ -145,3 +145,39 @@ def merge_tool_calls(m: Column) -> Column:
 
     empty = F.array().cast("array<struct<role:string,content:string,loss:double,call:boolean>>")
     return F.transform(F.aggregate(m, empty, step), lambda x: F.struct(x["role"], x["content"], x["loss"]))
+
+
+def messages_to_history(m: Column) -> tuple[Column, Column, Column]:
+    """History pairs, query and response; an odd tail gets a null answer, the last pair is split off."""
+    turns = F.filter(m, lambda x: x["role"] != "system")
+    n = F.size(turns)
+    pairs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(2)), lambda i: F.array(F.get(turns, i)["content"], F.get(turns, i + 1)["content"]))).otherwise(F.array().cast("array<array<string>>"))
+    last = F.get(pairs, F.size(pairs) - 1)
+    return F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0))), F.get(last, F.lit(0)), F.get(last, F.lit(1))
+
+
+def coerce_list(c: Column, kind: T.DataType) -> Column:
+    """A single value becomes a list of one."""
+    return c if isinstance(kind, T.ArrayType) else F.when(c.isNotNull(), F.array(c))
+
+
+def images(c: Column, kind: T.DataType) -> Column:
+    """Paths or structs, one or many, to ``array<struct<bytes,path>>``."""
+    c = coerce_list(c, kind)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if isinstance(inner, T.StructType):
+        return F.transform(c, lambda x: F.struct((x["bytes"] if "bytes" in inner.names else F.lit(None).cast("binary")).alias("bytes"), (x["path"] if "path" in inner.names else F.lit(None).cast("string")).alias("path")))
+    return F.transform(c, lambda x: F.struct(F.lit(None).cast("binary").alias("bytes"), x.alias("path")))
+
+
+def valid_boxes(boxes: Column) -> Column:
+    return F.coalesce(F.forall(boxes, lambda b: F.size(b).isin(2, 4)), F.lit(True))
+
+
+def ordered_boxes(boxes: Column) -> Column:
+    """Corners in order: the lesser x and y first."""
+    def of(b: Column) -> Column:
+        four = F.array(F.least(b[0], F.get(b, F.lit(2))), F.least(b[1], F.get(b, F.lit(3))), F.greatest(b[0], F.get(b, F.lit(2))), F.greatest(b[1], F.get(b, F.lit(3))))
+        return F.when(F.size(b) == 4, four).otherwise(b)
+
+    return F.transform(boxes, of)

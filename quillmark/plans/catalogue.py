@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import geo, rewards, text, toolcall
-from quillmark.operators import chat, compose, metrics, normalize, stats
+from quillmark.operators import chat, compose, encode, metrics, normalize, runs, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -577,3 +577,88 @@ def rouge_lite(spark, sf_dir):
     b = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
     return metrics.rouge_bleu_rows(b.join(d, F.col("item_id") == F.col("doc_id")), "item_id", "text", "ref")
+
+
+@query("""
+    WITH p AS (SELECT vec_id, vec_id // 20 AS batch, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 400),
+    s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS s FROM p a JOIN p b USING (batch))
+    SELECT round(avg(s) FILTER (i = j), 5) AS mean_pos, round(avg(s) FILTER (i <> j), 5) AS mean_neg, round(avg(s) FILTER (i = j) - avg(s) FILTER (i <> j), 5) AS margin FROM s""")
+def infonce_margin(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").where("vec_id < 400").withColumn("batch", F.floor(F.col("vec_id") / 20))
+    m = metrics.infonce(e, "batch", "vec_id", "embedding", "embedding")
+    return m.select(*[F.round(c, 5).alias(c) for c in m.columns])
+
+
+@query("""
+    WITH w AS (SELECT exp((l_discount::DOUBLE - 0.05) * 20) AS w FROM lineitem), c AS (SELECT w, least(greatest(w, 0.5), 2.0) AS k FROM w)
+    SELECT round(avg(w), 6) AS is_weight_mean, round(1 / greatest(avg(k * k) / (avg(k) + 1e-8) ** 2, 1e-10), 6) AS ess FROM c""")
+def importance_ess(spark, sf_dir):
+    w = t(spark, sf_dir, "lineitem").select(F.exp((F.col("l_discount").cast("double") - 0.05) * 20).alias("w"))
+    return rounded(metrics.effective_sample_size(w, "w"))
+
+
+@query(f"""
+    WITH t AS (SELECT s, o, n, s % 3 - 1 AS adv FROM ({_LOGP})), g AS (SELECT s, avg(o - n) AS off, max(adv) AS a FROM t GROUP BY s)
+    SELECT s FROM g WHERE NOT (round(off, 9) > 0.01 AND a < 0)""")
+def offpolicy_sequence_mask(spark, sf_dir):
+    rows = _logp(spark, sf_dir).withColumn("adv", F.col("s") % 3 - 1)
+    g = metrics.sequence_mask(rows.withColumn("o", F.round("o", 9)).withColumn("n", F.round("n", 9)), "s", "o", "n", "adv", 0.01 + 1e-10)
+    return g.select("s")
+
+
+@query("""
+    WITH g AS (SELECT user_id, coalesce(stddev_samp(value), 0) AS s FROM events GROUP BY user_id)
+    SELECT round((SELECT avg(value) FROM events), 6) AS reward, round((SELECT stddev_samp(value) FROM events), 6) AS reward_std, round(avg((s = 0)::INT), 6) AS frac_zero_std FROM g""")
+def reward_metrics(spark, sf_dir):
+    return rounded(metrics.reward_metrics(t(spark, sf_dir, "events"), "user_id", "value"))
+
+
+@query(f"""
+    WITH {_POINTS}, r AS (SELECT distance, row_number() OVER (ORDER BY distance) AS rn, count(*) OVER () AS n FROM d)
+    SELECT count(*) AS n, round(avg(distance), 4) AS mean, round(median(distance), 4) AS median, round(max(CASE WHEN rn = least(n - 1, greatest(0, CAST(floor(0.9 * n) AS BIGINT) - 1)) + 1 THEN distance END), 4) AS p90 FROM r""")
+def distance_summary(spark, sf_dir):
+    s = metrics.distance_summary(_points(spark, sf_dir), "distance")
+    return s.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "p90")])
+
+
+@query("""
+    SELECT l_orderkey AS item_id, CAST(i AS BIGINT) AS sample_index FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 500) CROSS JOIN range(4) r(i)""")
+def expand_samples(spark, sf_dir):
+    items = t(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("item_id")).distinct()
+    return runs.expand_samples(items, 4).select("item_id", F.col("sample_index").cast("long").alias("sample_index"))
+
+
+@query("""
+    WITH g AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey AS item_id FROM orders LEFT JOIN g ON o_orderkey = k WHERE NOT coalesce(n = 3 AND d = 3 AND lo = 0 AND hi = 2, false)""")
+def incomplete_generations(spark, sf_dir):
+    s = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").cast("int").alias("sample_index"))
+    return runs.incomplete(s, t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id")), 3)
+
+
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system'),
+    p AS (SELECT conv_id, i // 2 AS k, max(CASE WHEN i % 2 = 0 THEN text END) AS q, max(CASE WHEN i % 2 = 1 THEN text END) AS a FROM r GROUP BY 1, 2),
+    x AS (SELECT *, max(k) OVER (PARTITION BY conv_id) AS last FROM p)
+    SELECT c.conv_id, coalesce(max(last), 0) AS n_history, max(CASE WHEN k = last THEN q END) AS query, max(CASE WHEN k = last THEN a END) AS response
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN x ON c.conv_id = x.conv_id GROUP BY c.conv_id""")
+def messages_to_history(spark, sf_dir):
+    h, q, a = normalize.messages_to_history(F.col("messages"))
+    return conversations(spark, sf_dir).select("conv_id", F.size(h).cast("long").alias("n_history"), q.alias("query"), a.alias("response"))
+
+
+@query("""
+    SELECT doc_id, n_chars, CAST(n_words AS BIGINT) AS n_words FROM (
+        SELECT doc_id, n_chars, len(list_filter(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS n_words FROM documents) WHERE n_words <= 512""")
+def length_filter(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "n_chars", F.array(normalize.message("assistant", F.col("text"))).alias("messages"))
+    return encode.add_length(d, max_length=512).select("doc_id", "n_chars", F.get("lengths", F.lit(0)).cast("long").alias("n_words"))
+
+
+@query("""
+    WITH b AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN 0 WHEN n_chars < 3000 THEN 1 WHEN n_chars < 8000 THEN 2 ELSE 3 END AS stage FROM documents)
+    SELECT doc_id, stage, row_number() OVER (ORDER BY stage, %s, doc_id) AS position FROM b""" % u(42, "doc_id"))
+def four_stage_order(spark, sf_dir):
+    stage = F.when(F.col("n_chars") < 1000, 0).when(F.col("n_chars") < 3000, 1).when(F.col("n_chars") < 8000, 2).otherwise(3)
+    d = t(spark, sf_dir, "documents").select("doc_id", stage.alias("stage"))
+    return compose.ranked(d, [F.col("stage"), compose.uniform(42, F.col("doc_id")), F.col("doc_id")], "position")
