@@ -63,7 +63,7 @@ def length_batches(df: DataFrame, length: str, ids: tuple[str, ...], size: int,
     from quillmark.operators.compose import ranked, uniform
 
     r = ranked(df, [uniform(seed, *[F.col(c) for c in ids]), *[F.col(c) for c in ids]], "__i")
-    r = ranked(r.withColumn("__m", F.floor((F.col("__i") - 1) / (size * 50))), [F.col("__m"), F.desc(length), *[F.col(c) for c in ids]], "__j")
+    r = ranked(r.withColumn("__m", F.floor((F.col("__i") - 1) / (size * 50))), [F.col("__m"), -F.col(length), *[F.col(c) for c in ids]], "__j")
     r = r.withColumn("batch", F.floor((F.col("__j") - 1) / size)).drop("__i", "__j", "__m")
     if not drop_last:
         return r
