@@ -74,8 +74,15 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def tagged(hashes: Column) -> Column:
-    """Tells the repeats of a multiset apart, so that set operations count them."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))))
+    """Tells the repeats of a multiset apart, so that set operations count them.
+
+    A hash's first place keeps it, so a multiset without repeats is its own tags.
+    """
+    def tag(h: Column, i: Column) -> Column:
+        seen = F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))
+        return F.when(seen == 0, h).otherwise(F.xxhash64(h, seen))
+
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(F.transform(hashes, tag))
 
 
 def contaminated(
