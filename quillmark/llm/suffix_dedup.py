@@ -119,6 +119,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kinds = texts.groupBy("c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     suffixes = scratch.save(base.select("c", "text").mapInPandas(retain, "h long, c long, pos int"))
     shared = suffixes.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
+    # Written before the join, so that the join can split the rows of a common k-gram; so again below.
+    shared = scratch.save(shared)
     places = suffixes.join(shared, "h").groupBy("c").agg(F.collect_set("pos").alias("places"))
     # One text of each kind is enough; joining by id as well keeps the copies of a common text apart.
     chosen = scratch.save(places.join(kinds.select("c", "first"), "c"))
@@ -126,6 +128,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     windows = scratch.save(one.mapInPandas(extend, "g long, c long, start int"))
     scratch.drop(suffixes, chosen)
     again = windows.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g")
+    again = scratch.save(again)
     starts = windows.join(again, "g").groupBy("c").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     # A run ends where the next start lies beyond its reach.
     heads = F.filter("starts", lambda s, i: (i == 0) | (s - F.get("starts", i - 1) > min_words))
