@@ -18,13 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import map_texts
+from quillmark.llm._common import first_by_hash, map_texts
 
 UNKNOWN = "und"
-#: Training takes at most so many documents of each of at most so many languages.
+#: Training takes at most so many documents of each of at most so many languages, the commonest.
 PER_LANGUAGE = 200
 MAX_LANGUAGES = 64
 BUCKETS = 1 << 13
@@ -135,8 +135,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_label
     """``text, label``: up to ``per_label`` rows of each label, by a hash of the id."""
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), label.alias("label"))
     keys = rows.where("label IS NOT NULL AND text IS NOT NULL AND i IS NOT NULL").select("label", "h", "i")
-    top = keys.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "i"))).where(F.col("n") <= per_label)
-    chosen = top.select("i").distinct()  # at most per_label rows a label
+    chosen = first_by_hash(keys, "label", per_label, ["h", "i"], MAX_LANGUAGES).select("i").distinct()  # at most per_label rows a label
     return rows.join(F.broadcast(chosen), "i", "left_semi").where("label IS NOT NULL AND text IS NOT NULL").select("text", "label")
 
 

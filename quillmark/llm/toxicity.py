@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import map_texts
+from quillmark.llm._common import first_by_hash, map_texts
 
 #: Training takes at most so many labelled documents of each class.
 PER_CLASS = 2000
@@ -120,8 +120,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, l2: float = 0.
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
     """``text, label`` of a bounded sample of the labelled documents that ``learn`` admits."""
     known = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id")
-    top = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("doc_id", "label")
+    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
+    top = first_by_hash(known, "label", per_class, ["h", "doc_id"]).select("doc_id", "label")
     # At most 2 * per_class rows: safe to broadcast whatever the table's size.
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(top), "doc_id").where("text IS NOT NULL")
 
