@@ -46,15 +46,17 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_blocks = F.greatest(F.lit(1), F.ceil(F.length("norm") / F.lit(block_chars))).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(F.col("norm"), i * block_chars + 1, F.lit(block_chars)))
     rows = norm.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2("norm", 256).alias("sha"), cut.alias("blocks"))
-    rows = rows.select("row", "id", "sha", F.size("blocks").alias("left_over"), F.posexplode("blocks").alias("pos", "block"))
-    # A digest only routes a block to its name. The name belongs to the block itself:
+    rows = rows.select("row", "id", "sha", F.size("blocks").alias("left_over"), F.posexplode_outer("blocks").alias("pos", "block"))
+    # No array is empty; outer explodes keep the optimizer from cutting each text
+    # twice for an inferred filter. A digest only routes a block to its name. The name belongs to the block itself:
     # min and max over a digest show that all its blocks are the same.
     digest = F.unhex(F.sha2("block", 256)).alias("digest")
     rows = rows.select("row", "id", "left_over", "pos", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), digest)
-    blocks = norm.select(F.explode(cut).alias("block")).select(digest, "block")
+    blocks = norm.select(F.explode_outer(cut).alias("block")).select(digest, "block")
     blocks = blocks.groupBy("digest").agg(F.min("block").alias("block"), F.max("block").alias("other"))
     blocks = blocks.withColumn("block", F.when(F.col("block") == F.col("other"), F.col("block")).otherwise(F.raise_error(F.lit("two blocks share a digest"))))
-    names = _numbered(blocks, ["block"], 0).select("digest", "name")
+    # Written before the join, so that the join can split the rows of a hot block.
+    names = scratch.save(_numbered(blocks, ["block"], 0).select("digest", "name"))
     seq = scratch.save(rows.join(names, "digest").select("row", "id", "sha", "left_over", "pos", "name"))
 
     done, level = [], 0
@@ -69,7 +71,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         ))
-        names = _numbered(pairs.select("left", "right").distinct(), ["left", "right"], level)
+        names = scratch.save(_numbered(pairs.select("left", "right").distinct(), ["left", "right"], level))
         seq = scratch.save(pairs.join(names, ["left", "right"]).select("row", "id", "sha", "left_over", "pos", "name"))
         scratch.drop(pairs)
     return reduce(DataFrame.unionAll, done)
