@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import Scratch, map_texts
+from quillmark.llm._common import Scratch, map_texts, text_or_empty
 from quillmark.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -39,9 +39,16 @@ SUBTREE = 32768
 MIN_DEPTH = 4
 #: The driver sees counts for this many leading bits, at most 2 ** TOP_BITS.
 TOP_BITS = 16
-#: The near-duplicate stage: five-word shingles, similarity of 0.8 or more. At 0.8,
-#: two fingerprints differ in 9.7 of 64 bits (deviation 2.9) and 38.8 of 256 (5.7).
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_TOTAL, NEAR_ROTATIONS = 5, 256, 14, 45, 16
+#: The near-duplicate stage: the sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: MinHash bands: a pair at 0.8 agrees on no band with a probability of (1 - 0.8 ** 6) ** 40 = 5e-6.
+NEAR_BANDS, NEAR_ROWS = 40, 6
+#: Candidates agree in so much of the sketch at least: at 0.8 that is missed by 5.8 deviations.
+NEAR_SKETCH = 0.65
+#: So many rows of candidates, and shingles of candidates, go to a task together.
+NEAR_TASK_ROWS, NEAR_TASK_SHINGLES = 65536, 1 << 20
+#: Texts of candidates are looked up by a broadcast up to so many, by a shuffle beyond.
+NEAR_BROADCAST = 100_000
 #: Node pairs with at most so many fingerprint pairs are compared directly.
 _DIRECT = 64
 _FRONTIER = 1 << 17
@@ -314,13 +321,145 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def shingle_set(text: str | None, width: int = NEAR_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+_RANDOM = np.random.default_rng(SEED)
+_TURNS = _RANDOM.integers(0, 1 << 31, NEAR_BANDS * NEAR_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+_MIX = _RANDOM.integers(0, 1 << 63, (NEAR_BANDS, NEAR_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minhashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of the orders, which odd factors give."""
+    out, high = np.full(len(_TURNS), 0xFFFFFFFF, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), 1024):
+        np.minimum(out, (_TURNS[:, None] * high[None, i : i + 1024]).min(axis=1), out=out)
+    return out
+
+
+def sketches(texts: list[str | None]) -> list[list]:
+    """Columns ``node`` (hash of the shingle set), ``shingles``, ``sketch`` (a byte a minimum) and ``bands``; no band without a shingle."""
+    sets = [shingle_set(t) for t in texts]
+    low = np.array([minhashes(x) for x in sets], np.uint32).reshape(-1, NEAR_BANDS, NEAR_ROWS)
+    bands = ((low.astype(np.uint64) * _MIX).sum(axis=2, dtype=np.uint64) ^ (_MIX[:, 0] * _MIX[:, 1])).view(np.int64)
+    nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+    flat = (low & np.uint32(255)).astype(np.uint8).reshape(len(sets), -1)
+    return [nodes, [len(x) for x in sets], [r.tobytes() for r in flat], [b if len(x) else [] for b, x in zip(bands, sets, strict=True)]]
+
+
+def sketch_links(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``i, js``: links that span what the rows of ``sketch`` are connected to by an agreement of NEAR_SKETCH."""
+    left = np.arange(len(sketch))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = (sketch[left] == sketch[i]).sum(axis=1) >= NEAR_SKETCH * sketch.shape[1]
+            if near.any():
+                yield i, left[near]
+                queue += left[near].tolist()
+                left = left[~near]
+
+
+def similar_components(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> np.ndarray:
+    """The first member of each set's component, where sets of this Jaccard similarity or more are linked. Exact.
+
+    Two such sets share one of their rarest m - ceil(similarity m) + 1 members.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    owner, starts = np.repeat(np.arange(len(sets)), size), np.cumsum(size) - size
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(token)) - starts[owner] < prefix[owner]
+    order = np.argsort(token[first], kind="stable")
+    holders, at = owner[first][order], np.searchsorted(token[first][order], np.arange(len(count) + 1))
+    root, seen, left = np.full(len(sets), -1), np.zeros(len(count), bool), len(sets)
+    for s in range(len(sets)):
+        if root[s] >= 0:
+            continue
+        root[s], left, queue = s, left - 1, [s]
+        while queue and left:
+            i = queue.pop()
+            c = np.concatenate([holders[at[x] : at[x + 1]] for x in token[starts[i] : starts[i] + prefix[i]]])
+            c = np.unique(c[root[c] < 0])
+            c = c[np.minimum(size[c], size[i]) >= similarity * np.maximum(size[c], size[i]) - 1e-9]
+            if not len(c):
+                continue
+            own = token[starts[i] : starts[i] + size[i]]
+            seen[own] = True
+            shared = np.add.reduceat(seen[token[_ranges(starts[c], size[c])]].astype(np.int64), np.cumsum(size[c]) - size[c])
+            seen[own] = False
+            new = c[shared >= similarity * (size[c] + size[i] - shared) - 1e-9]
+            root[new], left = s, left - len(new)
+            queue += new.tolist()
+    return root
+
+
+def candidate_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: links among ``node, sketch, bands`` whose components hold every pair at NEAR_SIMILARITY, and others."""
+    met = distinct.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
+    met = met.select(F.array_sort("nodes").alias("nodes")).withColumn("bucket", F.xxhash64("nodes")).dropDuplicates(["bucket"])  # copies meet on most bands
+    met = scratch.save(met.select("bucket", F.explode("nodes").alias("node")))
+    tasks = met.count() // NEAR_TASK_ROWS + 1
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket", kind="stable")
+        node, bucket = pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
+        rows = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        edges, a, b = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))), [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for i, js in sketch_links(rows[lo:hi]):
+                a.append(np.full(len(js), node[lo + i]))
+                b.append(node[lo + js])
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    rows = met.join(distinct.select("node", "sketch"), "node").withColumn("task", F.pmod("bucket", F.lit(tasks)))
+    return rows.groupBy("task").applyInPandas(walk, "a long, b long")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id, component_size`` at a similarity of about 0.8 or more.
+    """``doc_id, component_id, component_size``, a row per input row.
 
-    As ``simhash_groups``, with five-word shingles and the wide radius.
+    Words and ids as in ``simhash_groups``. Rows link when the sets of their
+    five-word shingles have a Jaccard similarity of 0.8 or more, so repeats
+    within a text do not count; texts without a word link with each other.
+    Candidates meet on bands of MinHash; what they form is split again into
+    what exact similarities connect, so nothing below 0.8 ever links.
     """
-    out = groups_of(docs, id_col, text_col, NEAR_WORDS, NEAR_BITS // 64, NEAR_RADIUS, NEAR_TOTAL, NEAR_ROTATIONS)
-    return out.select("doc_id", "component_id", "component_size")
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    added = [("node", pa.int64()), ("shingles", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    marked = scratch.save(map_texts(rows, sketches, added))
+    one = [F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("shingles", "sketch", "bands"))]  # a node has one set
+    distinct = scratch.save(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *one))
+    families = connected_components(candidate_links(distinct, scratch)).toDF("node", "family")
+    families = scratch.save(families.join(distinct.select("node", "text_key", "shingles"), "node"))
+    n, total = families.agg(F.count(F.lit(1)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
+    tasks = total // NEAR_TASK_SHINGLES + 1
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("family", kind="stable")
+        node, family, sets = pdf["node"].to_numpy(), pdf["family"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        edges, root = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1], [True]))), np.empty(len(node), np.int64)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            root[lo:hi] = node[lo + similar_components(sets[lo:hi])]
+        return pd.DataFrame({"linked": node, "root": root})
+
+    keys = families.select("text_key", "node", "family")
+    texts = rows.select("text_key", "text").join(F.broadcast(keys) if n <= NEAR_BROADCAST else keys, "text_key").select("node", "family", "text")
+    sets = map_texts(texts, lambda t: [[shingle_set(x).tobytes() for x in t]], [("set", pa.binary())]).dropDuplicates(["node"])
+    roots = scratch.save(sets.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(tasks))).groupBy("task").applyInPandas(split, "linked long, root long"))
+    joined = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
+    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+    groups = scratch.save(joined.join(groups, "root").select("node", "component_id", "component_size"))
+    return marked.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id", "component_size")
 
 
 def groups_of(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE_WORDS, words: int = 1, radius: int = RADIUS, total: int | None = None, rotations: int = 1, subtree: int = SUBTREE) -> DataFrame:

@@ -157,6 +157,36 @@ def test_near_groups_find_copies(spark):
     assert got == want
 
 
+def near_brute(texts):
+    """The least index of each text's component at a Jaccard similarity of 0.8 of five-word shingle sets."""
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return dict(enumerate(root))
+
+
+def near_ids(spark, texts):
+    return {r.doc_id: r.component_id for r in simhash_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_near_groups_lose_no_pair(spark):
+    rnd, texts = random.Random(8), []
+    words = lambda n: [f"t{rnd.randrange(10**6)}" for _ in range(n)]
+    for n in (8, 10, 14, 40, 100, 300):
+        for _ in range(25):
+            w = words(n)
+            longer = w + words((n - 4) // 4)  # a similarity of 0.8 or little more
+            texts += [" ".join(w), " ".join(longer)]
+    want = near_brute(texts)
+    assert all(want[i] == i - i % 2 for i in want)
+    assert near_ids(spark, texts) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(5000, 5001), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
