@@ -187,6 +187,26 @@ def test_near_groups_lose_no_pair(spark):
     assert near_ids(spark, texts) == want
 
 
+def test_near_groups_link_nothing_below(spark):
+    rnd, texts = random.Random(12), []
+    words = lambda n: [f"t{rnd.randrange(10**6)}" for _ in range(n)]
+    line = words(20)
+    for _ in range(6):  # own words around one line, which repeats
+        texts.append(" ".join(words(200) + line * 40))
+    for n in (60, 200):
+        for tail in (0.3, 0.36, 0.42):  # similarities of 0.77 to 0.70
+            for _ in range(8):
+                w = words(n)
+                texts += [" ".join(w), " ".join(w + words(int(n * tail)))]
+    own = words(120)
+    texts += [" ".join(own + line), " ".join(own + line * 40)]  # one set but for the seams
+    chain = words(200)
+    texts += [" ".join(chain[i : i + 180]) for i in (0, 10, 20)]
+    want = near_brute(texts)
+    assert len(set(want.values())) == len(texts) - 3
+    assert near_ids(spark, texts) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(5000, 5001), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
