@@ -1,14 +1,14 @@
 """Benchmark decontamination by SimHash windows.
 
 Texts become five-word shingles. A window of a document as long as an item can
-only reach the similarity asked for if it holds one of the item's rarest
-shingles (of m, the rarest floor((1 - t) m) + 1: all others are too few), so
-windows are laid only where such a shingle stands, aligned with it and shifted
-by as many places as the similarity allows. Each window gets a 64-bit SimHash.
-Windows and items meet on blocks of their fingerprints: with one block more
-than the radius, every pair within the radius agrees on one block at least.
-What meets within the radius is verified by the exact weighted Jaccard
-similarity of the two shingle multisets.
+only reach the similarity asked for if it lacks few of the item's shingles, and
+so holds several of its rarest ones (of m, the rarest floor((1 - t) m) + 1 are
+looked for). Every window with so many of them is laid, in whatever order they
+stand. Each window gets a 64-bit SimHash. Windows and the items they were laid
+for meet on blocks of their fingerprints: with one block more than the radius,
+every pair within the radius agrees on one block at least. What meets within
+the radius is verified by the exact weighted Jaccard similarity of the two
+shingle multisets.
 
 Built-in functions only. Documents are read once and not shuffled: the rare
 shingles are broadcast after a check of their number; beyond the limit they are
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import Scratch
+from quillmark.llm._common import Scratch, text_or_empty
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -49,7 +49,9 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str, width: int, name: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias(name), shingles(F.col(text_col), width).alias("s")).select(name, "s.hashes", "s.n_words")
+    """``name, text_key, hashes, n_words``; id and text key tell rows apart also where ids are null or repeat."""
+    text = text_or_empty(F.col(text_col))
+    return df.select(F.col(id_col).cast("long").alias(name), F.xxhash64(text).alias("text_key"), shingles(text, width).alias("s")).select(name, "text_key", "s.hashes", "s.n_words")
 
 
 def simhash(hashes: Column) -> Column:
@@ -95,52 +97,63 @@ def contaminated(
     clean documents have none. Of equal windows the first counts. Null and empty
     texts and items have no shingle and match nothing. A text of fewer words
     than a shingle is one shingle and matches its equal. Repeated ids are one
-    document (or item). Other columns are not read; an empty table gives no rows.
+    document (or item), and so are null ids; all their texts count. Other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     bench = _hashed(items, item_col, item_text, width, "item_id").where(F.size("hashes") > 0)
-    bench = scratch.save(bench.distinct().withColumn("m", F.size("hashes")))
-    places = bench.select("item_id", "m", "n_words", F.posexplode("hashes").alias("at", "h"))
+    bench = scratch.save(bench.select("item_id", F.xxhash64("hashes").alias("item_key"), F.size("hashes").alias("m"), F.col("n_words").alias("length"), "hashes").distinct())
+    texts = bench.dropDuplicates(["item_key"])
+    places = texts.select("item_key", "m", "length", F.explode("hashes").alias("h"))
     spread = places.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = places.join(spread, "h").groupBy("item_id", "m", "n_words").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("rare"))  # one item's shingles
-    seeds = ranked.select("item_id", "m", F.col("n_words").alias("length"), F.inline(F.slice("rare", F.lit(1), F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int") + 1)))
-    # How far a window may be off the shingle's place: each place costs one shingle.
-    seeds = scratch.save(seeds.select("h", "item_id", "m", "length", "at", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int").alias("slack")))
+    ranked = places.join(spread, "h").groupBy("item_key", "m", "length").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("rare"))  # one item's shingles
+    ranked = ranked.withColumn("k", F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int") + 1)
+    seeds = scratch.save(ranked.select("item_key", "m", "length", "k", F.explode(F.array_distinct(F.slice("rare", F.lit(1), F.col("k")))["h"]).alias("h")))
+    few = seeds.count() <= broadcast_rows
 
+    # Windows start in cells of an item's length; a hit counts for its cell and the one before.
     hashed = _hashed(docs, id_col, text_col, width, "doc_id")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("hashes") - F.col("m")))
+    row, item = ["doc_id", "text_key", "size"], ["item_key", "m", "length", "k"]
+    cell = F.explode(F.filter(F.array(F.floor(F.col("pos") / F.col("m")) - 1, F.floor(F.col("pos") / F.col("m"))), lambda c: c >= 0)).alias("cell")
+    span = F.slice("hashes", (F.col("cell") * F.col("m") + 1).cast("int"), 2 * F.col("m") - 1)
     # Outer explodes, as others make the optimizer infer a filter that hashes every text twice.
-    if seeds.count() <= broadcast_rows:
-        hits = hashed.select("doc_id", "hashes", F.posexplode_outer("hashes").alias("pos", "h")).join(F.broadcast(seeds), "h")
-        # One window a hit here; neighbours of the distinct windows are laid below.
-        span = F.slice("hashes", F.greatest(F.lit(1), start + 1 - F.col("slack")), F.col("m") + 2 * F.col("slack"))
-        near = hits.select("doc_id", "item_id", "m", "length", start.alias("start"), "slack", span.alias("span"))
-        near = near.groupBy("doc_id", "item_id", "m", "length", "start", "slack").agg(F.first("span").alias("span"))
-    else:
-        hits = hashed.select("doc_id", F.size("hashes").alias("size"), F.posexplode_outer("hashes").alias("pos", "h")).join(seeds, "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("m")))
-        hits = hits.select("doc_id", "item_id", "m", "length", start.alias("start"), "slack").distinct()
-        near = hashed.select("doc_id", "hashes").join(hits, "doc_id").select(
-            "doc_id", "item_id", "m", "length", "start", "slack",
-            F.slice("hashes", F.greatest(F.lit(1), F.col("start") + 1 - F.col("slack")), F.col("m") + 2 * F.col("slack")).alias("span"),
-        )
-    # The span starts at word max(0, start - slack); lay every item-sized window in it.
-    near = near.withColumn("base", F.greatest(F.lit(0), F.col("start") - F.col("slack")))
-    last = F.greatest(F.lit(0), F.size("span") - F.col("m"))
-    windows = near.select("doc_id", "item_id", "m", "length", "base", "span", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    windows = windows.select("doc_id", "item_id", "length", (F.col("base") + F.col("k")).alias("first"), F.slice("span", F.col("k") + 1, F.col("m")).alias("w"))
-    windows = windows.groupBy("doc_id", "item_id", "length", "first").agg(F.first("w").alias("w"))
+    hits = hashed.select("doc_id", "text_key", F.size("hashes").alias("size"), *["hashes"] * few, F.posexplode_outer("hashes").alias("pos", "h"))
+    hits = hits.join(F.broadcast(seeds) if few else seeds, "h").select(*row, *item, *["hashes"] * few, "pos", cell)
+    if few:
+        hits = hits.select(*row, *item, "cell", "pos", span.alias("span"))
+    spans = hits.groupBy(*row, *item, "cell").agg(F.array_sort(F.collect_set("pos")).alias("at"), *[F.first("span").alias("span")] * few)
+    # The rare shingles a window of so many shingles holds at least: all but those it may lack.
+    wide = F.least("m", "size")
+    lacks = F.col("m") - F.ceil(similarity / (1 + similarity) * (F.col("m") + wide) - 1e-9).cast("int")
+    spans = spans.withColumn("wide", wide).withColumn("need", F.greatest(F.lit(1), F.col("k") - lacks)).where(F.size("at") >= F.col("need"))
+    # Starts of the windows that hold the hits i to i + need - 1, and not those before.
+    end = lambda i: F.element_at("at", i + F.col("need") - 1)
+    low = F.col("cell") * F.col("m")
+    last = lambda i: F.least(F.element_at("at", i), low + F.col("m") - 1, F.col("size") - F.col("wide"))
+    first = lambda i: F.greatest(low, end(i) - F.col("wide") + 1, F.when(i > 1, last(F.greatest(i - 1, F.lit(1))) + 1).otherwise(0))
+    runs = F.transform(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda i: F.struct(first(i).alias("lo"), last(i).alias("hi")))
+    spans = spans.withColumn("runs", F.filter(runs, lambda r: r["lo"] <= r["hi"])).where(F.size("runs") > 0)
+    if not few:
+        own = hashed.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "hashes").dropDuplicates(["own_id", "own_key"])
+        spans = spans.join(own, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).withColumn("span", span)
+    starts = F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"])))
+    windows = spans.select("doc_id", "item_key", "wide", low.alias("low"), "span", F.explode(starts).alias("first"))
+    windows = windows.select("doc_id", "item_key", "first", F.slice("span", (F.col("first") - F.col("low") + 1).cast("int"), F.col("wide")).alias("w"))
     # Written out, so that no fingerprint is computed again for each of its blocks.
     windows = scratch.save(windows.select("*", simhash(F.col("w")).alias("fp")))
 
-    keyed = scratch.save(bench.select("item_id", F.col("hashes").alias("item"), simhash(F.col("hashes")).alias("item_fp")))
+    keyed = scratch.save(texts.select("item_key", F.col("hashes").alias("item"), simhash(F.col("hashes")).alias("item_fp")))
     left = windows.select("*", F.inline_outer(blocks(F.col("fp"), radius)))
-    right = keyed.select("*", F.inline_outer(blocks(F.col("item_fp"), radius)))
-    met = left.join(right, ["item_id", "no", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    right = keyed.select("item_key", "item_fp", F.inline_outer(blocks(F.col("item_fp"), radius)))
+    small = keyed.count() * (radius + 1) <= broadcast_rows
+    met = left.join(F.broadcast(right) if small else right, ["item_key", "no", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # A pair may meet on several blocks: keep its first.
     first_block = F.array_min(F.transform(F.filter(F.arrays_zip(blocks(F.col("fp"), radius).alias("a"), blocks(F.col("item_fp"), radius).alias("b")), lambda z: z["a"] == z["b"]), lambda z: z["a"]["no"]))
     met = met.where(F.col("no") == first_block)
+    full = keyed.select("item_key", "item")
+    met = met.join(F.broadcast(full) if few else full, "item_key")
     shared = F.size(F.array_intersect(tagged(F.col("w")), tagged(F.col("item"))))
-    scored = met.select("doc_id", "item_id", "first", "length", (shared / (F.size("w") + F.size("item") - shared)).alias("similarity"))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("before"), "length")).alias("best"))
+    scored = met.select("doc_id", "item_key", "first", (shared / (F.size("w") + F.size("item") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
+    names = bench.select("item_key", "item_id", "length")
+    scored = scored.join(F.broadcast(names) if few else names, "item_key")
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("before"), "length")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("first_word"), F.col("best.length").cast("long").alias("n_words"))

@@ -417,6 +417,26 @@ def test_contaminated_matches_brute_force(spark):
         assert all(got[k] == pytest.approx(brute_best(docs[k[0]], items[k[1]])) for k in got)
 
 
+def test_contaminated_finds_reordered_items(spark):
+    rnd = random.Random(21)
+    words = lambda n, c: [f"{c}{rnd.randrange(10**6)}" for _ in range(n)]
+    items, docs = [], []
+    for n in (60, 100, 200):
+        for parts in (1, 2, 3):
+            for _ in range(5):
+                w = words(n, "i")
+                cut = [w[n * p // parts : n * (p + 1) // parts] for p in range(parts)]
+                items.append(" ".join(w))
+                docs.append(" ".join(words(rnd.randrange(150), "d") + sum(reversed(cut), []) + words(rnd.randrange(150), "d")))
+    dd, bb = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, i): brute_best(docs[i], items[i]) for i in range(len(docs))}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    assert len(want) >= 40
+    for limit in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(dd, bb, broadcast_rows=limit).collect()}
+        assert got == pytest.approx(want)
+
+
 # --- HTML
 
 
