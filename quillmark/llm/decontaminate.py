@@ -99,6 +99,19 @@ def contaminated(
     than a shingle is one shingle and matches its equal. Repeated ids are one
     document (or item), and so are null ids; all their texts count. Other columns are not read; an empty table gives no rows.
     """
+    scored = matched_windows(docs, items, id_col, text_col, item_col, item_text, similarity, radius, width, broadcast_rows)
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("before"), "length")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("first_word"), F.col("best.length").cast("long").alias("n_words"))
+
+
+def matched_windows(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    similarity: float = SIMILARITY, radius: int = RADIUS, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``doc_id, text_key, item_id, first, length, similarity``: every window that ``contaminated`` chooses from.
+
+    ``text_key`` is ``xxhash64`` of the row's text, to tell rows without an id apart.
+    """
     scratch = Scratch(docs.sparkSession)
     bench = _hashed(items, item_col, item_text, width, "item_id").where(F.size("hashes") > 0)
     bench = scratch.save(bench.select("item_id", F.xxhash64("hashes").alias("item_key"), F.size("hashes").alias("m"), F.col("n_words").alias("length"), "hashes").distinct())
@@ -136,8 +149,8 @@ def contaminated(
         own = hashed.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "hashes").dropDuplicates(["own_id", "own_key"])
         spans = spans.join(own, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).withColumn("span", span)
     starts = F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"])))
-    windows = spans.select("doc_id", "item_key", "wide", low.alias("low"), "span", F.explode(starts).alias("first"))
-    windows = windows.select("doc_id", "item_key", "first", F.slice("span", (F.col("first") - F.col("low") + 1).cast("int"), F.col("wide")).alias("w"))
+    windows = spans.select("doc_id", "text_key", "item_key", "wide", low.alias("low"), "span", F.explode(starts).alias("first"))
+    windows = windows.select("doc_id", "text_key", "item_key", "first", F.slice("span", (F.col("first") - F.col("low") + 1).cast("int"), F.col("wide")).alias("w"))
     # Written out, so that no fingerprint is computed again for each of its blocks.
     windows = scratch.save(windows.select("*", simhash(F.col("w")).alias("fp")))
 
@@ -152,8 +165,6 @@ def contaminated(
     full = keyed.select("item_key", "item")
     met = met.join(F.broadcast(full) if few else full, "item_key")
     shared = F.size(F.array_intersect(tagged(F.col("w")), tagged(F.col("item"))))
-    scored = met.select("doc_id", "item_key", "first", (shared / (F.size("w") + F.size("item") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
+    scored = met.select("doc_id", "text_key", "item_key", "first", (shared / (F.size("w") + F.size("item") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
     names = bench.select("item_key", "item_id", "length")
-    scored = scored.join(F.broadcast(names) if few else names, "item_key")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("before"), "length")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).cast("long").alias("first_word"), F.col("best.length").cast("long").alias("n_words"))
+    return scored.join(F.broadcast(names) if few else names, "item_key").drop("item_key")

@@ -433,6 +433,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Candidates meet on bands of MinHash; what they form is split again into
     what exact similarities connect, so nothing below 0.8 ever links.
     """
+    return near_rows(docs, id_col, text_col).select("doc_id", "component_id", "component_size")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_groups`` with ``text_key``, ``xxhash64`` of the row's text, and ``least_key``, the smallest of the group."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     added = [("node", pa.int64()), ("shingles", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
@@ -456,10 +461,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = rows.select("text_key", "text").join(F.broadcast(keys) if n <= NEAR_BROADCAST else keys, "text_key").select("node", "family", "text")
     sets = map_texts(texts, lambda t: [[shingle_set(x).tobytes() for x in t]], [("set", pa.binary())]).dropDuplicates(["node"])
     roots = scratch.save(sets.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(tasks))).groupBy("task").applyInPandas(split, "linked long, root long"))
-    joined = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    groups = scratch.save(joined.join(groups, "root").select("node", "component_id", "component_size"))
-    return marked.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id", "component_size")
+    joined = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", "text_key", F.coalesce("root", "node").alias("root"))
+    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.min("text_key").alias("least_key"))
+    groups = scratch.save(joined.join(groups, "root").select("node", "component_id", "component_size", "least_key"))
+    return marked.select("doc_id", "text_key", "node").join(groups, "node").drop("node")
 
 
 def groups_of(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE_WORDS, words: int = 1, radius: int = RADIUS, total: int | None = None, rotations: int = 1, subtree: int = SUBTREE) -> DataFrame:

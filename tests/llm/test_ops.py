@@ -437,6 +437,18 @@ def test_contaminated_finds_reordered_items(spark):
         assert got == pytest.approx(want)
 
 
+def test_contaminated_tells_rows_without_ids_apart(spark):
+    rnd = random.Random(22)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    items = [words(30) for _ in range(3)]
+    broken = " ".join(items[0].split()[:6] + words(24).split())  # a rare shingle of item 0, but no more
+    rows = [(None, broken), (None, items[0]), (None, items[1]), (5, broken), (5, items[0]), (6, items[2])]
+    dd, bb = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for limit in (10**6, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(dd, bb, broadcast_rows=limit).collect()}
+        assert got == {(None, 0), (None, 1), (5, 0), (6, 2)}
+
+
 # --- HTML
 
 
