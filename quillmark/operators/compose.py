@@ -6,13 +6,14 @@ are partitioned. ``order`` names the columns that number the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.scratch import Scratch
+
 
 def uniform(seed: int, *ids: Column) -> Column:
     """Uniform in (0, 1) from an MD5, the same in any SQL engine."""
@@ -25,87 +26,178 @@ def concat(frames: list[DataFrame]) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, ids: tuple[str, ...] = (), seed: int = 42, shuffle: bool = True) -> DataFrame:
-    """n rows: whole copies of the table, then a random (or the first) part of one."""
+    """n rows: whole copies of the table, then a random (or the first) part of one.
+
+    Without ids a hash of the whole row stands in for one, so the choice does
+    not depend on partitioning. An empty table stays empty.
+    """
     total = df.count()
     if not total:
         return df
     copies, rest = divmod(n, total)
-    order = [uniform(seed, *[F.col(c) for c in ids])] if shuffle and ids else []
     parts = [df.join(F.broadcast(df.sparkSession.range(copies).select()), how="cross")] if copies else []
     if rest or not parts:
-        parts.append((df.orderBy(*order, *ids) if ids else df).limit(rest))
+        keys = [F.col(c) for c in ids] or [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+        parts.append(least(df, uniform(seed, *keys), keys, rest, total) if shuffle else ranked(df, keys, "__rn").where(F.col("__rn") <= rest).drop("__rn"))
     return reduce(DataFrame.unionAll, parts)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
-    """Numbers all rows from 1 in an order, without one task that sees them all.
+def near_cut(u: Column, k: int, n: int) -> Column:
+    """A test that holds for at least the k of n rows with the least ``u``, and for few more, unless values of ``u`` repeat a lot."""
+    share = k / max(n, 1)
+    return u <= share + 8 * (share / max(n, 1)) ** 0.5 + 40 / max(n, 1)
+
+
+def least(df: DataFrame, u: Column, ids: list[Column], k: int, n: int) -> DataFrame:
+    """The k rows of least ``u``, a uniform hash; ties go by the ids. Only rows below a cut are sorted."""
+    near = df.where(near_cut(u, k, n))
+    if near.count() < k:
+        near = df
+    return ranked(near, [u, *ids], "__rn").where(F.col("__rn") <= k).drop("__rn")
+
+
+def range_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in the shared folder, with ``__part`` and ``__at``: sorting by both gives the order.
 
-    Rows are range-partitioned and sorted; each partition's offset is the sum of
-    the sizes before it, one number per partition.
+    Rows are range-partitioned, sorted and written once. All that is counted or
+    numbered later is read from what was written: each job that partitions by
+    range draws bounds of its own, so two jobs need not agree.
     """
     keys = [f"__key{i}" for i in range(len(order))]
-    keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
-    parts = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__in_part", F.monotonically_increasing_id())
-    parts = parts.withColumn("__in_part", F.col("__in_part").bitwiseAND((1 << 33) - 1))
-    sizes = {r[0]: r[1] for r in parts.groupBy("__part").count().collect()}  # one row per partition
-    offsets, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(p, 0)
-    at = F.element_at(F.array(*[F.lit(x) for x in offsets or [0]]), F.col("__part") + 1)
-    return parts.withColumn(name, (F.col("__in_part") + at + 1).cast("long")).drop("__part", "__in_part", *keys)
+    rows = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return Scratch(df.sparkSession).save(rows.select("*", F.spark_partition_id().alias("__part"), place.alias("__at")).drop(*keys))
+
+
+def before_parts(parts: DataFrame, **sums: Column) -> DataFrame:
+    """``__part`` and, for each aggregate, its sum over the parts before; one row a part, so small."""
+    got = parts.groupBy("__part").agg(*[c.alias(k) for k, c in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(0))
+    return F.broadcast(got.select("__part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums], *[F.sum(k).over(whole).alias(f"{k}_total") for k in sums]))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
+    """Numbers all rows from 1 in an order, without one task that sees them all.
+
+    ``total`` names a column for the number of rows. Rows that tie in ``order``
+    are numbered in an arbitrary order of their own.
+    """
+    parts = range_parts(df, order)
+    out = parts.join(before_parts(parts, __before=F.count(F.lit(1))), "__part")
+    out = out.withColumn(name, (F.col("__before") + F.col("__at") + 1).cast("long"))
+    if total:
+        out = out.withColumn(total, F.col("__before_total"))
+    return out.drop("__part", "__at", "__before", "__before_total")
+
+
+def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before, in an order of all rows."""
+    parts = range_parts(df.withColumn("__v", value), order)
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumn(name, F.coalesce(F.sum("__v").over(inside), F.lit(0))).join(before_parts(parts, __before=F.sum("__v")), "__part")
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__at", "__v", "__before", "__before_total")
+
+
+def ranked_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
+    """Numbers the rows of each group from 1, also where one group holds most rows.
+
+    All rows are numbered by group and order; a group's first number is taken off.
+    """
+    r = ranked(df, [*[F.col(g) for g in group], *order], "__pos")
+    first = r.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias(total or "__n"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)])
+    out = r.join(first, same).withColumn(name, F.col("__pos") - F.col("__first") + 1)
+    return out.drop("__pos", "__first", "__n", *[f"__g{i}" for i in range(len(group))])
+
+
+def medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
+    """The exact median of each group, from ranks; nulls are left out."""
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__x"))
+    r = ranked_within(rows, group, [F.col("__x")], "__r", "__m")
+    middle = (F.col("__r") == F.floor((F.col("__m") + 1) / 2)) | (F.col("__r") == F.floor(F.col("__m") / 2) + 1)
+    return r.where(middle).groupBy(*group).agg(F.avg("__x").alias(name))
+
+
+def by_median(df: DataFrame, group: str, value: str, name: str = "bucket") -> DataFrame:
+    """``high`` from the group's median on, else ``low``."""
+    mid = medians(df, [group], value, "__median").withColumnRenamed(group, "__group")
+    out = df.join(mid, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return out.withColumn(name, F.when(F.col(value) >= F.col("__median"), "high").otherwise("low")).drop("__median", "__group")
 
 
 def split(df: DataFrame, ratio: float, ids: tuple[str, ...], seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and validation: max(int(n * ratio), 1) rows of the smallest hashes validate."""
-    n = df.count()
+    """Train and validation: max(int(n * ratio), 1) rows of the smallest hashes validate.
+
+    The hash and ids of the last validating row bound the two sides, so either
+    is a filter; rows that repeat an id stay on one side.
+    """
     if ratio <= 0:
         return df, df.limit(0)
     if ratio >= 1:
         return df.limit(0), df
-    r = df.withColumn("__u", uniform(seed, *[F.col(c) for c in ids]))
-    val = r.orderBy("__u", *ids).limit(max(int(n * ratio), 1))
-    return r.join(val.select(*ids), list(ids), "left_anti").drop("__u"), val.drop("__u")
+    n = df.count()
+    k, u, keys = max(int(n * ratio), 1), uniform(seed, *[F.col(c) for c in ids]), [F.col(c) for c in ids]
+    if not n:
+        return df, df
+    hashes = df.select(u.alias("__u"), *keys)
+    near = hashes.where(near_cut(F.col("__u"), k, n))
+    if near.count() < k:
+        near = hashes
+    last = ranked(near, [F.col("__u"), *keys], "__rn").where(F.col("__rn") == k).first()
+    kinds = dict(df.dtypes)
+    edge = F.struct(F.lit(last["__u"]).alias("__u"), *[F.lit(last[c]).cast(kinds[c]).alias(c) for c in ids])
+    own = F.struct(u.alias("__u"), *keys)
+    return df.where(own > edge), df.where(own <= edge)
 
 
 def round_robin(df: DataFrame, domain: str, weights: dict[str, int], order: list[Column]) -> DataFrame:
     """Cycles through the domains, taking up to a domain's weight of rows each time.
 
-    ``position`` gives the order. An exhausted domain is skipped; which pass a
-    row is drawn in follows from its rank in its own domain.
+    ``position`` gives the order. An exhausted domain is skipped; the pass a row
+    is drawn in follows from its rank in its own domain, and its place from how
+    many rows each domain has given by then.
     """
     names = list(weights)
     of = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values for x in kv]), F.col(domain))
-    rn = F.row_number().over(Window.partitionBy(domain).orderBy(*order))
-    df = df.where(F.col(domain).isin(*names)).withColumn("__rn", rn).withColumn("__w", of(weights.items())).withColumn("__d", of((n, i) for i, n in enumerate(names)))
-    df = df.withColumn("round", F.floor((F.col("__rn") - 1) / F.col("__w")))
-    return ranked(df, [F.col("round"), F.col("__d"), F.col("__rn")], "position").drop("__rn", "__w", "__d")
+    r = ranked_within(df.where(F.col(domain).isin(*names)), [domain], order, "__rn")
+    r = r.withColumn("__w", of(weights.items())).withColumn("__d", of((n, i) for i, n in enumerate(names)))
+    r = r.withColumn("round", F.floor((F.col("__rn") - 1) / F.col("__w")))
+    sizes = {x[0]: x[1] for x in df.where(F.col(domain).isin(*names)).groupBy(domain).count().collect()}  # one row a domain
+    place = F.col("__rn") - F.col("round") * F.col("__w")
+    for i, (name, w) in enumerate(weights.items()):
+        # Domains before this one have had their turn in the round already.
+        passes = F.col("round") + F.when(F.lit(i) < F.col("__d"), 1).otherwise(0)
+        place = place + F.least(F.lit(sizes.get(name, 0)), passes * w)
+    return r.withColumn("position", place.cast("long")).drop("__rn", "__w", "__d")
 
 
 def interleave(frames: list[DataFrame], probabilities: list[float], order: list[str], seed: int = 42, stop: str = "first_exhausted") -> DataFrame:
     """Draws a source per step by probability; ``position`` gives the order.
 
     Step s takes the next row of the source that a hash of s chooses. The draw
-    of a source's k-th row is found from the running count of its steps.
+    of a source's k-th row is found from the running count of its steps. So
+    many steps are laid out that the last one needed is missed by a chance
+    under 1e-15.
     """
     spark = frames[0].sparkSession
     sizes = [f.count() for f in frames]
     if not all(sizes):
         raise ValueError("an empty source cannot be interleaved")
-    reach = [n / p for n, p in zip(sizes, probabilities, strict=True) if p > 0]
-    steps = int((min(reach) if stop == "first_exhausted" else max(reach)) * 1.5) + 200
+    reach = [n / p + 12 * (n * (1 - p)) ** 0.5 / p + 40 / p for n, p in zip(sizes, probabilities, strict=True) if p > 0]
+    steps = int(min(reach) if stop == "first_exhausted" else max(reach))
     cuts = [sum(probabilities[: i + 1]) for i in range(len(frames))]
     u = uniform(seed, F.col("id"))
     source = F.coalesce(*[F.when(u < c, i) for i, c in enumerate(cuts)], F.lit(len(frames) - 1))
-    draws = spark.range(steps).select(F.col("id").alias("position"), source.alias("source"))
-    draws = draws.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("position")) - 1)
-    ends = {i: draws.where((F.col("source") == i) & (F.col("k") == n)).agg(F.min("position")).first()[0] for i, n in enumerate(sizes)}
-    known = [steps if e is None else e for e in ends.values()]
+    draws = ranked_within(spark.range(steps).select(F.col("id").alias("position"), source.alias("source")), ["source"], [F.col("position")], "k")
+    n_of = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col("source") + 1)
+    ends = [r[0] for r in draws.where(F.col("k") - 1 == n_of).select("position").collect()]  # at most one row a source
+    known = ends + [steps] * (sum(p > 0 for p in probabilities) - len(ends))
     last = min(known) if stop == "first_exhausted" else max(known)
-    draws = draws.where(F.col("position") < last)
+    turn = draws.where(F.col("position") < last).select("position", F.col("source").alias("__s"), F.col("k") - 1)
     rows = concat([ranked(f, [F.col(c) for c in order], "__k").withColumn("source", F.lit(i)).withColumn("__n", F.lit(n)) for i, (f, n) in enumerate(zip(frames, sizes, strict=True))])
-    turn = draws.select("position", F.col("source").alias("__s"), F.col("k"))
-    return rows.join(turn, (F.col("source") == F.col("__s")) & (F.pmod(F.col("k"), F.col("__n")) + 1 == F.col("__k"))).drop("__s", "__k", "__n", "k")
+    turn = turn.toDF("position", "__s", "__turn")
+    return rows.join(turn, (F.col("source") == F.col("__s")) & (F.pmod(F.col("__turn"), F.col("__n")) + 1 == F.col("__k"))).drop("__s", "__k", "__n", "__turn")
 
 
 def curriculum(df: DataFrame, bucket: str, ids: tuple[str, ...], mix: list[dict[str, float]] | None = None, seed: int = 42) -> DataFrame:
@@ -151,6 +243,5 @@ def pack(df: DataFrame, id_col: str, length_col: str, capacity: int, chunk: int
 
 def buckets(df: DataFrame, value: str, order: list[str], n: int) -> DataFrame:
     """Equal-count buckets: bucket i holds rows [i m / n, (i + 1) m / n) of m rows."""
-    m = df.count()
-    r = ranked(df, [F.col(value), *[F.col(c) for c in order]])
-    return r.withColumn("bucket", F.floor(((F.col("rn") * n) - 1) / F.lit(max(m, 1)))).drop("rn")
+    r = ranked(df, [F.col(value), *[F.col(c) for c in order]], "__rn", "__m")
+    return r.withColumn("bucket", F.floor((F.col("__rn") * n - 1) / F.col("__m"))).drop("__rn", "__m")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.geo import THRESHOLDS_KM, report_geoscore
+from quillmark.operators.compose import medians, ranked
 
 UNKNOWN = "UNKNOWN"
 
@@ -21,24 +22,22 @@ def group_key(c: str) -> Column:
 def geo_report(rows: DataFrame, groups: tuple[str, ...], status: str = "status", km: str = "distance") -> DataFrame:
     """Overall and by each group: counts by status, hits within each threshold over
     all rows (<=), distance over valid rows, GeoScore with failures as 0.
+
+    Sums are combined before the shuffle; medians come from ranks, so no group
+    is gathered.
     """
-    valid = F.col(status) == 1
-    d = F.when(valid, F.col(km))
-    score = F.coalesce(report_geoscore(d), F.lit(0.0))
-    keyed = rows.select(F.col(status), d.alias("__d"), score.alias("__s"), *[group_key(g).alias(g) for g in groups])
+    d = F.when(F.col(status) == 1, F.col(km))
+    kinds = F.array(F.struct(F.lit("overall").alias("kind"), F.lit("all").alias("key")), *[F.struct(F.lit(g).alias("kind"), group_key(g).alias("key")) for g in groups])
+    keyed = rows.select(F.col(status).alias("__st"), d.alias("__d"), F.coalesce(report_geoscore(d), F.lit(0.0)).alias("__s"), F.inline(kinds).alias("group_kind", "group_key"))
+    by = ["group_kind", "group_key"]
     aggs = [
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col(status) == 1).alias("ok"), F.count_if(F.col(status) == 0).alias("unparsed"), F.count_if(F.col(status) == -1).alias("failed"),
+        F.count_if(F.col("__st") == 1).alias("ok"), F.count_if(F.col("__st") == 0).alias("unparsed"), F.count_if(F.col("__st") == -1).alias("failed"),
         *[(F.count_if(F.col("__d") <= t) / F.count(F.lit(1))).alias(f"acc_{t}km") for t in THRESHOLDS_KM],
-        F.avg("__d").alias("distance_mean"), F.median("__d").alias("distance_median"), F.avg("__s").alias("geoscore_mean"), F.median("__s").alias("geoscore_median"),
+        F.avg("__d").alias("distance_mean"), F.avg("__s").alias("geoscore_mean"),
     ]
-    sets = [[], *[[F.col(g)] for g in groups]]
-    out = keyed.groupingSets(sets, *groups).agg(*aggs, *[F.grouping(g).alias(f"__g_{g}") for g in groups])
-    kind = F.lit("overall")
-    key = F.lit("all")
-    for g in groups:
-        kind, key = F.when(F.col(f"__g_{g}") == 0, g).otherwise(kind), F.when(F.col(f"__g_{g}") == 0, F.col(g)).otherwise(key)
-    return out.select(kind.alias("group_kind"), key.alias("group_key"), *[c for c in out.columns if not c.startswith("__") and c not in groups])
+    out = keyed.groupBy(*by).agg(*aggs).join(medians(keyed, by, "__d", "distance_median"), by, "left").join(medians(keyed, by, "__s", "geoscore_median"), by, "left")
+    return out.select(*by, *[c for c in out.columns if c.startswith(("rows", "ok", "un", "fail", "acc"))], "distance_mean", "distance_median", "geoscore_mean", "geoscore_median")
 
 
 def geo_accuracy_valid_only(km: Column, threshold: float) -> Column:
@@ -192,13 +191,11 @@ def reward_metrics(df: DataFrame, group: str, reward: str) -> DataFrame:
 
 def distance_summary(df: DataFrame, km: str) -> DataFrame:
     """Mean, median and the nearest-rank p90: the sorted value at min(n - 1, max(0, int(0.9 n) - 1))."""
-    from quillmark.operators.compose import ranked
-
-    d = df.where(F.col(km).isNotNull())
-    n = d.count()
-    at = min(n - 1, max(0, int(0.9 * n) - 1)) + 1
-    p90 = ranked(d, [F.col(km)]).where(F.col("rn") == at).select(F.col(km).alias("p90"))
-    return d.agg(F.count(km).alias("n"), F.avg(km).alias("mean"), F.median(km).alias("median")).join(F.broadcast(p90), how="left")
+    r = ranked(df.where(F.col(km).isNotNull()).select(F.col(km).alias("x")), [F.col("x")], "at", "n")
+    at, n = F.col("at"), F.col("n")
+    middle = (at == F.floor((n + 1) / 2)) | (at == F.floor(n / 2) + 1)
+    ninth = at == F.least(n - 1, F.greatest(F.lit(0), F.floor(n * 0.9) - 1)) + 1
+    return r.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.avg(F.when(middle, F.col("x"))).alias("median"), F.max(F.when(ninth, F.col("x"))).alias("p90"))
 
 
 def contrastive(df: DataFrame, similarity: str, label: str, margin: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.compose import ranked, uniform
+from quillmark.operators.compose import ranked, running_total, uniform
 
 EPS = 1e-6
 
@@ -36,9 +36,19 @@ def normalize_probability(df: DataFrame, value: str, out: str = "probability") -
     return df.join(F.broadcast(g)).withColumn(out, F.when(F.col("__t") > 0, F.col(value) / F.col("__t")).otherwise(1.0 / F.col("__n"))).drop("__t", "__n")
 
 
+def with_group(df: DataFrame, group: str, **aggregates: Column) -> DataFrame:
+    """Adds aggregates of each row's group.
+
+    They are combined before the shuffle and joined back, so a group that holds
+    a third of all rows is never gathered. Null is a group.
+    """
+    g = df.groupBy(F.col(group).alias("__group")).agg(*[c.alias(k) for k, c in aggregates.items()])
+    return df.join(g, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
 def group_probability(df: DataFrame, group: str, deviation: str, eps: float = EPS) -> DataFrame:
     x = F.col(deviation) + eps
-    return df.withColumn("probability", x / F.sum(x).over(Window.partitionBy(group)))
+    return with_group(df, group, __sum=F.sum(x)).withColumn("probability", x / F.col("__sum")).drop("__sum")
 
 
 def gumbel_topk(df: DataFrame, probability: str, k: int, ids: tuple[str, ...], seed: int = 42) -> DataFrame:
@@ -49,13 +59,14 @@ def gumbel_topk(df: DataFrame, probability: str, k: int, ids: tuple[str, ...], s
 
 
 def group_topk(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group. Each task passes on k rows a group at most (the optimizer's group limit)."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def ordinal_percentile(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
     """(position - 1) / max(1, n - 1); ties stand in the given order."""
-    n = df.count()
-    return ranked(df, [F.col(value), *[F.col(c) for c in order]], "__rn").withColumn(out, (F.col("__rn") - 1) / float(max(1, n - 1))).drop("__rn")
+    r = ranked(df, [F.col(value), *[F.col(c) for c in order]], "__rn", "__total")
+    return r.withColumn(out, (F.col("__rn") - 1) / F.greatest(F.lit(1), F.col("__total") - 1).cast("double")).drop("__rn", "__total")
 
 
 def postprocess_score(df: DataFrame, order: list[str], weights: dict[str, float], gates: dict[str, float] | None = None) -> DataFrame:
@@ -84,8 +95,7 @@ def overlap(runs: DataFrame, run: str, item: str) -> DataFrame:
 def selection_auc(df: DataFrame, score: str, selected: str) -> DataFrame:
     """P(selected scores higher), ties half: from counts per distinct score."""
     by = df.groupBy(score).agg(F.sum(F.col(selected).cast("long")).alias("pos"), F.sum((~F.col(selected)).cast("long")).alias("neg"))
-    parts = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    acc = by.withColumn("below", F.coalesce(F.sum("neg").over(parts), F.lit(0)))
+    acc = running_total(by, [F.col(score)], F.col("neg"), "below")
     return acc.agg((F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
@@ -98,28 +108,28 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def advantages(df: DataFrame, group: str, reward: str, estimator: str = "grpo", scale: str = "group", eps: float = 1e-4) -> DataFrame:
-    """Group-relative advantages.
+    """Group-relative advantages; a null reward counts as zero.
 
-    grpo: minus the group's mean; rloo: minus the mean of the others;
-    reinforce_plus_plus: the group's mean, then whitened over the batch.
-    ``scale``: none, group or batch deviation (sample), zero for one row.
+    grpo: minus the group's mean. rloo: minus the mean of the others.
+    reinforce_plus_plus: minus the group's mean, then divided by a deviation of
+    the differences themselves. ``scale`` names the sample deviation to divide
+    by: none, group or batch; a deviation of one row is zero.
     """
-    w = Window.partitionBy(group)
-    r, n = F.coalesce(F.col(reward).cast("double"), F.lit(0.0)), F.count(F.lit(1)).over(w)
-    df = df.withColumn("__r", r)
-    mean = F.avg("__r").over(w)
+    if scale not in ("none", "group", "batch"):
+        raise ValueError(f"unknown scale {scale!r}")
+    df = with_group(df.withColumn("__r", F.coalesce(F.col(reward).cast("double"), F.lit(0.0))), group, __m=F.avg("__r"), __c=F.count(F.lit(1)), __gs=F.stddev_samp("__r"))
+    centred = F.col("__r") - F.col("__m")
     if estimator == "rloo":
-        adv = F.when(n > 1, (F.col("__r") - mean) * n / (n - 1)).otherwise(0.0)
-    else:
-        adv = F.col("__r") - mean
-    df = df.withColumn("advantage", adv)
-    if estimator == "reinforce_plus_plus" or scale == "batch":
+        centred = F.when(F.col("__c") > 1, centred * F.col("__c") / (F.col("__c") - 1)).otherwise(0.0)
+    df = df.withColumn("advantage", centred)
+    if scale == "batch":
         of = "advantage" if estimator == "reinforce_plus_plus" else "__r"
         g = df.agg(F.coalesce(F.stddev_samp(of), F.lit(0.0)).alias("__s"))
         df = df.join(F.broadcast(g)).withColumn("advantage", F.col("advantage") / (F.col("__s") + eps)).drop("__s")
     elif scale == "group":
-        df = df.withColumn("advantage", F.col("advantage") / (F.coalesce(F.stddev_samp("__r").over(w), F.lit(0.0)) + eps))
-    return df.drop("__r")
+        # Taking off the mean of a group leaves its deviation as it is.
+        df = df.withColumn("advantage", F.col("advantage") / (F.coalesce(F.col("__gs"), F.lit(0.0)) + eps))
+    return df.drop("__r", "__m", "__c", "__gs")
 
 
 def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
@@ -129,14 +139,17 @@ def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
 
 
 def minmax(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(x - min) / (max - min + 1e-5) in a group; constant groups give min(1, x), not below 0."""
-    w = Window.partitionBy(group)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn("scaled", F.when(hi > lo, (F.col(value) - lo) / (hi - lo + 1e-5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value)))))
+    """(x - min) / (max - min + 1e-5) in a group; constant groups give min(1, x)."""
+    df, lo, hi = with_group(df, group, __lo=F.min(value), __hi=F.max(value)), F.col("__lo"), F.col("__hi")
+    scaled = F.when(hi > lo, (F.col(value) - lo) / (hi - lo + 1e-5)).otherwise(F.least(F.lit(1.0), F.col(value)))
+    return df.withColumn("scaled", scaled).drop("__lo", "__hi")
 
 
 def dedup(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key in an order (descending columns keep the last)."""
+    """The first row of each key in an order (descending columns keep the last).
+
+    Each task passes on one row a key (the optimizer's group limit).
+    """
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import geo, rewards, text, toolcall
 from quillmark.operators import chat, compose, encode, metrics, normalize, runs, stats
+from quillmark.scratch import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,10 +26,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package from where the driver did, whatever folder it started in.
-    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -163,17 +159,14 @@ def concat_union(spark, sf_dir):
     return both.select("doc_id", "item_id", F.length("text").alias("chars"), "lang")
 
 
-WEIGHTS = {"src0": 3, "src1": 2, "src2": 1}
-
-
 @query("""
-    WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
-               CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END AS w, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS d
-               FROM documents WHERE source IN ('src0', 'src1', 'src2'))
+    WITH names AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS d FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+    r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, d, d % 3 + 1 AS w FROM documents JOIN names USING (source))
     SELECT doc_id, source, row_number() OVER (ORDER BY (rn - 1) // w, d, rn) AS position FROM r""")
 def round_robin_sources(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", "source")
-    return compose.round_robin(d, "source", WEIGHTS, [F.col("doc_id")]).select("doc_id", "source", "position")
+    names = [r[0] for r in d.where("source IS NOT NULL").select("source").distinct().orderBy("source").collect()]  # one row a source
+    return compose.round_robin(d, "source", {n: i % 3 + 1 for i, n in enumerate(names)}, [F.col("doc_id")]).select("doc_id", "source", "position")
 
 
 @query("""
@@ -181,17 +174,30 @@ def round_robin_sources(spark, sf_dir):
     SELECT doc_id, source, CASE WHEN n_chars >= med THEN 'high' ELSE 'low' END AS bucket FROM documents JOIN m USING (source)""")
 def domain_medians_bucket(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    med = d.groupBy("source").agg(F.median("n_chars").alias("med"))
-    return d.join(med, "source").select("doc_id", "source", F.when(F.col("n_chars") >= F.col("med"), "high").otherwise("low").alias("bucket"))
+    return compose.by_median(d, "source", "n_chars", "bucket").select("doc_id", "source", "bucket")
 
 
-@query()
+@query("""
+    WITH src AS (SELECT 0 AS s, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents WHERE lang = 'en'
+                 UNION ALL SELECT 1, doc_id, row_number() OVER (ORDER BY doc_id) - 1, count(*) OVER () FROM documents WHERE lang <> 'en'),
+    draws AS (SELECT i AS position, CASE WHEN %s < 0.5 THEN 0 ELSE 1 END AS s FROM range((SELECT 4 * count(*) + 2000 FROM documents)) r(i)),
+    turns AS (SELECT position, s, row_number() OVER (PARTITION BY s ORDER BY position) - 1 AS k FROM draws),
+    sizes AS (SELECT s, max(n) AS n FROM src GROUP BY s),
+    last AS (SELECT min(position) AS p FROM turns JOIN sizes USING (s) WHERE k = n)
+    SELECT doc_id, CAST(s AS INTEGER) AS source, position FROM turns JOIN src USING (s, k) WHERE position < (SELECT p FROM last)""" % u(42, "i"))
 def interleave_languages(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", "lang")
-    return compose.interleave([d.where("lang = 'en'"), d.where("lang <> 'en'")], [0.5, 0.5], ["doc_id"])
+    return compose.interleave([d.where("lang = 'en'"), d.where("lang <> 'en'")], [0.5, 0.5], ["doc_id"]).select("doc_id", "source", "position")
 
 
-@query()
+_PHASES = {"low": (0.7, 0.2, 0.1), "mid": (0.2, 0.6, 0.2), "high": (0.1, 0.2, 0.7)}
+
+
+@query("""
+    WITH b AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'low' WHEN n_chars < 4000 THEN 'mid' ELSE 'high' END AS bucket, %s AS u, %s AS v FROM documents),
+    p AS (SELECT *, CASE bucket %s END AS phase FROM b)
+    SELECT doc_id, bucket, CAST(phase AS INTEGER) AS phase, row_number() OVER (ORDER BY phase, v, doc_id) AS position FROM p""" % (
+    u(42, "doc_id"), u(43, "doc_id"), " ".join(f"WHEN '{k}' THEN CASE WHEN u < {w[0] / sum(w)!r}::DOUBLE THEN 0 WHEN u < {sum(w[:2]) / sum(w)!r}::DOUBLE THEN 1 ELSE 2 END" for k, w in _PHASES.items())))
 def curriculum_order(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") < 1000, "low").when(F.col("n_chars") < 4000, "mid").otherwise("high").alias("bucket"))
     return compose.curriculum(d, "bucket", ("doc_id",))
@@ -335,7 +341,10 @@ _adv("advantage_grpo", "(r - m) / (sd + 1e-4)")
 _adv("advantage_batch", "(r - m) / (bsd + 1e-4)", scale="batch")
 _adv("advantage_unscaled", "r - m", scale="none")
 _adv("advantage_rloo", "CASE WHEN n > 1 THEN (r - m) * n / (n - 1) ELSE 0.0 END", estimator="rloo", scale="none")
-_adv("advantage_rpp", "(r - m) / (coalesce(stddev_samp(r - m) OVER (), 0.0) + 1e-4)", estimator="reinforce_plus_plus")
+_adv("advantage_rpp", "(r - m) / (coalesce(stddev_samp(r - m) OVER (), 0.0) + 1e-4)", estimator="reinforce_plus_plus", scale="batch")
+_adv("advantage_rpp_group", "(r - m) / (coalesce(stddev_samp(r - m) OVER (PARTITION BY user_id), 0.0) + 1e-4)", estimator="reinforce_plus_plus")
+_adv("advantage_rpp_unscaled", "r - m", estimator="reinforce_plus_plus", scale="none")
+_adv("advantage_rloo_group", "CASE WHEN n > 1 THEN (r - m) * n / (n - 1) ELSE 0.0 END / (sd + 1e-4)", estimator="rloo")
 
 
 @query("""
@@ -580,11 +589,11 @@ def rouge_lite(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT vec_id, vec_id // 20 AS batch, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 400),
+    WITH p AS (SELECT vec_id, vec_id // 20 AS batch, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS s FROM p a JOIN p b USING (batch))
     SELECT round(avg(s) FILTER (i = j), 5) AS mean_pos, round(avg(s) FILTER (i <> j), 5) AS mean_neg, round(avg(s) FILTER (i = j) - avg(s) FILTER (i <> j), 5) AS margin FROM s""")
 def infonce_margin(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").where("vec_id < 400").withColumn("batch", F.floor(F.col("vec_id") / 20))
+    e = t(spark, sf_dir, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 20))
     m = metrics.infonce(e, "batch", "vec_id", "embedding", "embedding")
     return m.select(*[F.round(c, 5).alias(c) for c in m.columns])
 
@@ -622,9 +631,9 @@ def distance_summary(spark, sf_dir):
 
 
 @query("""
-    SELECT l_orderkey AS item_id, CAST(i AS BIGINT) AS sample_index FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 500) CROSS JOIN range(4) r(i)""")
+    SELECT l_orderkey AS item_id, CAST(i AS BIGINT) AS sample_index FROM (SELECT DISTINCT l_orderkey FROM lineitem) CROSS JOIN range(4) r(i)""")
 def expand_samples(spark, sf_dir):
-    items = t(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("item_id")).distinct()
+    items = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id")).distinct()
     return runs.expand_samples(items, 4).select("item_id", F.col("sample_index").cast("long").alias("sample_index"))
 
 

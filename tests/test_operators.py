@@ -149,6 +149,54 @@ def test_ranked_is_total(spark, parts):
     assert [r.id for r in sorted(got, key=lambda r: r.rn)] == want
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("parts", [1, 37, 200])
+def test_ranked_beyond_one_partition(spark, adaptive, parts):
+    """Every position once, in order, however many partitions the two shuffles have."""
+    n, before = 300_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.range(n).select("id", (F.col("id") * 7919 % n).alias("v")).repartition(13)
+        r = compose.ranked(df, [F.col("v"), F.col("id")], total="n")
+        assert r.where((F.col("rn") != F.col("v") + 1) | (F.col("n") != n)).count() == 0
+        assert r.select(F.countDistinct("rn"), F.count("rn")).first()[:] == (n, n)
+        b = compose.buckets(df, "v", ["id"], 10).groupBy("bucket").count().collect()
+        assert sorted((x.bucket, x["count"]) for x in b) == [(i, n // 10) for i in range(10)]
+        w = compose.ranked_within(df.withColumn("g", F.when(F.col("v") % 3 == 0, "hot").otherwise((F.col("v") % 50).cast("string"))), ["g"], [F.col("v")])
+        got = w.groupBy("g").agg(F.max("rn").alias("top"), F.countDistinct("rn").alias("d"), F.count("rn").alias("c")).where("top <> c OR d <> c")
+        assert got.count() == 0
+        total = compose.running_total(df, [F.col("v")], F.lit(1), "before")
+        assert total.where("before <> v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_medians_and_null_groups(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", 1.0), ("b", 4.0), (None, 7.0), ("c", None)]
+    got = {r.g: r["median"] for r in compose.medians(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got == {"a": 2.0, "b": 2.5, None: 7.0}
+
+
+def test_void_column_survives_ranking(spark):
+    df = spark.range(5).withColumn("nothing", F.lit(None))
+    assert sorted(r.rn for r in compose.ranked(df, [F.col("id")]).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_pack_of_many_rows(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 7 + 1).alias("n"))
+    got = compose.pack(df, "id", "n", 10)
+    assert got.select(F.countDistinct("id")).first()[0] == 30_000
+    assert got.groupBy("chunk").count().where("count <> 1000").count() == 0
+
+
+def test_sample_without_ids_is_repeatable(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") * 3)
+    a, b = (sorted(r.id for r in compose.sample(d, 100).collect()) for d in (df.repartition(3), df.repartition(11)))
+    assert a == b and len(a) == 100
+
+
 def test_round_robin_matches_loop(spark):
     data = [("a", i) for i in range(7)] + [("b", i) for i in range(3)] + [("c", i) for i in range(5)]
     weights, left, want = {"a": 2, "b": 1, "c": 3}, {}, []
