@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,22 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from quillmark.scratch import Scratch, importable, shared_dir
+
+__all__ = ["BLANKS", "Scratch", "ascii_lower", "first_by_hash", "map_texts", "shared_dir", "table", "text_or_empty"]
+
 #: White space that separates words and collapses in normalised texts.
 BLANKS = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did.
-
-    On a cluster the package comes with ``--py-files``; this serves local runs
-    that start in another folder.
-    """
-    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,52 +63,3 @@ def map_texts(rows: DataFrame, fn: Callable[[list[str | None]], list[list]], add
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=names)
 
     return rows.mapInArrow(run, schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder stands in for it.
-    """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or getattr(shared_dir, "own", None)
-    if not base:
-        if not conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-    return f"{base.rstrip('/')}/quillmark"
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage.
-
-    A lost executor costs a re-read, not a recomputation. ``drop`` removes a
-    table as soon as no later step reads it; what is left goes with the JVM.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.base = shared_dir(spark)
-        self._paths: dict[int, tuple[DataFrame, str]] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{uuid.uuid4().hex}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        where, fs = self._fs(path)
-        fs.deleteOnExit(where)
-        self._paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            kept = self._paths.pop(id(df), None)
-            if kept:
-                where, fs = self._fs(kept[1])
-                fs.delete(where, True)
-
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -63,4 +63,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
     "op7_chat_format": chat_format.oracle(),
+    "op9_decontamination": decontaminate.oracle(),
 }
