@@ -62,6 +62,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op6_suffix_dedup": suffix_dedup.oracle(),
     "op7_chat_format": chat_format.oracle(),
     "op9_decontamination": decontaminate.oracle(),
 }

@@ -3,17 +3,23 @@
 Of all suffixes only those at minimiser positions are retained: the place of
 the least k-gram hash among the k-grams of every window of ``min_words`` words.
 The choice depends on the words alone, so a passage of that length that two
-documents share selects the same suffixes in both. The retained suffixes are
-sorted by their k-gram; those without an equal neighbour from another text are
-dropped. Matches of the rest are extended to the left and right at once: a
-suffix at p stands for the windows that have p as minimiser, [p - d, p - d +
-min_words) for some d, and two suffixes share a passage of ``min_words`` words
-around them exactly when they agree on one of these extensions. Extensions are
-compared by grouping equal ones rather than by stepping through neighbours of
-one sorted run, because a run of a common passage may hold a third of all rows;
-groups reduce to their least and greatest text before the shuffle.
-
-Equal texts are collapsed first and their copies reported whole.
+texts share selects the same suffixes in both. Suffixes whose k-gram hash no
+other text has are dropped.
+
+The rest are sorted by the words that follow, and each is compared with its
+neighbours in that order: the nearest one of another text on either side shares
+the longest run of words to the right that any other text has. A second sort, by
+k-gram and the words before it, gives the longest run to the left. A suffix can
+only lie in a repeated passage if both together reach ``min_words``; its match
+is extended left and right by as much. If another text has the same extended
+match, word for word, all of it is repeated. If not, its runs to the left and
+to the right come from different texts; the windows of such a match are then
+compared one by one with those of all matches around the same k-gram.
+
+Sorting is by range parts over all of the key, so the suffixes of a passage that
+a third of all texts share are dealt over many tasks; what a part needs of the
+parts around it is at most two rows a side. Equal texts are collapsed first and
+their copies reported whole. Texts and matches are known by 128 and 256 bits.
 """
 
 from __future__ import annotations
@@ -22,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmark.llm._common import BLANKS, Scratch, text_or_empty
 
@@ -34,6 +42,9 @@ GRAM = 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CACHE = 400_000
+_ROWS = 8192
+#: Marks of rows in a sorted part: none of another text before or after; its first and last row, and the ones of another text next to them.
+_HEAD, _TAIL, _FIRST, _FIRST_OTHER, _LAST, _LAST_OTHER = 1, 2, 4, 8, 16, 32
 
 
 def word_hashes(text: str, cache: dict[str, int]) -> np.ndarray:
@@ -73,6 +84,156 @@ def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def shared_words(a: str, b: str) -> int:
+    """Words that two texts have in common at their start; a blank follows each word."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return a.count(" ", 0, hi)
+    while hi - lo > 1:  # a[:lo] == b[:lo], a[:hi] != b[:hi]
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return a.count(" ", 0, lo)
+
+
+def scan_part(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[int, int]]:
+    """For sorted ``(text, key)`` pairs of a part: words shared with the nearest key of another text, and marks.
+
+    What two keys share is the least of what the neighbours between them share,
+    so each pair of neighbours is compared once. Only the keys of one text that
+    stand together are held.
+    """
+    out, block, last, first = [], [], None, None  # block: [forward, shared with the row before, marks]
+    for text, key in rows:
+        mark = 0
+        if last is None:
+            adj, forward, mark, first = 0, 0, _HEAD | _FIRST, text
+        else:
+            adj = shared_words(last[1], key)
+            if text != last[0]:
+                forward, nxt = adj, adj
+                for e in reversed(block):
+                    e[0], nxt = max(e[0], nxt), min(nxt, e[1])
+                out += block
+                yield from ((n, m) for n, _, m in out[:-1])
+                out, block = out[-1:], []
+                if first is not None and text != first:
+                    mark, first = _FIRST_OTHER, None
+            else:
+                forward, mark = min(adj, last[2]), last[3] & _HEAD
+        block.append([forward, adj, mark])
+        last = (text, key, forward, mark)
+    if out:
+        out[-1][2] |= _LAST_OTHER
+    for e in block:
+        e[2] |= _TAIL
+    if block:
+        block[-1][2] |= _LAST
+    yield from ((n, m) for n, _, m in out + block)
+
+
+def carried(edges: list[tuple[int, int, str, int]]) -> dict[int, list[tuple[int, str]]]:
+    """For each part ``(text, key)`` of the nearest row before it and of the nearest one of a further text.
+
+    ``edges``: part, text, key and 0 or 1 (next to the part's end, or one text further), in order of parts.
+    """
+    by: dict[int, dict[int, tuple[int, str]]] = {}
+    for part, text, key, further in edges:
+        by.setdefault(part, {})[further] = (text, key)
+    out, near = {}, []
+    for part, own in by.items():
+        out[part] = near
+        rest = [own[1]] if 1 in own else [x for x in near if x[0] != own[0][0]]
+        near = [own[0], *rest[:1]]
+    return out
+
+
+def neighbour_words(rows: DataFrame, key: str, name: str, scratch: Scratch) -> DataFrame:
+    """Adds the number of words that ``key`` shares with the key of the nearest other text ``c`` in sort order."""
+    names = [f.name for f in rows.schema]
+    at_c, at_key = names.index("c"), names.index(key)
+    sorted_ = rows.repartitionByRange(key, "c", "pos").sortWithinPartitions(key, "c", "pos").withColumn("part", F.spark_partition_id())
+    schema = sorted_.withColumn(name, F.lit(0)).withColumn("mark", F.lit(0)).schema
+    kind = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs() -> Iterator[tuple[int, str]]:
+            for b in batches:
+                held.append(b)
+                yield from zip(b.column(at_c).to_pylist(), b.column(at_key).to_pylist(), strict=True)
+
+        got: list[tuple[int, int]] = []
+        for x in scan_part(pairs()):
+            got.append(x)
+            while held and held[0].num_rows <= len(got):
+                b = held.pop(0)
+                own, got = got[: b.num_rows], got[b.num_rows :]
+                n, m = (pa.array(v, pa.int32()) for v in zip(*own, strict=True)) if own else (pa.array([], pa.int32()),) * 2
+                yield pa.RecordBatch.from_arrays([*b.columns, n, m], schema=kind)
+
+    scanned = scratch.save(sorted_.mapInArrow(scan, schema))
+    edge = F.col("mark").bitwiseAND(F.lit(_FIRST | _FIRST_OTHER | _LAST | _LAST_OTHER)) != 0
+    edges = sorted(tuple(r) for r in scanned.where(edge).select("part", "mark", "c", key).collect())  # at most four rows a part
+    ends = [(p, c, k, f) for bit, f in ((_LAST, 0), (_LAST_OTHER, 1)) for p, m, c, k in edges if m & bit]
+    starts = [(p, c, k, f) for bit, f in ((_FIRST, 0), (_FIRST_OTHER, 1)) for p, m, c, k in edges if m & bit]
+    before = carried(sorted(ends, key=lambda e: e[0]))
+    after = carried(sorted(starts, key=lambda e: -e[0]))
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f.name: i for i, f in enumerate(schema)}
+        for b in batches:
+            n, marks = b.column(at[name]).to_pylist(), b.column(at["mark"]).to_pylist()
+            for i, m in enumerate(marks):
+                for bit, near in ((_HEAD, before), (_TAIL, after)):
+                    if m & bit:
+                        c, k = b.column(at_c)[i].as_py(), b.column(at_key)[i].as_py()
+                        n[i] = max([n[i], *[shared_words(k, y) for x, y in near[b.column(at["part"])[i].as_py()] if x != c][:1]])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n, pa.int32())], names=[*names, name])
+
+    return scanned.mapInArrow(mend, rows.withColumn(name, F.lit(0)).schema)
+
+
+def contexts(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """``c, h, pos, right, left``: of each place the words from it on and those before it, nearest first, a blank after each."""
+    words = F.split("text", " ")
+    part = lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise("")
+    rows = texts.select("c", words.alias("w"), F.inline_outer("places").alias("pos", "h"))
+    back = F.least(F.col("pos"), F.lit(min_words - gram))
+    right = F.slice("w", F.col("pos") + 1, F.lit(min_words))
+    left = F.when(back > 0, F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("pos") - back + 1), back))).otherwise(F.array().cast("array<string>"))
+    return rows.select("c", "h", "pos", part(right).alias("right"), part(left).alias("left"))
+
+
+def first_words(text: str, n: str) -> Column:
+    return F.call_function("substring_index", F.col(text), F.lit(" "), F.col(n))
+
+
+def matched_starts(found: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """``c, lo, hi``: starts of windows that stand in another text, from the extended matches ``c, pos, h, right, left, r, l``."""
+    trim = found.select("c", "pos", "h", "r", "l", F.concat_ws("\n", first_words("left", "l"), first_words("right", "r")).alias("match"))
+    trim = scratch.save(trim.withColumn("key", F.unhex(F.sha2("match", 256))))
+    both = scratch.save(trim.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key"))
+    lone = scratch.save(trim.join(both, "key", "left_anti"))
+    whole = trim.join(both, "key", "left_semi").select("c", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r") - min_words).alias("hi"))
+    if lone.isEmpty():
+        return whole
+    # A match of its own: its left and right partners differ. Its windows meet those of all matches of the k-gram.
+    runs = lone.select("h").distinct()
+    each = trim.join(runs, "h", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("match", "r", "l")], F.min("c").alias("a"), F.max("c").alias("b"))
+    lefts, rights = F.split(F.split_part("match", F.lit("\n"), F.lit(1)), " "), F.split(F.split_part("match", F.lit("\n"), F.lit(2)), " ")
+    of = lambda df, *more: df.select(*more, lefts.alias("lw"), rights.alias("rw"), F.explode(F.sequence(F.greatest(F.lit(0), min_words - F.col("r")), F.col("l"))).alias("d"))
+    words = F.concat_ws("\n", F.col("d").cast("string"), F.array_join(F.slice("lw", F.lit(1), F.col("d")), " "), F.array_join(F.slice("rw", F.lit(1), min_words - F.col("d")), " "))
+    window = F.unhex(F.sha2(words, 256)).alias("window")
+    again = of(each, "a", "b").select("a", "b", window).groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("window")
+    again = scratch.save(again)
+    some = of(lone, "c", "pos").select("c", (F.col("pos") - F.col("d")).alias("lo"), window).join(again, "window", "left_semi")
+    return whole.unionByName(some.select("c", "lo", F.col("lo").alias("hi")))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """``doc_id, first_word, n_words``: a row for each maximal run of repeated passages.
 
@@ -85,57 +246,67 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     scratch = Scratch(docs.sparkSession)
     norm = F.trim(F.regexp_replace(F.lower(text_or_empty(F.col(text_col))), BLANKS, " "))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("text")).select("doc_id", F.xxhash64("text", F.lit(9)).alias("c"), "text")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("text"))
+    # Two hashes of the text, of different seeds.
+    base = base.select("doc_id", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(9), F.col("text")).alias("c2"), "text")
     span = min_words - gram + 1
 
     def retain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for b in batches:
             for k in range(0, len(b), 500):
-                hs, cs, ps = [], [], []
-                for c, t in zip(b["c"].iloc[k : k + 500], b["text"].iloc[k : k + 500], strict=True):
+                part = b.iloc[k : k + 500]
+                hs, ps = [], []
+                for t in part["text"]:
                     g = window_hashes(word_hashes(t, cache), gram)
                     p = np.unique(minimisers(g, span))
                     hs.append(g[p])
                     ps.append(p)
-                    cs.append(np.full(len(p), c))
-                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "c": np.concatenate(cs), "pos": np.concatenate(ps).astype(np.int32)})
+                n = [len(p) for p in ps]
+                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "c1": np.repeat(part["c1"], n), "c2": np.repeat(part["c2"], n), "pos": np.concatenate(ps).astype(np.int32)})
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
-        for b in batches:
-            for k in range(0, len(b), 100):
-                gs, cs, ss = [], [], []
-                part = b.iloc[k : k + 100]
-                for c, t, at in zip(part["c"], part["text"], part["places"], strict=True):
-                    x = word_hashes(t, cache)
-                    s = np.flatnonzero(np.isin(minimisers(window_hashes(x, gram), span), np.asarray(at)))
-                    gs.append(window_hashes(x, min_words)[s])
-                    ss.append(s)
-                    cs.append(np.full(len(s), c))
-                yield pd.DataFrame({"g": np.concatenate(gs).view(np.int64), "c": np.concatenate(cs), "start": np.concatenate(ss).astype(np.int32)})
-
-    texts = scratch.save(base.select("doc_id", "c", F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("words")))
-    kinds = texts.groupBy("c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    suffixes = scratch.save(base.select("c", "text").mapInPandas(retain, "h long, c long, pos int"))
-    shared = suffixes.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
-    # Written before the join, so that the join can split the rows of a common k-gram; so again below.
-    shared = scratch.save(shared)
-    places = suffixes.join(shared, "h").groupBy("c").agg(F.collect_set("pos").alias("places"))
+    count = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1)
+    texts = scratch.save(base.select("doc_id", "c1", "c2", count.alias("words")))
+    kinds = texts.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    kinds = scratch.save(scratch.save(kinds).withColumn("c", F.monotonically_increasing_id()))
+    suffixes = scratch.save(base.select("c1", "c2", "text").mapInPandas(retain, "h long, c1 long, c2 long, pos int"))
+    # Written before the join, so that the join can split the rows of a common k-gram.
+    pair = F.struct("c1", "c2")
+    shared = scratch.save(suffixes.groupBy("h").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).where("a <> b").select("h"))
+    places = suffixes.join(shared, "h").groupBy("c1", "c2").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
     # One text of each kind is enough; joining by id as well keeps the copies of a common text apart.
-    chosen = scratch.save(places.join(kinds.select("c", "first"), "c"))
-    one = base.join(chosen.withColumnRenamed("c", "c2"), (base["c"] == F.col("c2")) & base["doc_id"].eqNullSafe(F.col("first"))).select("c", "text", "places")
-    windows = scratch.save(one.mapInPandas(extend, "g long, c long, start int"))
+    chosen = scratch.save(places.join(kinds.select("c1", "c2", "c", "first"), ["c1", "c2"]))
+    own = chosen.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "c", "first", "places")
+    one = base.join(own, (base["c1"] == F.col("d1")) & (base["c2"] == F.col("d2")) & base["doc_id"].eqNullSafe(F.col("first"))).dropDuplicates(["c"])
+    found = scratch.save(contexts(one, min_words, gram))
     scratch.drop(suffixes, chosen)
-    again = windows.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g")
-    again = scratch.save(again)
-    starts = windows.join(again, "g").groupBy("c").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    found = neighbour_words(found, "right", "r", scratch)
+    reach = F.length("left") - F.length(F.replace("left", F.lit(" "), F.lit("")))
+    found = found.where((F.col("r") >= gram) & (F.col("r") + reach >= min_words))
+    turned = found.withColumn("turned", F.concat(F.substring_index("right", " ", gram), F.lit(" "), F.col("left")))
+    found = neighbour_words(turned, "turned", "n", scratch).withColumn("l", F.col("n") - gram).where(F.col("l") + F.col("r") >= min_words)
+    starts = scratch.save(matched_starts(found, min_words, scratch))
     # A run ends where the next start lies beyond its reach.
-    heads = F.filter("starts", lambda s, i: (i == 0) | (s - F.get("starts", i - 1) > min_words))
-    tails = F.filter("starts", lambda s, i: (i == F.size("starts") - 1) | (F.get("starts", i + 1) - s > min_words))
-    runs = starts.select("c", F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("first_word"), (b + min_words - a).alias("n_words"))).alias("runs"))
+    order = Window.partitionBy("c").orderBy("lo", "hi")  # the matches of one text
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    head = starts.distinct().withColumn("head", F.coalesce(F.col("lo") - reached > min_words, F.lit(True)).cast("int"))
+    numbered = head.withColumn("run", F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("c", "run").agg(F.min("lo").alias("first_word"), (F.max("hi") + min_words - F.min("lo")).alias("n_words")).drop("run")
     whole = kinds.where((F.col("words") >= min_words) & ((F.col("first") < F.col("last")) | ((F.col("nulls") > 0) & F.col("first").isNotNull())))
-    whole = whole.select("c", F.array(F.struct(F.lit(0).alias("first_word"), F.col("words").cast("int").alias("n_words"))).alias("all"))
-    found = scratch.save(runs.join(whole, "c", "full").select("c", F.coalesce("all", "runs").alias("runs")))
-    out = texts.select("doc_id", "c").distinct().join(found, "c").select("doc_id", F.inline("runs"))
+    whole = whole.select("c", F.lit(0).alias("first_word"), F.col("words").alias("n_words"))
+    found = scratch.save(runs.join(whole.select("c"), "c", "left_anti").unionByName(whole))
+    out = texts.select("doc_id", "c1", "c2").distinct().join(kinds.select("c1", "c2", "c"), ["c1", "c2"]).join(found, "c")
     return out.select("doc_id", F.col("first_word").cast("long").alias("first_word"), F.col("n_words").cast("long").alias("n_words"))
+
+
+def oracle() -> str:
+    """The same rows in SQL: every window of words, as a string."""
+    return rf"""
+        WITH d AS (SELECT DISTINCT coalesce(doc_id, -1) AS k, doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{BLANKS}', ' ', 'g'), ' ') AS t FROM documents),
+        w AS (SELECT k, doc_id, t, string_split(t, ' ') AS w FROM d WHERE t <> ''),
+        s AS (SELECT k, doc_id, t, unnest(range(0, len(w) - {MIN_WORDS - 1})) AS st, w FROM w WHERE len(w) >= {MIN_WORDS}),
+        g AS (SELECT k, doc_id, t, st, md5(array_to_string(w[st + 1:st + {MIN_WORDS}], ' ')) AS g FROM s),
+        again AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT (k, md5(t))) > 1),
+        hit AS (SELECT k, doc_id, t, st, lag(st) OVER (PARTITION BY k, md5(t) ORDER BY st) AS before FROM g WHERE g IN (SELECT g FROM again)),
+        run AS (SELECT *, sum((before IS NULL OR st - before > {MIN_WORDS})::INT) OVER (PARTITION BY k, md5(t) ORDER BY st) AS run FROM hit)
+        SELECT doc_id, min(st) AS first_word, max(st) + {MIN_WORDS} - min(st) AS n_words FROM run GROUP BY k, doc_id, md5(t), run"""

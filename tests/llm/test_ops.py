@@ -354,6 +354,42 @@ def test_repeated_passages_match_brute_force(spark):
     assert got == brute_runs(texts, 51)
 
 
+def test_neighbours_across_parts():
+    """Parts that are scanned alone and mended agree with a comparison of all pairs."""
+    rnd = random.Random(13)
+    for _ in range(60):
+        rows = sorted(("".join(rnd.choice("ab") + " " for _ in range(rnd.randrange(0, 6))), rnd.randrange(4)) for _ in range(rnd.randrange(1, 25)))
+        cuts = sorted(rnd.randrange(len(rows) + 1) for _ in range(rnd.randrange(0, 5)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        scans = [list(suffix_dedup.scan_part((c, k) for k, c in p)) for p in parts]
+        marked = [(i, c, k, m) for i, (p, g) in enumerate(zip(parts, scans, strict=True)) for (k, c), (_, m) in zip(p, g, strict=True)]
+        edges = lambda near, far: [(i, c, k, f) for bit, f in ((near, 0), (far, 1)) for i, c, k, m in marked if m & bit]  # noqa: E731, B023
+        before = suffix_dedup.carried(sorted(edges(16, 32), key=lambda e: e[0]))
+        after = suffix_dedup.carried(sorted(edges(4, 8), key=lambda e: -e[0]))
+        got = []
+        for i, (p, g) in enumerate(zip(parts, scans, strict=True)):
+            for (k, c), (n, m) in zip(p, g, strict=True):
+                for bit, near in ((1, before), (2, after)):
+                    if m & bit:
+                        n = max([n, *[suffix_dedup.shared_words(k, y) for x, y in near.get(i, []) if x != c][:1]])
+                got.append(n)
+        assert got == [max([suffix_dedup.shared_words(k, y) for y, x in rows if x != c], default=0) for k, c in rows]
+
+
+def test_passages_with_partners_on_either_side(spark):
+    """A text that shares its left with one and its right with another, and whole windows with a third."""
+    rnd = random.Random(14)
+    words = lambda n: [f"x{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        p = words(140)
+        texts += [words(5) + p + words(5), words(9) + p[:70] + words(9), words(4) + p[60:] + words(3), words(8) + p[40:100] + words(8), words(2) + p[30:95] + words(9), words(2) + p[45:105] + words(9)]
+        texts += [words(2) + p[a : a + rnd.randrange(30, 70)] + words(9) for a in range(0, 100, 7)]
+    texts = [" ".join(t) for t in texts]
+    got = set(made(suffix_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    assert got == brute_runs(texts, 51)
+
+
 # --- chat
 
 
