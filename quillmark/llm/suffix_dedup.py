@@ -24,14 +24,16 @@ their copies reported whole. Texts and matches are known by 128 and 256 bits.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmark.llm._common import BLANKS, Scratch, text_or_empty
@@ -47,14 +49,23 @@ _ROWS = 8192
 _HEAD, _TAIL, _FIRST, _FIRST_OTHER, _LAST, _LAST_OTHER = 1, 2, 4, 8, 16, 32
 
 
-def word_hashes(text: str, cache: dict[str, int]) -> np.ndarray:
-    words = text.split(" ") if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words between ASCII blanks, in UTF-8."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+
+
+def identity(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of a text as a sequence of words, as two signed integers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
+
+
+def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     if len(cache) > _CACHE:
         cache.clear()
     for w in words:
         if w not in cache:
-            cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter((cache[w] for w in words), np.uint64, len(words))
+            cache[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
@@ -198,40 +209,75 @@ def neighbour_words(rows: DataFrame, key: str, name: str, scratch: Scratch) -> D
 
 
 def contexts(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """``c, h, pos, right, left``: of each place the words from it on and those before it, nearest first, a blank after each."""
-    words = F.split("text", " ")
-    part = lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise("")
-    rows = texts.select("c", words.alias("w"), F.inline_outer("places").alias("pos", "h"))
-    back = F.least(F.col("pos"), F.lit(min_words - gram))
-    right = F.slice("w", F.col("pos") + 1, F.lit(min_words))
-    left = F.when(back > 0, F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("pos") - back + 1), back))).otherwise(F.array().cast("array<string>"))
-    return rows.select("c", "h", "pos", part(right).alias("right"), part(left).alias("left"))
+    """``c, h, pos, right, left``: of each place the words from it on and those before it, nearest first, a blank after each.
+
+    ``texts``: ``c, c1, c2, places, text``; texts that are not the ones that c1 and c2 name are left out.
+    """
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("right", T.StringType()), T.StructField("left", T.StringType())])
+    kind = to_arrow_schema(schema)
+
+    def one(c: int, places: list[dict], words: list[bytes]) -> Iterator[tuple]:
+        shown = [w.decode("utf-8", "replace") + " " for w in words]
+        for x in places:
+            p = x["pos"]
+            yield c, x["h"], p, "".join(shown[p : p + min_words]), "".join(shown[max(0, p - min_words + gram) : p][::-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                c, c1, c2, places, text = (col[i].as_py() for col in b.columns)
+                words = words_of(text)
+                if identity(words) == (c1, c2):
+                    for k in range(0, len(places), _ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*one(c, places[k : k + _ROWS], words), strict=True), kind, strict=True)], schema=kind)
+
+    return texts.select("c", "c1", "c2", "places", "text").mapInArrow(run, schema)
 
 
 def first_words(text: str, n: str) -> Column:
     return F.call_function("substring_index", F.col(text), F.lit(" "), F.col(n))
 
 
-def matched_starts(found: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """``c, lo, hi``: starts of windows that stand in another text, from the extended matches ``c, pos, h, right, left, r, l``."""
-    trim = found.select("c", "pos", "h", "r", "l", F.concat_ws("\n", first_words("left", "l"), first_words("right", "r")).alias("match"))
-    trim = scratch.save(trim.withColumn("key", F.unhex(F.sha2("match", 256))))
+def windows_of(matches: DataFrame, kept: list[str], min_words: int, gram: int) -> DataFrame:
+    """``kept``, ``d`` and a digest ``window`` for each window of the extended matches ``turned, right, n, r`` that starts d words before its k-gram."""
+    schema = T.StructType([*[matches.schema[k] for k in kept], T.StructField("d", T.IntegerType()), T.StructField("window", T.BinaryType())])
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, ds, digests = [], [], []
+            for i, (turned, right, n, r) in enumerate(zip(*(b.column(b.num_columns - 4 + j).to_pylist() for j in range(4)), strict=True)):
+                left, right = turned.split(" ")[gram:n], right.split(" ")
+                for d in range(max(0, min_words - r), n - gram + 1):
+                    at.append(i)
+                    ds.append(d)
+                    digests.append(hashlib.sha256(" ".join([str(d), *left[:d], *right[: min_words - d]]).encode()).digest())
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], pa.array(ds, pa.int32()), pa.array(digests, pa.binary())], schema=kind)
+
+    return matches.select(*kept, "turned", "right", "n", "r").mapInArrow(run, schema)
+
+
+def matched_starts(found: DataFrame, min_words: int, gram: int, scratch: Scratch) -> DataFrame:
+    """``c, lo, hi``: starts of windows that stand in another text.
+
+    ``found``: ``c, pos, h`` and the extended match, the first ``n`` words of
+    ``turned`` (the k-gram, then the words before it) and the first ``r`` of ``right``.
+    """
+    match = F.concat_ws("\n", first_words("turned", "n"), first_words("right", "r"))
+    trim = scratch.save(found.withColumn("key", F.unhex(F.sha2(match, 256))))
     both = scratch.save(trim.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key"))
     lone = scratch.save(trim.join(both, "key", "left_anti"))
-    whole = trim.join(both, "key", "left_semi").select("c", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r") - min_words).alias("hi"))
+    whole = trim.join(both, "key", "left_semi").select("c", (F.col("pos") + gram - F.col("n")).alias("lo"), (F.col("pos") + F.col("r") - min_words).alias("hi"))
     if lone.isEmpty():
         return whole
     # A match of its own: its left and right partners differ. Its windows meet those of all matches of the k-gram.
     runs = lone.select("h").distinct()
-    each = trim.join(runs, "h", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("match", "r", "l")], F.min("c").alias("a"), F.max("c").alias("b"))
-    lefts, rights = F.split(F.split_part("match", F.lit("\n"), F.lit(1)), " "), F.split(F.split_part("match", F.lit("\n"), F.lit(2)), " ")
-    of = lambda df, *more: df.select(*more, lefts.alias("lw"), rights.alias("rw"), F.explode(F.sequence(F.greatest(F.lit(0), min_words - F.col("r")), F.col("l"))).alias("d"))
-    words = F.concat_ws("\n", F.col("d").cast("string"), F.array_join(F.slice("lw", F.lit(1), F.col("d")), " "), F.array_join(F.slice("rw", F.lit(1), min_words - F.col("d")), " "))
-    window = F.unhex(F.sha2(words, 256)).alias("window")
-    again = of(each, "a", "b").select("a", "b", window).groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("window")
+    each = trim.join(runs, "h", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("turned", "right", "n", "r")], F.min("c").alias("a"), F.max("c").alias("b"))
+    again = windows_of(each, ["a", "b"], min_words, gram).groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("window")
     again = scratch.save(again)
-    some = of(lone, "c", "pos").select("c", (F.col("pos") - F.col("d")).alias("lo"), window).join(again, "window", "left_semi")
-    return whole.unionByName(some.select("c", "lo", F.col("lo").alias("hi")))
+    some = windows_of(lone, ["c", "pos"], min_words, gram).join(again, "window", "left_semi").select("c", (F.col("pos") - F.col("d")).alias("lo"))
+    return whole.unionByName(some.withColumn("hi", F.col("lo")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -245,54 +291,58 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one document; null ids count as one id. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    norm = F.trim(F.regexp_replace(F.lower(text_or_empty(F.col(text_col))), BLANKS, " "))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("text"))
-    # Two hashes of the text, of different seeds.
-    base = base.select("doc_id", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(9), F.col("text")).alias("c2"), "text")
+    ids, text = F.col(id_col).cast("long"), text_or_empty(F.col(text_col))
+    # The id and, where there is none, a hash of the text find a row again.
+    base = docs.select(ids.alias("doc_id"), F.when(ids.isNull(), F.xxhash64(text)).alias("k"), text.alias("text"))
     span = min_words - gram + 1
 
-    def retain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+    def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text (``pos`` -1) and for each of its places."""
+        cache: dict[bytes, int] = {}
         for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.iloc[k : k + 500]
-                hs, ps = [], []
-                for t in part["text"]:
-                    g = window_hashes(word_hashes(t, cache), gram)
-                    p = np.unique(minimisers(g, span))
-                    hs.append(g[p])
-                    ps.append(p)
-                n = [len(p) for p in ps]
-                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "c1": np.repeat(part["c1"], n), "c2": np.repeat(part["c2"], n), "pos": np.concatenate(ps).astype(np.int32)})
-
-    count = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1)
-    texts = scratch.save(base.select("doc_id", "c1", "c2", count.alias("words")))
-    kinds = texts.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = [words_of(t) for t in part.column(2).to_pylist()]
+                who = np.array([identity(w) for w in texts], np.int64).reshape(-1, 2)
+                none = np.zeros(len(texts), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(w) for w in texts], pa.int32()), pa.array(none), pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array((none - 1).astype(np.int32))], schema=kind)
+                grams = [window_hashes(word_hashes(w, cache), gram) for w in texts]
+                places = [np.unique(minimisers(g, span)) for g in grams]
+                n = [len(p) for p in places]
+                h = np.concatenate([g[p] for g, p in zip(grams, places, strict=True)]).view(np.int64)
+                empty = [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+                own = [pa.array(np.repeat(who[:, j], n)) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array(h), *own, pa.array(np.concatenate(places).astype(np.int32))], schema=kind)
+
+    made = T._parse_datatype_string("doc_id long, k long, words int, h long, c1 long, c2 long, pos int")
+    kind = to_arrow_schema(made)
+    rows = scratch.save(base.mapInArrow(retain, made))
+    texts, suffixes = rows.where("pos < 0").select("doc_id", "k", "c1", "c2", "words"), rows.where("pos >= 0").select("h", "c1", "c2", "pos")
+    name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
+    kinds = texts.groupBy("c1", "c2").agg(name.alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     kinds = scratch.save(scratch.save(kinds).withColumn("c", F.monotonically_increasing_id()))
-    suffixes = scratch.save(base.select("c1", "c2", "text").mapInPandas(retain, "h long, c1 long, c2 long, pos int"))
     # Written before the join, so that the join can split the rows of a common k-gram.
     pair = F.struct("c1", "c2")
     shared = scratch.save(suffixes.groupBy("h").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).where("a <> b").select("h"))
     places = suffixes.join(shared, "h").groupBy("c1", "c2").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
-    # One text of each kind is enough; joining by id as well keeps the copies of a common text apart.
-    chosen = scratch.save(places.join(kinds.select("c1", "c2", "c", "first"), ["c1", "c2"]))
-    own = chosen.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "c", "first", "places")
-    one = base.join(own, (base["c1"] == F.col("d1")) & (base["c2"] == F.col("d2")) & base["doc_id"].eqNullSafe(F.col("first"))).dropDuplicates(["c"])
+    # One text of each kind is enough.
+    chosen = scratch.save(places.join(kinds.select("c1", "c2", "c", F.col("first.doc_id").alias("own_id"), F.col("first.k").alias("own_k")), ["c1", "c2"]))
+    one = base.join(chosen, base["doc_id"].eqNullSafe(F.col("own_id")) & base["k"].eqNullSafe(F.col("own_k")))
     found = scratch.save(contexts(one, min_words, gram))
-    scratch.drop(suffixes, chosen)
+    scratch.drop(chosen)
     found = neighbour_words(found, "right", "r", scratch)
     reach = F.length("left") - F.length(F.replace("left", F.lit(" "), F.lit("")))
     found = found.where((F.col("r") >= gram) & (F.col("r") + reach >= min_words))
-    turned = found.withColumn("turned", F.concat(F.substring_index("right", " ", gram), F.lit(" "), F.col("left")))
-    found = neighbour_words(turned, "turned", "n", scratch).withColumn("l", F.col("n") - gram).where(F.col("l") + F.col("r") >= min_words)
-    starts = scratch.save(matched_starts(found, min_words, scratch))
+    turned = found.select("c", "h", "pos", "right", "r", F.concat(F.substring_index("right", " ", gram), F.lit(" "), F.col("left")).alias("turned"))
+    found = neighbour_words(turned, "turned", "n", scratch).where(F.col("n") - gram + F.col("r") >= min_words)
+    starts = scratch.save(matched_starts(found, min_words, gram, scratch))
     # A run ends where the next start lies beyond its reach.
     order = Window.partitionBy("c").orderBy("lo", "hi")  # the matches of one text
     reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     head = starts.distinct().withColumn("head", F.coalesce(F.col("lo") - reached > min_words, F.lit(True)).cast("int"))
     numbered = head.withColumn("run", F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("c", "run").agg(F.min("lo").alias("first_word"), (F.max("hi") + min_words - F.min("lo")).alias("n_words")).drop("run")
-    whole = kinds.where((F.col("words") >= min_words) & ((F.col("first") < F.col("last")) | ((F.col("nulls") > 0) & F.col("first").isNotNull())))
+    whole = kinds.where((F.col("words") >= min_words) & ((F.col("first.doc_id") < F.col("last")) | ((F.col("nulls") > 0) & F.col("first.doc_id").isNotNull())))
     whole = whole.select("c", F.lit(0).alias("first_word"), F.col("words").alias("n_words"))
     found = scratch.save(runs.join(whole.select("c"), "c", "left_anti").unionByName(whole))
     out = texts.select("doc_id", "c1", "c2").distinct().join(kinds.select("c1", "c2", "c"), ["c1", "c2"]).join(found, "c")
