@@ -56,7 +56,7 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, width: int, name: str) ->
     """``row, name, text_key, hashes, n_words``. ``row`` numbers the input rows; ``text_key`` is a digest of the text where there is no id."""
     text = text_or_empty(F.col(text_col))
     ids = F.col(id_col).cast("long")
-    own = F.when(ids.isNull(), F.sha2(text, 256)).alias("text_key")
+    own = F.when(ids.isNull(), F.unhex(F.sha2(text, 256))).alias("text_key")
     return df.select(F.monotonically_increasing_id().alias("row"), ids.alias(name), own, shingles(text, width).alias("s")).select("row", name, "text_key", "s.hashes", "s.n_words")
 
 

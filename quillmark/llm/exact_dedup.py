@@ -1,9 +1,10 @@
 """Exact dedup by deterministic block naming.
 
 Every normalised text is cut into blocks of a fixed size. The distinct blocks
-are sorted and numbered, so a block becomes an integer name. Adjacent names of
-a document are then paired, the distinct pairs sorted and numbered in turn, and
-so on until one name is left. Two documents get the same last name exactly when
+are sorted (by their SHA-256, an order of contents that moves no text) and
+numbered through, so a block becomes an integer name, which depends on the
+blocks of the table alone. Adjacent names of a document are then paired, the
+distinct pairs sorted and numbered in turn, and so on until one name is left. Two documents get the same last name exactly when
 their texts are the same: names are given to whole blocks and whole pairs, never
 to digests of them alone, so there is nothing that could collide.
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm._common import BLANKS, Scratch, text_or_empty
+from quillmark.operators.compose import ranked
 
 BLOCK_CHARS = 4096
 #: Names of round n lie in [n << 54, (n + 1) << 54), so rounds never clash.
@@ -26,8 +28,8 @@ _ROUND_BITS = 54
 
 
 def _numbered(distinct: DataFrame, keys: list[str], level: int) -> DataFrame:
-    """Sorts rows that are distinct already and numbers them."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id() + F.lit(level << _ROUND_BITS))
+    """Sorts rows that are distinct already, over all partitions, and numbers them from 1."""
+    return ranked(distinct, [F.col(k) for k in keys], "name").withColumn("name", F.col("name") + F.lit(level << _ROUND_BITS))
 
 
 def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -54,9 +56,9 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("row", "id", "left_over", "pos", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), digest)
     blocks = norm.select(F.explode_outer(cut).alias("block")).select(digest, "block")
     blocks = blocks.groupBy("digest").agg(F.min("block").alias("block"), F.max("block").alias("other"))
-    blocks = blocks.withColumn("block", F.when(F.col("block") == F.col("other"), F.col("block")).otherwise(F.raise_error(F.lit("two blocks share a digest"))))
+    checked = F.when(F.col("block") == F.col("other"), True).otherwise(F.raise_error(F.lit("two blocks share a digest"))).alias("checked")
     # Written before the join, so that the join can split the rows of a hot block.
-    names = scratch.save(_numbered(blocks, ["block"], 0).select("digest", "name"))
+    names = scratch.save(_numbered(blocks.select("digest", checked), ["digest"], 0).select("digest", "name"))
     seq = scratch.save(rows.join(names, "digest").select("row", "id", "sha", "left_over", "pos", "name"))
 
     done, level = [], 0
@@ -88,7 +90,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = name_documents(docs, id_col, text_col, block_chars)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
-    groups = named.groupBy("name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Both sides are written, so that the join can split the rows of a hot name.
+    scratch = Scratch(docs.sparkSession)
+    named = scratch.save(named)
+    groups = scratch.save(named.groupBy("name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
     return named.join(groups, "name").select(
         F.col("id").alias("doc_id"),
         F.col("first.id").alias("keep_id"),

@@ -31,14 +31,16 @@ BLOCKS = set(
     " header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: Elements whose content is never text of the page.
-SKIPPED = set("head script style noscript template svg math iframe object select option button textarea canvas audio video map datalist title".split())
+SKIPPED = set("head script style noscript template svg iframe select option button textarea datalist title".split())
 _RAW = set("script style textarea title noscript iframe".split())
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag closes an open element of these kinds first.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An implied end does not reach past these.
 _HOLD = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "html", "blockquote", "td", "th", "main", "aside", "nav", "header", "footer", "form"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|[^<]+|<", re.S)
+_LENIENT = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*>|[^<]+|<", re.S)
+_OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NAME = re.compile(r"[a-z]+")
 PRIOR = 0.5
@@ -56,52 +58,61 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order, and text pieces ``(node, text)``.
+    """Block nodes in page order, and text pieces ``(node, text)``, in linear time.
 
-    A piece of ``None`` for text marks a block boundary. Node 0 is the root.
+    A piece of ``None`` for text marks a block boundary. Node 0 is the root. A
+    tag whose quotes never close ends at the next ``>``, and so do all after it.
+    An unclosed title, textarea, noscript or iframe ends at the next tag, an
+    unclosed script or style with the page.
     """
     nodes, pieces = [Node("#root", "", -1)], []
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, block node, skipped
-    links, pos, end = 0, 0, len(page)
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag, in the stack
+    holds, unclosed = [0], set()
+    pos, end, last, token = 0, len(page), page.rfind(">"), _TOKEN
+
+    def say(text: str) -> None:
+        _, node, skipped = stack[-1]
+        if text and not skipped:
+            pieces.append((node, html.unescape(text) if "&" in text else text))
+            nodes[node].chars += len(text)
+            nodes[node].linked += len(text) if places["a"] else 0
+
+    def close(k: int) -> list[str]:
+        gone = [t for t, _, _ in stack[k:]]
+        for t in gone:
+            places[t].pop()
+        del stack[k:]
+        while holds[-1] >= k:
+            holds.pop()
+        return gone
+
     while pos < end:
-        m = _TOKEN.match(page, pos)
+        if pos > last:  # no tag can end any more
+            say(page[pos:])
+            break
+        m = token.match(page, pos)
+        if m[0] == "<" and token is _TOKEN and _OPENS.match(page, pos):
+            token = _LENIENT
+            m = token.match(page, pos)
         pos = m.end()
         tag = m[2]
         if tag is None:
-            text = m[0]
-            if text[0] == "<" and len(text) > 1:
-                continue
-            _, node, skipped = stack[-1]
-            if not skipped:
-                pieces.append((node, html.unescape(text) if "&" in text else text))
-                nodes[node].chars += len(text)
-                nodes[node].linked += len(text) if links else 0
+            if m[0][0] != "<" or len(m[0]) == 1:
+                say(m[0])
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    for t, _, _ in stack[k:]:
-                        links -= t == "a"
-                        if t in BLOCKS:
-                            pieces.append((0, None))
-                    del stack[k:]
-                    break
-                if stack[k][0] in _HOLD and tag not in BLOCKS:
-                    break
+            k = places[tag][-1] if places[tag] else 0
+            if k and (tag in BLOCKS or k >= holds[-1]):
+                pieces += [(0, None)] * any(t in BLOCKS for t in close(k))
             if tag == "p":
                 pieces.append((0, None))
             continue
         closing = _CLOSES.get(tag) or ({"p"} if tag in BLOCKS else ())
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t in closing:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if t in _HOLD:
-                    break
+        k = max((places[t][-1] for t in closing if places[t]), default=0)
+        if k and k >= holds[-1]:
+            close(k)
         if tag == "br":
             pieces.append((stack[-1][1], " "))
             continue
@@ -116,10 +127,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in _VOID or (m[3] or "").endswith("/") and tag in ("svg", "path"):
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else end
+            found = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            if found:
+                pos = found.end()
+            else:
+                unclosed.add(tag)
+                stop = page.find("<", pos)
+                pos = end if tag in ("script", "style") or stop < 0 else stop
             continue
-        links += tag == "a"
+        places[tag].append(len(stack))
+        if tag in _HOLD:
+            holds.append(len(stack))
         stack.append((tag, node, skipped))
     return nodes, pieces
 

@@ -27,4 +27,6 @@ PAGES = [
     """<html><body data-main><h1>title</h1><p>text</p><p>text</p><p>text</p></body></html>""",
     """<html><body><p data-main>text</p><p data-main>text</p><div class="ad" data-rest>ad</div><footer data-rest>end</footer></body></html>""",
     """<html><body><header class="site-header"><h2>site</h2></header><article class="post" data-main><h1>title</h1><div class="entry"><p>text</p><p>text</p><p>text</p></div></article><section id="comments" class="responses"><article class="comment"><p>me too</p></article><div id="respond"><form><p>say</p></form></div></section><aside><div class="widget"><p>poll</p></div></aside><footer><div class="legal"><p>c</p></div></footer></body></html>""",
+    """<html><body><h1 data-main>title</h1><p data-main>text</p><p data-main>text</p><p data-main>text</p><p data-main>text</p><p data-main>text</p><p data-main>text</p>
+    <form><p>name</p></form><section class="comments"><p>hi</p></section><aside><p>more</p></aside><footer><p>end</p></footer></body></html>""",
 ]

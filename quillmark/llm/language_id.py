@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from quillmark.llm._common import first_by_hash, map_texts
 
 UNKNOWN = "und"
-#: Training takes at most so many documents of each of at most so many languages, the commonest.
-PER_LANGUAGE = 200
-MAX_LANGUAGES = 64
+#: Training takes at most so many documents of each language, and of all together (but one of each language at least).
+PER_LANGUAGE, TRAINING = 200, 3200
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.6
@@ -52,10 +51,11 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     if n <= 6:
         cols = np.arange(2 ** (n - 1) - 1)  # without the split that has all on one side
         return np.array([[1] * len(cols)] + [[1 if c >> k & 1 else -1 for c in cols] for k in range(n - 1)], np.int8)
-    rng, best = np.random.default_rng(seed), (0, None)
-    for _ in range(200):
-        m = rng.choice(np.array([-1, 1], np.int8), (n, int(np.ceil(10 * np.log2(n)))))
-        apart = ((m[:, None] != m[None]).sum(2) + np.eye(n, dtype=int) * m.shape[1]).min()
+    rng, best, bits = np.random.default_rng(seed), (0, None), int(np.ceil(10 * np.log2(n)))
+    for _ in range(200 if n <= 200 else 5):
+        m = rng.choice(np.array([-1, 1], np.int8), (n, bits))
+        f = m.astype(np.float32)
+        apart = ((bits - f @ f.T) / 2 + np.eye(n, dtype=np.float32) * bits).min()
         if apart > best[0] and (np.abs(m.sum(0)) < n).all():
             best = (apart, m)
     return best[1]
@@ -118,12 +118,18 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
         b -= 0.1 * gb / np.sqrt(b2)
     error = np.clip((Y * (X @ W + b) <= 0).mean(0), 1e-3, 0.499)
     trust = np.log((1 - error) / error)
-    return Model(names, codes, W, b, trust / trust.sum())
+    trust /= trust.sum()
+    return Model(names, codes, W, b, trust)
+
+
+def losses(f: np.ndarray, m: Model) -> np.ndarray:
+    """Loss of each language's codeword, weighted by how well the bits did in training."""
+    return (m.trust * np.log1p(np.exp(np.clip(-m.codes * f, -30, 30)))).sum(1)
 
 
 def decode(f: np.ndarray, m: Model) -> tuple[str, float, float]:
     """Language, score and gap to the runner-up."""
-    loss = (m.trust * np.log1p(np.exp(np.clip(-m.codes * f, -30, 30)))).sum(1)
+    loss = losses(f, m)
     p = np.exp(-4 * (loss - loss.min()))
     p /= p.sum()
     order = np.argsort(-p, kind="stable")
@@ -135,7 +141,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_label
     """``text, label``: up to ``per_label`` rows of each label, by a hash of the id."""
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), label.alias("label"))
     keys = rows.where("label IS NOT NULL AND text IS NOT NULL AND i IS NOT NULL").select("label", "h", "i")
-    chosen = first_by_hash(keys, "label", per_label, ["h", "i"], MAX_LANGUAGES).select("i").distinct()  # at most per_label rows a label
+    chosen = first_by_hash(keys, "label", per_label, ["h", "i"]).select("i").distinct()  # at most per_label rows a label
     return rows.join(F.broadcast(chosen), "i", "left_semi").where("label IS NOT NULL AND text IS NOT NULL").select("text", "label")
 
 
@@ -162,23 +168,30 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not ``und``.
+    """The rows of ``docs``, all columns, that have a language: what is ``und`` goes.
 
-    Clean documents stay even if they are ambiguous. Columns pass through
-    untouched, as Arrow batches.
+    Clean documents may be in any learned language and may mix them, so neither
+    an ambiguous nor a costly decoding rejects. Without a model (no row has a
+    label) a text with a letter has some language, which nothing names, and
+    stays. Columns pass through untouched, as Arrow batches.
     """
     at = docs.columns.index(text_col)
 
+    def stays(t: str | None) -> bool:
+        return bool(t and _LETTER.search(t)) if model is None else _one(t, model)[0] != UNKNOWN
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([_one(t, model)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([stays(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Trains on a bounded sample of the rows whose ``label`` is not null."""
-    got = sample(docs, id_col, text_col, label, per_language).orderBy("label", "text").limit(per_language * MAX_LANGUAGES).toPandas()
+    """Trains on a bounded sample of the rows whose ``label`` is not null; None if there is none. Every label is learned."""
+    n = docs.select(label.alias("label")).where("label IS NOT NULL").distinct().count()
+    per_language = max(1, min(per_language, TRAINING // max(n, 1)))
+    got = sample(docs, id_col, text_col, label, per_language).orderBy("label", "text").toPandas()
     return train(got["text"].tolist(), got["label"].tolist()) if len(got) else None
 
 

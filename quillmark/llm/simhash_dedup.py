@@ -3,17 +3,11 @@
 Distinct fingerprints form a binary trie. Pairs of its nodes are traversed
 together from the root; each pair carries the bits in which its two sides
 differ so far and is dropped once that exceeds the budget. The top of the trie
-is walked on the driver over a histogram of leading bits, whose size is fixed,
-and gives pairs of subtrees; each pair is one task that walks on to the
+is walked on the driver over a histogram of leading bits, 14 of them and more
+below crowded prefixes, and gives pairs of subtrees; each pair is one task that walks on to the
 fingerprints. A task returns the spanning forest of the links it found, never
 the pairs themselves, and passes over pairs of subtrees that are connected
 already, so a dense group costs its size and not its square.
-
-A wide radius leaves little to prune near the root. Then the join runs over
-several rotations of the bits: if two fingerprints differ in at most r of 64
-bits, some rotation has, at the end of each of its n units, at most its even
-share of them (cycle lemma), so the budget of a rotation grows with the depth
-from nothing to r. Longer fingerprints confirm what such a join finds.
 """
 
 from __future__ import annotations
@@ -37,8 +31,9 @@ SEED = 42
 SUBTREE = 32768
 #: The top of the trie is split so deep at least, so that small inputs are dealt out as large ones are.
 MIN_DEPTH = 4
-#: The driver sees counts for this many leading bits, at most 2 ** TOP_BITS.
-TOP_BITS = 16
+#: Depths to which the driver sees counts of prefixes; beyond the first only of those that hold over CROWD fingerprints.
+EDGES = [0, 14, 22, 30, 38, 46, 54, 62]
+CROWD = 1 << 21
 #: The near-duplicate stage: the sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: MinHash bands: a pair at 0.8 agrees on no band with a probability of (1 - 0.8 ** 6) ** 40 = 5e-6.
@@ -76,91 +71,106 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS, words: int = 1) -> list[int]:
-    """SimHash of 64 bits a word; zeros without a word of text.
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+    """SimHash of 64 bits; zero without a word of text."""
+    return simhash(shingle_hashes(text, width))
 
-    The first 64 bits are those of the hashes, the others those of the hashes
-    mixed with a constant.
-    """
-    h = shingle_hashes(text, width)
-    out = []
-    for k in range(words):
-        x = h
-        if k:  # the finaliser of splitmix64
-            x = h + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        out.append(simhash(x))
-    return out
 
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
-    """``doc_id, f0, f1, ...`` (signed 64 bits each), a row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, f0`` (signed 64 bits), a row per input row."""
     def run(texts: list[str | None]) -> list[np.ndarray]:
-        return list(np.array([fingerprint(t, width, words) for t in texts], np.uint64).reshape(-1, words).view(np.int64).T.copy())
+        return [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(rows, run, [(f"f{k}", pa.int64()) for k in range(words)])
-
-
-def budgets(radius: int, rotations: int = 1) -> list[int]:
-    """Most differing bits among the first 0, 1, ..., 64 bits of the right rotation."""
-    unit = 64 // rotations
-    return [radius * -(-level // unit) // rotations for level in range(65)]
-
-
-def top_pairs(counts: np.ndarray, budget: list[int], subtree: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Leaf of each prefix, and the leaf pairs within the budget so far.
-
-    ``counts``: fingerprints by prefix. A node is split while
-    it holds more than ``subtree`` fingerprints or is near the root, and has
-    bits left. A fingerprint goes to a task for each leaf within the radius of
+    return map_texts(rows, run, [("f0", pa.int64())])
+
+
+def budgets(radius: int) -> list[int]:
+    """Most differing bits among the first 0, 1, ..., 64 bits."""
+    return [min(radius, level) for level in range(65)]
+
+
+class Histogram:
+    """Fingerprints by leading bits: of all for the first level, of the crowded prefixes for the deeper ones."""
+
+    def __init__(self) -> None:
+        self.levels: list[dict[int, np.ndarray]] = []
+
+    def add(self, rows: list[tuple[int, int]]) -> None:
+        """A further level, from ``(prefix, count)`` pairs of its width."""
+        k = len(self.levels)
+        width = EDGES[k + 1] - EDGES[k]
+        made: dict[int, np.ndarray] = {}
+        for prefix, n in rows:
+            made.setdefault(prefix >> width, np.zeros((1 << width) + 1, np.int64))[(prefix & (1 << width) - 1) + 1] = n
+        self.levels.append({base: np.cumsum(c) for base, c in made.items()})
+
+    def size(self, depth: int, prefix: int) -> int:
+        k = next(i for i in range(len(self.levels)) if depth <= EDGES[i + 1])
+        below, up = EDGES[k + 1] - depth, depth - EDGES[k]
+        total = self.levels[k].get(prefix >> up)
+        if total is None:
+            return 0
+        own = prefix & (1 << up) - 1
+        return int(total[(own + 1) << below] - total[own << below])
+
+    def deeper(self, depth: int, prefix: int) -> bool:
+        """Whether the counts of a node's children are known."""
+        if depth not in EDGES[1:]:
+            return depth < EDGES[len(self.levels)]
+        k = EDGES.index(depth)
+        return k < len(self.levels) and prefix in self.levels[k]
+
+    def crowded(self, limit: int) -> list[int]:
+        """Prefixes of the last level with over ``limit`` fingerprints."""
+        k = len(self.levels) - 1
+        width = EDGES[k + 1] - EDGES[k]
+        return [base << width | int(i) for base, c in self.levels[k].items() for i in np.flatnonzero(np.diff(c) > limit)]
+
+
+def top_pairs(counts: Histogram, budget: list[int], subtree: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """First prefix of each leaf, as a fingerprint, in order, and the leaf pairs within the budget so far.
+
+    A node is split while it holds more than ``subtree`` fingerprints or is
+    near the root, and below the first level while it holds more than
+    ``crowd``. A fingerprint goes to a task for each leaf within the radius of
     its own, so its copies grow with the square of the depth: with the squared
     logarithm of the table.
     """
-    bits = int(np.log2(len(counts)))
-    total = np.concatenate(([0], np.cumsum(counts)))
-    leaf_of, leaves = np.full(len(counts), -1, np.int64), {}
-
-    def size(depth: int, prefix: int) -> int:
-        width = 1 << (bits - depth)
-        return int(total[(prefix + 1) * width] - total[prefix * width])
+    leaves: dict[tuple[int, int], int] = {}
 
     def is_leaf(node: tuple[int, int]) -> bool:
-        return node[0] == bits or node[0] >= MIN_DEPTH and size(*node) <= subtree
-
-    def leaf(node: tuple[int, int]) -> int:
-        if node not in leaves:
-            leaves[node] = len(leaves)
-            width = 1 << (bits - node[0])
-            leaf_of[node[1] * width : (node[1] + 1) * width] = leaves[node]
-        return leaves[node]
+        if not counts.deeper(*node):
+            return True
+        return node[0] >= MIN_DEPTH and counts.size(*node) <= (subtree if node[0] < EDGES[1] else crowd)
 
     found, stack = set(), [((0, 0), (0, 0), 0)]
     while stack:
         x, y, differ = stack.pop()
-        if not size(*x) or not size(*y):
+        if not counts.size(*x) or not counts.size(*y):
             continue
-        if is_leaf(x) and is_leaf(y):
-            found.add((min(leaf(x), leaf(y)), max(leaf(x), leaf(y))))
+        end_x, end_y = is_leaf(x), is_leaf(y)
+        if end_x and end_y:
+            a, b = leaves.setdefault(x, len(leaves)), leaves.setdefault(y, len(leaves))
+            found.add((min(a, b), max(a, b)))
         elif x == y:
             d, p = x[0] + 1, x[1] * 2
             stack += [((d, p), (d, p), differ), ((d, p + 1), (d, p + 1), differ)] + [((d, p), (d, p + 1), differ + 1)] * (differ < budget[d])
         else:
             # The shallower side steps down; sides at one depth step together.
-            down = [n if is_leaf(n) or n[0] > min(v[0] for v in (x, y) if not is_leaf(v)) else None for n in (x, y)]
-            for i in (0, 1):
-                for j in (0, 1):
-                    a = down[0] or (x[0] + 1, x[1] * 2 + i)
-                    b = down[1] or (y[0] + 1, y[1] * 2 + j)
-                    if (down[0] and i) or (down[1] and j):
-                        continue
+            least = min(v[0] for v, end in ((x, end_x), (y, end_y)) if not end)
+            down = [n if end or n[0] > least else None for n, end in ((x, end_x), (y, end_y))]
+            for a in [down[0]] if down[0] else [(x[0] + 1, x[1] * 2 + i) for i in (0, 1)]:
+                for b in [down[1]] if down[1] else [(y[0] + 1, y[1] * 2 + j) for j in (0, 1)]:
                     d = min(a[0], b[0])
-                    apart = bin((a[1] >> (a[0] - d)) ^ (b[1] >> (b[0] - d))).count("1")
+                    apart = ((a[1] >> (a[0] - d)) ^ (b[1] >> (b[0] - d))).bit_count()
                     if apart <= budget[d]:
                         stack.append((a, b, apart))
-    return leaf_of, sorted(found)
+    order = sorted(leaves, key=lambda n: n[1] << (64 - n[0]))
+    place = np.empty(len(leaves), np.int32)
+    place[[leaves[n] for n in order]] = np.arange(len(order))
+    starts = np.array([n[1] << (64 - n[0]) for n in order], np.uint64)
+    return starts, np.sort(place[np.array(sorted(found), np.int32).reshape(-1, 2)], axis=1)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -243,68 +253,60 @@ def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root[:] = flat
 
 
-def near_links(fps: DataFrame, words: int = 1, radius: int = RADIUS, total: int | None = None, rotations: int = 1, subtree: int = SUBTREE) -> DataFrame:
-    """``a, b``: nodes of links that span every group of distinct fingerprints.
+def histogram(fps: DataFrame, crowd: int) -> Histogram:
+    """Counts of the first 14 bits (at most 16,384 rows), then, for prefixes over ``crowd``, of eight bits more at a time."""
+    out, rows = Histogram(), fps
+    for k in range(len(EDGES) - 1):
+        if k:
+            full = out.crowded(crowd)
+            if not full:
+                break
+            prefix = F.shiftrightunsigned("f0", 64 - EDGES[k])
+            # At most n / crowd prefixes: a small table.
+            rows = fps.join(F.broadcast(fps.sparkSession.createDataFrame([(x,) for x in full], "full long")), prefix == F.col("full"), "left_semi")
+        key = F.shiftrightunsigned("f0", 64 - EDGES[k + 1]).alias("prefix")
+        out.add([tuple(r) for r in rows.groupBy(key).count().collect()])
+    return out
 
-    ``fps``: ``node`` and the words ``f0, f1, ...``. Linked are fingerprints
-    that differ in at most ``radius`` bits of their first word and, if given,
-    ``total`` bits of all.
-    """
-    unit, budget, bits = 64 // rotations, budgets(radius, rotations), TOP_BITS if rotations == 1 else TOP_BITS - 4
-    names = [f"f{k}" for k in range(words)]
-    turned = fps.select("f0", F.explode(F.sequence(F.lit(0), F.lit(rotations - 1))).alias("r"))
-    shift = lambda f, c, n: F.call_function(f, c, n.cast("int"))
-    key = shift("shiftleft", F.col("f0"), F.col("r") * unit).bitwiseOR(shift("shiftrightunsigned", F.col("f0"), 64 - F.col("r") * unit))
-    key = F.col("f0") if rotations == 1 else F.when(F.col("r") == 0, F.col("f0")).otherwise(key)
-    counts = np.zeros((rotations, 1 << bits), np.int64)
-    for r, k, n in turned.groupBy("r", F.shiftrightunsigned(key, 64 - bits).cast("int").alias("k")).count().toPandas().itertuples(index=False):  # at most 65,536 rows
-        counts[r, k] = n
-    plans, own = [], []
-    for r in range(rotations):
-        leaf_of, pairs = top_pairs(counts[r], budget, subtree)
-        rows = sorted((leaf, len(own) + t, side) for t, (x, y) in enumerate(pairs) for side, leaf in enumerate((x, y)[: 1 + (x != y)]))
-        leaf, task, side = np.array(rows, np.int64).reshape(-1, 3).T
-        first = np.searchsorted(leaf, np.arange(leaf_of.max() + 2))
-        plans.append((leaf_of, first, task, side))
-        own += [x == y for x, y in pairs]
-    own = np.array(own, bool)
+
+def near_links(fps: DataFrame, radius: int = RADIUS, subtree: int = SUBTREE, crowd: int = CROWD) -> DataFrame:
+    """``a, b``: nodes of links that span every group of distinct fingerprints ``node, f0`` within the radius."""
+    budget = budgets(radius)
+    starts, pairs = top_pairs(histogram(fps, crowd), budget, subtree, crowd)
+    # For each leaf, in order: the tasks it belongs to, and on which side.
+    own = pairs[:, 0] == pairs[:, 1]
+    number = np.arange(len(pairs), dtype=np.int32)
+    leaf = np.concatenate((pairs[:, 0], pairs[~own, 1]))
+    task, side = np.concatenate((number, number[~own])), np.repeat(np.array([0, 1], np.int8), (len(pairs), (~own).sum()))
+    by = np.lexsort((task, leaf))
+    task, side = task[by], side[by]
+    first = np.searchsorted(leaf[by], np.arange(len(starts) + 1))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f0 = b["f0"].to_numpy().view(np.uint64)
-            for r, (leaf_of, first, task, side) in enumerate(plans):
-                k = f0 if not r else (f0 << np.uint64(r * unit)) | (f0 >> np.uint64(64 - r * unit))
-                leaf = leaf_of[(k >> np.uint64(64 - bits)).astype(np.int64)]
-                n = first[leaf + 1] - first[leaf]
-                to, row = _ranges(first[leaf], n), np.repeat(np.arange(len(b)), n)
-                yield pd.DataFrame({"task": task[to].astype(np.int32), "side": side[to].astype(np.int32), "node": b["node"].to_numpy()[row], "f0": k[row].view(np.int64), **{c: b[c].to_numpy()[row] for c in names[1:]}})
-
-    def walk(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            leaf = np.searchsorted(starts, f0, "right") - 1
+            n = first[leaf + 1] - first[leaf]
+            to, row = _ranges(first[leaf], n), np.repeat(np.arange(len(b)), n)
+            yield pd.DataFrame({"task": task[to], "side": side[to].astype(np.int32), "node": b["node"].to_numpy()[row], "f0": b["f0"].to_numpy()[row]})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "f0", "node"], key=lambda c: c.astype("int64").to_numpy().view(np.uint64) if c.name == "f0" else c)
-        node, f = pdf["node"].to_numpy(), [pdf[c].to_numpy().view(np.uint64) for c in names]
+        node, f = pdf["node"].to_numpy(), pdf["f0"].to_numpy().view(np.uint64)
         na = int((pdf["side"] == 0).sum())
+        alone = na == len(pdf)  # one subtree with itself; a pair of subtrees has rows on either side
         root = np.arange(len(node))
-
-        def join(i: np.ndarray, j: np.ndarray, known: bool = True) -> None:
-            if not known:
-                i, j = (x[np.bitwise_count(f[0][i] ^ f[0][j]) <= radius] for x in (i, j))
-            if total is not None:
-                apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
-                i, j = i[apart <= total], j[apart <= total]
-            if len(i):
-                forest(root, i, j)
-
         for step in range(1, 9):  # neighbours first, so that dense groups are soon one
             at = np.arange(max(0, len(node) - step))
-            join(at, at + step, known=False)
-        a, b = f[0][:na], f[0][na:]
-        for i, j in links(a, None if own[group[0]] else b, budget, root):
-            join(i, j if own[group[0]] else j + na)
+            near = at[np.bitwise_count(f[at] ^ f[at + step]) <= radius]
+            if len(near):
+                forest(root, near, near + step)
+        for i, j in links(f[:na], None if alone else f[na:], budget, root):
+            forest(root, i, j if alone else j + na)
         moved = root != np.arange(len(root))
         return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
 
-    schema = ", ".join(["task int, side int, node long", *(f"{c} long" for c in names)])
-    return fps.select("node", *names).mapInPandas(deal, schema).groupBy("task").applyInPandas(walk, "a long, b long")
+    return fps.select("node", "f0").mapInPandas(deal, "task int, side int, node long, f0 long").groupBy("task").applyInPandas(walk, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, subtree: int = SUBTREE) -> DataFrame:
@@ -340,13 +342,13 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(texts: list[str | None]) -> list[list]:
-    """Columns ``node`` (hash of the shingle set), ``shingles``, ``sketch`` (a byte a minimum) and ``bands``; no band without a shingle."""
+    """Columns ``n1, n2`` (128 bits of the shingle set), ``shingles``, ``sketch`` (a byte a minimum) and ``bands``; no band without a shingle."""
     sets = [shingle_set(t) for t in texts]
     low = np.array([minhashes(x) for x in sets], np.uint32).reshape(-1, NEAR_BANDS, NEAR_ROWS)
     bands = ((low.astype(np.uint64) * _MIX).sum(axis=2, dtype=np.uint64) ^ (_MIX[:, 0] * _MIX[:, 1])).view(np.int64)
-    nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+    named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
     flat = (low & np.uint32(255)).astype(np.uint8).reshape(len(sets), -1)
-    return [nodes, [len(x) for x in sets], [r.tobytes() for r in flat], [b if len(x) else [] for b, x in zip(bands, sets, strict=True)]]
+    return [named[:, 0].copy(), named[:, 1].copy(), [len(x) for x in sets], [r.tobytes() for r in flat], [b if len(x) else [] for b, x in zip(bands, sets, strict=True)]]
 
 
 def sketch_links(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -437,13 +439,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_groups`` with ``text_key``, ``xxhash64`` of the row's text, and ``least_key``, the smallest of the group."""
+    """``near_groups`` with ``text_key``, the SHA-256 of the row's text, and ``least_key``, the smallest of the group."""
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    added = [("node", pa.int64()), ("shingles", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_key"), "text")
+    added = [("n1", pa.int64()), ("n2", pa.int64()), ("shingles", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
     marked = scratch.save(map_texts(rows, sketches, added))
     one = [F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("shingles", "sketch", "bands"))]  # a node has one set
-    distinct = scratch.save(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *one))
+    distinct = scratch.save(marked.groupBy("n1", "n2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *one))
+    distinct = scratch.save(distinct.withColumn("node", F.monotonically_increasing_id()))
     families = connected_components(candidate_links(distinct, scratch)).toDF("node", "family")
     families = scratch.save(families.join(distinct.select("node", "text_key", "shingles"), "node"))
     n, total = families.agg(F.count(F.lit(1)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
@@ -461,20 +464,20 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = rows.select("text_key", "text").join(F.broadcast(keys) if n <= NEAR_BROADCAST else keys, "text_key").select("node", "family", "text")
     sets = map_texts(texts, lambda t: [[shingle_set(x).tobytes() for x in t]], [("set", pa.binary())]).dropDuplicates(["node"])
     roots = scratch.save(sets.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(tasks))).groupBy("task").applyInPandas(split, "linked long, root long"))
-    joined = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", "text_key", F.coalesce("root", "node").alias("root"))
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.min("text_key").alias("least_key"))
-    groups = scratch.save(joined.join(groups, "root").select("node", "component_id", "component_size", "least_key"))
-    return marked.select("doc_id", "text_key", "node").join(groups, "node").drop("node")
+    joined = scratch.save(distinct.join(roots, distinct["node"] == roots["linked"], "left").select("n1", "n2", "least", "n", "text_key", F.coalesce("root", "node").alias("root")))
+    groups = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.min("text_key").alias("least_key")))
+    groups = scratch.save(joined.join(groups, "root").select("n1", "n2", "component_id", "component_size", "least_key"))
+    return marked.select("doc_id", "text_key", "n1", "n2").join(groups, ["n1", "n2"]).drop("n1", "n2")
 
 
-def groups_of(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE_WORDS, words: int = 1, radius: int = RADIUS, total: int | None = None, rotations: int = 1, subtree: int = SUBTREE) -> DataFrame:
+def groups_of(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, subtree: int = SUBTREE, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, f0, component_id, component_size``; a fingerprint is its own node."""
     scratch = Scratch(docs.sparkSession)
-    names = [f"f{k}" for k in range(words)]
-    marked = scratch.save(fingerprints(docs, id_col, text_col, width, words))
-    node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    distinct = scratch.save(marked.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", node))
-    roots = connected_components(near_links(distinct, words, radius, total, rotations, subtree)).withColumnRenamed("node", "linked")
-    joined = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", *names, "least", "n", F.coalesce("root", "node").alias("root"))
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+    marked = scratch.save(fingerprints(docs, id_col, text_col))
+    distinct = scratch.save(marked.groupBy("f0").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("f0")))
+    roots = connected_components(near_links(distinct, radius, subtree, crowd)).withColumnRenamed("node", "linked")
+    joined = scratch.save(distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
+    # Both sides of each join are written, so that it can split the rows of a large group.
+    groups = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")))
     groups = scratch.save(joined.join(groups, "root").select("node", "component_id", "component_size"))
-    return marked.withColumn("node", node).join(groups, "node")
+    return marked.join(groups, marked["f0"] == groups["node"]).drop("node")
