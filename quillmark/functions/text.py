@@ -46,17 +46,6 @@ def numeric_field(text: Column, name: str) -> Column:
     ).try_cast("double")
 
 
-def latlon(text: Column) -> Column:
-    """``struct<lat,lon>``: labelled fields (range checked), else a bracketed pair, else null."""
-    lat = F.coalesce(numeric_field(text, "latitude"), numeric_field(text, "lat"))
-    lon = F.coalesce(numeric_field(text, "longitude"), numeric_field(text, "lon"), numeric_field(text, "lng"))
-    pair = r"[\(\[]\s*([-+]?[0-9]+(?:\.[0-9]+)?)\s*,\s*([-+]?[0-9]+(?:\.[0-9]+)?)\s*[\)\]]"
-    plat, plon = _group(text, pair, 1).try_cast("double"), _group(text, pair, 2).try_cast("double")
-    named = F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
-    paired = F.when(plat.isNotNull() & plon.isNotNull(), F.struct(plat.alias("lat"), plon.alias("lon")))
-    return F.coalesce(named, paired)
-
-
 def json_objects(text: Column) -> Column:
     """The fenced block first, then every shortest ``{...}``; only what parses as an object."""
     fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
@@ -64,6 +53,81 @@ def json_objects(text: Column) -> Column:
     return F.filter(F.concat(fenced, loose), lambda x: F.get_json_object(x, "$").isNotNull())
 
 
+def first_json(text: Column) -> Column:
+    """The first text of ``json_objects``."""
+    return F.get(json_objects(text), F.lit(0))
+
+
+def maybe_float(text: Column) -> Column:
+    return F.trim(text.cast("string")).try_cast("double")
+
+
+def _point(lat: Column, lon: Column, known: Column) -> Column:
+    return F.when(known, F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def latlon(text: Column) -> Column:
+    """``struct<lat,lon>`` or null.
+
+    First the JSON object of the answer block, then that of the whole text,
+    both without a check of range; then labelled numbers in range, a labelled
+    or bracketed pair, and at last the first two numbers if they are in range.
+    """
+    block = answer_block(text)
+    said = F.coalesce(F.when(block != "", block), text)
+
+    def of_json(x: Column) -> Column:
+        field = lambda *names: F.coalesce(*[maybe_float(F.get_json_object(x, f"$.{n}")) for n in names])
+        lat, lon = field("latitude", "lat"), field("longitude", "lon", "lng")
+        return _point(lat, lon, lat.isNotNull() & lon.isNotNull())
+
+    def in_range(lat: Column, lon: Column) -> Column:
+        return _point(lat, lon, lat.between(-90, 90) & lon.between(-180, 180))
+
+    number = r"([-]?[0-9]+(?:\.[0-9]+)?)"
+    lat = F.coalesce(numeric_field(said, "latitude"), numeric_field(said, "lat"))
+    lon = F.coalesce(numeric_field(said, "longitude"), numeric_field(said, "lon"), numeric_field(said, "lng"))
+    patterns = [rf"(?i)latitude\s*[:=]\s*{number}\D+longitude\s*[:=]\s*{number}", rf"(?i)lat\s*[:=]\s*{number}\D+lon(?:gitude)?\s*[:=]\s*{number}", rf"\(\s*{number}\s*,\s*{number}\s*\)"]
+    pairs = [_point(F.regexp_extract(said, p, 1).try_cast("double"), F.regexp_extract(said, p, 2).try_cast("double"), said.rlike(p)) for p in patterns]
+    every = F.regexp_extract_all(said, F.lit(number), F.lit(1))
+    return F.coalesce(of_json(first_json(block)), of_json(first_json(text)), in_range(lat, lon), *pairs, in_range(F.get(every, F.lit(0)).try_cast("double"), F.get(every, F.lit(1)).try_cast("double")))
+
+
+def answer_text(text: Column) -> Column:
+    """The place that an output names: ``FinalAnswer`` of its JSON or as a field, else a short answer without tags."""
+    block = answer_block(text)
+    said = F.coalesce(F.when(block != "", block), strip(text))
+    found = first_json(said)
+    final = F.when(found.rlike(r'"FinalAnswer"\s*:\s*"'), strip(F.get_json_object(found, "$.FinalAnswer")))
+    plain = strip(strip_quotes(said))
+    short = (plain != "") & ~F.contains(plain, F.lit("<")) & ~F.contains(plain, F.lit(">")) & (F.length(plain) <= 300)
+    some = lambda x: F.when(x != "", x)
+    return F.coalesce(some(final), some(string_field(said, "FinalAnswer")), F.when(short, plain))
+
+
+def judge_verdict(text: Column) -> Column:
+    """``struct<score,verdict,reason>``: the last JSON object with all three, else the fields of the text; null for placeholders."""
+    def of(x: Column) -> Column:
+        get = lambda n: F.coalesce(F.get_json_object(x, f"$.{n}"), F.lit("None"))
+        return F.struct(maybe_float(F.get_json_object(x, "$.score")).alias("score"), get("verdict").alias("verdict"), get("reason").alias("reason"))
+
+    def real(v: Column) -> Column:
+        return v["score"].isNotNull() & (F.trim(v["verdict"]) != "...") & (F.trim(v["reason"]) != "...")
+
+    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
+    loose = F.regexp_extract_all(text, F.lit(r"(?s)\{.*?\}"), F.lit(0))
+    whole = F.filter(F.concat(fenced, loose), lambda x: F.get_json_object(x, "$").isNotNull() & F.coalesce(F.size(F.array_intersect(F.json_object_keys(x), F.array(F.lit("score"), F.lit("verdict"), F.lit("reason")))) == 3, F.lit(False)))
+    good = F.filter(F.transform(whole, of), real)
+    fields = F.struct(numeric_field(text, "score").alias("score"), string_field(text, "verdict").alias("verdict"), string_field(text, "reason").alias("reason"))
+    usable = real(fields) & (F.coalesce(fields["verdict"], F.lit("")) != "") & (F.coalesce(fields["reason"], F.lit("")) != "")
+    return F.when(F.size(good) > 0, F.element_at(good, -1)).when(usable, fields)
+
+
+def slug(text: Column) -> Column:
+    """Lower case, runs of other than letters and digits as one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
 def address_parts(text: Column) -> Column:
     """Non-blank trimmed parts between semicolons of either width."""
     return F.filter(F.transform(F.split(text, "[;；]"), lambda p: strip(p)), lambda p: p != "")

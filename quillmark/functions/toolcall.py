@@ -1,7 +1,7 @@
 """Tool-call parsers: text -> array<struct<name,arguments>>, built-ins only.
 
-Each key of ``PARSERS`` is a template family. All but ``mistral`` fall back to
-the ReAct form if they find nothing.
+Each key of ``PARSERS`` is a template family. All fall back to the ReAct form
+if they find nothing (``mistral`` only if it has a list of calls).
 """
 
 from __future__ import annotations
@@ -51,12 +51,18 @@ def hunyuan_hermes(text: Column) -> Column:
 
 
 def llama3(text: Column) -> Column:
-    return _from_json(_all(F.regexp_replace(text, r"<\|eom_id\|>\s*\z", ""), r'(?s)(\{[^{}]*"name"[^{}]*"parameters"\s*:\s*\{[^{}]*\}[^{}]*\})'), "parameters")
+    said = F.regexp_replace(text, r"<\|eom_id\|>\z", "")
+    return _from_json(_all(said, r'(?s)(\{[^{]*?"name":.*?"parameters":\s*?\{.*?\}\s*?\})'), "parameters")
 
 
 def mistral(text: Column) -> Column:
-    body = F.regexp_extract(text, r"(?s)\[TOOL_CALLS\]\s*\[(.*?)\]\s*</s>", 1)
-    return _from_json(_all(body, r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})"))
+    """Calls of the first list, one JSON object or list a line; null without such a list."""
+    listed = r"(?s)\[TOOL_CALLS\]\[(.*?)\]</s>"
+    lines = F.split(strip(F.regexp_extract(text, listed, 1)), "\n")
+    one = lambda x: F.array(_call(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.arguments")))
+    many = lambda x: F.from_json(x, CALLS)
+    calls = F.flatten(F.transform(lines, lambda x: F.coalesce(F.when(F.startswith(F.ltrim(x), F.lit("[")), many(x)).otherwise(one(x)), _none())))
+    return F.when(text.rlike(listed), F.filter(calls, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull()))
 
 
 def glm4(text: Column) -> Column:
@@ -94,9 +100,25 @@ def deepseek_v3_1(text: Column) -> Column:
     return F.filter(calls, lambda c: F.get_json_object(c["arguments"], "$").isNotNull())
 
 
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def minimax_m2(text: Column) -> Column:
-    blocks = _all(text, r"(?s)(<invoke name=.*?</invoke>)")
-    return F.transform(blocks, lambda b: _call(F.regexp_extract(b, r'<invoke name="?([^">]+)', 1), _keyed(b, r'(?s)<parameter name="?([^">]+)', r"(?s)<parameter name=[^>]*>(.*?)</parameter>")))
+    """Values that read as JSON keep their kind; a later repeat of a key wins."""
+    marked = _all(text, r"(?s)<minimax:tool_call>(.*?)</minimax:tool_call>")
+    blocks = F.flatten(F.transform(marked, lambda b: _all(b, r'(?s)(<invoke name="[^"]+">.*?</invoke>)')))
+    pattern = r'(?s)<parameter name="([^"]+)">(.*?)</parameter>'
+
+    def arguments(block: Column) -> Column:
+        keys = _all(block, pattern)
+        pairs = F.arrays_zip(keys.alias("k"), _all(block, pattern, 2).alias("v"))
+        last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), p["k"]))
+        shown = lambda v: F.when(F.try_parse_json(v).isNotNull(), v).otherwise(_quoted(v))
+        return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda p: F.concat(_quoted(p["k"]), F.lit(":"), shown(strip(p["v"])))), ","), F.lit("}"))
+
+    return F.transform(blocks, lambda b: _call(F.regexp_extract(b, r'<invoke name="([^"]+)">', 1), arguments(b)))
 
 
 _OWN: dict[str, Callable[[Column], Column]] = {
@@ -109,6 +131,12 @@ def _with_fallback(parse: Callable[[Column], Column]) -> Callable[[Column], Colu
     return lambda text: F.when(F.size(parse(text)) > 0, parse(text)).otherwise(react(text))
 
 
-PARSERS: dict[str, Callable[[Column], Column]] = {k: _with_fallback(f) for k, f in _OWN.items()} | {"mistral": mistral} | {
+def _mistral(text: Column) -> Column:
+    """Without a list no call at all; a list without a call falls back."""
+    own = mistral(text)
+    return F.when(own.isNull(), _none()).when(F.size(own) > 0, own).otherwise(react(text))
+
+
+PARSERS: dict[str, Callable[[Column], Column]] = {k: _with_fallback(f) for k, f in _OWN.items()} | {"mistral": _mistral} | {
     k: react for k in ("react_en", "react_zh", "react_grpo", "toolbench", "qwen_en", "qwen_zh", "qwen_en_parallel", "qwen_zh_parallel")
 }

@@ -119,6 +119,40 @@ def medians(df: DataFrame, group: list[str], value: str, name: str = "median") -
     return r.where(middle).groupBy(*group).agg(F.avg("__x").alias(name))
 
 
+def first(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows of an order."""
+    return ranked(df, order, "__rn").where(F.col("__rn") <= n).drop("__rn")
+
+
+def after(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """All but the first n rows of an order."""
+    return ranked(df, order, "__rn").where(F.col("__rn") > n).drop("__rn")
+
+
+def shards(df: DataFrame, n: int, order: list[Column], contiguous: bool = True, name: str = "shard") -> DataFrame:
+    """Numbers n shards from 0: stretches of the order whose sizes differ by one at most, the longer ones first, or every n-th row."""
+    r = ranked(df, order, "__rn", "__m")
+    at = F.col("__rn") - 1
+    size, longer = F.floor(F.col("__m") / n), F.col("__m") % n
+    edge = longer * (size + 1)
+    # Without rows in the shorter shards nothing is beyond the edge.
+    stretch = F.when(at < edge, F.floor(at / (size + 1))).otherwise(longer + F.floor((at - edge) / F.greatest(size, F.lit(1))))
+    return r.withColumn(name, (stretch if contiguous else at % n).cast("long")).drop("__rn", "__m")
+
+
+def pieces(df: DataFrame, n: int, order: list[Column], name: str = "piece") -> DataFrame:
+    """n pieces of equal size; the rows that are left over go."""
+    r = ranked(df, order, "__rn", "__m")
+    size = F.floor(F.col("__m") / n)
+    return r.where(F.col("__rn") <= size * n).withColumn(name, F.floor((F.col("__rn") - 1) / F.greatest(size, F.lit(1))).cast("long")).drop("__rn", "__m")
+
+
+def sample_ratio(df: DataFrame, ratio: float, ids: tuple[str, ...], seed: int = 42) -> DataFrame:
+    """int(n * ratio) rows; a ratio over 1 repeats the table."""
+    n = df.count()
+    return sample(df, int(n * ratio), ids, seed) if int(n * ratio) else df.limit(0)
+
+
 def by_median(df: DataFrame, group: str, value: str, name: str = "bucket") -> DataFrame:
     """``high`` from the group's median on, else ``low``."""
     mid = medians(df, [group], value, "__median").withColumnRenamed(group, "__group")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -107,6 +108,38 @@ def _f1(hits: int, a: int, b: int) -> float:
     return 2 * hits / (a + b) if a and b else 0.0
 
 
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, all of ``b`` at once for each word of ``a``: one bit a word of ``b``."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    row = whole  # a zero bit where the length grows
+    for w in a:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
+
+
+def rouge_n(df: DataFrame, key: str, hypothesis: Column, reference: Column, n: int) -> DataFrame:
+    """``key`` and ROUGE-n F in percent of two arrays of words; 0 if either has no n-gram.
+
+    n-grams are counted by aggregation, so long texts cost their length.
+    """
+    def grams(words: Column) -> Column:
+        # Bound as a lambda's variable, the words are split once.
+        of = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+        return F.element_at(F.transform(F.array(words), of), 1)
+
+    rows = df.select(F.col(key).alias("__k"), F.array(F.struct(F.lit(1).alias("side"), grams(hypothesis).alias("g")), F.struct(F.lit(2).alias("side"), grams(reference).alias("g"))).alias("s"))
+    each = rows.select("__k", F.inline("s")).select("__k", "side", F.explode_outer("g").alias("g"))
+    own = lambda side: F.count_if((F.col("side") == side) & F.col("g").isNotNull())
+    counts = each.groupBy("__k", "g").agg(own(1).alias("a"), own(2).alias("b"))
+    total = counts.groupBy("__k").agg(F.sum(F.least("a", "b")).alias("hits"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    score = F.when((F.col("a") > 0) & (F.col("b") > 0), 200.0 * F.col("hits") / (F.col("a") + F.col("b"))).otherwise(0.0)
+    return total.select(F.col("__k").alias(key), score.alias(f"rouge_{n}"))
+
+
 def rouge_bleu(hypothesis: list[str], reference: list[str]) -> dict[str, float]:
     """ROUGE-1/2/L F and smoothed BLEU-4 of word lists, in percent."""
     def grams(w: list[str], n: int) -> Counter:
@@ -116,14 +149,8 @@ def rouge_bleu(hypothesis: list[str], reference: list[str]) -> dict[str, float]:
     for n in (1, 2):
         a, b = grams(hypothesis, n), grams(reference, n)
         out[f"rouge_{n}"] = 100 * _f1(sum((a & b).values()), sum(a.values()), sum(b.values()))
-    row = [0] * (len(reference) + 1)
-    for h in hypothesis:
-        last = 0
-        for j, r in enumerate(reference, 1):
-            last, row[j] = row[j], last + 1 if h == r else max(row[j], row[j - 1])
-    out["rouge_l"] = 100 * _f1(row[-1], len(hypothesis), len(reference))
+    out["rouge_l"] = 100 * _f1(common_subsequence(hypothesis, reference), len(hypothesis), len(reference))
     logs, misses = 0.0, 1.0
-    import math
     for n in range(1, 5):
         a = grams(hypothesis, n)
         hit, total = sum((a & grams(reference, n)).values()), max(1, sum(a.values()))

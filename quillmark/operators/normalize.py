@@ -58,8 +58,9 @@ def from_response(df: DataFrame) -> DataFrame:
     history = F.lit(None).cast("array<array<string>>")
     if "history" in df.columns:
         text = df.schema["history"].dataType == T.StringType()
-        # A literal of Python reads as JSON once its quotes are double.
-        history = F.from_json(F.replace("history", F.lit("'"), F.lit('"')), "array<array<string>>") if text else F.col("history")
+        # Either kind of quote is read, so a quote inside the other kind stays as it is.
+        literal = F.regexp_replace("history", r"(?<=[\[,]|[\[,] )None(?=\s*[,\]])", "null")
+        history = F.from_json(literal, "array<array<string>>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}) if text else F.col("history")
     return df.withColumn("messages", history_to_messages(history, col("query"), response, col("system")))
 
 
@@ -101,9 +102,14 @@ def normalize(df: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -
     else:
         out = from_response(df)
     out = out.select(*[c for c in STANDARD if c in out.columns], *[c for c in keep if c in out.columns and c not in STANDARD])
+    valid = valid_messages(F.col("messages"))
+    if "rejected_response" in out.columns:
+        valid = valid & F.coalesce(valid_rejected(F.col("messages"), F.col("rejected_response")), F.lit(False))
+    if "objects" in out.columns and isinstance(out.schema["objects"].dataType, T.StructType) and "bbox" in out.schema["objects"].dataType.names:
+        valid = valid & valid_boxes(F.col("objects.bbox"))
     if strict:
-        return out.withColumn("messages", F.when(valid_messages(F.col("messages")), F.col("messages")).otherwise(F.raise_error(F.lit("bad record"))))
-    return out.where(valid_messages(F.col("messages")))
+        return out.withColumn("messages", F.when(valid, F.col("messages")).otherwise(F.raise_error(F.lit("bad record"))))
+    return out.where(valid)
 
 
 def valid_messages(m: Column) -> Column:
@@ -148,8 +154,8 @@ def merge_tool_calls(m: Column) -> Column:
 
 
 def messages_to_history(m: Column) -> tuple[Column, Column, Column]:
-    """History pairs, query and response; an odd tail gets a null answer, the last pair is split off."""
-    turns = F.filter(m, lambda x: x["role"] != "system")
+    """History pairs, query and response; a system message at the head goes, an odd tail gets a null answer, the last pair is split off."""
+    turns = F.filter(m, lambda x, i: (i > 0) | (x["role"] != "system"))
     n = F.size(turns)
     pairs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(2)), lambda i: F.array(F.get(turns, i)["content"], F.get(turns, i + 1)["content"]))).otherwise(F.array().cast("array<array<string>>"))
     last = F.get(pairs, F.size(pairs) - 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import geo, text
 from quillmark.operators import stats
+from quillmark.operators.compose import concat, ranked
 
 #: Column names that mean the same in manifests, best first (fixed values).
 FIELDS = {
@@ -120,3 +121,70 @@ def write_run(folder: str, **tables: DataFrame) -> None:
 def allocate(total: int, models: int) -> list[int]:
     """Samples of each model; the first ones take the remainder."""
     return [total // models + (i < total % models) for i in range(models)]
+
+
+def issue(parsed: Column, error: Column, mode: Column) -> Column:
+    """What went wrong with a sample: no answer, a judge that did not answer, another error; null if nothing did."""
+    failed = F.coalesce(error, F.lit("")) != ""
+    judge = (error == "judge_json_parse_failed") | (failed & (mode == "llm_judge"))
+    return F.when(F.coalesce(parsed, F.lit("")) == "", "generation_error").when(judge, "judge_error").when(failed, "generation_error")
+
+
+def issue_totals(samples: DataFrame) -> DataFrame:
+    """``item_id, generation_errors, judge_errors, errors`` of samples with ``parsed_answer, error, reward_mode``."""
+    kind = issue(F.col("parsed_answer"), F.col("error"), F.col("reward_mode"))
+    g = samples.withColumn("__kind", kind).groupBy("item_id")
+    counts = g.agg(F.count_if(F.col("__kind") == "generation_error").alias("generation_errors"), F.count_if(F.col("__kind") == "judge_error").alias("judge_errors"))
+    return counts.withColumn("errors", F.col("generation_errors") + F.col("judge_errors"))
+
+
+def run_statistics(samples: DataFrame, items: DataFrame) -> DataFrame:
+    """One row on a run: sizes, rewards, shares of parsed and cut outputs, probabilities by selection, items with errors.
+
+    Null rewards and probabilities count as zero, sums over nothing as zero.
+    """
+    reward, p = F.coalesce(F.col("reward"), F.lit(0.0)), F.coalesce(F.col("probability"), F.lit(0.0))
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    of_samples = samples.agg(
+        F.count(F.lit(1)).alias("num_samples"), share(reward).alias("reward_mean"), F.coalesce(F.min(reward), F.lit(0.0)).alias("reward_min"), F.coalesce(F.max(reward), F.lit(0.0)).alias("reward_max"),
+        share(some("parsed_answer")).alias("parsed_rate"), share(F.coalesce(F.col("truncated"), F.lit(False))).alias("truncated_rate"), share(some("error")).alias("error_rate"))
+    chosen = F.coalesce(F.col("selected"), F.lit(False))
+    of_items = items.agg(
+        F.count(F.lit(1)).alias("num_items"), F.count_if(chosen).alias("num_selected"), share(chosen).alias("selected_rate"), share(p).alias("probability_mean"),
+        share(F.when(chosen, p)).alias("selected_probability_mean"), share(F.when(~chosen, p)).alias("unselected_probability_mean"))
+    t = issue_totals(samples).agg(F.count_if(F.col("generation_errors") > 0).alias("items_with_generation_error"), F.count_if(F.col("judge_errors") > 0).alias("items_with_judge_error"))
+    return of_samples.join(F.broadcast(of_items)).join(F.broadcast(t))
+
+
+def selection_bins(items: DataFrame, probability: str, selected: str, order: list[str], bins: int = 10) -> DataFrame:
+    """``bin, n, p_min, p_max, p_mean, select_rate``: items in equal counts by probability, how many of each are selected."""
+    r = ranked(items, [F.col(probability), *[F.col(c) for c in order]], "__rn", "__m")
+    b = F.floor((F.col("__rn") * bins - 1) / F.col("__m")) + 1
+    x = F.col(probability)
+    return r.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("p_min"), F.max(x).alias("p_max"), F.avg(x).alias("p_mean"), F.avg(F.col(selected).cast("double")).alias("select_rate"))
+
+
+def census(cache: DataFrame, samples: DataFrame) -> DataFrame:
+    """``kind, key, n``: statuses, codes and messages of a lookup cache, errors of samples, answers whose lookup failed."""
+    def counted(df: DataFrame, kind: str, key: Column) -> DataFrame:
+        return df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+
+    failed = samples.where("error = 'pred_geocode_failed'")
+    parts = [
+        counted(cache, "status", F.coalesce("status", F.lit("missing"))), counted(cache.where("code IS NOT NULL"), "code", F.col("code")),
+        counted(cache.where("coalesce(message, '') <> ''"), "message", F.col("message")), counted(samples, "error", F.coalesce("error", F.lit("none"))),
+        counted(failed, "failed_answer", F.coalesce("parsed_answer", F.lit(""))),
+    ]
+    return concat(parts)
+
+
+def judge_rewards(samples: DataFrame, output: str = "judge_output") -> DataFrame:
+    """Reward of a judge's ``output`` for samples with ``gt_text`` and ``parsed_answer``, with the reason of a zero and whether it was cut."""
+    said = F.coalesce(F.col(output), F.lit(""))
+    verdict = text.judge_verdict(said)
+    missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    error = F.when(missing("gt_text"), "missing_gt_text").when(missing("parsed_answer"), "missing_parsed_answer").when(verdict.isNull(), "judge_json_parse_failed")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), verdict["score"]))
+    cut = (said != "") & ~F.endswith(F.rtrim(said), F.lit("}"))
+    return samples.withColumn("error", error).withColumn("reward", F.when(error.isNull(), score).otherwise(0.0)).withColumn("truncated", cut)

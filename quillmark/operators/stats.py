@@ -132,6 +132,32 @@ def advantages(df: DataFrame, group: str, reward: str, estimator: str = "grpo",
     return df.drop("__r", "__m", "__c", "__gs")
 
 
+def weighted_reward(rewards: dict[str, float]) -> Column:
+    """Weighted sum of reward columns; a reward that is null or nan adds nothing."""
+    total = F.lit(0.0)
+    for c, w in rewards.items():
+        total = total + F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) * w, F.lit(0.0))
+    return total
+
+
+def gdpo_advantages(df: DataFrame, group: str, rewards: dict[str, float], eps: float = 1e-8) -> DataFrame:
+    """Each reward whitened within its group, weighted and summed, and the sums whitened over the batch.
+
+    Null and nan rewards, and rewards of a group with one of them, count as zero.
+    """
+    own = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in rewards}
+    sums: dict[str, Column] = {}
+    for i, c in enumerate(rewards):
+        sums |= {f"__m{i}": F.avg(own[c]), f"__s{i}": F.stddev_samp(own[c])}
+    df = with_group(df, group, **sums)
+    total = F.lit(0.0)
+    for i, (c, w) in enumerate(rewards.items()):
+        total = total + w * F.coalesce((own[c] - F.col(f"__m{i}")) / (F.col(f"__s{i}") + eps), F.lit(0.0))
+    df = df.withColumn("advantage", total).drop(*sums)
+    g = df.agg(F.avg("advantage").alias("__m"), F.coalesce(F.stddev_samp("advantage"), F.lit(0.0)).alias("__s"))
+    return df.join(F.broadcast(g)).withColumn("advantage", (F.col("advantage") - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
+
+
 def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
     """Keeps the groups whose rewards differ."""
     keep = df.groupBy(group).agg(F.stddev_samp(reward).alias("__s")).where("__s > 0").select(group)
@@ -170,6 +196,32 @@ def best_of_n(df: DataFrame, query: str, choice: str, score: str, keep: int = 1)
     return r.where((F.col("rank") <= keep) & (F.col("rank") < F.col("__n"))).drop("__n")
 
 
+def best_of_n_scored(
+    df: DataFrame, query: str, choice: str, orm: str, prm: str | None = None, orm_least: float | None = None, prm_least: float | None = None,
+    keep: int = 1, returned: int | None = None, easy: float | None = None,
+) -> DataFrame:
+    """``query, choice, rejected, score``: the best choices of a query that pass, each with the query's worst.
+
+    A choice scores ten times its outcome reward and its process reward, both
+    scaled to 0 to 1 within the query. It passes if its raw rewards are over
+    their least values. A query of which no choice passes goes, and so does an
+    easy one: over ``returned * easy`` choices but one have some outcome
+    reward. Of equal scores the greater choice comes first.
+    """
+    scaled = minmax(df, orm, query).withColumnRenamed("scaled", "__o")
+    scaled = minmax(scaled, prm, query).withColumnRenamed("scaled", "__p") if prm else scaled.withColumn("__p", F.lit(1.0))
+    passes = F.lit(True)
+    for c, at_least in ((orm, orm_least), (prm, prm_least)):
+        if c and at_least is not None:
+            passes = passes & F.coalesce(F.col(c) > at_least, F.lit(False))
+    rows = scaled.withColumn("score", F.col("__p") + 10 * F.col("__o")).withColumn("__ok", passes)
+    rows = with_group(rows, query, __any=F.max("__ok"), __worst=F.min_by(choice, F.struct("score", choice)), __some=F.count_if(F.col("__o") > 0)).where("__any")
+    if easy is not None and returned:
+        rows = rows.where(F.col("__some") - 1 < int(returned * easy))
+    top = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.desc(choice)))).where(F.col("__rn") <= keep)
+    return top.where(F.col("__ok") & (F.col(choice) != F.col("__worst"))).select(query, choice, F.col("__worst").alias("rejected"), "score")
+
+
 def marker_sessions(df: DataFrame, key: str, order: list[str], marker: Column) -> DataFrame:
     """Session number: rows before the first marker join the first session."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -581,11 +581,40 @@ def kto_class_balance(spark, sf_dir):
     return rounded(metrics.kto_bounds(t(spark, sf_dir, "labels").select((F.col("toxic") == 0).alias("good")), "good"))
 
 
+def _graded(spark, sf_dir) -> DataFrame:
+    """Every document as a hypothesis for one of the benchmark's items."""
+    b = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
+    n = b.agg(F.max("item_id") + 1).first()[0]
+    return t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("item_id")).join(b, "item_id")
+
+
 @query()
 def rouge_lite(spark, sf_dir):
-    b = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
-    d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    return metrics.rouge_bleu_rows(b.join(d, F.col("item_id") == F.col("doc_id")), "item_id", "text", "ref")
+    return metrics.rouge_bleu_rows(_graded(spark, sf_dir), "doc_id", "text", "ref")
+
+
+def _rouge_sql(n: int) -> str:
+    words = lambda c: f"list_filter(regexp_split_to_array(trim({c}, ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+    grams = lambda w: f"CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' ')) ELSE [] END"
+    return f"""
+        WITH p AS (SELECT doc_id, {words("d.text")} AS h, {words("b.text")} AS r FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
+        g AS (SELECT doc_id, unnest({grams("h")}) AS g, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc_id, unnest({grams("r")}), 0, 1 FROM p),
+        c AS (SELECT doc_id, g, sum(a) AS a, sum(b) AS b FROM g GROUP BY 1, 2),
+        s AS (SELECT doc_id, sum(least(a, b)) AS hits, sum(a) AS a, sum(b) AS b FROM c GROUP BY 1)
+        SELECT doc_id, round(CASE WHEN a > 0 AND b > 0 THEN 200.0::DOUBLE * hits / (a + b) ELSE 0 END, 6) AS rouge_{n} FROM p LEFT JOIN s USING (doc_id)"""
+
+
+def _rouge(n: int) -> None:
+    def run(spark, sf_dir):
+        pairs = _graded(spark, sf_dir)
+        return rounded(metrics.rouge_n(pairs, "doc_id", rewards.words(F.col("text")), rewards.words(F.col("ref")), n))
+
+    run.__name__ = f"rouge_{n}"
+    query(_rouge_sql(n))(run)
+
+
+_rouge(1)
+_rouge(2)
 
 
 @query("""

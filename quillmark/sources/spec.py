@@ -93,7 +93,7 @@ class Registry:
         return self._by_name.get(name) or next((d for n, d in self._by_name.items() if n.split("/")[-1] == name), None)
 
 
-def read_records(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
     """Reads JSON lines, CSV, text or Parquet. Blank CSV fields stay empty strings."""
     fmt = fmt or FORMATS.get(path.rsplit(".", 1)[-1].lower(), "parquet")
     reader = spark.read.schema(schema) if schema else spark.read

@@ -1,11 +1,13 @@
 """Encodings, selection runs and spans."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmark.functions import spans
+from quillmark.functions import geo, spans
 from quillmark.operators import encode, metrics, normalize, runs
 
 MSG = "array<struct<role:string,content:string,loss:double>>"
@@ -104,3 +106,25 @@ def test_token_accuracy_and_losses(spark):
     assert metrics.contrastive(pairs, "s", "y").first().loss == 0.0
     best = metrics.best_runs(spark.createDataFrame([("a", 0.5), ("a", 0.7)], "g string, m double"), "m", "g")
     assert [r.best for r in best.orderBy("m").collect()] == [False, True]
+
+
+@pytest.mark.parametrize(("p", "km"), [
+    ((0, 0, 0, 1), 111.319491), ((0, 0, 1, 0), 110.574389), ((-37.95103341666667, 144.42486788888888, -37.65282113888889, 143.92649552777777), 54.972271),
+    ((48.8566, 2.3522, 51.5074, -0.1278), 343.923), ((10, 20, 10, 20), 0.0), ((90, 0, -90, 0), 20003.931459), ((None, 0, 0, 0), None), ((0, 0, 0, 180), None),
+])
+def test_ellipsoidal_distance(spark, p, km):
+    """Known geodesics: a degree of the equator and of a meridian, two surveyed points, two cities, pole to pole."""
+    got = spark.range(1).select(geo.ellipsoidal_km(*[F.lit(x).cast("double") for x in p]).alias("km")).first().km
+    assert got == (None if km is None else pytest.approx(km, abs=2e-2 if km == 343.923 else 1e-5))
+
+
+def test_common_subsequence():
+    rnd = random.Random(3)
+    for _ in range(200):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert metrics.common_subsequence(a, b) == row[-1]

@@ -250,7 +250,7 @@ def test_answer_block(spark, said, want):
 
 @pytest.mark.parametrize(("said", "want"), [
     ('{"latitude": 1.5, "longitude": -2}', (1.5, -2.0)), ("lat: 3, lon = 4", (3.0, 4.0)), ("at (10, 20)", (10.0, 20.0)),
-    ('{"latitude": 99, "longitude": 0}', None), ("none here", None),
+    ('{"latitude": 99, "longitude": 0}', (99.0, 0.0)), ('<answer>48.85, 2.35</answer>', (48.85, 2.35)), ("48.85 N, roughly 2.35", (48.85, 2.35)), ("lat 99, then 1", None), ("none here", None),
 ])
 def test_latlon(spark, said, want):
     got = value(spark, text.latlon(F.lit(said)))
@@ -275,10 +275,10 @@ def test_format_rewards(spark):
     assert value(spark, rewards.format_ok(F.lit(good + " tail"))) == 0.0
     assert value(spark, rewards.geo_format(F.lit(good))) == 1.0
     assert value(spark, rewards.geo_no_unknown(F.lit(good.replace("b;", "Unknown;")))) == 0.0
-    strict = '<think>{"Clues": "x", "Reasoning": "y"}</think><answer>{"FinalAnswer": "a; b; c"}</answer>'
+    strict = '<think>{"Clues": ["x"], "Reasoning": "y"}</think><answer>{"FinalAnswer": "a; b; c"}</answer>'
     assert value(spark, rewards.geo_strict_format(F.lit(strict))) == 1.0
     assert value(spark, rewards.geo_strict_format(F.lit(good))) == 0.0
-    whole = '{"Clues": "x", "Reasoning": "y", "FinalAnswer": "a；b；c"}<|im_end|>'
+    whole = '{"Clues": ["x"], "Reasoning": "y", "FinalAnswer": "a；b；c"}<|im_end|>'
     assert value(spark, rewards.geo_json_strict_format(F.lit(whole))) == 1.0
     assert value(spark, rewards.react_ok(F.lit("<think>a</think> Action: x\nAction Input: y"))) == 1.0
 
@@ -301,13 +301,13 @@ def test_length_rewards(spark):
 CALLS = {
     "hermes": '<tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call>',
     "llama3": '{"name": "f", "parameters": {"x": 1}}<|eom_id|>',
-    "mistral": '[TOOL_CALLS] [{"name": "f", "arguments": {"x": 1}}]</s>',
+    "mistral": '[TOOL_CALLS][{"name": "f", "arguments": {"x": 1}}]</s>',
     "glm4": 'f\n{"x": 1}',
     "glm4_5": "<tool_call>f\n<arg_key>x</arg_key>\n<arg_value>1</arg_value></tool_call>",
     "qwen3_coder": "<tool_call>\n<function=f>\n<parameter=x>\n1\n</parameter>\n</function>\n</tool_call>",
     "seed_oss": "<seed:tool_call><function=f><parameter=x>1</parameter></function></seed:tool_call>",
     "deepseek_v3_1": '<｜tool▁call▁begin｜>f<｜tool▁sep｜>{"x": 1}<｜tool▁call▁end｜>',
-    "minimax_m2": '<invoke name="f"><parameter name="x">1</parameter></invoke>',
+    "minimax_m2": '<minimax:tool_call><invoke name="f"><parameter name="x">1</parameter></invoke></minimax:tool_call>',
     "hunyuan_hermes": '<tool_call>f\n```json\n{"x": 1}\n```\n</tool_call>',
     "react_en": 'Action: f\nAction Input: {"x": 1}\nObservation: ok',
 }

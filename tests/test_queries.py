@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillmark.plans import catalogue
+from quillmark.plans import catalogue, more  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
