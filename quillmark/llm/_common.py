@@ -40,7 +40,7 @@ def first_by_hash(rows: DataFrame, label: str, n: int, order: list[str]) -> Data
     task ranks a label's rows; with that margin a label of over 4 n rows yields
     n of them but for a chance under 1e-30 at n = 100.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    counts = F.broadcast(rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n")))  # one row a label, of which the sample holds one at least
     near = rows.join(counts, label).where((F.col(order[0]) / float(1 << 64) + 0.5) * F.col("__n") <= 4.0 * n)
     return near.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("__r") <= n).drop("__n", "__r")
 
