@@ -140,6 +140,12 @@ def shards(df: DataFrame, n: int, order: list[Column], contiguous: bool = True,
     return r.withColumn(name, (stretch if contiguous else at % n).cast("long")).drop("__rn", "__m")
 
 
+def list_split(df: DataFrame, n: int, order: list[Column], name: str = "shard") -> DataFrame:
+    """Numbers n stretches of the order from 0, stretch i from row floor(i * rows / n) on."""
+    r = ranked(df, order, "__rn", "__m")
+    return r.withColumn(name, F.expr(f"(__rn * {n} - 1) div __m")).drop("__rn", "__m")
+
+
 def pieces(df: DataFrame, n: int, order: list[Column], name: str = "piece") -> DataFrame:
     """n pieces of equal size; the rows that are left over go."""
     r = ranked(df, order, "__rn", "__m")

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators import templates
 from quillmark.operators.compose import ranked, uniform
-from quillmark.operators.normalize import MESSAGES, expand_rejected
+from quillmark.operators.normalize import MESSAGES, expand_rejected, remove_response
 
 Encoder = Callable[[Column], Column]
 
@@ -21,19 +22,108 @@ def words(messages: Column) -> Column:
     return F.flatten(F.transform(messages, lambda m: F.array_remove(F.split(F.trim(m["content"]), r"\s+"), "")))
 
 
+def characters(text: Column) -> Column:
+    """Code points: the tokens of a text where no tokenizer is given."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def labelled(df: DataFrame, template: str = "chatml", loss: str = "default", tokens: Callable[[Column], Column] = characters) -> DataFrame:
+    """Adds ``input_ids``, ``labels`` (-100 where nothing is learned) and, unless all weights are 0 or 1, ``loss_scale``."""
+    binary = templates.is_binary(loss)
+    df = templates.with_pieces(df, template, loss, name="__pieces")
+    one = lambda p: F.transform(tokens(p["text"]), lambda t: F.struct(t.alias("t"), p["weight"].alias("w")))
+    df = df.withColumn("__tokens", F.flatten(F.transform("__pieces", one)))
+    df = df.withColumn("input_ids", F.transform("__tokens", lambda x: x["t"])).withColumn("labels", F.transform("__tokens", lambda x: F.when(x["w"] > 0, x["t"]).otherwise(-100)))
+    if not binary:
+        df = df.withColumn("loss_scale", F.transform("__tokens", lambda x: x["w"]))
+    return df.drop("__pieces", "__tokens")
+
+
+def _headless(c: str, values: Column) -> Column:
+    """The first token of a cut row has nothing before it to be learned from."""
+    if c == "input_ids":
+        return values
+    blank = F.lit(-100) if c == "labels" else F.lit(0.0)
+    return F.transform(values, lambda x, i: F.when(i == 0, blank).otherwise(x))
+
+
+def truncated(df: DataFrame, max_length: int, strategy: str = "right", protected: tuple[int, ...] = ()) -> DataFrame:
+    """Rows over ``max_length`` tokens: cut on the ``right`` or ``left``, ``split`` into rows, ``delete``d or refused (``raise``).
+
+    Protected tokens are never cut: of the others the first (right) or last
+    (left) stay, as many as there is room for; protected ones alone may be over
+    the limit. ``labels`` and ``loss_scale`` are cut alike. Null rows stay.
+    """
+    keys = [c for c in ("input_ids", "labels", "loss_scale") if c in df.columns]
+    too_long = F.coalesce(F.size("input_ids") > max_length, F.lit(False))
+    if strategy == "delete":
+        return df.where(~too_long)
+    if strategy == "raise":
+        return df.withColumn("input_ids", F.when(too_long, F.raise_error(F.lit(f"a row is longer than {max_length}"))).otherwise(F.col("input_ids")))
+    if strategy == "split":
+        starts = F.when(too_long, F.sequence(F.lit(0), F.size("input_ids") - 1, F.lit(max_length))).otherwise(F.array(F.lit(0)))
+        df = df.withColumn("__long", too_long).withColumn("__start", F.explode(starts))
+        part = lambda c: F.slice(c, F.col("__start") + 1, F.lit(max_length))
+        return df.withColumns({c: F.when(F.col("__long"), _headless(c, part(c))).otherwise(F.col(c)) for c in keys}).drop("__long", "__start")
+    if strategy not in ("left", "right"):
+        raise ValueError(f"no truncation strategy: {strategy}")
+    kept_always = lambda t: t.isin(*protected) if protected else F.lit(False)
+    free = F.filter(F.transform("input_ids", lambda t, i: F.when(~kept_always(t), i)), lambda i: i.isNotNull())
+    df = df.withColumn("__free", F.when(too_long, free)).withColumn("__zip", F.when(too_long, F.arrays_zip(*keys)))
+    room = F.greatest(max_length - F.size("input_ids") + F.size("__free"), F.lit(0))
+    edge = F.coalesce(F.get("__free", room - 1), F.lit(-1)) if strategy == "right" else F.coalesce(F.get("__free", F.size("__free") - room), F.size("input_ids"))
+    df = df.withColumn("__edge", edge)
+    inside = (lambda i: i <= F.col("__edge")) if strategy == "right" else (lambda i: i >= F.col("__edge"))
+    df = df.withColumn("__kept", F.filter("__zip", lambda z, i: kept_always(z["input_ids"]) | inside(i)))
+    cut = {c: F.when(too_long, _headless(c, F.col("__kept")[c])).otherwise(F.col(c)) for c in keys}
+    return df.withColumns(cut).drop("__free", "__zip", "__edge", "__kept")
+
+
 def add_length(df: DataFrame, encode: Encoder = words, max_length: int | None = None) -> DataFrame:
     """Adds ``lengths``; rows over the limit go."""
     df = df.withColumn("lengths", F.array(F.size(encode(F.col("messages")))))
     return df.where(F.array_max("lengths") <= max_length) if max_length else df
 
 
-def rlhf(df: DataFrame, encode: Encoder = words) -> DataFrame:
+def rlhf(df: DataFrame, encode: Encoder = words, also: tuple[str, ...] = ()) -> DataFrame:
     """``chosen_*`` and ``rejected_*`` of preference rows."""
     rejected = F.col("rejected_messages") if "rejected_messages" in df.columns else expand_rejected(F.col("messages"), F.col("rejected_response"))
-    keep = [F.col(c) for c in ("margin",) if c in df.columns]
+    keep = [F.col(c) for c in ("margin", *also) if c in df.columns]
     return df.select(encode(F.col("messages")).alias("chosen_input_ids"), encode(rejected).alias("rejected_input_ids"), *keep)
 
 
+def kto(df: DataFrame, encode: Encoder = words) -> DataFrame:
+    """Like ``rlhf``, but a rejected answer may be missing; ``label`` is whether the answer is wanted (null: no)."""
+    none = F.lit(None).cast("string")
+    rows = rlhf(df.withColumn("__label", F.coalesce(F.col("label").cast("boolean"), F.lit(False))).withColumn("rejected_response", F.col("rejected_response") if "rejected_response" in df.columns else none), encode, ("__label", "rejected_response"))
+    missing = F.col("rejected_response").isNull() if "rejected_messages" not in df.columns else F.lit(False)
+    return rows.withColumn("rejected_input_ids", F.when(~missing, F.col("rejected_input_ids"))).drop("rejected_response").withColumnRenamed("__label", "label")
+
+
+def classified(df: DataFrame, encode: Encoder = words, single: bool = True) -> DataFrame:
+    """Tokens and the label of a classification, an integer where one class holds; null labels stay null."""
+    return df.select(encode(F.col("messages")).alias("input_ids"), (F.col("label").cast("int") if single else F.col("label")).alias("labels"))
+
+
+def dispatch(df: DataFrame, task: str = "causal_lm", mode: str = "train", training: bool = True, encode: Encoder = words, template: str = "chatml", loss: str = "default") -> DataFrame:
+    """The encoding that a task and a mode call for."""
+    if task in ("causal_lm", "prm") and mode not in ("rlhf", "kto"):
+        if task == "causal_lm" and not training:
+            df = df.withColumn("messages", remove_response(F.col("messages"))[0])
+        return labelled(df, template, loss)
+    if task in ("causal_lm", "seq_cls") and mode == "rlhf":
+        return rlhf(df, encode)
+    if task == "causal_lm":
+        return kto(df, encode)
+    if task == "seq_cls":
+        return classified(df, encode)
+    if task in ("embedding", "reranker", "generative_reranker"):
+        if not training:
+            return df.select(encode(F.col("messages")).alias("input_ids"))
+        return embedding(df, encode) if task == "embedding" else rerank(df, encode)
+    raise ValueError(f"no task: {task}")
+
+
 def embedding(df: DataFrame, encode: Encoder = words) -> DataFrame:
     """Anchor, first positive, negatives; labels: the label (or 1), then a 0 for each negative."""
     first = F.get("positive_messages", F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.geo import THRESHOLDS_KM, report_geoscore
-from quillmark.operators.compose import medians, ranked
+from quillmark.operators.compose import medians, ranked, running_total
 
 UNKNOWN = "UNKNOWN"
 
@@ -81,6 +81,24 @@ def pearson(x: str, y: str, eps: float = 1e-18) -> Column:
     return F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y) + eps)
 
 
+def label_correlations(df: DataFrame, scores: list[str], label: str) -> DataFrame:
+    """``name, pearson, spearman`` of each score against a label; ties get their mean rank.
+
+    Rows where either is null are left out; one row, or a constant, gives null.
+    Ranks come from range parts, so no task sorts the whole table.
+    """
+    out = None
+    for s in scores:
+        d = df.select(F.col(s).cast("double").alias("x"), F.col(label).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+        for c in ("x", "y"):
+            counts = d.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+            ranks = running_total(counts, [F.col(c)], F.col("n"), "before").select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+            d = d.join(ranks, c)
+        one = d.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")).select(F.lit(s).alias("name"), "pearson", "spearman")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def length_stats(df: DataFrame, length: str) -> DataFrame:
     c = F.col(length)
     return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("size"))

@@ -75,18 +75,24 @@ def normal_role(role: Column) -> Column:
     return F.when(r.isin("user", "human"), "user").when(r.isin("assistant", "gpt", "bot"), "assistant").when(r == "function_call", "tool_call").when(r.isin("function_response", "observation", "observations"), "tool_response").otherwise(r)
 
 
-def from_messages(df: DataFrame) -> DataFrame:
-    """Messages with role/from and content/value, or human/assistant pairs."""
-    name = next(c for c in MESSAGE_COLUMNS if c in df.columns)
+def standard_messages(df: DataFrame, name: str) -> Column:
+    """A column with role/from and content/value, or human/assistant pairs, in the standard form."""
     keys = df.schema[name].dataType.elementType.names
     pick = lambda options: next((k for k in options if k in keys), None)
     role, content = pick(("role", "from")), pick(("content", "value"))
     if role and content:
         loss = (lambda m: m["loss"].cast("double")) if "loss" in keys else (lambda m: F.lit(None).cast("double"))
-        out = F.transform(name, lambda m: F.struct(normal_role(m[role]).alias("role"), m[content].cast("string").alias("content"), loss(m).alias("loss")))
-    else:
-        user, bot = pick(("human", "user")), pick(("assistant", "gpt", "bot"))
-        out = F.flatten(F.transform(name, lambda m: F.array(message("user", m[user]), message("assistant", m[bot]))))
+        return F.transform(name, lambda m: F.struct(normal_role(m[role]).alias("role"), m[content].cast("string").alias("content"), loss(m).alias("loss")))
+    user, bot = pick(("human", "user")), pick(("assistant", "gpt", "bot"))
+    return F.flatten(F.transform(name, lambda m: F.array(message("user", m[user]), message("assistant", m[bot]))))
+
+
+def from_messages(df: DataFrame) -> DataFrame:
+    """The message column and, where there are any, the rejected messages; a system column leads the first."""
+    name = next(c for c in MESSAGE_COLUMNS if c in df.columns)
+    out = standard_messages(df, name)
+    if "rejected_messages" in df.columns:
+        df = df.withColumn("rejected_messages", standard_messages(df, "rejected_messages").cast(MESSAGES))
     if "system" in df.columns:
         lead = F.col("system").isNotNull() & F.coalesce(F.get(out, F.lit(0))["role"] != "system", F.lit(True))
         out = F.when(lead, F.concat(F.array(message("system", F.col("system"))), out)).otherwise(out)
@@ -112,6 +118,42 @@ def normalize(df: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -
     return out.where(valid)
 
 
+def classes(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Response records whose label is an integer; rows whose label is none go."""
+    return normalize(df, keep=keep).withColumn("label", F.expr("try_cast(label AS bigint)")).where("label IS NOT NULL")
+
+
+#: Questions and answers of grounding and captioning, by language (fixed values).
+GROUNDING = {
+    ("grounding", "en"): [
+        ("<ref-object>", "<bbox>"), ("The positions of <ref-object> is", "<bbox>"), ("Find the positions of <ref-object>", "<bbox>"), ("Where is <ref-object>", "<bbox>"), ("Find <ref-object>", "<bbox>"),
+        ("Show me <ref-object>", "<bbox>"), ("Detect <ref-object>", "<bbox>"), ("Locate <ref-object>", "<bbox>"), ("Tell me the location of <ref-object>", "<bbox>"),
+        ("Give the location of <ref-object>", "<bbox>"), ("Provide the bounding box coordinate of <ref-object>", "<bbox>"),
+    ],
+    ("grounding", "zh"): [
+        ("<ref-object>", "<bbox>"), ("<ref-object>的位置在图片中", "<bbox>"), ("<ref-object>在图片中", "<bbox>"), ("<ref-object>在", "<bbox>"), ("找到<ref-object>的位置", "<bbox>"),
+        ("<ref-object>在哪里", "<bbox>"), ("提供<ref-object>的坐标位置", "<bbox>"),
+    ],
+    ("caption", "en"): [
+        ("<bbox>", "<ref-object>"), ("The object at position <bbox>", "<ref-object>"), ("This <bbox> is", "<ref-object>"), ("What is the object at <bbox>", "<ref-object>"), ("Describe <bbox>", "<ref-object>"),
+        ("<bbox> is", "<ref-object>"), ("The bounding box coordinate <bbox> contains", "<ref-object>"),
+    ],
+    ("caption", "zh"): [
+        ("<bbox>", "<ref-object>"), ("<bbox>是什么", "<ref-object>"), ("<bbox>的位置包含", "<ref-object>"), ("描述<bbox>", "<ref-object>"), ("<bbox>中是", "<ref-object>"),
+        ("坐标<bbox>描述了什么", "<ref-object>"), ("描述<bbox>中的事物", "<ref-object>"),
+    ],
+}
+
+
+def grounding_prompt(language: Column, choice: Column, task: str) -> Column:
+    """Query and response for two uniform numbers: English below 0.8, else Chinese, then one of its prompts."""
+    def of(name: str) -> Column:
+        rows = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(r).alias("response")) for q, r in GROUNDING[task, name]])
+        return F.get(rows, F.floor(choice * len(GROUNDING[task, name])).cast("int"))
+
+    return F.when(language < 0.8, of("en")).otherwise(of("zh"))
+
+
 def valid_messages(m: Column) -> Column:
     return F.coalesce((F.size(m) > 0) & F.forall(m, lambda x: F.coalesce(x["role"].isin(*ROLES), F.lit(False)) & x["content"].isNotNull()), F.lit(False))
 
