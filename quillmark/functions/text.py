@@ -202,3 +202,64 @@ def normalize_bbox(bbox: Column, width: Column, height: Column) -> Column:
     """Corners in order, in thousandths of the image; halves go to the even number."""
     box = F.array(F.least(bbox[0], bbox[2]), F.least(bbox[1], bbox[3]), F.greatest(bbox[0], bbox[2]), F.greatest(bbox[1], bbox[3]))
     return F.transform(box, lambda v, i: F.bround(v / F.when(i % 2 == 0, width).otherwise(height) * 1000).cast("int"))
+
+
+def _dict(text: Column) -> Column:
+    """A text that is one JSON object and nothing else."""
+    return F.when(text.rlike(r"(?s)\A\s*\{") & F.try_parse_json(text).isNotNull(), text)
+
+
+def _string_of(text: Column, name: str) -> Column:
+    """A field of an object if it is a string."""
+    field = F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
+
+
+def eval_answer(text: Column) -> Column:
+    """The place an output names, for evaluation: only ``FinalAnswer`` (or ``final_answer``) of its JSON, or that field in text that is no JSON.
+
+    An empty field counts as none; runs of white space become a blank. A field
+    that is found in text may be empty.
+    """
+    text = strip(text)
+    fenced = F.regexp_extract(F.coalesce(answer_block(text), text), r"(?s)\A```[^\n]*\n(.*)\n```[^\n]*\z", 1)
+    payload = F.when(fenced != "", strip(fenced)).otherwise(F.coalesce(answer_block(text), text))
+    named = F.coalesce(F.nullif(_string_of(_dict(payload), "FinalAnswer"), F.lit("")), _string_of(_dict(payload), "final_answer"))
+    pattern = r'(?is)"FinalAnswer"\s*:\s*"((?:\\.|[^"\\])*)"'
+    raw = F.coalesce(_group(payload, pattern), _group(text, pattern))
+    loose = F.coalesce(F.get_json_object(F.concat(F.lit('{"a":"'), raw, F.lit('"}')), "$.a"), raw)
+    one_line = lambda c: strip(F.regexp_replace(c, r"\s+", " "))
+    return F.coalesce(F.when(strip(named) != "", one_line(named)), one_line(loose))
+
+
+def reward_point(text: Column) -> Column:
+    """``struct<lat,lon>`` in range, of the JSON object in an answer block, the first that has one, else in the text; else null.
+
+    A key that is there but holds no number is not made up for by its short name.
+    """
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(r"(?is)<answer>(.*?)</answer>"), F.lit(1)), strip)
+
+    def of(source: Column) -> Column:
+        loose = F.get(F.filter(F.regexp_extract_all(source, F.lit(r"(?s)\{.*?\}"), F.lit(0)), lambda x: _dict(x).isNotNull()), F.lit(0))
+        data = F.try_parse_json(F.coalesce(_dict(source), loose))
+
+        def number(*names: str) -> Column:
+            out = F.lit(None).cast("string")
+            for name in reversed(names):
+                out = F.when(F.try_variant_get(data, f"$.{name}", "variant").isNotNull(), F.try_variant_get(data, f"$.{name}", "string")).otherwise(out)
+            return maybe_float(out)
+
+        lat, lon = number("latitude", "lat"), number("longitude", "lon", "lng")
+        return _point(lat, lon, lat.between(-90, 90) & lon.between(-180, 180))
+
+    points = F.transform(F.concat(blocks, F.array(text)), of)
+    return F.get(F.filter(points, lambda p: p.isNotNull()), F.lit(0))
+
+
+def domain_of(path: Column, root: str, names: dict[str, str] | None = None) -> Column:
+    """The folder below a root that a file lies in; of a file in the root itself its stem, or the name that stands for it; ``UNKNOWN`` elsewhere."""
+    base = root.rstrip("/") + "/"
+    relative = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1)))
+    stem = F.regexp_replace(relative, r"(?<=.)\.[^.]*\z", "")
+    known = F.coalesce(*[F.when(F.lower(stem) == k, v) for k, v in names.items()], stem) if names else stem
+    return F.coalesce(F.when(relative.contains("/"), F.substring_index(relative, "/", 1)).otherwise(known), F.lit("UNKNOWN"))

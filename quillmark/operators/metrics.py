@@ -249,6 +249,44 @@ def contrastive(df: DataFrame, similarity: str, label: str, margin: float = 0.5)
     return df.agg(F.avg(0.5 * (F.col(label) * d * d + (1 - F.col(label)) * F.pow(F.greatest(F.lit(0.0), margin - d), 2))).alias("loss"))
 
 
+def cosine_loss(df: DataFrame, similarity: str, label: str) -> DataFrame:
+    """Mean squared difference of similarities and labels."""
+    return df.agg(F.avg(F.pow(F.col(similarity) - F.col(label), 2)).alias("loss"))
+
+
+def online_contrastive(df: DataFrame, similarity: str, label: str, batch: str, margin: float = 0.5) -> DataFrame:
+    """``batch, loss``: the sum over the hard pairs of a batch alone, by distances (1 - similarity).
+
+    Negatives count that are nearer than the farthest positive, positives that
+    are farther than the nearest negative; where there is at most one of the
+    other kind, the mean of a pair's own kind is the limit.
+    """
+    rows = df.select(F.col(batch).alias("batch"), (1 - F.col(similarity)).alias("d"), (F.col(label) == 1).alias("p"))
+    far, near = F.when(F.col("p"), F.col("d")), F.when(~F.col("p"), F.col("d"))
+    limits = rows.groupBy("batch").agg(
+        F.when(F.count(far) > 1, F.max(far)).otherwise(F.avg(near)).alias("below"), F.when(F.count(near) > 1, F.min(near)).otherwise(F.avg(far)).alias("above"))
+    hard = F.when(F.col("p") & (F.col("d") > F.col("above")), F.pow("d", F.lit(2))).when(~F.col("p") & (F.col("d") < F.col("below")), F.pow(F.greatest(F.lit(0.0), margin - F.col("d")), 2)).otherwise(0.0)
+    return rows.join(limits, "batch").groupBy("batch").agg(F.sum(hard).alias("loss"))
+
+
+def pointwise_loss(df: DataFrame, logit: str, label: str) -> DataFrame:
+    """Mean binary cross entropy of logits."""
+    x = F.col(logit)
+    return df.agg(F.avg(F.greatest(x, F.lit(0.0)) - x * F.col(label) + F.log1p(F.exp(-F.abs(x)))).alias("loss"))
+
+
+def listwise_loss(df: DataFrame, logit: str, label: str, group: str, temperature: float = 1.0, min_size: int = 2) -> DataFrame:
+    """Cross entropy of the positive among its group, mean over groups of ``min_size`` or more; 0 without any such group."""
+    rows = df.select(F.col(group).alias("g"), (F.col(logit) / temperature).alias("x"), (F.col(label) == 1).alias("p"))
+    tops = rows.groupBy("g").agg(F.max("x").alias("top"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    sums = rows.join(tops, "g").groupBy("g").agg((F.log(F.sum(F.exp(F.col("x") - F.col("top")))) + F.max("top") - F.max(F.when(F.col("p"), F.col("x")))).alias("loss"))
+    return sums.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
+
+
+#: Losses by name; add to it to plug in others.
+LOSSES = {"infonce": infonce, "contrastive": contrastive, "cosine_similarity": cosine_loss, "online_contrastive": online_contrastive, "pointwise_reranker": pointwise_loss, "listwise_reranker": listwise_loss}
+
+
 def best_runs(df: DataFrame, metric: str, group: str) -> DataFrame:
     """Marks the runs that reach their group's best metric."""
     top = F.max(metric).over(Window.partitionBy(group))

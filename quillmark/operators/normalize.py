@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.functions.text import without_thoughts
+
 MESSAGES = "array<struct<role:string,content:string,loss:double>>"
 ROLES = ("system", "user", "tool_call", "tool_response", "tool", "assistant")
 STANDARD = [p + k for p in ("", "rejected_", "positive_", "negative_") for k in ("messages", "images", "videos", "audios", "tools", "objects")] + ["rejected_response", "label", "channel", "margin"]
@@ -168,6 +170,16 @@ def last_user_round(m: Column) -> Column:
     return F.coalesce(F.array_max(at), F.lit(-1))
 
 
+def without_old_thoughts(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Answers before the last user message keep only what follows their last ``</think>``, behind a prefix."""
+    def of(m: Column, i: Column) -> Column:
+        told = F.concat(F.lit(prefix), without_thoughts(m["content"]))
+        old = (m["role"] == "assistant") & (i < F.col("__last")) & m["content"].isNotNull()
+        return F.struct(m["role"].alias("role"), F.when(old, told).otherwise(m["content"]).alias("content"), m["loss"].alias("loss"))
+
+    return df.withColumn("__last", last_user_round(F.col("messages"))).withColumn("messages", F.transform("messages", of)).drop("__last")
+
+
 def remove_response(m: Column) -> tuple[Column, Column]:
     """Messages without a trailing assistant message, and its content."""
     last = F.get(m, F.size(m) - 1)

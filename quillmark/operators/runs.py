@@ -188,3 +188,35 @@ def judge_rewards(samples: DataFrame, output: str = "judge_output") -> DataFrame
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), verdict["score"]))
     cut = (said != "") & ~F.endswith(F.rtrim(said), F.lit("}"))
     return samples.withColumn("error", error).withColumn("reward", F.when(error.isNull(), score).otherwise(0.0)).withColumn("truncated", cut)
+
+
+def with_domain(rows: DataFrame, domain: Column, name: str = "domain") -> DataFrame:
+    """Fills a null or empty domain; an unknown one fills nothing."""
+    own = F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn(name, F.when((own.isNull() | (own == "")) & (domain != "UNKNOWN"), domain).otherwise(own))
+
+
+def benchmark_files(files: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """The files of a benchmark: the metadata of domain folders, else JSON lines in the root, else JSON that its name calls one.
+
+    Files whose name starts with ``download_`` belong to none of the first two.
+    """
+    base = root.rstrip("/") + "/"
+    d = files.where(F.col(path).startswith(base)).withColumn("__r", F.lower(F.substr(path, F.lit(len(base) + 1)))).withColumn("__n", F.substring_index("__r", "/", -1))
+    named = ~F.col("__n").startswith("download_")
+    loose = F.col("__n").rlike(r"\.jsonl?$") & ~F.col("__r").rlike("(^|/)shards2/") & ~F.col("__n").contains("metadata") & F.col("__n").rlike(r"bench|_500\.json$|remote_|indoor_")
+    tier = F.when(F.col("__r").rlike(r"^[^/]+/[^/]*_metadata\.jsonl$") & named, 1).when(F.col("__r").rlike(r"^[^/]+\.jsonl$") & named, 2).when(loose, 3)
+    # A file of an upper kind may be one of a lower kind too, but then the lower kind is not asked for.
+    d = d.withColumn("__tier", tier).where("__tier IS NOT NULL")
+    best = d.agg(F.min("__tier").alias("__tier"))
+    return d.join(F.broadcast(best), "__tier").drop("__tier", "__r", "__n")
+
+
+def reward_mask(reward: Column, threshold: float | None) -> Column:
+    """Strictly above the threshold; without one, all."""
+    return F.lit(True) if threshold is None else F.coalesce(reward > threshold, F.lit(False))
+
+
+def row_key(columns: list[str], leave_out: tuple[str, ...] = ("choices",)) -> Column:
+    """MD5 of a row as JSON, its columns in the order of their names."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns) if c not in leave_out])).cast("binary"))

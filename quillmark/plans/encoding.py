@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators import compose, encode, metrics, normalize, templates
+from quillmark.functions import text
+from quillmark.operators import compose, encode, metrics, normalize, runs, templates
 from quillmark.plans.catalogue import conversations, query, rounded, t, u
-from quillmark.plans.more import cat, ident, shaped
+from quillmark.plans.more import by_shape, cat, ident, shaped
+from quillmark.scratch import shared_dir
+from quillmark.sources import spec
 
 
 def _turns(*said: tuple[str, Column | str]) -> Column:
-    return F.array(*[normalize.message(role, F.lit(text) if isinstance(text, str) else text) for role, text in said])
+    return F.array(*[normalize.message(role, F.lit(x) if isinstance(x, str) else x) for role, x in said])
 
 
 def _template_sql() -> str:
@@ -85,8 +90,8 @@ def loss_types(spark, sf_dir):
     ]
     d = t(spark, sf_dir, "documents")
     rows = []
-    for k, (kind, asked, text) in enumerate(said):
-        m = d.where(ident() % 6 == k).select("doc_id", _turns(("user", asked), ("assistant", text)).alias("messages"))
+    for k, (kind, asked, answer) in enumerate(said):
+        m = d.where(ident() % 6 == k).select("doc_id", _turns(("user", asked), ("assistant", answer)).alias("messages"))
         p = templates.with_pieces(m, templates.Template("", "{{QUERY}}", "", ""), f"default+{kind}")
         rows.append(p.select("doc_id", F.posexplode(F.slice("pieces", 2, 1000))))
     return compose.concat(rows).select("doc_id", F.col("pos").alias("place"), "col.text", "col.weight")
@@ -180,3 +185,77 @@ def list_shards(spark, sf_dir):
 def label_correlations(spark, sf_dir):
     d = t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("y"), F.col("l_extendedprice").alias("price"), (-F.col("l_discount")).alias("less"))
     return rounded(metrics.label_correlations(d, ["price", "less"], "y"))
+
+
+# --- extraction, losses, files --------------------------------------------------------
+
+@query(f"""SELECT doc_id, {by_shape(9, ["'City ' || doc_id || '; R'", "'low ' || doc_id", "'say \"' || doc_id || '\"'", "NULL", "'in ' || doc_id", "NULL", "NULL", "'F ' || doc_id", "'b' || doc_id"])} AS answer FROM documents""")
+def eval_answers(spark, sf_dir):
+    i = ident()
+    shapes = [
+        cat('<think>t</think><answer> {"FinalAnswer": " City  ', i, ';\n R "} </answer>'), cat('{"FinalAnswer": "", "final_answer": "low ', i, '"}'), cat('so "finalanswer" : "say \\"', i, '\\"" there'), cat("FinalAnswer: City", i),
+        cat('<answer>```json\n{"FinalAnswer": "in ', i, '"}\n```</answer>'), F.lit("  "), cat('{"FinalAnswer": ', i, "}"), cat('<answer>none</answer> {"FinalAnswer": "F ', i, '"}'), cat('<answer>{"FinalAnswer": "b', i, '"} tail</answer>'),
+    ]
+    return shaped(spark, sf_dir, shapes).select("doc_id", text.eval_answer(F.col("out")).alias("answer"))
+
+
+@query("""
+    WITH x AS (SELECT doc_id, doc_id % 8 AS k, doc_id % 80 + 0.5 AS la, doc_id % 170 + 0.25 AS lo FROM documents)
+    SELECT doc_id, CAST(CASE WHEN k IN (0, 1, 2, 6) THEN la END AS DOUBLE) AS lat, CAST(CASE WHEN k IN (0, 1, 2, 6) THEN lo END AS DOUBLE) AS lon FROM x""")
+def reward_points(spark, sf_dir):
+    la, lo = (ident() % 80 + F.lit(0.5)).cast("double"), (ident() % 170 + F.lit(0.25)).cast("double")
+    shapes = [
+        cat('<answer>{"lat": "', la, '", "lng": ', lo, "}</answer>"), cat('text {"latitude": ', la, ', "longitude": ', lo, "} more"), cat('<answer>{"lat": 95, "lon": 1}</answer> <answer>at {"lat": ', la, ', "lon": ', lo, "}</answer>"),
+        cat('{"latitude": ', la + 95, ', "longitude": ', lo, "}"), cat("(", la, ", ", lo, ")"), cat('{"latitude": null, "lat": ', la, ', "lon": ', lo, "}"), cat('{"a": 1, "lat": ', la, ', "longitude": ', lo, ', "b": {"c": 2}}'), F.lit(None).cast("string"),
+    ]
+    d = shaped(spark, sf_dir, shapes).select("doc_id", text.reward_point(F.col("out")).alias("p"))
+    return d.select("doc_id", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+
+
+@query("""SELECT doc_id, 'q|' || lang || '|r|<think>b</think>' || source AS said FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def old_thoughts(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    d = d.select("doc_id", _turns(("user", "q"), ("assistant", cat("<think>a</think>\n", F.col("lang"), " ")), ("user", "r"), ("assistant", cat("<think>b</think>", F.col("source")))).alias("messages"))
+    return normalize.without_old_thoughts(d).select("doc_id", F.array_join(F.transform("messages", lambda m: m["content"]), "|").alias("said"))
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey % 500 AS b, l_discount::DOUBLE * 10 AS s, (l_linenumber % 2)::DOUBLE AS y FROM lineitem),
+    l AS (SELECT *, 1 - s AS d, CASE WHEN sum(y) OVER w > 1 THEN max(1 - s) FILTER (y = 1) OVER w ELSE avg(1 - s) FILTER (y = 0) OVER w END AS below,
+          CASE WHEN sum(1 - y) OVER w > 1 THEN min(1 - s) FILTER (y = 0) OVER w ELSE avg(1 - s) FILTER (y = 1) OVER w END AS above FROM r WINDOW w AS (PARTITION BY b))
+    SELECT 'cosine_similarity' AS name, round(avg((s - y) ** 2), 6) AS loss FROM l
+    UNION ALL SELECT 'online_contrastive', round(sum(CASE WHEN y = 1 AND d > above THEN d * d WHEN y = 0 AND d < below THEN greatest(0, 0.5 - d) ** 2 ELSE 0 END), 6) FROM l""")
+def embedding_losses(spark, sf_dir):
+    d = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("b"), (F.col("l_discount").cast("double") * 10).alias("s"), (F.col("l_linenumber") % 2).cast("double").alias("y"))
+    named = lambda name, x: x.select(F.lit(name).alias("name"), "loss")
+    return rounded(compose.concat([named("cosine_similarity", metrics.cosine_loss(d, "s", "y")), named("online_contrastive", metrics.online_contrastive(d, "s", "y", "b").agg(F.sum("loss").alias("loss")))]))
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey AS g, l_quantity::DOUBLE / 10 AS x, (l_linenumber = 1)::INT AS y, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    q AS (SELECT ln(sum(exp(x))) - max(x) FILTER (y = 1) AS loss FROM r WHERE n >= 2 GROUP BY g)
+    SELECT 'pointwise_reranker' AS name, round(avg(ln(1 + exp(x)) - x * y), 6) AS loss FROM r UNION ALL SELECT 'listwise_reranker', round(avg(loss), 6) FROM q""")
+def rerank_losses(spark, sf_dir):
+    d = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_quantity").cast("double") / 10).alias("x"), (F.col("l_linenumber") == 1).cast("int").alias("y"))
+    named = lambda name, x: x.select(F.lit(name).alias("name"), "loss")
+    return rounded(compose.concat([named("pointwise_reranker", metrics.pointwise_loss(d, "x", "y")), named("listwise_reranker", metrics.listwise_loss(d, "x", "y", "g"))]))
+
+
+@query("""
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'Known' WHEN 2 THEN 'f' || doc_id || '.x' END AS domain, md5('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}') AS key FROM documents WHERE lang IS NOT NULL""")
+def path_domains(spark, sf_dir):
+    k = ident() % 4
+    path = F.when(k == 0, cat("/r/", F.col("lang"), "/a/b.jsonl")).when(k == 1, F.lit("/r/Known_Metadata.jsonl")).when(k == 2, cat("/r/f", ident(), ".x.json")).otherwise(F.lit("/other/b.json"))
+    d = t(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang", F.when(k == 2, F.lit("")).cast("string").alias("domain"))
+    d = runs.with_domain(d, text.domain_of(path, "/r", {"known_metadata": "Known"}))
+    return d.select("doc_id", "domain", runs.row_key(["lang", "doc_id", "choices"]).alias("key"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM documents")
+def resumed_append(spark, sf_dir):
+    """A run that wrote a third of the rows is taken up again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang")
+    spec.append_new(d.where(ident() % 3 == 0).withColumn("run", F.lit(1)), path, ["doc_id"])
+    spec.append_new(d.withColumn("run", F.lit(2)), path, ["doc_id"])
+    return spark.read.parquet(path)

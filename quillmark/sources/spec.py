@@ -135,6 +135,45 @@ def load(spark: SparkSession, text: str, registry: Registry | None = None) -> Da
     return compose.sample(df, spec.rows) if spec.rows is not None else df
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines, blank ones left out, a byte order mark removed; a line that is no object is refused with its file and text."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("v"), F.col("_metadata.file_name").alias("f")).where("trim(v) <> ''")
+    bad = F.raise_error(F.concat(F.lit("no JSON object in "), F.col("f"), F.lit(": "), F.substr("v", F.lit(1), F.lit(200))))
+    good = F.col("v").rlike(r"^\s*\{") & F.try_parse_json("v").isNotNull()
+    return lines.select(F.from_json(F.when(good, F.col("v")).otherwise(bad), schema).alias("r")).select("r.*")
+
+
+def export_dataset(train: DataFrame, path: str, val: DataFrame | None = None) -> None:
+    """Encoded rows as Parquet under ``train`` and, where there is one, ``val``."""
+    train.write.mode("overwrite").parquet(f"{path}/train")
+    if val is not None:
+        val.write.mode("overwrite").parquet(f"{path}/val")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def exported(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    return spark.read.parquet(f"{path}/train"), spark.read.parquet(f"{path}/val") if exists(spark, f"{path}/val") else None
+
+
+def append_new(df: DataFrame, path: str, ids: list[str]) -> None:
+    """Appends the rows whose ids the table does not hold yet, so a run that broke off goes on where it was.
+
+    A write either is committed whole or leaves nothing; of rows with the same ids one is written.
+    """
+    spark, df = df.sparkSession, df.dropDuplicates(ids)
+    if exists(spark, path):
+        known = spark.read.parquet(path).select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(ids)])
+        same = F.lit(True)
+        for i, c in enumerate(ids):
+            same = same & df[c].eqNullSafe(known[f"__k{i}"])
+        df = df.join(known, same, "left_anti")
+    df.write.mode("append").parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*[json_safe(df.schema[c].dataType, F.col(f"`{c}`"), c).alias(c) for c in df.columns]).write.mode(mode).json(path)
 
