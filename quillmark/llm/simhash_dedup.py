@@ -407,7 +407,10 @@ def candidate_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b``: links among ``node, sketch, bands`` whose components hold every pair at NEAR_SIMILARITY, and others."""
     met = distinct.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
     met = met.select(F.array_sort("nodes").alias("nodes")).withColumn("bucket", F.xxhash64("nodes")).dropDuplicates(["bucket"])  # copies meet on most bands
-    met = scratch.save(met.select("bucket", F.explode("nodes").alias("node")))
+    met = scratch.save(met.select("bucket", F.size("nodes").alias("n"), F.get("nodes", F.lit(0)).alias("head"), F.explode("nodes").alias("node")))
+    # What fills a task by itself is one candidate as a whole: its least node links with each.
+    stars = met.where(F.col("n") > NEAR_TASK_ROWS).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    met = met.where(F.col("n") <= NEAR_TASK_ROWS).select("bucket", "node")
     tasks = met.count() // NEAR_TASK_ROWS + 1
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -423,7 +426,7 @@ def candidate_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
         return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
     rows = met.join(distinct.select("node", "sketch"), "node").withColumn("task", F.pmod("bucket", F.lit(tasks)))
-    return rows.groupBy("task").applyInPandas(walk, "a long, b long")
+    return rows.groupBy("task").applyInPandas(walk, "a long, b long").unionByName(stars)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -449,21 +452,35 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     distinct = scratch.save(distinct.withColumn("node", F.monotonically_increasing_id()))
     families = connected_components(candidate_links(distinct, scratch)).toDF("node", "family")
     families = scratch.save(families.join(distinct.select("node", "text_key", "shingles"), "node"))
-    n, total = families.agg(F.count(F.lit(1)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
+    # A family too large for a task is dealt into blocks, and every two of its blocks are compared in a task.
+    sizes = families.groupBy("family").agg(F.sum("shingles").alias("all")).select("family", F.when(F.col("all") > NEAR_TASK_SHINGLES, F.floor(2 * F.col("all") / NEAR_TASK_SHINGLES) + 1).otherwise(1).cast("int").alias("blocks"))
+    families = scratch.save(families.join(sizes, "family"))
+    copied = F.sum(F.col("shingles") * F.greatest(F.col("blocks") - 1, F.lit(1)))
+    n, total, most = families.agg(F.count(F.lit(1)), F.coalesce(copied, F.lit(0)), F.max("blocks")).first()
     tasks = total // NEAR_TASK_SHINGLES + 1
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("family", kind="stable")
-        node, family, sets = pdf["node"].to_numpy(), pdf["family"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        edges, root = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1], [True]))), np.empty(len(node), np.int64)
+        pdf = pdf.sort_values(["family", "i", "j"], kind="stable")
+        node, sets = pdf["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        unit = pdf[["family", "i", "j"]].to_numpy()
+        edges, root = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]).any(axis=1), [True]))), np.empty(len(node), np.int64)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             root[lo:hi] = node[lo + similar_components(sets[lo:hi])]
-        return pd.DataFrame({"linked": node, "root": root})
+        return pd.DataFrame({"linked": node, "root": root, "blocks": pdf["blocks"].to_numpy()})
 
-    keys = families.select("text_key", "node", "family")
-    texts = rows.select("text_key", "text").join(F.broadcast(keys) if n <= NEAR_BROADCAST else keys, "text_key").select("node", "family", "text")
+    keys = families.select("text_key", "node", "family", "blocks")
+    texts = rows.select("text_key", "text").join(F.broadcast(keys) if n <= NEAR_BROADCAST else keys, "text_key").select("node", "family", "blocks", "text")
     sets = map_texts(texts, lambda t: [[shingle_set(x).tobytes() for x in t]], [("set", pa.binary())]).dropDuplicates(["node"])
-    roots = scratch.save(sets.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(tasks))).groupBy("task").applyInPandas(split, "linked long, root long"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
+    sets = sets.withColumn("block", block).withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other")
+    task = F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks))
+    roots = scratch.save(sets.withColumn("task", task).groupBy("task").applyInPandas(split, "linked long, root long, blocks int"))
+    whole = roots.where("blocks = 1").select("linked", "root")
+    if most and most > 1:
+        met = connected_components(roots.where("blocks > 1 AND linked <> root").select(F.col("linked").alias("a"), F.col("root").alias("b")))
+        whole = whole.unionByName(met.withColumnRenamed("node", "linked"))
+    roots = whole
     joined = scratch.save(distinct.join(roots, distinct["node"] == roots["linked"], "left").select("n1", "n2", "least", "n", "text_key", F.coalesce("root", "node").alias("root")))
     groups = scratch.save(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.min("text_key").alias("least_key")))
     groups = scratch.save(joined.join(groups, "root").select("n1", "n2", "component_id", "component_size", "least_key"))

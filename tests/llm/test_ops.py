@@ -106,7 +106,7 @@ def test_hash_is_xxh64_with_seed_42(spark):
 
 def test_simhash_groups_match_brute_force(spark):
     rnd = random.Random(3)
-    base = [" ".join(rnd.choice("ABCdefghij") * 2 + str(rnd.randrange(40)) for _ in range(rnd.randrange(0, 90))) for _ in range(40)]
+    base = [" ".join(rnd.choice("ABCdefghij") * 2 + str(rnd.randrange(40)) for _ in range(rnd.randrange(0, 90))) for _ in range(60)]
     texts = base + [t + " tail" for t in base] + [t.upper() for t in base[:10]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fp = [brute_fingerprint(t) for t in texts]
@@ -206,6 +206,24 @@ def test_near_groups_lose_no_pair(spark):
     assert near_ids(spark, texts) == want
 
 
+@pytest.mark.parametrize(("rows", "shingles"), [(3, 1 << 20), (65536, 60), (3, 60)])
+def test_near_groups_of_crowded_families(spark, monkeypatch, rows, shingles):
+    """Buckets and families beyond a task's share give the groups of the same texts in one task."""
+    rng = random.Random(5)
+    texts = []
+    for f in range(3):
+        base = [f"w{f}x{k}" for k in range(60)]
+        for _ in range(12):  # a walk of small steps: its ends are far apart, its neighbours near
+            base = list(base)
+            base[rng.randrange(60)] = f"v{rng.randrange(1000)}"
+            texts.append(" ".join(base))
+    texts += ["alone here with other words that nobody has", "", " "]
+    want = near_brute(texts)
+    monkeypatch.setattr(simhash_dedup, "NEAR_TASK_ROWS", rows)
+    monkeypatch.setattr(simhash_dedup, "NEAR_TASK_SHINGLES", shingles)
+    assert near_ids(spark, texts) == want and 3 < len(set(want.values())) < len(texts) - 20
+
+
 def test_near_groups_link_nothing_below(spark):
     rnd, texts = random.Random(12), []
     words = lambda n: [f"t{rnd.randrange(10**6)}" for _ in range(n)]
