@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, suffix_dedup, toxicity
+from quillmark.llm import (
+    chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing,
+    secret_scan, simhash_dedup, suffix_dedup, token_alignment, toxicity, whitening,
+)
 from quillmark.llm._common import table
 
 
@@ -51,9 +54,24 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_suffix_dedup, op7_chat_format, op8_language_id, op9_decontamination, op10_html_extract)
+    for f in (
+        op1_license_scan, op2_simhash_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_suffix_dedup, op7_chat_format,
+        op8_language_id, op9_decontamination, op10_html_extract, op11_secret_scan, op12_token_alignment, op13_whitening,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -65,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_suffix_dedup": suffix_dedup.oracle(),
     "op7_chat_format": chat_format.oracle(),
     "op9_decontamination": decontaminate.oracle(),
+    "op11_secret_scan": secret_scan.oracle(),
 }
