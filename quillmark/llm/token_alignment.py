@@ -35,7 +35,7 @@ from quillmark.llm._common import Scratch
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block of texts, and its documents at most; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 30_000
+BLOCK_CHARS, BLOCK_DOCS = 1_000_000, 30_000
 #: How text is split before merges. Fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The fast library overflows its stack on very long runs of blanks; texts with one go to the other.
@@ -60,9 +60,8 @@ class Tokenizers:
     def __init__(self, folder: str) -> None:
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.folder = folder
         with open(f"{folder}/{A_FILE}", encoding="utf-8") as f:
             stored = json.load(f)
         of_char = _byte_of_char()
@@ -70,8 +69,6 @@ class Tokenizers:
         ranks = {bytes(of_char[c] for c in k): i for k, i in stored["model"]["vocab"].items() if k not in special}
         # The merges of the file are in the order of their ids, so ids are ranks.
         self._fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self._full = Tokenizer.from_file(f"{folder}/{A_FILE}")
-        self._full.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{B_FILE}")
         self.a_bytes = [b""] * (max(ranks.values()) + 1)
         for k, i in ranks.items():
@@ -87,6 +84,16 @@ class Tokenizers:
         self._cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self._blank = self._b.piece_to_id("▁")
 
+    @functools.cached_property
+    def _full(self):
+        """The other library for A, loaded where a text asks for it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        out = Tokenizer.from_file(f"{self.folder}/{A_FILE}")
+        out.encode_special_tokens = True
+        return out
+
     def stretches(self, text: str) -> list[str]:
         """Blank and text, cut where both tokenizers cut for sure; each stretch without the blank it starts with.
 
