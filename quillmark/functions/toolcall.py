@@ -1,4 +1,6 @@
-"""Tool-call parsers: text -> array<struct<name,arguments>>, built-ins only.
+"""Tool-call parsers: text -> array<struct<name,arguments>>, built-ins where a call is strict JSON.
+
+A call that is no JSON but a Python literal is read as such.
 
 Each key of ``PARSERS`` is a template family. All fall back to the ReAct form
 if they find nothing (``mistral`` only if it has a list of calls).
@@ -11,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions.jsons import lenient
 from quillmark.functions.text import strip
 
 CALLS = "array<struct<name:string,arguments:string>>"
@@ -34,12 +37,16 @@ def _pairs(text: Column, pattern: str) -> Column:
 
 
 def _from_json(blocks: Column, arguments: str = "arguments") -> Column:
-    calls = F.transform(blocks, lambda b: _call(F.get_json_object(b, "$.name"), F.get_json_object(b, f"$.{arguments}")))
+    calls = F.transform(lenient(blocks), lambda b: _call(F.get_json_object(b, "$.name"), F.get_json_object(b, f"$.{arguments}")))
     return F.filter(calls, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
 
 
-def react(text: Column) -> Column:
-    return F.coalesce(_pairs(text, r"(?s)Action:(.*?)\n?Action Input:(.*?)(?=\n?Observation:|\n?Action:|\z)"), _none())
+def react(text: Column, action: str = "Action:", given: str = "Action Input:", seen: str = "Observation:") -> Column:
+    return F.coalesce(_pairs(text, rf"(?s){action}(.*?)\n?{given}(.*?)(?=\n?{seen}|\n?{action}|\z)"), _none())
+
+
+def qwen(text: Column) -> Column:
+    return react(text, "✿FUNCTION✿:", "✿ARGS✿:", "✿RESULT✿:")
 
 
 def hermes(text: Column) -> Column:
@@ -50,9 +57,18 @@ def hunyuan_hermes(text: Column) -> Column:
     return _pairs(text, r"(?s)<tool_call>(.*?)\n```json\n(.*?)\n?```\s*</tool_call>")
 
 
-def llama3(text: Column) -> Column:
-    said = F.regexp_replace(text, r"<\|eom_id\|>\z", "")
-    return _from_json(_all(said, r'(?s)(\{[^{]*?"name":.*?"parameters":\s*?\{.*?\}\s*?\})'), "parameters")
+def hunyuan(text: Column) -> Column:
+    """Its own form, else that of ``hermes``, in which calls are written."""
+    own = hunyuan_hermes(text)
+    return F.when(F.size(own) > 0, own).otherwise(hermes(text))
+
+
+def without_end(text: Column, end: str) -> Column:
+    return F.when(F.endswith(text, F.lit(end)), F.substr(text, F.lit(1), F.length(text) - len(end))).otherwise(text)
+
+
+def llama(text: Column) -> Column:
+    return _from_json(_all(text, r'(?s)(\{[^{]*?"name":.*?"parameters":\s*?\{.*?\}\s*?\})'), "parameters")
 
 
 def mistral(text: Column) -> Column:
@@ -72,9 +88,11 @@ def glm4(text: Column) -> Column:
     return F.transform(hits, lambda p: _call(strip(F.regexp_extract(p, pattern, 1)), strip(F.regexp_extract(p, pattern, 2))))
 
 
-def _keyed(block: Column, key: str, value: str) -> Column:
+def _keyed(block: Column, key: str, value: str, trim: bool = True) -> Column:
     """JSON of key-value marks; a later repeat of a key wins; unequal counts give null."""
-    k, v = F.transform(_all(block, key), lambda x: strip(x)), F.transform(_all(block, value), lambda x: strip(x))
+    k, v = _all(block, key), _all(block, value)
+    if trim:
+        k, v = F.transform(k, lambda x: strip(x)), F.transform(v, lambda x: strip(x))
     last = F.filter(F.arrays_zip(k.alias("k"), v.alias("v"), F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1))).alias("i")), lambda x: x["k"].isNotNull() & ~F.array_contains(F.slice(k, x["i"] + 1, F.size(k)), x["k"]))
     return F.when(F.size(k) == F.size(v), F.to_json(F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))))
 
@@ -92,7 +110,7 @@ def qwen3_coder(text: Column) -> Column:
 
 def seed_oss(text: Column) -> Column:
     blocks = F.filter(_all(text, r"(?s)<seed:tool_call>(.*?)</seed:tool_call>"), lambda b: b.rlike(r"<function=[^>]+>"))
-    return F.transform(blocks, lambda b: _call(F.regexp_extract(b, r"<function=([^>]+)>", 1), _keyed(b, r"(?s)<parameter=([^>]+)>", r"(?s)<parameter=[^>]+>(.*?)</parameter>")))
+    return F.transform(blocks, lambda b: _call(F.regexp_extract(b, r"<function=([^>]+)>", 1), _keyed(b, r"(?s)<parameter=([^>]+)>.*?</parameter>", r"(?s)<parameter=[^>]+>(.*?)</parameter>", trim=False)))
 
 
 def deepseek_v3_1(text: Column) -> Column:
@@ -122,13 +140,17 @@ def minimax_m2(text: Column) -> Column:
 
 
 _OWN: dict[str, Callable[[Column], Column]] = {
-    "hermes": hermes, "hunyuan_hermes": hunyuan_hermes, "llama3": llama3, "llama4": llama3, "chatglm4": glm4, "glm4": glm4, "glm4_5": glm4_5, "glm4_7": glm4_5,
+    "hermes": hermes, "hunyuan_hermes": hunyuan, "chatglm4": glm4, "glm4": glm4, "glm4_5": glm4_5, "glm4_7": glm4_5,
     "qwen3_coder": qwen3_coder, "qwen3_5": qwen3_coder, "seed_oss": seed_oss, "deepseek_v3_1": deepseek_v3_1, "minimax_m2": minimax_m2, "youtu": hermes,
 }
 
 
 def _with_fallback(parse: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda text: F.when(F.size(parse(text)) > 0, parse(text)).otherwise(react(text))
+    def run(text: Column) -> Column:
+        own = parse(text)
+        return F.when(F.size(own) > 0, own).otherwise(react(text))
+
+    return run
 
 
 def _mistral(text: Column) -> Column:
@@ -137,6 +159,13 @@ def _mistral(text: Column) -> Column:
     return F.when(own.isNull(), _none()).when(F.size(own) > 0, own).otherwise(react(text))
 
 
-PARSERS: dict[str, Callable[[Column], Column]] = {k: _with_fallback(f) for k, f in _OWN.items()} | {"mistral": _mistral} | {
-    k: react for k in ("react_en", "react_zh", "react_grpo", "toolbench", "qwen_en", "qwen_zh", "qwen_en_parallel", "qwen_zh_parallel")
+def _ended(end: str) -> Callable[[Column], Column]:
+    """The end token goes before anything is read, the fallback included."""
+    return lambda text: _with_fallback(llama)(without_end(text, end))
+
+
+PARSERS: dict[str, Callable[[Column], Column]] = {k: _with_fallback(f) for k, f in _OWN.items()} | {"mistral": _mistral, "llama3": _ended("<|eom_id|>"), "llama4": _ended("<|eom|>")} | {
+    k: react for k in ("react_en", "react_zh", "react_grpo", "toolbench")
+} | {
+    k: _with_fallback(qwen) for k in ("qwen_en", "qwen_zh", "qwen_en_parallel", "qwen_zh_parallel")
 }

@@ -6,6 +6,7 @@ are partitioned. ``order`` names the columns that number the rows.
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
 import pandas as pd
@@ -112,11 +113,20 @@ def ranked_within(df: DataFrame, group: list[str], order: list[Column], name: st
 
 
 def medians(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
-    """The exact median of each group, from ranks; nulls are left out."""
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__x"))
-    r = ranked_within(rows, group, [F.col("__x")], "__r", "__m")
-    middle = (F.col("__r") == F.floor((F.col("__m") + 1) / 2)) | (F.col("__r") == F.floor(F.col("__m") / 2) + 1)
-    return r.where(middle).groupBy(*group).agg(F.avg("__x").alias(name))
+    """The exact median of each group; nulls are left out.
+
+    Equal values are counted first, so that a value that most rows share is one
+    row; running totals of the counts then find the two middle values.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_total(rows, [*[F.col(g) for g in group], F.col("__x")], F.col("__c"), "__upto")
+    ends = upto.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min("__upto").alias("__first"), F.sum("__c").alias("__m"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)], F.lit(True))
+    at = upto.join(ends, same).withColumn("__lo", F.col("__upto") - F.col("__first")).withColumn("__hi", F.col("__lo") + F.col("__c"))
+    holds = lambda k: (F.col("__lo") < k) & (k <= F.col("__hi"))
+    low, high = F.floor((F.col("__m") + 1) / 2), F.floor(F.col("__m") / 2) + 1
+    middle = at.where(holds(low) | holds(high))
+    return middle.groupBy(*group).agg(F.avg("__x").alias(name))
 
 
 def first(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -154,9 +164,8 @@ def pieces(df: DataFrame, n: int, order: list[Column], name: str = "piece") -> D
 
 
 def sample_ratio(df: DataFrame, ratio: float, ids: tuple[str, ...], seed: int = 42) -> DataFrame:
-    """int(n * ratio) rows; a ratio over 1 repeats the table."""
-    n = df.count()
-    return sample(df, int(n * ratio), ids, seed) if int(n * ratio) else df.limit(0)
+    """int(n * ratio) rows, one at least; a ratio over 1 repeats the table, one of 0 gives none."""
+    return sample(df, max(1, int(df.count() * ratio)), ids, seed) if ratio > 0 else df.limit(0)
 
 
 def by_median(df: DataFrame, group: str, value: str, name: str = "bucket") -> DataFrame:
@@ -194,22 +203,20 @@ def split(df: DataFrame, ratio: float, ids: tuple[str, ...], seed: int = 42) ->
 def round_robin(df: DataFrame, domain: str, weights: dict[str, int], order: list[Column]) -> DataFrame:
     """Cycles through the domains, taking up to a domain's weight of rows each time.
 
-    ``position`` gives the order. An exhausted domain is skipped; the pass a row
-    is drawn in follows from its rank in its own domain, and its place from how
-    many rows each domain has given by then.
+    ``position`` gives the order. An exhausted domain is skipped. A row's round
+    follows from its rank in its own domain; the rows that each domain gives in
+    each round are counted, and a running total over rounds and domains gives
+    the place at which a domain's turn starts.
     """
-    names = list(weights)
-    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values for x in kv]), F.col(domain))
-    r = ranked_within(df.where(F.col(domain).isin(*names)), [domain], order, "__rn")
-    r = r.withColumn("__w", of(weights.items())).withColumn("__d", of((n, i) for i, n in enumerate(names)))
+    known = df.sparkSession.createDataFrame([(n, w, i) for i, (n, w) in enumerate(weights.items())], "__name string, __w long, __d long")
+    r = ranked_within(df.where(F.col(domain).isNotNull()), [domain], order, "__rn")
+    r = r.join(F.broadcast(known), F.col(domain) == F.col("__name")).drop("__name")  # one row for each given weight
     r = r.withColumn("round", F.floor((F.col("__rn") - 1) / F.col("__w")))
-    sizes = {x[0]: x[1] for x in df.where(F.col(domain).isin(*names)).groupBy(domain).count().collect()}  # one row a domain
-    place = F.col("__rn") - F.col("round") * F.col("__w")
-    for i, (name, w) in enumerate(weights.items()):
-        # Domains before this one have had their turn in the round already.
-        passes = F.col("round") + F.when(F.lit(i) < F.col("__d"), 1).otherwise(0)
-        place = place + F.least(F.lit(sizes.get(name, 0)), passes * w)
-    return r.withColumn("position", place.cast("long")).drop("__rn", "__w", "__d")
+    turns = r.groupBy(F.col("round").alias("__t"), F.col("__d").alias("__e")).agg(F.count(F.lit(1)).alias("__c"))
+    starts = running_total(turns, [F.col("__t"), F.col("__e")], F.col("__c"), "__start").drop("__c")
+    out = r.join(starts, (F.col("round") == F.col("__t")) & (F.col("__d") == F.col("__e")))
+    place = F.col("__start") + F.col("__rn") - 1 - F.col("round") * F.col("__w")
+    return out.withColumn("position", place.cast("long")).drop("__rn", "__w", "__d", "__t", "__e", "__start")
 
 
 def interleave(frames: list[DataFrame], probabilities: list[float], order: list[str], seed: int = 42, stop: str = "first_exhausted") -> DataFrame:
@@ -253,32 +260,68 @@ def curriculum(df: DataFrame, bucket: str, ids: tuple[str, ...], mix: list[dict[
     return ranked(df, [F.col("phase"), uniform(seed + 1, *ids_), *ids_], "position")
 
 
-def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
-    """Bin of each item; an item longer than the capacity gets a bin of its own."""
-    room, out = [], [0] * len(lengths)
+def fullest_fit(lengths: list[int], capacity: int) -> list[int]:
+    """Bin of each item: the longest first, each into the fullest bin that has room, else into a new one.
+
+    Of items as long the first goes first, of bins as full the oldest is taken.
+    Bins are numbered as they are opened; an item longer than the capacity gets
+    one of its own. Open bins stand sorted by their room, so each is found by bisection.
+    """
+    rooms: list[tuple[int, int]] = []
+    out, n = [0] * len(lengths), 0
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        for b, free in enumerate(room):
-            if lengths[i] <= free:
-                room[b] -= lengths[i]
-                out[i] = b
-                break
+        at = bisect.bisect_left(rooms, (lengths[i], -1))
+        if at < len(rooms):
+            room, out[i] = rooms.pop(at)
         else:
-            out[i] = len(room)
-            room.append(capacity - lengths[i])
+            room, out[i], n = capacity, n, n + 1
+        if room > lengths[i]:
+            bisect.insort(rooms, (room - lengths[i], out[i]))
     return out
 
 
-def pack(df: DataFrame, id_col: str, length_col: str, capacity: int, chunk: int = 1000) -> DataFrame:
-    """``chunk, bin, id, length``: rows packed to a capacity within chunks of a fixed size."""
-    rows = ranked(df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length")).where("length IS NOT NULL"), [F.col("id")])
-    rows = rows.select(F.floor((F.col("rn") - 1) / chunk).alias("chunk"), "id", "length")
+def _chunked(rows: DataFrame, capacity: int, chunk: int) -> DataFrame:
+    """Rows ``at, length`` packed by chunks of ``at``: adds ``chunk, bin`` and, for the bin that was opened last, ``open``."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pdf.assign(bin=first_fit_decreasing(pdf["length"].tolist(), capacity))[["chunk", "bin", "id", "length"]]
+        pdf = pdf.sort_values("at")
+        bins = fullest_fit(pdf["length"].tolist(), capacity)
+        return pdf.assign(bin=bins, open=[b == max(bins) for b in bins])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return rows.groupBy("chunk").applyInPandas(one, f"chunk long, bin long, id {kind}, length long")
+    rows = rows.withColumn("chunk", F.floor(F.col("at") / F.lit(chunk)).cast("long"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("chunk").applyInPandas(one, f"{fields}, bin long, open boolean")
+
+
+def pack(df: DataFrame, id_col: str, length_col: str, capacity: int, chunk: int = 1000) -> DataFrame:
+    """``round, chunk, bin, id, length``: rows packed to a capacity; the three first columns name a bin.
+
+    Rows are numbered by id and packed within chunks of a fixed size, as in
+    ``fullest_fit``. The bin a chunk opened last is carried on: as one item of
+    its length it is packed, a round later, with those of the next chunks, until
+    one chunk is left. So no more than one bin stays open, and a round's rows
+    are a ``chunk``-th of those before. Rows without a length are left out.
+    """
+    if chunk < 2:
+        raise ValueError("a chunk needs two rows at least")
+    scratch = Scratch(df.sparkSession)
+    rows = ranked(df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length")).where("length IS NOT NULL"), [F.col("id")])
+    first = scratch.save(_chunked(rows.select((F.col("rn") - 1).alias("at"), "id", "length"), capacity, chunk))
+    closed = [first.where("NOT open").select(F.lit(0).alias("round"), "chunk", "bin", "id", "length")]
+    # ``node`` is the bin that the rows of a chunk's open bin are in by now.
+    carried = scratch.save(first.where("open").select("id", "length", F.col("chunk").alias("node")))
+    level = 0
+    while True:
+        units = carried.groupBy("node").agg(F.sum("length").alias("length")).select(F.col("node").alias("at"), "length")
+        level += 1
+        made = scratch.save(_chunked(units, capacity, chunk))
+        last = made.agg(F.max("chunk")).first()[0]
+        placed = carried.join(made.select(F.col("at").alias("node"), "chunk", "bin", "open"), "node")
+        if not last:  # one chunk is left, or none: its bins are final
+            closed.append(placed.select(F.lit(level).alias("round"), "chunk", "bin", "id", "length"))
+            return reduce(DataFrame.unionAll, closed)
+        closed.append(placed.where("NOT open").select(F.lit(level).alias("round"), "chunk", "bin", "id", "length"))
+        carried = scratch.save(placed.where("open").select("id", "length", F.col("chunk").alias("node")))
 
 
 def buckets(df: DataFrame, value: str, order: list[str], n: int) -> DataFrame:

@@ -1,15 +1,12 @@
-"""Structured-streaming forms: file streams, split, stateful packing."""
+"""Structured-streaming forms: file streams, split, packing, buffer shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmark.operators.compose import first_fit_decreasing, uniform
+from quillmark.operators.compose import uniform
+from quillmark.streaming.lanes import Folded, hashed, packing, shuffling
 
 
 def read(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1) -> DataFrame:
@@ -24,26 +21,17 @@ def split(stream: DataFrame, ids: list[str], validation: float | None, seed: int
     return stream.where(u >= validation), stream.where(u < validation)
 
 
-def pack(stream: DataFrame, key: str, id_col: str, length_col: str, capacity: int) -> DataFrame:
-    """``key, bin, id, length``: rows packed per key as they arrive.
+def pack(spark: SparkSession, path: str, id_col: str, length_col: str, capacity: int, key: str | None = None, window: int = 128, lanes: int = 8, order: list[str] | None = None) -> Folded:
+    """Packs a stream to a capacity: ``pack(...).run(stream, checkpoint)`` or ``start`` and ``finish``.
 
-    The open bin of a key is carried from batch to batch; a bin is emitted once
-    no arriving row fits. The last open bin of each key stays in the state, as a
-    stream has no end.
+    ``batch, lane, place`` name a bin. Rows are dealt to lanes by ``key``, or by
+    id where one key would be too much for a task; every ``window`` rows of a
+    lane are packed as they arrive (in the given order within a micro-batch),
+    together with the bin left open before.
     """
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, ids, lengths = state.get if state.exists else (0, [], [])
-        ids, lengths = list(ids), list(lengths)
-        for b in batches:
-            ids += b["id"].tolist()
-            lengths += b["length"].tolist()
-        bins = first_fit_decreasing(lengths, capacity)
-        room = {b: capacity - sum(n for n, x in zip(lengths, bins, strict=True) if x == b) for b in set(bins)}
-        open_bin = max(room, key=lambda b: (room[b], -b)) if room else None
-        out = [(k[0], number + b, i, n) for i, n, b in zip(ids, lengths, bins, strict=True) if b != open_bin]
-        rest = [j for j, b in enumerate(bins) if b == open_bin]
-        state.update((number + len(room), [ids[j] for j in rest], [lengths[j] for j in rest]))
-        yield pd.DataFrame(out, columns=["key", "bin", "id", "length"])
-
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("long").alias("length"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, bin long, id long, length long", "number long, ids array<long>, lengths array<long>", "append", GroupStateTimeout.NoTimeout)
+    return Folded(spark, path, packing(length_col, capacity, window), F.xxhash64(key or id_col), order or [id_col], lanes)
+
+
+def shuffle(spark: SparkSession, path: str, id_col: str, size: int = 1000, seed: int = 42, lanes: int = 8, order: list[str] | None = None) -> Folded:
+    """Shuffles a stream through buffers of ``size`` rows in all; ``batch, lane, place`` is the order of each lane."""
+    return Folded(spark, path, shuffling(max(1, size // lanes), hashed(seed, id_col)), F.xxhash64(id_col), order or [id_col], lanes)
