@@ -83,7 +83,7 @@ RULES = [
     ("x11", r"mit x11 licen[sc]e", "x11", 2),
     ("license licence licensed licenced", r"mit style licen[sc]e", "mit-style", 2),
     ("attribution", r"mit no attribution", "mit-0", 3),
-    ("license licence licensed licenced", r"opensource org licenses mit(?: license)?(?: php)?", "mit", 3),
+    ("opensource", r"opensource org licenses mit(?: license)?(?: php)?", "mit", 3),
     ("x11", r"x11 licen[sc]e", "x11", 2),
     ("expat", r"expat licen[sc]e", "mit", 2),
     ("hereby", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 2),
@@ -216,7 +216,7 @@ RULES = [
     ("common", r"common public licen[sc]e(?: v(?:ersion)?)?(?: ?1 0)?", "cpl-1.0", 2),
     ("ibm", r"ibm public licen[sc]e(?: v(?:ersion)?)?(?: ?1 0)?", "ipl-1.0", 2),
     ("european", r"european union public licen[sc]e(?: v(?:ersion)?)?(?: ?1 [12])?", "eupl", 3),
-    ("eupl", r"eupl(?: v)?(?: ?1 [12])?", "eupl", 2),
+    ("eupl eupl1", r"eupl(?: v)?(?: ?1 [12])?", "eupl", 2),
     ("cecill", r"cecill(?: [bc])?(?: licen[sc]e)?", "cecill", 2),
     ("microsoft", r"microsoft public licen[sc]e", "ms-pl", 3),
     ("microsoft", r"microsoft reciprocal licen[sc]e", "ms-rl", 3),
