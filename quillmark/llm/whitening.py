@@ -42,10 +42,12 @@ def clean_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     dropped, as are empty ones. Entries beyond the range of whole numbers stop the job.
     """
     v = F.col(vec_col)
-    good = rows.where(v.isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & (F.size(v) > 0))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    good = rows.where(v.isNotNull() & F.forall(v, finite) & (F.size(v) > 0))
     lengths = good.groupBy(F.size(v).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     most = lengths.agg(F.max(F.struct("n", "d"))["d"].alias("d")).first()["d"]
-    x = F.transform(v, lambda c: F.floor(c.cast("double") * SCALE) + SHIFT)
+    # The optimizer may compute this ahead of the filters above.
+    x = F.transform(v, lambda c: F.when(finite(c), F.floor(c.cast("double") * SCALE) + SHIFT))
     return good.where(F.size(v) == F.lit(most)).select(F.col(id_col).alias("vec_id"), x.cast("array<long>").alias("x"))
 
 
