@@ -5,8 +5,8 @@ character n-grams, predicts that bit; decoding weighs every bit's logistic loss
 by how well the bit did in training and takes the language whose codeword costs
 least. A small gap to the runner-up marks the document as ambiguous.
 
-Training runs on the driver over a bounded sample (``per_language`` documents
-of each language, chosen by a hash of the id); scoring reads whole texts where
+Training runs on the driver over a bounded sample (``per_language`` texts of
+each language, chosen by a hash of id and text); scoring reads whole texts where
 they lie and shuffles nothing.
 """
 
@@ -21,11 +21,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import first_by_hash, map_texts
+from quillmark.llm._common import map_texts, row_hash, training_sample
 
 UNKNOWN = "und"
-#: Training takes at most so many documents of each language, and of all together (but one of each language at least).
-PER_LANGUAGE, TRAINING = 200, 3200
+#: Training takes at most so many texts of each language and of all together, and so many characters of one.
+#: Its matrix has 160 KB for each text, 256 MB for all.
+PER_LANGUAGE, TRAINING, TRAINING_CHARS = 200, 1600, 20_000
+#: Labels that are learned at most: the most frequent ones, of equally frequent ones those that sort first.
+LABELS = 800
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.6
@@ -137,12 +140,14 @@ def decode(f: np.ndarray, m: Model) -> tuple[str, float, float]:
     return m.langs[order[0]], float(p[order[0]]), float(p[order[0]] - second)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_label: int) -> DataFrame:
-    """``text, label``: up to ``per_label`` rows of each label, by a hash of the id."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), label.alias("label"))
-    keys = rows.where("label IS NOT NULL AND text IS NOT NULL AND i IS NOT NULL").select("label", "h", "i")
-    chosen = first_by_hash(keys, "label", per_label, ["h", "i"]).select("i").distinct()  # at most per_label rows a label
-    return rows.join(F.broadcast(chosen), "i", "left_semi").where("label IS NOT NULL AND text IS NOT NULL").select("text", "label")
+def sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_label: int, labels: int = LABELS, training: int = TRAINING) -> DataFrame:
+    """``text, label``: at most ``per_label`` texts of each of the ``labels`` most frequent labels, and ``training`` of all."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), label.alias("label"))
+    rows = rows.where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
+    known = [r["label"] for r in rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(min(labels, training)).collect()]
+    few = rows.where(F.col("label").isin(known)) if known else rows.where(F.lit(False))
+    few = few.withColumn("h", row_hash("id", "text"))
+    return training_sample(few.select("h", "text"), few.select("label", "h"), max(1, min(per_label, training // max(len(known), 1))), TRAINING_CHARS)
 
 
 def _one(t: str | None, model: Model | None) -> tuple[str, float, bool]:
@@ -167,31 +172,35 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return map_texts(rows, run, [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
 
-def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, that have a language: what is ``und`` goes.
 
-    Clean documents may be in any learned language and may mix them, so neither
-    an ambiguous nor a costly decoding rejects. Without a model (no row has a
-    label) a text with a letter has some language, which nothing names, and
-    stays. Columns pass through untouched, as Arrow batches.
+    Where ``lang_col`` is null it becomes the predicted language; a given label
+    stays, and its text is not decoded. Clean documents may be in any learned
+    language and may mix them, so neither an ambiguous nor a costly decoding
+    rejects. Without a model (no row has a label) a text with a letter has some
+    language, which nothing names, and stays. Other columns pass through
+    untouched, as Arrow batches.
     """
-    at = docs.columns.index(text_col)
+    at, to = docs.columns.index(text_col), docs.columns.index(lang_col)
 
-    def stays(t: str | None) -> bool:
-        return bool(t and _LETTER.search(t)) if model is None else _one(t, model)[0] != UNKNOWN
+    def language(t: str | None, given: str | None) -> tuple[bool, str | None]:
+        if not t or not _LETTER.search(t):
+            return False, given
+        return True, given if given is not None or model is None else _one(t, model)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([stays(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            found = [language(t, given) for t, given in zip(b.column(at).to_pylist(), b.column(to).to_pylist(), strict=True)]
+            named = pa.array([x for _, x in found], b.schema.field(to).type)
+            yield b.set_column(to, b.schema.field(to), named).filter(pa.array([x for x, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Trains on a bounded sample of the rows whose ``label`` is not null; None if there is none. Every label is learned."""
-    n = docs.select(label.alias("label")).where("label IS NOT NULL").distinct().count()
-    per_language = max(1, min(per_language, TRAINING // max(n, 1)))
-    got = sample(docs, id_col, text_col, label, per_language).orderBy("label", "text").toPandas()
+    """Trains on a bounded sample of the rows whose ``label`` is not null; None if there is none."""
+    got = sample(docs, id_col, text_col, label, per_language).toPandas().sort_values(["label", "text"])
     return train(got["text"].tolist(), got["label"].tolist()) if len(got) else None
 
 

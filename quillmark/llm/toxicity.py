@@ -6,8 +6,8 @@ clean: 1 - prod(1 - p). Only documents carry labels; the noisy-or passes their
 gradient to the sentences that explain them, so the fitted model also says
 which sentences offend.
 
-Training runs on the driver over a bounded sample (``per_class`` labelled
-documents of each class, chosen by a hash of the id). Scoring reads whole texts
+Training runs on the driver over a bounded sample (``per_class`` labelled texts
+of each class, chosen by a hash of id and text). Scoring reads whole texts
 where they lie and shuffles nothing.
 """
 
@@ -23,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm._common import first_by_hash, map_texts
+from quillmark.llm._common import map_texts, row_hash, training_sample
 
-#: Training takes at most so many labelled documents of each class.
-PER_CLASS = 2000
+#: Training takes at most so many labelled texts of each class, and so many characters of one.
+PER_CLASS, TRAINING_CHARS = 2000, 20_000
 #: A feature is kept if so many sampled documents hold it and toxic ones hold it
 #: more often by so many standard errors, which chance rarely brings about even
 #: among a million features. At most so many are kept.
 MIN_DOCS, MIN_Z, FEATURES = 4, 5.0, 6000
 THRESHOLD = 0.7
+#: A sentence offends from this probability on.
+SENTENCE = 0.5
 PREFIXES = range(3, 8)
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -118,12 +120,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, l2: float = 0.
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """``text, label`` of a bounded sample of the labelled documents that ``learn`` admits."""
+    """``text, label`` of a bounded sample of the labelled documents that ``learn`` admits: at most ``per_class`` texts a class."""
     known = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
-    top = first_by_hash(known, "label", per_class, ["h", "doc_id"]).select("doc_id", "label")
-    # At most 2 * per_class rows: safe to broadcast whatever the table's size.
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(top), "doc_id").where("text IS NOT NULL")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("h", row_hash("doc_id", "text"))
+    return training_sample(rows.select("h", "text"), rows.select("doc_id", "h").join(known, "doc_id"), per_class, TRAINING_CHARS)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -132,20 +132,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    got = sample(docs, labels, ~held_out(), per_class).orderBy("label", "text").limit(2 * per_class).toPandas()
+    got = sample(docs, labels, ~held_out(), per_class).toPandas().sort_values(["label", "text"])
     return train(got["text"].tolist(), got["label"].astype(int).tolist())
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, worst_start, worst_stop``: the noisy-or and its likeliest sentence.
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sentence_threshold: float = SENTENCE) -> DataFrame:
+    """``doc_id, score, worst_start, worst_stop, offending``: the noisy-or, its likeliest sentence, and all that offend.
 
-    The span counts characters and is null if the text has no sentence. A null
-    or empty text gets the score of one empty sentence. Of equal sentences the
-    first counts. Repeated rows are scored each; other columns are not read.
+    Spans count characters; the worst is null if the text has no sentence.
+    ``offending`` holds start, stop and probability of each sentence whose own
+    probability is at least ``sentence_threshold``, in order. A null or empty
+    text gets the score of one empty sentence. Of equal sentences the first
+    counts. Repeated rows are scored each; other columns are not read.
     """
+    least = float(np.log(sentence_threshold / (1 - sentence_threshold)))
 
     def run(texts: list[str | None]) -> list[list]:
-        score, starts, stops = [], [], []
+        score, starts, stops, offending = [], [], [], []
         for t in texts:
             found = list(model.sentences(t or ""))
             z = np.array([x[2] for x in found] or [model.bias])
@@ -153,12 +156,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             span = found[int(z.argmax())] if found else (None, None)
             starts.append(span[0])
             stops.append(span[1])
-        return [score, starts, stops]
+            offending.append([{"start": a, "stop": b, "p": float(1 / (1 + np.exp(-x)))} for a, b, x in found if x >= least])
+        return [score, starts, stops, offending]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(rows, run, [("score", pa.float64()), ("worst_start", pa.int64()), ("worst_stop", pa.int64())])
+    return map_texts(rows, run, [("score", pa.float64()), ("worst_start", pa.int64()), ("worst_stop", pa.int64()), ("offending", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())])))])
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_documents(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_start", "worst_stop")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_start", "worst_stop", F.size("offending").cast("long").alias("n_offending"))
