@@ -222,10 +222,39 @@ def best_of_n_scored(
     return top.where(F.col("__ok") & (F.col(choice) != F.col("__worst"))).select(query, choice, F.col("__worst").alias("rejected"), "score")
 
 
-def marker_sessions(df: DataFrame, key: str, order: list[str], marker: Column) -> DataFrame:
-    """Session number: rows before the first marker join the first session."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session", F.greatest(F.lit(1), F.sum(marker.cast("int")).over(w)))
+def marker_sessions(df: DataFrame, key: str | None, order: list[str], marker: Column) -> DataFrame:
+    """Adds ``session``: each marked row starts one; rows before the first marker join the first session.
+
+    Sessions are numbered within ``key``, or over all rows, by a running total
+    in range parts, so neither a hot key nor the whole table is one sort.
+    """
+    keys = [key] if key else []
+    upto = running_total(df, [F.col(c) for c in (*keys, *order)], F.coalesce(marker, F.lit(False)).cast("long"), "__upto")
+    upto = upto.withColumn("__upto", F.col("__upto") + F.coalesce(marker, F.lit(False)).cast("long"))
+    if not key:
+        return upto.withColumn("session", F.greatest(F.lit(1), F.col("__upto"))).drop("__upto")
+    first = F.min(F.col("__upto") - F.coalesce(marker, F.lit(False)).cast("long")).alias("__first")
+    firsts = upto.groupBy(F.col(key).alias("__key")).agg(first)
+    out = upto.join(firsts, F.col(key).eqNullSafe(F.col("__key")))
+    return out.withColumn("session", F.greatest(F.lit(1), F.col("__upto") - F.col("__first"))).drop("__upto", "__key", "__first")
+
+
+def session_messages(df: DataFrame, order: list[str], marker: Column, query: str, response: str, task: str | None = None, media: str | None = None, key: str | None = None) -> DataFrame:
+    """``session, messages`` (and ``media``): the rows of each session folded into one conversation, in order.
+
+    A row is a user's and an assistant's message; the query that opens a session
+    by its marker has the task on a line of its own below. A null text is empty.
+    One conversation is one row, as its messages must be; no more is gathered.
+    """
+    rows = marker_sessions(df.withColumn("__mark", F.coalesce(marker, F.lit(False))), key, order, F.col("__mark"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    asked = F.when(F.col("__mark"), F.concat(text(query), F.lit("\n"), text(task))).otherwise(text(query)) if task else text(query)
+    said = F.array(F.struct(F.lit("user").alias("role"), asked.alias("content")), F.struct(F.lit("assistant").alias("role"), text(response).alias("content")))
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], said.alias("said"), *([F.col(media).alias("media")] if media else []))
+    by = [key, "session"] if key else ["session"]
+    folded = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    shown = [F.transform("rows", lambda r: r["media"]).alias(media)] if media else []
+    return folded.select(*by, F.flatten(F.transform("rows", lambda r: r["said"])).alias("messages"), *shown)
 
 
 def kto_shift(df: DataFrame, batch: str, order: list[str], response: str) -> DataFrame:
