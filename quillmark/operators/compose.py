@@ -215,7 +215,7 @@ def round_robin(df: DataFrame, domain: str, weights: dict[str, int], order: list
     turns = r.groupBy(F.col("round").alias("__t"), F.col("__d").alias("__e")).agg(F.count(F.lit(1)).alias("__c"))
     starts = running_total(turns, [F.col("__t"), F.col("__e")], F.col("__c"), "__start").drop("__c")
     out = r.join(starts, (F.col("round") == F.col("__t")) & (F.col("__d") == F.col("__e")))
-    place = F.col("__start") + F.col("__rn") - 1 - F.col("round") * F.col("__w")
+    place = F.col("__start") + F.col("__rn") - F.col("round") * F.col("__w")
     return out.withColumn("position", place.cast("long")).drop("__rn", "__w", "__d", "__t", "__e", "__start")
 
 

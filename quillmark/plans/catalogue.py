@@ -597,7 +597,7 @@ def _rouge_sql(n: int) -> str:
     words = lambda c: f"list_filter(regexp_split_to_array(trim({c}, ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
     grams = lambda w: f"CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' ')) ELSE [] END"
     return f"""
-        WITH p AS (SELECT doc_id, {words("d.text")} AS h, {words("b.text")} AS r FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
+        WITH p AS MATERIALIZED (SELECT doc_id, {words("d.text")} AS h, {words("b.text")} AS r FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
         g AS (SELECT doc_id, unnest({grams("h")}) AS g, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc_id, unnest({grams("r")}), 0, 1 FROM p),
         c AS (SELECT doc_id, g, sum(a) AS a, sum(b) AS b FROM g GROUP BY 1, 2),
         s AS (SELECT doc_id, sum(least(a, b)) AS hits, sum(a) AS a, sum(b) AS b FROM c GROUP BY 1)
