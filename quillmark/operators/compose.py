@@ -57,6 +57,22 @@ def least(df: DataFrame, u: Column, ids: list[Column], k: int, n: int) -> DataFr
     return ranked(near, [u, *ids], "__rn").where(F.col("__rn") <= k).drop("__rn")
 
 
+def largest(df: DataFrame, score: Column, ids: list[Column], k: int) -> DataFrame:
+    """The k rows of the greatest score; ties go by the ids, and null scores last.
+
+    Only rows over a cut near the k-th score are ranked, in range parts, so no
+    task holds k rows more than its share.
+    """
+    n = df.count()
+    rows = df.withColumn("__score", score)
+    if k < n:
+        share = 1 - min(1.0, 1.1 * k / n + 40 / n)
+        cut = rows.agg(F.percentile_approx("__score", F.lit(share), F.lit(10_000))).first()[0]
+        near = rows.where(F.col("__score") >= cut) if cut is not None else rows
+        rows = near if near.count() >= k else rows
+    return ranked(rows, [F.col("__score").isNull(), -F.col("__score"), *ids], "__rn").where(F.col("__rn") <= k).drop("__rn", "__score")
+
+
 def range_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows in the shared folder, with ``__part`` and ``__at``: sorting by both gives the order.
 

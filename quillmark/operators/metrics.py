@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.geo import THRESHOLDS_KM, report_geoscore
-from quillmark.operators.compose import medians, ranked, running_total
+from quillmark.operators.compose import medians, running_total
 
 UNKNOWN = "UNKNOWN"
 
@@ -104,22 +104,63 @@ def length_stats(df: DataFrame, length: str) -> DataFrame:
     return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("size"))
 
 
-def off_policy(df: DataFrame, sequence: str, old: str, new: str) -> DataFrame:
-    """KL, k3, perplexities and chi-squares of token log-probabilities, ratios clamped at 20."""
-    r = F.greatest(F.least(F.col(new) - F.col(old), F.lit(20.0)), F.lit(-20.0))
-    seq = df.groupBy(sequence).agg(F.avg(r).alias("mr"), F.avg(old).alias("mo"), F.avg(new).alias("mn"), F.sum(F.exp(r) - 1 - r).alias("k3"), F.sum(-r).alias("kl"), F.sum(F.exp(2 * r) - 1).alias("chi"), F.count(F.lit(1)).alias("n"))
+def off_policy(df: DataFrame, sequence: str, old: str, new: str, mask: str | None = None) -> DataFrame:
+    """KL, k3, perplexities, their differences and chi-squares of token log-probabilities.
+
+    Tokens that ``mask`` leaves out count nowhere; a sequence of such tokens
+    alone has log-probabilities of 0. Ratios are clamped at 20 where they are raised to a power.
+    """
+    on = F.lit(True) if mask is None else F.coalesce(F.col(mask).cast("boolean"), F.lit(False))
+    bound = lambda x: F.greatest(F.least(x, F.lit(20.0)), F.lit(-20.0))
+    kept = lambda x: F.when(on, x)
+    r = F.col(new) - F.col(old)
+    mean = lambda x: F.coalesce(F.avg(kept(x)), F.lit(0.0))
+    seq = df.groupBy(sequence).agg(
+        mean(r).alias("mr"), mean(F.col(old)).alias("mo"), mean(F.col(new)).alias("mn"), F.sum(kept(F.exp(bound(r)) - 1 - bound(r))).alias("k3"), F.sum(kept(-bound(r))).alias("kl"),
+        F.sum(kept(F.exp(2 * bound(r)) - 1)).alias("chi"), F.count_if(on).alias("n"))
+    diff = F.col("mo") - F.col("mn")
     return seq.agg(
-        (F.sum("kl") / F.sum("n")).alias("kl"), (F.sum("k3") / F.sum("n")).alias("k3_kl"), (F.sum("chi") / F.sum("n")).alias("chi2_token"), F.avg(F.exp(2 * F.col("mr")) - 1).alias("chi2_seq"),
-        F.avg(F.exp(-F.col("mn"))).alias("training_ppl"), F.avg(F.exp(-F.col("mo"))).alias("rollout_ppl"),
-        F.avg(F.col("mo") - F.col("mn")).alias("log_ppl_diff"), F.avg(F.abs(F.col("mo") - F.col("mn"))).alias("log_ppl_abs_diff"), F.avg(F.exp(F.col("mo") - F.col("mn"))).alias("ppl_ratio"),
+        (F.sum("kl") / F.sum("n")).alias("kl"), (F.sum("k3") / F.sum("n")).alias("k3_kl"), (F.sum("chi") / F.sum("n")).alias("chi2_token"), F.avg(F.exp(2 * bound(F.col("mr"))) - 1).alias("chi2_seq"),
+        F.avg(F.exp(-F.col("mn"))).alias("training_ppl"), F.avg(F.exp(-F.col("mo"))).alias("rollout_ppl"), F.avg(-F.col("mn")).alias("training_log_ppl"), F.avg(-F.col("mo")).alias("rollout_log_ppl"),
+        F.avg(diff).alias("log_ppl_diff"), F.avg(F.abs(diff)).alias("log_ppl_abs_diff"), F.max(diff).alias("log_ppl_diff_max"), F.min(diff).alias("log_ppl_diff_min"), F.avg(F.exp(diff)).alias("ppl_ratio"),
     )
 
 
-def kto_bounds(df: DataFrame, label: str) -> DataFrame:
-    """Weight ranges that balance desirable and undesirable rows between 1:1 and 4:3."""
+def importance_correction(df: DataFrame, sequence: str, log_ratio: str, weight: str, mode: str = "token_truncate", limit: float = 2.0, mask: str | None = None) -> DataFrame:
+    """``is_weight_mean, ess, clipped_frac`` of corrected weights.
+
+    The clipped share is that of tokens over the limit (``token_truncate``), of
+    tokens whose weight became 0 (``token_mask``), or of sequences whose
+    geometric mean of ratios is over it (``sequence_truncate``, ``sequence_mask``).
+    """
+    if mode not in ("token_truncate", "token_mask", "sequence_truncate", "sequence_mask"):
+        raise ValueError(f"unknown mode {mode!r}")
+    on = F.lit(True) if mask is None else F.coalesce(F.col(mask).cast("boolean"), F.lit(False))
+    kept = df.where(on)
+    r = F.greatest(F.least(F.col(log_ratio), F.lit(20.0)), F.lit(-20.0))
+    base = effective_sample_size(kept, weight, limit)
+    if mode == "token_truncate":
+        clipped = kept.agg(F.avg((F.exp(r) > limit).cast("double")).alias("clipped_frac"))
+    elif mode == "token_mask":
+        clipped = kept.agg(F.avg((F.col(weight) == 0).cast("double")).alias("clipped_frac"))
+    else:
+        each = kept.groupBy(sequence).agg(F.exp(F.avg(r)).alias("g"))
+        clipped = each.agg(F.avg((F.col("g") > limit).cast("double")).alias("clipped_frac"))
+    return base.join(clipped)
+
+
+def rewards_by_function(df: DataFrame, rewards: list[str]) -> DataFrame:
+    """``name, mean, std, n``: each reward's mean and sample deviation over its values that are neither null nor nan."""
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("x")) for c in rewards])))
+    return each.groupBy("name").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("x").alias("n"))
+
+
+def kto_bounds(df: DataFrame, label: str, desirable_weight: float = 1.0, undesirable_weight: float = 1.0) -> DataFrame:
+    """Weight ranges that balance desirable and undesirable rows between 1:1 and 4:3, each given the other's weight."""
     g = df.agg(F.count_if(F.col(label)).alias("desirable"), F.count_if(~F.col(label)).alias("undesirable"))
-    d, u = F.greatest("desirable", F.lit(1)), F.greatest("undesirable", F.lit(1))
-    return g.select("*", (u / d).alias("desirable_low"), (u * 1.33 / d).alias("desirable_high"), (d / (u * 1.33)).alias("undesirable_low"), (d / u).alias("undesirable_high"))
+    d, u = F.greatest("desirable", F.lit(1)) * desirable_weight, F.greatest("undesirable", F.lit(1)) * undesirable_weight
+    n, m = F.greatest("desirable", F.lit(1)), F.greatest("undesirable", F.lit(1))
+    return g.select("*", (u / n).alias("desirable_low"), (u * 1.33 / n).alias("desirable_high"), (d / (m * 1.33)).alias("undesirable_low"), (d / m).alias("undesirable_high"))
 
 
 def _f1(hits: int, a: int, b: int) -> float:
@@ -235,12 +276,20 @@ def reward_metrics(df: DataFrame, group: str, reward: str) -> DataFrame:
 
 
 def distance_summary(df: DataFrame, km: str) -> DataFrame:
-    """Mean, median and the nearest-rank p90: the sorted value at min(n - 1, max(0, int(0.9 n) - 1))."""
-    r = ranked(df.where(F.col(km).isNotNull()).select(F.col(km).alias("x")), [F.col("x")], "at", "n")
-    at, n = F.col("at"), F.col("n")
-    middle = (at == F.floor((n + 1) / 2)) | (at == F.floor(n / 2) + 1)
-    ninth = at == F.least(n - 1, F.greatest(F.lit(0), F.floor(n * 0.9) - 1)) + 1
-    return r.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.avg(F.when(middle, F.col("x"))).alias("median"), F.max(F.when(ninth, F.col("x"))).alias("p90"))
+    """Mean, median and the nearest-rank p90: the sorted value at min(n - 1, max(0, int(0.9 n) - 1)).
+
+    Equal values are counted first, so that one that most rows share is one row.
+    """
+    counts = df.where(F.col(km).isNotNull()).groupBy(F.col(km).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    n = F.broadcast(counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")))
+    r = running_total(counts, [F.col("x")], F.col("c"), "below").join(n)
+    n = F.col("n")
+    holds = lambda k: (F.col("below") < k) & (k <= F.col("below") + F.col("c"))
+    middle = holds(F.floor((n + 1) / 2)) | holds(F.floor(n / 2) + 1)
+    ninth = holds(F.least(n - 1, F.greatest(F.lit(0), F.floor(n * 0.9) - 1)) + 1)
+    return r.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"),
+        F.avg(F.when(middle, F.col("x"))).alias("median"), F.max(F.when(ninth, F.col("x"))).alias("p90"))
 
 
 def contrastive(df: DataFrame, similarity: str, label: str, margin: float = 0.5) -> DataFrame:

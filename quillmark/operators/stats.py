@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.compose import ranked, running_total, uniform
+from quillmark.operators.compose import largest, ranked, running_total, uniform
 
 EPS = 1e-6
 
@@ -19,14 +19,24 @@ def item_stats(samples: DataFrame, key: str, reward: str, items: DataFrame | Non
     return items.select(key).join(stats, key, "left").fillna(0)
 
 
-def value_probability(stats: DataFrame, tau_mu: float = 1.0, tau_sigma: float = 1.0, target: float | None = None, eps: float = EPS) -> DataFrame:
-    """Adds ``s_mid, s_var, value, probability``; the three global numbers are one broadcast row."""
+def value_probability(
+    stats: DataFrame, tau_mu: float = 1.0, tau_sigma: float = 1.0, target: float | None = None, eps: float = EPS, variance: str = "exp_std", order: tuple[str, ...] = (),
+) -> DataFrame:
+    """Adds ``s_mid, s_var, value, probability``; the three global numbers are one broadcast row.
+
+    ``s_var`` grows with the deviation as 1 - exp(-deviation / scale), or is
+    (``variance="percentile"``) its percentile, ties in the given order.
+    """
+    if variance not in ("exp_std", "percentile"):
+        raise ValueError(f"unknown variance {variance!r}")
     g = stats.agg(F.avg("reward_mean").alias("__m"), F.stddev_pop("reward_mean").alias("__sm"), F.stddev_pop("reward_std").alias("__ss"))
     m = F.lit(target) if target is not None else F.col("__m")
     mid = F.exp(-F.pow(F.col("reward_mean") - m, 2) / (2 * F.pow(tau_mu * F.col("__sm"), 2) + eps))
     var = 1 - F.exp(-F.col("reward_std") / (tau_sigma * F.col("__ss") + eps))
+    if variance == "percentile":
+        stats, var = ordinal_percentile(stats, "reward_std", list(order), "__p"), F.col("__p")
     out = stats.join(F.broadcast(g)).withColumn("s_mid", mid).withColumn("s_var", var).withColumn("value", F.col("s_mid") * F.col("s_var"))
-    out = out.drop("__m", "__sm", "__ss")
+    out = out.drop("__m", "__sm", "__ss", "__p")
     return normalize_probability(out, "value")
 
 
@@ -55,7 +65,7 @@ def gumbel_topk(df: DataFrame, probability: str, k: int, ids: tuple[str, ...], s
     """Weighted sample without replacement: the k largest log p + Gumbel noise."""
     u = uniform(seed, *[F.col(c) for c in ids])
     score = F.log(F.greatest(F.col(probability), F.lit(1e-12))) - F.log(-F.log(u))
-    return df.withColumn("gumbel", score).orderBy(F.desc("gumbel"), *ids).limit(k)
+    return largest(df.withColumn("gumbel", score), F.col("gumbel"), [F.col(c) for c in ids], k)
 
 
 def group_topk(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -69,12 +79,18 @@ def ordinal_percentile(df: DataFrame, value: str, order: list[str], out: str) ->
     return r.withColumn(out, (F.col("__rn") - 1) / F.greatest(F.lit(1), F.col("__total") - 1).cast("double")).drop("__rn", "__total")
 
 
-def postprocess_score(df: DataFrame, order: list[str], weights: dict[str, float], gates: dict[str, float] | None = None) -> DataFrame:
-    """Product of percentile ranks to their weights, zero where a gate is missed."""
-    score = F.lit(1.0)
+def postprocess_score(df: DataFrame, order: list[str], weights: dict[str, float], gates: dict[str, float] | None = None, mode: str = "product") -> DataFrame:
+    """Product of percentile ranks to their weights, or their weighted mean, zero where a gate is missed."""
+    if mode not in ("product", "mean"):
+        raise ValueError(f"unknown mode {mode!r}")
+    score = F.lit(1.0 if mode == "product" else 0.0)
     for c, w in weights.items():
         df = ordinal_percentile(df, c, order, f"p_{c}")
-        score = score * F.pow(F.col(f"p_{c}"), F.lit(w))
+        p = F.col(f"p_{c}")
+        score = score * F.pow(p, F.lit(w)) if mode == "product" else score + p * w
+    if mode == "mean":
+        total = sum(weights.values())
+        score = score / total if total > 0 else F.lit(0.0)
     for c, least in (gates or {}).items():
         score = F.when(F.col(c) < least, 0.0).otherwise(score)
     return df.withColumn("score", score)
@@ -158,10 +174,11 @@ def gdpo_advantages(df: DataFrame, group: str, rewards: dict[str, float], eps: f
     return df.join(F.broadcast(g)).withColumn("advantage", (F.col("advantage") - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
 
 
-def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
-    """Keeps the groups whose rewards differ."""
+def varied_groups(df: DataFrame, group: str, reward: str, size: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Keeps the groups whose rewards differ; with ``size``, the first so many of their rows in an order, as sampling stops there."""
     keep = df.groupBy(group).agg(F.stddev_samp(reward).alias("__s")).where("__s > 0").select(group)
-    return df.join(keep, group, "left_semi")
+    out = df.join(keep, group, "left_semi")
+    return out if size is None else ranked(out, [F.col(c) for c in order or [group]], "__rn").where(F.col("__rn") <= size).drop("__rn")
 
 
 def minmax(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -190,10 +207,12 @@ def fill_first_wins(df: DataFrame, meta: DataFrame, key: str, order: list[Column
 
 
 def best_of_n(df: DataFrame, query: str, choice: str, score: str, keep: int = 1) -> DataFrame:
-    """The best choices of each query, each paired with its single worst choice."""
-    w = Window.partitionBy(query)
-    r = df.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), choice))).withColumn("rejected", F.min_by(choice, F.struct(F.col(score), F.col(choice))).over(w)).withColumn("__n", F.count(F.lit(1)).over(w))
-    return r.where((F.col("rank") <= keep) & (F.col("rank") < F.col("__n"))).drop("__n")
+    """The best choices of each query, each paired with its single worst choice; a query's only choice has no pair.
+
+    The worst is an aggregate and the best pass a group limit, so no query is gathered.
+    """
+    r = with_group(df, query, rejected=F.min_by(choice, F.struct(F.col(score), F.col(choice))), __n=F.count(F.lit(1)))
+    return group_topk(r, query, [F.desc(score), F.col(choice)], keep).where(F.col("rank") < F.col("__n")).drop("__n")
 
 
 def best_of_n_scored(
@@ -267,5 +286,8 @@ def kto_shift(df: DataFrame, batch: str, order: list[str], response: str) -> Dat
 def importance_weights(df: DataFrame, sequence: str, log_ratio: str, level: str = "token", mode: str = "truncate", threshold: float = 2.0) -> DataFrame:
     """Weights of tokens from clamped log ratios; sequences use the geometric mean."""
     r = F.greatest(F.least(F.col(log_ratio), F.lit(20.0)), F.lit(-20.0))
-    rho = F.exp(r if level == "token" else F.avg(r).over(Window.partitionBy(sequence)))
-    return df.withColumn("weight", F.least(rho, F.lit(threshold)) if mode == "truncate" else F.when(rho <= threshold, rho).otherwise(0.0))
+    if level != "token":
+        df, r = with_group(df, sequence, __mean=F.avg(r)), F.col("__mean")
+    rho = F.exp(r)
+    out = df.withColumn("weight", F.least(rho, F.lit(threshold)) if mode == "truncate" else F.when(rho <= threshold, rho).otherwise(0.0))
+    return out.drop("__mean")

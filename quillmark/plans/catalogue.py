@@ -244,7 +244,7 @@ def select_gumbel(spark, sf_dir):
 @query(f"WITH {_VALUE} SELECT item FROM p ORDER BY round(value, 9) DESC, item DESC LIMIT 100")
 def select_topk(spark, sf_dir):
     v = stats.value_probability(_items(spark, sf_dir))
-    return v.orderBy(F.round("value", 9).desc(), F.desc("item")).limit(100).select("item")
+    return compose.largest(v, F.round("value", 9), [-F.col("item")], 100).select("item")
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (
@@ -388,7 +388,8 @@ def _logp(spark, sf_dir) -> DataFrame:
            round(avg(exp(-mn)), 6) AS training_ppl, round(avg(exp(-mo)), 6) AS rollout_ppl, round(avg(mo - mn), 6) AS log_ppl_diff, round(avg(abs(mo - mn)), 6) AS log_ppl_abs_diff, round(avg(exp(mo - mn)), 6) AS ppl_ratio
     FROM q""")
 def offpolicy_kl_k3(spark, sf_dir):
-    return rounded(metrics.off_policy(_logp(spark, sf_dir), "s", "o", "n"))
+    every = metrics.off_policy(_logp(spark, sf_dir), "s", "o", "n")
+    return rounded(every.drop("training_log_ppl", "rollout_log_ppl", "log_ppl_diff_max", "log_ppl_diff_min"))
 
 
 @query("""

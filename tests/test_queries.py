@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillmark.plans import catalogue, encoding, formats, more  # noqa: F401  (they register their queries)
+from quillmark.plans import catalogue, encoding, formats, more, scores  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
