@@ -405,16 +405,21 @@ def similar_components(sets: list[np.ndarray], similarity: float = NEAR_SIMILARI
 
 def candidate_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b``: links among ``node, sketch, bands`` whose components hold every pair at NEAR_SIMILARITY, and others."""
-    met = distinct.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    met = met.select(F.array_sort("nodes").alias("nodes")).withColumn("bucket", F.xxhash64("nodes")).dropDuplicates(["bucket"])  # copies meet on most bands
-    met = scratch.save(met.select("bucket", F.size("nodes").alias("n"), F.get("nodes", F.lit(0)).alias("head"), F.explode("nodes").alias("node")))
+    places = scratch.save(distinct.select("node", F.explode("bands").alias("band")))
+    # A bucket is told by its size, its least node and two sums of hashes: no list of its nodes is ever one row.
+    mark = [F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    buckets = places.groupBy("band").agg(*mark).where("n > 1")
+    # Copies meet on most bands: of buckets with the same nodes one stays.
+    buckets = scratch.save(buckets.groupBy("n", "head", "x", "y").agg(F.min("band").alias("band")).select("band", "n", "head"))
+    met = scratch.save(places.join(buckets, "band").select(F.col("band").alias("bucket"), "n", "head", "node"))
+    scratch.drop(places, buckets)
     # What fills a task by itself is one candidate as a whole: its least node links with each.
     stars = met.where(F.col("n") > NEAR_TASK_ROWS).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     met = met.where(F.col("n") <= NEAR_TASK_ROWS).select("bucket", "node")
     tasks = met.count() // NEAR_TASK_ROWS + 1
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket", kind="stable")
+        pdf = pdf.sort_values(["bucket", "node"], kind="stable")
         node, bucket = pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
         rows = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
         edges, a, b = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))), [], []
