@@ -263,3 +263,29 @@ def domain_of(path: Column, root: str, names: dict[str, str] | None = None) -> C
     stem = F.regexp_replace(relative, r"(?<=.)\.[^.]*\z", "")
     known = F.coalesce(*[F.when(F.lower(stem) == k, v) for k, v in names.items()], stem) if names else stem
     return F.coalesce(F.when(relative.contains("/"), F.substring_index(relative, "/", 1)).otherwise(known), F.lit("UNKNOWN"))
+
+
+def invalid_query(c: Column) -> Column:
+    """A geocoding query that is missing, blank or a mere number."""
+    said = F.coalesce(strip(c.cast("string")), F.lit(""))
+    return (said == "") | said.rlike(r"\A[-+]?\d+(?:\.\d+)?\z")
+
+
+def distilled(content: Column, reasoning: Column) -> Column:
+    """One answer of a reasoning and an answer; without a reasoning the answer alone."""
+    whole = F.concat(F.lit("<think>"), reasoning, F.lit("</think>\n\n<answer>"), F.coalesce(content, F.lit("")), F.lit("</answer>"))
+    return F.when(reasoning.isNotNull(), whole).otherwise(content)
+
+
+def prm_reward(c: Column) -> Column:
+    """The number between the first and the second ``Reward:`` of a judge's output, asterisks left out; 0 if there is none."""
+    said = F.replace(strip(F.get(F.split(c, "Reward:"), F.lit(1))), F.lit("*"), F.lit(""))
+    return F.coalesce(strip(said).try_cast("double"), F.lit(0.0))
+
+
+def group_of_path(path: Column) -> Column:
+    """``group, member``: the folder that holds the file, else the stem without its number, and the stem."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    member = path_stem(path)
+    folder = F.when(F.size(parts) > 1, F.element_at(parts, -2))
+    return F.struct(F.coalesce(folder, group_stem(member)).alias("group"), member.alias("member"))

@@ -20,17 +20,18 @@ def group_key(c: str) -> Column:
     return F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", UNKNOWN).otherwise(F.col(c))
 
 
-def geo_report(rows: DataFrame, groups: tuple[str, ...], status: str = "status", km: str = "distance") -> DataFrame:
+def geo_report(rows: DataFrame, groups: tuple[str, ...], status: str = "status", km: str = "distance", by: tuple[str, ...] = ()) -> DataFrame:
     """Overall and by each group: counts by status, hits within each threshold over
     all rows (<=), distance over valid rows, GeoScore with failures as 0.
 
-    Sums are combined before the shuffle; medians come from ranks, so no group
-    is gathered.
+    ``by`` names columns of which each combination is reported on its own. Sums
+    are combined before the shuffle; medians come from counts of values, so no
+    group is gathered.
     """
     d = F.when(F.col(status) == 1, F.col(km))
     kinds = F.array(F.struct(F.lit("overall").alias("kind"), F.lit("all").alias("key")), *[F.struct(F.lit(g).alias("kind"), group_key(g).alias("key")) for g in groups])
-    keyed = rows.select(F.col(status).alias("__st"), d.alias("__d"), F.coalesce(report_geoscore(d), F.lit(0.0)).alias("__s"), F.inline(kinds).alias("group_kind", "group_key"))
-    by = ["group_kind", "group_key"]
+    keyed = rows.select(*by, F.col(status).alias("__st"), d.alias("__d"), F.coalesce(report_geoscore(d), F.lit(0.0)).alias("__s"), F.inline(kinds).alias("group_kind", "group_key"))
+    by = [*by, "group_kind", "group_key"]
     aggs = [
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("__st") == 1).alias("ok"), F.count_if(F.col("__st") == 0).alias("unparsed"), F.count_if(F.col("__st") == -1).alias("failed"),
@@ -41,6 +42,41 @@ def geo_report(rows: DataFrame, groups: tuple[str, ...], status: str = "status",
     return out.select(*by, *[c for c in out.columns if c.startswith(("rows", "ok", "un", "fail", "acc"))], "distance_mean", "distance_median", "geoscore_mean", "geoscore_median")
 
 
+def geo_report_by_file(rows: DataFrame, groups: tuple[str, ...], file: str = "file", status: str = "status", km: str = "distance") -> DataFrame:
+    """``geo_report`` of each file (a null or blank one is UNKNOWN) and, if there are several, of all as ``combined``."""
+    named = rows.withColumn("__file", group_key(file))
+    several = F.broadcast(named.agg((F.count_distinct("__file") > 1).alias("__several")))
+    both = named.join(several).withColumn("report", F.explode(F.when(F.col("__several"), F.array(F.col("__file"), F.lit("combined"))).otherwise(F.array("__file"))))
+    return geo_report(both, groups, status, km, ("report",))
+
+
+#: Titles of a text report's lines, and their formats. Fixed values.
+_LINES = (
+    ("大洲级准确率 (2500km, 失败=0): ", "acc_2500km", "%.4f", ""), ("国家级准确率 (750km, 失败=0): ", "acc_750km", "%.4f", ""), ("区域级准确率 (200km, 失败=0): ", "acc_200km", "%.4f", ""),
+    ("城市级准确率 (25km, 失败=0): ", "acc_25km", "%.4f", ""), ("街道级准确率 (1km, 失败=0): ", "acc_1km", "%.4f", ""), ("平均距离 (仅有效预测): ", "distance_mean", "%.2f", " km"),
+    ("中位数距离 (仅有效预测): ", "distance_median", "%.2f", " km"), ("平均GeoScore (失败=0): ", "geoscore_mean", "%.1f", ""), ("中位数GeoScore (失败=0): ", "geoscore_median", "%.1f", ""),
+)
+
+
+def report_text(report: DataFrame, titles: dict[str, str], by: tuple[str, ...] = ("report",)) -> DataFrame:
+    """``text`` of each report: its groups' lines between rules, the overall one first, then the kinds of ``titles`` in their order.
+
+    A title holds ``{key}`` where the group's name goes. A report has a row for
+    each group, so one text is as long as it has groups.
+    """
+    rule = "=" * 50
+    title, rank = F.when(F.col("group_kind") == "overall", F.lit("总体")), F.when(F.col("group_kind") == "overall", 0)
+    for i, (kind, text) in enumerate(titles.items()):
+        title = title.when(F.col("group_kind") == kind, F.replace(F.lit(text), F.lit("{key}"), F.col("group_key")))
+        rank = rank.when(F.col("group_kind") == kind, i + 1)
+    counts = F.concat(F.lit("{1: "), F.col("ok"), F.lit(", 0: "), F.col("unparsed"), F.lit(", -1: "), F.col("failed"), F.lit("}"))
+    lines = [F.lit(rule), F.concat(title, F.lit("评测结果:")), F.concat(F.lit("总样本数: "), "rows"), F.concat(F.lit("有效预测数: "), "ok"), F.concat(F.lit("状态统计: "), counts)]
+    lines += [F.concat(F.lit(a), F.format_string(f, F.coalesce(F.col(c), F.lit(0.0))), F.lit(z)) for a, c, f, z in _LINES]
+    part = F.struct(rank.alias("rank"), F.col("group_key"), F.array_join(F.array(*lines, F.lit(rule)), "\n").alias("text"))
+    known = report.where(rank.isNotNull())
+    return known.groupBy(*by).agg(F.array_sort(F.collect_list(part)).alias("p")).select(*by, F.concat(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), F.lit("\n")).alias("text"))
+
+
 def geo_accuracy_valid_only(km: Column, threshold: float) -> Column:
     """The older rule: strictly nearer, in percent, over rows with a distance."""
     return 100.0 * F.count_if(km < threshold) / F.nullif(F.count(km), F.lit(0))

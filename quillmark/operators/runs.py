@@ -104,11 +104,22 @@ def packaged(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(any_)).where((F.col("__any") == 0) | F.col("selected")).drop("__any")
 
 
-def viewed(df: DataFrame, needle: str = "", selected_only: bool = False) -> DataFrame:
-    """The viewer's filter: a part of id, truth or path, in any case."""
+def viewed(df: DataFrame, needle: str = "", selected_only: bool = False, issue_kind: str | None = None, order: str | None = None, descending: bool = True) -> DataFrame:
+    """The viewer's filters: a part of id, truth or path, in any case; selected rows; items with errors of a kind, or (``none``) without any.
+
+    With ``order``, ``place`` numbers the rows by it, nulls last, ties by ``item_id``.
+    """
     hit = F.contains(F.lower(F.concat_ws("\n", *[F.col(c) for c in ("item_id", "gt_text", "relative_path") if c in df.columns])), F.lit(needle.lower()))
     out = df.where(hit) if needle else df
-    return out.where("selected") if selected_only else out
+    out = out.where("selected") if selected_only else out
+    if issue_kind == "none":
+        out = out.where(F.coalesce("errors", F.lit(0)) == 0)
+    elif issue_kind:
+        out = out.where(F.coalesce(F.col(f"{issue_kind}s"), F.lit(0)) > 0)
+    if not order:
+        return out
+    key = -F.col(order) if descending else F.col(order)
+    return ranked(out, [F.col(order).isNull(), key, F.col("item_id")], "place")
 
 
 def write_run(folder: str, **tables: DataFrame) -> None:

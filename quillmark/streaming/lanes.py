@@ -115,18 +115,44 @@ def _fold_lanes(rows: DataFrame, fold: Fold) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+class Versions:
+    """Tables by kind and batch number in a folder; a batch counts once it is written whole, and replaces what it had written before."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _of(self, kind: str, batch: int) -> str:
+        return f"{self.path}/{kind}/batch-{batch}"
+
+    def read(self, kind: str, *batches: int) -> DataFrame:
+        return self.spark.read.parquet(*[self._of(kind, b) for b in batches])
+
+    def write(self, df: DataFrame, kind: str, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(self._of(kind, batch))
+
+    def batches(self, kind: str) -> list[int]:
+        """Numbers of the batches that are written whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        where = path(f"{self.path}/{kind}")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        found = [s.getPath() for s in fs.listStatus(where)]
+        return sorted(int(p.getName().removeprefix("batch-")) for p in found if fs.exists(path(p, "_SUCCESS")))
+
+
 class Folded:
     """A folded stream in a folder: finished rows by batch, and the rows held after each."""
 
     def __init__(self, spark: SparkSession, path: str, fold: Fold, lane: Column, order: list[str], lanes: int) -> None:
-        self.spark, self.path, self.fold = spark, path.rstrip("/"), fold
+        self.spark, self.tables, self.fold = spark, Versions(spark, path), fold
         self.lane, self.order, self.lanes = lane, order, lanes
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger: Any) -> StreamingQuery:
         """Runs the fold; ``availableNow=True`` ends with the stream, after which ``finish`` is due."""
         importable(self.spark)
-        if not self._batches("held"):
-            self._write(self.spark.createDataFrame([], StructType([*stream.schema, *_ADDED])), "held", -1)
+        if not self.tables.batches("held"):
+            self.tables.write(self.spark.createDataFrame([], StructType([*stream.schema, *_ADDED])), "held", -1)
         return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).foreachBatch(self._batch).start()
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
@@ -136,47 +162,28 @@ class Folded:
 
     def finish(self) -> DataFrame:
         """Hands out what is held, in order; a stream that goes on later starts with nothing held."""
-        last = max(self._batches("held"))
+        last = max(self.tables.batches("held"))
         if last % 2 == 0:
-            held = self._read("held", last)
-            self._write(held, "done", last + 1)
-            self._write(held.limit(0), "held", last + 1)
+            held = self.tables.read("held", last)
+            self.tables.write(held, "done", last + 1)
+            self.tables.write(held.limit(0), "held", last + 1)
         return self.rows()
 
     def rows(self) -> DataFrame:
         """All finished rows, with ``batch, lane, place``."""
-        done = self._batches("done")
+        done = self.tables.batches("done")
         if not done:
-            return self._read("held", max(self._batches("held"))).limit(0).drop("held")
-        return self.spark.read.parquet(*[self._path("done", b) for b in done]).drop("held")
+            return self.tables.read("held", max(self.tables.batches("held"))).limit(0).drop("held")
+        return self.tables.read("done", *done).drop("held")
 
     def _batch(self, rows: DataFrame, batch_id: int) -> None:
         number = 2 * batch_id
-        before = self._read("held", max(b for b in self._batches("held") if b < number))
+        before = self.tables.read("held", max(b for b in self.tables.batches("held") if b < number))
         arrivals = rows.withColumn("lane", F.pmod(self.lane, F.lit(self.lanes)).cast("long")).withColumn("held", F.lit(None).cast("long"))
         both = arrivals.unionByName(before.select(*arrivals.columns))
         dealt = both.repartition("lane").sortWithinPartitions("lane", F.col("held").asc_nulls_last(), *self.order)
         scratch = Scratch(self.spark)
         made = scratch.save(_fold_lanes(dealt, self.fold))
-        self._write(made.where("held IS NULL"), "done", number)
-        self._write(made.where("held IS NOT NULL"), "held", number)
+        self.tables.write(made.where("held IS NULL"), "done", number)
+        self.tables.write(made.where("held IS NOT NULL"), "held", number)
         scratch.drop(made)
-
-    def _path(self, kind: str, batch: int) -> str:
-        return f"{self.path}/{kind}/batch-{batch}"
-
-    def _read(self, kind: str, batch: int) -> DataFrame:
-        return self.spark.read.parquet(self._path(kind, batch))
-
-    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(self._path(kind, batch))
-
-    def _batches(self, kind: str) -> list[int]:
-        """Numbers of the batches that are written whole."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        where = path(f"{self.path}/{kind}")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return []
-        found = [s.getPath() for s in fs.listStatus(where)]
-        return sorted(int(p.getName().removeprefix("batch-")) for p in found if fs.exists(path(p, "_SUCCESS")))

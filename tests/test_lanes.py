@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.operators import compose
 from quillmark.operators.compose import fullest_fit
 from quillmark.streaming import stream
+from quillmark.streaming.interleaved import Interleaved
 from quillmark.streaming.lanes import hashed
 
 FILES, PER_FILE = 4, 60
@@ -60,7 +62,7 @@ def test_restart_goes_on_where_it_broke_off(spark, source, tmp_path):
         pass
 
     packed = stream.pack(spark, str(tmp_path / "out"), "id", "n", 20, key="k", window=16, lanes=1)
-    write, seen = packed._write, []
+    write, seen = packed.tables.write, []
 
     def once(df, kind, batch):
         if kind == "held" and batch == 4 and not seen:  # the rows of a batch are written, what it holds is not
@@ -68,7 +70,7 @@ def test_restart_goes_on_where_it_broke_off(spark, source, tmp_path):
             raise Broken
         write(df, kind, batch)
 
-    packed._write = once
+    packed.tables.write = once
     with pytest.raises(Exception):  # noqa: B017
         packed.run(source(), str(tmp_path / "cp"))
     assert seen
@@ -101,6 +103,26 @@ def test_shuffle_matches_loop(spark, source, tmp_path):
     assert all(i - place <= 20 for place, i in enumerate(order))  # none goes out before its turn by more than the buffer
 
 
+@pytest.mark.parametrize("stop", ["first_exhausted", "all_exhausted"])
+def test_interleaved_streams_match_the_batch_form(spark, tmp_path, stop):
+    """Sources of different speed: 3 files of 40 rows and 5 of 10; the order is that of the whole tables."""
+    sizes, probabilities = [(3, 40), (5, 10)], [0.7, 0.3]
+    for i, (files, n) in enumerate(sizes):
+        for f in range(files):
+            spark.range(f * n, (f + 1) * n).select("id", F.lit(f"s{i}").alias("name")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    streams = [stream.read(spark, str(tmp_path / f"in{i}"), "id long, name string") for i in range(2)]
+    got = Interleaved(spark, str(tmp_path / "out"), probabilities, ["id"]).run(streams, str(tmp_path / "cp"), stop)
+    frames = [spark.read.parquet(str(tmp_path / f"in{i}")) for i in range(2)]
+    want = compose.interleave(frames, probabilities, ["id"], stop=stop)
+    pick = lambda d: sorted((r.position, r.source, r.id, r.name) for r in d.collect())
+    assert pick(got) == pick(want) and len(pick(got)) == len({r[0] for r in pick(got)})
+
+
+def test_interleaving_refuses_what_it_cannot_do(spark, tmp_path):
+    with pytest.raises(ValueError):
+        Interleaved(spark, str(tmp_path), [0.5, 0.4], ["id"])
+
+
 def test_empty_stream(spark, tmp_path):
     spark.range(0).select("id", F.lit(1).cast("long").alias("n")).write.parquet(str(tmp_path / "in"))
     got = stream.pack(spark, str(tmp_path / "out"), "id", "n", 20).run(stream.read(spark, str(tmp_path / "in"), "id long, n long"), str(tmp_path / "cp"))
