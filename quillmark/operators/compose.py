@@ -276,6 +276,15 @@ def curriculum(df: DataFrame, bucket: str, ids: tuple[str, ...], mix: list[dict[
     return ranked(df, [F.col("phase"), uniform(seed + 1, *ids_), *ids_], "position")
 
 
+def staged(df: DataFrame, limits: list[float], value: str, ids: tuple[str, ...], seed: int = 42) -> DataFrame:
+    """Stages by value (stage k below ``limits[k]``, the last one beyond all) one after another, each in random order; adds ``stage, position``."""
+    stage = F.lit(len(limits))
+    for k, limit in reversed(list(enumerate(limits))):
+        stage = F.when(F.col(value) < limit, k).otherwise(stage)
+    keys = [F.col(c) for c in ids]
+    return ranked(df.withColumn("stage", stage), [F.col("stage"), uniform(seed, *keys), *keys], "position")
+
+
 def fullest_fit(lengths: list[int], capacity: int) -> list[int]:
     """Bin of each item: the longest first, each into the fullest bin that has room, else into a new one.
 

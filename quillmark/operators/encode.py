@@ -92,53 +92,79 @@ def rlhf(df: DataFrame, encode: Encoder = words, also: tuple[str, ...] = ()) ->
     return df.select(encode(F.col("messages")).alias("chosen_input_ids"), encode(rejected).alias("rejected_input_ids"), *keep)
 
 
-def kto(df: DataFrame, encode: Encoder = words) -> DataFrame:
+def kto(df: DataFrame, encode: Encoder = words, also: tuple[str, ...] = ()) -> DataFrame:
     """Like ``rlhf``, but a rejected answer may be missing; ``label`` is whether the answer is wanted (null: no)."""
     none = F.lit(None).cast("string")
-    rows = rlhf(df.withColumn("__label", F.coalesce(F.col("label").cast("boolean"), F.lit(False))).withColumn("rejected_response", F.col("rejected_response") if "rejected_response" in df.columns else none), encode, ("__label", "rejected_response"))
+    rows = rlhf(df.withColumn("__label", F.coalesce(F.col("label").cast("boolean"), F.lit(False))).withColumn("rejected_response", F.col("rejected_response") if "rejected_response" in df.columns else none), encode, ("__label", "rejected_response", *also))
     missing = F.col("rejected_response").isNull() if "rejected_messages" not in df.columns else F.lit(False)
     return rows.withColumn("rejected_input_ids", F.when(~missing, F.col("rejected_input_ids"))).drop("rejected_response").withColumnRenamed("__label", "label")
 
 
-def classified(df: DataFrame, encode: Encoder = words, single: bool = True) -> DataFrame:
+def classified(df: DataFrame, encode: Encoder = words, single: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Tokens and the label of a classification, an integer where one class holds; null labels stay null."""
-    return df.select(encode(F.col("messages")).alias("input_ids"), (F.col("label").cast("int") if single else F.col("label")).alias("labels"))
+    return df.select(encode(F.col("messages")).alias("input_ids"), (F.col("label").cast("int") if single else F.col("label")).alias("labels"), *also)
 
 
-def dispatch(df: DataFrame, task: str = "causal_lm", mode: str = "train", training: bool = True, encode: Encoder = words, template: str = "chatml", loss: str = "default") -> DataFrame:
-    """The encoding that a task and a mode call for."""
-    if task in ("causal_lm", "prm") and mode not in ("rlhf", "kto"):
+#: Modes of encoding; those that serve a model encode as training does.
+MODES = ("train", "transformers", "vllm", "lmdeploy", "sglang", "rlhf", "kto")
+
+
+def dispatch(
+    df: DataFrame, task: str = "causal_lm", mode: str = "train", training: bool = True, encode: Encoder = words, template: str = "chatml", loss: str = "default", return_lengths: bool = False,
+) -> DataFrame:
+    """The encoding that a task and a mode call for; a column ``channel`` goes through.
+
+    ``return_lengths`` adds ``lengths``: the number of tokens of each sequence
+    of a row, in the order of its columns, missing ones left out.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no mode: {mode}")
+    also = ("channel",) if "channel" in df.columns else ()
+    if task in ("causal_lm", "prm") and (mode not in ("rlhf", "kto") or task == "prm"):
         if task == "causal_lm" and not training:
             df = df.withColumn("messages", remove_response(F.col("messages"))[0])
-        return labelled(df, template, loss)
-    if task in ("causal_lm", "seq_cls") and mode == "rlhf":
-        return rlhf(df, encode)
-    if task == "causal_lm":
-        return kto(df, encode)
-    if task == "seq_cls":
-        return classified(df, encode)
-    if task in ("embedding", "reranker", "generative_reranker"):
+        out = labelled(df, template, loss)
+    elif task in ("causal_lm", "seq_cls") and mode == "rlhf":
+        out = rlhf(df, encode, also)
+    elif task == "causal_lm":
+        out = kto(df, encode, also)
+    elif task == "seq_cls":
+        out = classified(df, encode, also=also)
+    elif task in ("embedding", "reranker", "generative_reranker"):
         if not training:
-            return df.select(encode(F.col("messages")).alias("input_ids"))
-        return embedding(df, encode) if task == "embedding" else rerank(df, encode)
-    raise ValueError(f"no task: {task}")
+            out = df.select(encode(F.col("messages")).alias("input_ids"), *also)
+        else:
+            out = embedding(df, encode, also) if task == "embedding" else rerank(df, encode, also)
+    else:
+        raise ValueError(f"no task: {task}")
+    return with_lengths(out) if return_lengths else out
+
+
+def with_lengths(df: DataFrame) -> DataFrame:
+    """Adds ``lengths`` of all columns of token ids, those of lists of sequences one by one."""
+    parts = []
+    for name, kind in df.dtypes:
+        if name.endswith("input_ids"):
+            one = F.transform(name, lambda x: F.size(x)) if kind.startswith("array<array") else F.array(F.size(name))
+            parts.append(F.when(F.col(name).isNotNull(), one).otherwise(F.array().cast("array<int>")))
+    return df.withColumn("lengths", F.concat(*parts))
 
 
-def embedding(df: DataFrame, encode: Encoder = words) -> DataFrame:
+def embedding(df: DataFrame, encode: Encoder = words, also: tuple[str, ...] = ()) -> DataFrame:
     """Anchor, first positive, negatives; labels: the label (or 1), then a 0 for each negative."""
     first = F.get("positive_messages", F.lit(0))
     negatives = F.coalesce(F.col("negative_messages"), F.array()) if "negative_messages" in df.columns else F.array().cast(f"array<{MESSAGES}>")
     label = F.coalesce(F.col("label").cast("double"), F.lit(1.0)) if "label" in df.columns else F.lit(1.0)
     return df.select(
         encode(F.col("messages")).alias("anchor_input_ids"), encode(first).alias("positive_input_ids"), F.transform(negatives, encode).alias("negative_input_ids"),
-        F.concat(F.array(label), F.transform(negatives, lambda _: F.lit(0.0))).alias("labels"))
+        F.concat(F.array(label), F.transform(negatives, lambda _: F.lit(0.0))).alias("labels"), *also)
 
 
-def rerank(df: DataFrame, encode: Encoder = words) -> DataFrame:
+def rerank(df: DataFrame, encode: Encoder = words, also: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document of a query: positives (label 1) first, then negatives (0)."""
     docs = F.concat(F.transform("positive_messages", lambda d: F.struct(d.alias("d"), F.lit(1).alias("label"))), F.transform("negative_messages", lambda d: F.struct(d.alias("d"), F.lit(0).alias("label"))))
-    rows = df.select("messages", F.posexplode(docs).alias("position", "x"))
-    return rows.select("position", encode(F.concat("messages", F.col("x.d"))).alias("input_ids"), F.col("x.label").alias("label"))
+    rows = df.select("messages", *also, F.posexplode(docs).alias("position", "x"))
+    return rows.select("position", encode(F.concat("messages", F.col("x.d"))).alias("input_ids"), F.col("x.label").alias("label"), *also)
 
 
 def pack_rows(df: DataFrame, bins: list[str], order: str) -> DataFrame:

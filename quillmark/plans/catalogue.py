@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import geo, rewards, text, toolcall
-from quillmark.operators import chat, compose, encode, metrics, normalize, runs, stats
+from quillmark.operators import chat, compose, encode, metrics, normalize, runs, states, stats
 from quillmark.scratch import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,8 +542,9 @@ def annotations_last_wins(spark, sf_dir):
 @query("""
     SELECT round(avg((quality = 1 - toxic)::INT), 6) AS accuracy, count(*) AS n FROM labels""")
 def exact_match_acc(spark, sf_dir):
-    hit = F.col("quality").eqNullSafe(1 - F.col("toxic")).cast("int")
-    return t(spark, sf_dir, "labels").agg(r6(F.avg(hit)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    m = states.accuracy("quality", "clean")
+    found = states.compute(m, states.update(m, t(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))))
+    return found.select(r6("acc").alias("accuracy"), "n")
 
 
 @query("SELECT round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS min, max(n_chars) AS max, count(n_chars) AS size FROM documents")
@@ -698,6 +699,5 @@ def length_filter(spark, sf_dir):
     WITH b AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN 0 WHEN n_chars < 3000 THEN 1 WHEN n_chars < 8000 THEN 2 ELSE 3 END AS stage FROM documents)
     SELECT doc_id, stage, row_number() OVER (ORDER BY stage, %s, doc_id) AS position FROM b""" % u(42, "doc_id"))
 def four_stage_order(spark, sf_dir):
-    stage = F.when(F.col("n_chars") < 1000, 0).when(F.col("n_chars") < 3000, 1).when(F.col("n_chars") < 8000, 2).otherwise(3)
-    d = t(spark, sf_dir, "documents").select("doc_id", stage.alias("stage"))
-    return compose.ranked(d, [F.col("stage"), compose.uniform(42, F.col("doc_id")), F.col("doc_id")], "position")
+    d = t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return compose.staged(d, [1000, 3000, 8000], "n_chars", ("doc_id",)).drop("n_chars")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import agents, formulas, jsons, rewards, toolcall
-from quillmark.operators import compose, retries, states, stats
+from quillmark.operators import compose, exports, metrics, retries, states, stats
 from quillmark.plans.catalogue import query, t, u
 from quillmark.plans.more import by_shape, cat, ident, shaped
 from quillmark.scratch import shared_dir
 from quillmark.sources import commits
 from quillmark.streaming import stream
+from quillmark.streaming.interleaved import Interleaved
 
 # --- formulas -------------------------------------------------------------------------
 
@@ -261,3 +262,48 @@ def tool_call_forms(spark, sf_dir):
     got = F.coalesce(*[F.when(n % len(forms) == i, toolcall.PARSERS[k](F.col("out"))) for i, (k, _) in enumerate(forms)])
     d = d.select("doc_id", F.get(got, F.lit(0)).alias("c"))
     return d.select("doc_id", F.trim(F.col("c.name")).alias("name"), F.trim(F.col("c.arguments")).alias("arguments"))
+
+
+# --- reports, groups, interleaved streams ----------------------------------------------
+
+
+@query(f"""
+    WITH k AS (SELECT c_nationkey % 3 AS f, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE 1 END AS st, c_custkey % 977 / 2.0::DOUBLE AS d FROM customer),
+    b AS (SELECT 'file' || f AS report, st, d FROM k UNION ALL SELECT 'combined', st, d FROM k)
+    SELECT report, count(*) AS rows, count(*) FILTER (st = 1) AS ok, round(avg((st = 1 AND d <= 200)::INT), 6) AS acc_200km, round(avg(d) FILTER (st = 1), 4) AS distance_mean, round(median(d) FILTER (st = 1), 4) AS distance_median
+    FROM b GROUP BY report""")
+def reports_by_file(spark, sf_dir):
+    """Customers as predictions in three files, each reported, and all together."""
+    c = t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("file"), F.col("c_nationkey") % 3).alias("file"), F.when(F.col("c_custkey") % 5 == 0, -1).otherwise(1).alias("status"), (F.col("c_custkey") % 977 / F.lit(2.0)).alias("distance"))
+    rep = metrics.geo_report_by_file(c, ()).where("group_kind = 'overall'")
+    return rep.select("report", "rows", "ok", F.round("acc_200km", 6).alias("acc_200km"), F.round("distance_mean", 4).alias("distance_mean"), F.round("distance_median", 4).alias("distance_median"))
+
+
+@query("""
+    WITH s AS (SELECT DISTINCT 'g' || (c_custkey // 7) AS g FROM customer WHERE c_custkey % 21 = 0),
+    a AS (SELECT c_custkey AS k, 'g' || (c_custkey // 7) AS g, 'g' || (c_custkey // 7) || CASE WHEN c_custkey % 7 IN (1, 2, 3) THEN '_' || (c_custkey % 7) ELSE '' END AS stem FROM customer)
+    SELECT k AS c_custkey, g AS group_id, g || '/' || stem || '.jpg' AS relative_path, count(*) OVER (PARTITION BY g) AS group_size FROM a SEMI JOIN s USING (g)""")
+def grouped_candidates(spark, sf_dir):
+    """All views of the groups of which one view is selected."""
+    n = F.floor(F.col("c_custkey") / 7).cast("string")
+    view = F.when((F.col("c_custkey") % 7).isin(1, 2, 3), F.concat(F.lit("_"), F.col("c_custkey") % 7)).otherwise("")
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/data/g"), n, view, F.lit(".jpg")).alias("image_path"), F.concat(F.lit("g"), n, F.lit("/x.jpg")).alias("chosen"))
+    selection = c.where("c_custkey % 21 = 0").select(F.col("chosen").alias("relative_path"))
+    return exports.group_candidates(selection, c.drop("chosen")).select("c_custkey", "group_id", "relative_path", "group_size")
+
+
+@query(f"""
+    WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 <> 0),
+    s AS (SELECT range AS position, CASE WHEN {u(42, "range")} < 0.4 THEN 0 ELSE 1 END AS source FROM range(8 * (SELECT count(*) FROM documents) + 2000)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS k FROM s),
+    e AS (SELECT least((SELECT position FROM d WHERE source = 0 AND k = (SELECT count(*) FROM a) + 1), (SELECT position FROM d WHERE source = 1 AND k = (SELECT count(*) FROM b) + 1)) AS p)
+    SELECT position, source, doc_id FROM d JOIN (SELECT 0 AS source, * FROM a UNION ALL SELECT 1, * FROM b) USING (source, k), e WHERE position < p""")
+def interleaved_streams(spark, sf_dir):
+    """Two streams of documents by draws of 0.4 and 0.6, up to the first that ends."""
+    base, d = f"{shared_dir(spark)}/interleaved-{uuid.uuid4().hex}", t(spark, sf_dir, "documents").select("doc_id")
+    streams = []
+    for i, part in enumerate((d.where(ident() % 3 == 0), d.where(ident() % 3 != 0))):
+        part.write.parquet(f"{base}/in{i}")
+        streams.append(stream.read(spark, f"{base}/in{i}", "doc_id long", files_per_batch=1000))
+    return Interleaved(spark, f"{base}/out", [0.4, 0.6], ["doc_id"]).run(streams, f"{base}/checkpoint").select("position", "source", "doc_id")

@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or getattr(shared_dir, "own", None)
     if not base:
-        if not conf.get("spark.master", "local").startswith("local["):
+        master = conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillmark-")
     return f"{base.rstrip('/')}/quillmark"
@@ -42,9 +43,12 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A lost executor costs a re-read, not a recomputation. ``drop`` removes a
-    table as soon as no later step reads it; what is left goes with the JVM.
+    table as soon as no later step reads it; ``clear``, between jobs, removes
+    what results may still have been reading, and what is left goes with the JVM.
     """
 
+    _made: set[str] = set()
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.base = shared_dir(spark)
@@ -63,14 +67,24 @@ class Scratch:
         where, fs = self._fs(path)
         fs.deleteOnExit(where)
         self._paths[id(out)] = (out, path)
+        Scratch._made.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             kept = self._paths.pop(id(df), None)
             if kept:
-                where, fs = self._fs(kept[1])
-                fs.delete(where, True)
+                self._delete(kept[1])
+
+    def clear(self) -> None:
+        """Removes all tables that any operator of this process has written and not dropped; no frame that reads one may be in use."""
+        for path in list(Scratch._made):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where, fs = self._fs(path)
+        fs.delete(where, True)
+        Scratch._made.discard(path)
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)

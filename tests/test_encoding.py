@@ -1,9 +1,13 @@
 """Templates, loss weights, truncation and encodings of tasks on small rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.functions import rewards
 from quillmark.operators import compose, encode, metrics, normalize, templates
+from quillmark.scratch import Scratch
 
 SCHEMA = f"messages {normalize.MESSAGES}"
 
@@ -150,3 +154,44 @@ def test_label_correlations_with_ties_and_nulls(spark):
     mx, my = sum(x) / 4, sum(y) / 4
     want = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
     assert got["name"] == "s" and abs(got["spearman"] - want) < 1e-12
+
+
+def test_dispatch_lengths_channels_and_modes(spark):
+    m = normalize.message
+    row = spark.range(1).select(
+        F.array(m("user", F.lit("a b")), m("assistant", F.lit("c"))).alias("messages"), F.array(F.array(m("assistant", F.lit("p")))).alias("positive_messages"),
+        F.array(F.array(m("assistant", F.lit("n")), m("assistant", F.lit("o")))).alias("negative_messages"), F.lit("x y").alias("rejected_response"), F.lit("web").alias("channel"), F.lit(1).alias("label"))
+    assert encode.dispatch(row, mode="vllm", return_lengths=True).first()["channel"] == "web"
+    assert encode.dispatch(row, mode="rlhf", return_lengths=True).first().asDict() | {} == {
+        "chosen_input_ids": ["a", "b", "c"], "rejected_input_ids": ["a", "b", "x", "y"], "channel": "web", "lengths": [3, 4]}
+    kto = encode.dispatch(row.withColumn("rejected_response", F.lit(None).cast("string")), mode="kto", return_lengths=True).first()
+    assert (kto.lengths, kto.channel) == ([3], "web")
+    assert encode.dispatch(row, task="embedding", return_lengths=True).first().lengths == [3, 1, 2]
+    assert [(r.lengths, r.channel) for r in encode.dispatch(row, task="reranker", return_lengths=True).orderBy("position").collect()] == [([4], "web"), ([5], "web")]
+    assert encode.dispatch(row, task="seq_cls", return_lengths=True).first().channel == "web"
+    with pytest.raises(ValueError):
+        encode.dispatch(row, mode="unknown")
+
+
+def test_registered_rewards(spark):
+    rewards.register("long", lambda c, least=3: F.when(c.isNotNull(), (F.length(c) >= least).cast("double")))
+    try:
+        df = spark.createDataFrame([("<think>a</think><answer>b</answer>",), ("ab",), (None,)], "c string")
+        got = rewards.scored(df, "c", {"long": {"least": 3}, "format": {}}, {"long": 2.0}).collect()
+        assert [(r.reward_long, r.reward_format, r.reward) for r in got] == [(1.0, 1.0, 3.0), (0.0, 0.0, 0.0), (None, 0.0, 0.0)]
+        assert [r.reward for r in rewards.scored(df, "c", {"long": {}}).collect()] == [1.0, 0.0, None]
+        with pytest.raises(ValueError):
+            rewards.register("long", rewards.format_ok)
+        with pytest.raises(ValueError):
+            rewards.scored(df, "c", {"none": {}})
+    finally:
+        del rewards.REWARDS["long"]
+
+
+def test_cleared_scratch(spark):
+    scratch = Scratch(spark)
+    kept = scratch.save(spark.range(3))
+    path = scratch._paths[id(kept)][1]
+    assert kept.count() == 3
+    Scratch(spark).clear()
+    assert path not in Scratch._made and not os.path.exists(path.removeprefix("file://"))
