@@ -597,7 +597,8 @@ def rouge_lite(spark, sf_dir):
 
 def _rouge_sql(n: int) -> str:
     words = lambda c: f"list_filter(regexp_split_to_array(trim({c}, ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
-    grams = lambda w: f"CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' ')) ELSE [] END"
+    shifted = lambda w: ", ".join(f"{w}[{k + 1}:len({w}) - {n - 1 - k}]" for k in range(n))
+    grams = lambda w: w if n == 1 else f"[{' || chr(32) || '.join(f'x[{k + 1}]' for k in range(n))} FOR x IN list_zip({shifted(w)})]"
     return f"""
         WITH p AS MATERIALIZED (SELECT doc_id, {words("d.text")} AS h, {words("b.text")} AS r FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
         g AS (SELECT doc_id, unnest({grams("h")}) AS g, 1 AS a, 0 AS b FROM p UNION ALL SELECT doc_id, unnest({grams("r")}), 0, 1 FROM p),
