@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import agents, formulas, jsons, rewards, toolcall
 from quillmark.operators import compose, exports, metrics, retries, states, stats
+from quillmark.operators.recipes import RECIPES
 from quillmark.plans.catalogue import query, t, u
 from quillmark.plans.more import by_shape, cat, ident, shaped
 from quillmark.scratch import shared_dir
@@ -307,3 +308,39 @@ def interleaved_streams(spark, sf_dir):
         part.write.parquet(f"{base}/in{i}")
         streams.append(stream.read(spark, f"{base}/in{i}", "doc_id long", files_per_batch=1000))
     return Interleaved(spark, f"{base}/out", [0.4, 0.6], ["doc_id"]).run(streams, f"{base}/checkpoint").select("position", "source", "doc_id")
+
+
+# --- recipes ----------------------------------------------------------------------------
+
+#: Recipe, its options, its columns (SQL of documents, which Spark reads too), and the folded messages it should give.
+_N, _L, _S = "cast(doc_id AS STRING)", "coalesce(lang, 'none')", "coalesce(source, 'nowhere')"
+_RECIPES = [
+    ("alpaca_zh", {}, {"instruction": _L, "input": f"concat('输入：', {_S})", "output": _N}, f"concat('user:', {_L}, '\n', {_S}, '|assistant:', {_N})"),
+    ("long_alpaca", {}, {"instruction": _L, "input": "''", "output": f"concat('Answer: ', {_N}, ' ')"}, f"concat('user:', {_L}, '|assistant:', {_N})"),
+    ("numbered_titles", {}, {"title": f"concat({_N}, '.why ', {_S})", "abs": "cast(NULL AS STRING)"}, f"concat('assistant:why ', {_S})"),
+    ("answer_appended", {}, {"input": _S, "output": _L, "answer": _N}, f"concat('user:', {_S}, '|assistant:', {_L}, '\n\nAnswer: ', {_N})"),
+    ("with_context", {"lead": "L:"}, {"instruction": _L, "context": f"CASE WHEN doc_id % 2 = 0 THEN {_S} ELSE '' END", "response": _N},
+     f"concat('user:', CASE WHEN doc_id % 2 = 0 THEN concat('L:', {_S}, '\n') ELSE '' END, {_L}, '|assistant:', {_N})"),
+    ("separated_question", {}, {"text1": f"concat({_L}, ' [SEP] ', {_S})", "text2": _N}, f"concat('user:Answer: ', {_L}, '\nContext: ', {_S}, '|assistant:', {_N})"),
+    ("class_prompt", {"labels": ["no", "yes"], "task": "t"}, {"sentence": _N, "label": "cast(doc_id % 2 AS INT)"},
+     f"concat('user:Task: t\nSentence: ', {_N}, '\nCategory: no, yes\nOutput:|assistant:', CASE WHEN doc_id % 2 = 1 THEN 'yes' ELSE 'no' END)"),
+    ("self_cognition", {"name": ("小", "Q"), "author": ("人", "A")}, {"query": _N, "response": "'{{NAME}} by {{AUTHOR}}'", "tag": "CASE WHEN doc_id % 2 = 0 THEN 'zh' ELSE 'en' END"},
+     f"concat('user:', {_N}, '|assistant:', CASE WHEN doc_id % 2 = 0 THEN '小 by 人' ELSE 'Q by A' END)"),
+    ("prompt_template", {"prompt": "do {{QUERY}}!"}, {"query": _N, "response": _L}, f"concat('user:do ', {_N}, '!|assistant:', {_L})"),
+]
+
+
+def _for_duckdb(sql: str) -> str:
+    return sql.replace("AS STRING", "AS VARCHAR").replace("\n", "' || chr(10) || '")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS recipe, {_for_duckdb(want)} AS folded FROM documents" for name, _, _, want in _RECIPES))
+def recipe_rows(spark, sf_dir):
+    """Documents in the columns of nine recipes' datasets, brought to messages."""
+    d, out = t(spark, sf_dir, "documents"), None
+    for name, options, columns, _ in _RECIPES:
+        rows = RECIPES[name](d.select(*[F.expr(c).alias(k) for k, c in columns.items()]), **options)
+        folded = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+        one = rows.select(F.lit(name).alias("recipe"), folded.alias("folded"))
+        out = one if out is None else out.unionByName(one)
+    return out
