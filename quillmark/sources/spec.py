@@ -112,6 +112,43 @@ def read_wrapped_json(spark: SparkSession, path: str, keys: tuple[str, ...] = WR
     return df
 
 
+def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """An annotation manifest by what it holds: JSON lines, a JSON array, or an object that wraps one; CSV and Parquet by their names."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix in ("csv", "parquet"):
+        return read_records(spark, path, schema=schema if suffix == "csv" else None)
+    # The first character that is not blank of the first lines decides; no more of the file is read for it.
+    head = "".join(r["value"] for r in spark.read.text(path).limit(50).collect()).lstrip("\ufeff \t\r\n")
+    if head[:1] == "[":
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    first_line = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.try_parse_json("value").isNotNull().alias("ok")).first()
+    if suffix == "jsonl" or first_line and first_line["ok"] and not any(f'"{k}"' in head for k in WRAPPERS):
+        return read_json_lines(spark, path, schema)
+    return read_wrapped_json(spark, path)
+
+
+def with_sidecars(images: DataFrame, sidecars: DataFrame, path: str = "relative_path", json_path: str = "json_path", fields: tuple[str, ...] = ()) -> DataFrame:
+    """Each image with the ``fields`` of the JSON beside it, whose path is the image's with another ending; of several the one that sorts first."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
+    first = F.min(F.struct(F.col(json_path), *[F.col(c) for c in fields]))
+    beside = sidecars.where(F.lower(json_path).endswith(".json")).groupBy(stem(json_path).alias("__stem")).agg(first.alias("__side"))
+    out = images.join(beside, stem(path) == F.col("__stem"), "left")
+    return out.select(*[images[c] for c in images.columns], *[F.col(f"__side.{c}").alias(c) for c in fields])
+
+
+def cached_choices(rows: DataFrame, cache: DataFrame, choice: str = "choices") -> DataFrame:
+    """``rows`` with ``key`` and the ``choices`` a former sampling has for each: the lists of equal keys one after another, in the order of ``batch``; none is an empty list.
+
+    The key is the MD5 of a row as JSON, its choices left out; ``cache`` holds ``key, batch, choices``.
+    """
+    from quillmark.operators.runs import row_key
+
+    kind = dict(cache.dtypes)[choice]
+    one = cache.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("batch", F.col(choice).alias("c")))).alias("found"))
+    keyed = rows.drop(choice).withColumn("key", row_key(rows.columns))
+    return keyed.join(one, "key", "left").withColumn(choice, F.coalesce(F.flatten(F.transform("found", lambda x: F.coalesce(x["c"], F.array().cast(kind)))), F.array().cast(kind))).drop("found")
+
+
 def discover_images(spark: SparkSession, root: str) -> DataFrame:
     """``path, relative_path, length`` of the image files below a folder."""
     suffixes = "|".join(re.escape(s) for s in IMAGE_SUFFIXES)
