@@ -121,34 +121,42 @@ class Tokenizers:
         a: list[int] = []
         b: list[int] = []
         bad: list[int] = []
-
-        def add(first: int, stop: int) -> None:
+        for first, stop in _calls(stretches):
             ids = self.encode(" ".join(stretches[first:stop]))
             if ids:
-                a.extend(ids[0])
-                b.extend(ids[1])
-            elif stop - first == 1:
-                bad.append(first)
-            else:
-                for i in range(first, stop):
-                    add(i, i + 1)
-
-        first = size = 0
-        for i, x in enumerate(stretches):
-            # Between two characters that are not white space a blank is a cut; other stretches go alone.
-            plain = x and not x[0].isspace() and not x[-1].isspace()
-            if first < i and (not plain or size + len(x) > CALL_CHARS):
-                add(first, i)
-                first, size = i, 0
-            size += len(x)
-            if not plain:
-                add(i, i + 1)
-                first, size = i + 1, 0
-        if first < len(stretches):
-            add(first, len(stretches))
+                a += ids[0]
+                b += ids[1]
+                continue
+            for i in range(first, stop):  # the few that cannot be given back are found one by one
+                one = self.encode(stretches[i])
+                if one:
+                    a += one[0]
+                    b += one[1]
+                else:
+                    bad.append(i)
         return a, b, bad
 
 
+def _calls(stretches: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of stretches that are tokenized in one call.
+
+    Between two characters that are not white space a blank is a cut; stretches
+    that begin or end otherwise go alone.
+    """
+    first = size = 0
+    for i, x in enumerate(stretches):
+        plain = x and not x[0].isspace() and not x[-1].isspace()
+        if first < i and (not plain or size + len(x) > CALL_CHARS):
+            yield first, i
+            first, size = i, 0
+        size += len(x)
+        if not plain:
+            yield i, i + 1
+            first, size = i + 1, 0
+    if first < len(stretches):
+        yield first, len(stretches)
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizers(folder: str) -> Tokenizers:
     return Tokenizers(folder)
