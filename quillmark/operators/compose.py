@@ -57,14 +57,21 @@ def least(df: DataFrame, u: Column, ids: list[Column], k: int, n: int) -> DataFr
     return ranked(near, [u, *ids], "__rn").where(F.col("__rn") <= k).drop("__rn")
 
 
+#: Up to so many rows each task may pass on in a top-k.
+FEW = 10_000
+
+
 def largest(df: DataFrame, score: Column, ids: list[Column], k: int) -> DataFrame:
     """The k rows of the greatest score; ties go by the ids, and null scores last.
 
-    Only rows over a cut near the k-th score are ranked, in range parts, so no
-    task holds k rows more than its share.
+    A small k is a plain top-k, of which no task passes on more than ``FEW``
+    rows. Beyond that, only rows over a cut near the k-th score are ranked, in
+    range parts, so no task holds k rows more than its share.
     """
-    n = df.count()
-    rows = df.withColumn("__score", score)
+    if k <= FEW:
+        return df.withColumn("__score", score).orderBy(F.col("__score").desc_nulls_last(), *ids).limit(k).drop("__score")
+    rows = Scratch(df.sparkSession).save(df.withColumn("__score", score))
+    n = rows.count()
     if k < n:
         share = 1 - min(1.0, 1.1 * k / n + 40 / n)
         cut = rows.agg(F.percentile_approx("__score", F.lit(share), F.lit(10_000))).first()[0]

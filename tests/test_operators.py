@@ -430,3 +430,14 @@ def test_stream_split_needs_a_share(spark, tmp_path):
     s = stream.read(spark, str(tmp_path / "in"), "id long")
     with pytest.raises(ValueError):
         stream.split(s, ["id"], None)
+
+
+def test_largest_rows_both_ways(spark, monkeypatch):
+    df = spark.range(500).select("id", F.when(F.col("id") % 11 != 0, F.col("id") * 37 % 50).alias("v"))
+    want = sorted(((r.v is None, -(r.v or 0), r.id) for r in df.collect()))
+    for few in (10_000, 0):
+        monkeypatch.setattr(compose, "FEW", few)
+        for k in (0, 7, 120, 470, 500, 900):
+            got = compose.largest(df, F.col("v"), [F.col("id")], k).collect()
+            assert len(got) == min(k, 500)
+            assert {r.id for r in got} == {i for *_, i in want[:k]}
