@@ -43,7 +43,7 @@ MIN_WORDS = 51
 GRAM = 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CACHE = 400_000
+_BLOCK = 1 << 16
 _ROWS = 8192
 #: Marks of rows in a sorted part: none of another text before or after; its first and last row, and the ones of another text next to them.
 _HEAD, _TAIL, _FIRST, _FIRST_OTHER, _LAST, _LAST_OTHER = 1, 2, 4, 8, 16, 32
@@ -59,13 +59,37 @@ def identity(words: list[bytes]) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
 
 
-def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    if len(cache) > _CACHE:
-        cache.clear()
-    for w in words:
-        if w not in cache:
-            cache[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), x))), dtype=np.uint64)[:n]
+
+
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+
+
+def word_hashes(joined: bytes) -> np.ndarray:
+    """A hash of each word of words joined by single blanks; without a Python step a word, and blocks of bytes at a time."""
+    raw = np.frombuffer(joined, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    ends = np.flatnonzero(raw == 32)
+    starts, ends = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(raw)]))
+    left, right, down = (np.empty(len(starts), np.uint64) for _ in range(3))
+    before, turn = np.zeros(1, np.uint64), 1  # the sum before the block and the base's power at its start
+    for o in range(0, len(raw), _BLOCK):
+        part = raw[o : o + _BLOCK].astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate((before, before + np.cumsum(part * (_UP[: len(part)] * np.uint64(turn)), dtype=np.uint64)))
+        i, j = np.searchsorted(starts, (o, o + len(part)))
+        left[i:j] = sums[starts[i:j] - o]
+        down[i:j] = _DOWN[starts[i:j] - o] * np.uint64(pow(turn, -1, 1 << 64))
+        i, j = np.searchsorted(ends, (o, o + len(part)), "right")
+        right[i:j] = sums[ends[i:j] - o]
+        before, turn = sums[-1:], turn * pow(int(_BASE), _BLOCK, 1 << 64) % (1 << 64)
+    return _mixed((right - left) * down)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)  # spread the weak low bits
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
@@ -73,13 +97,9 @@ def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
     n = len(x) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    one = np.ones(1, np.uint64)
-    up = np.cumprod(np.concatenate((one, np.full(len(x) - 1, _BASE))), dtype=np.uint64)
-    down = np.cumprod(np.concatenate((one, np.full(n - 1, _INVERSE))), dtype=np.uint64)
+    up, down = (_UP[: len(x)], _DOWN[:n]) if len(x) <= _BLOCK else (_powers(_BASE, len(x)), _powers(_INVERSE, n))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64)))
-    h = (total[size:] - total[:n]) * down
-    h ^= h >> np.uint64(32)  # spread the weak low bits
-    return h * np.uint64(0xD6E8FEB86659FD93)
+    return _mixed((total[size:] - total[:n]) * down)
 
 
 def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
@@ -298,7 +318,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text (``pos`` -1) and for each of its places."""
-        cache: dict[bytes, int] = {}
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -306,7 +325,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 who = np.array([identity(w) for w in texts], np.int64).reshape(-1, 2)
                 none = np.zeros(len(texts), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(w) for w in texts], pa.int32()), pa.array(none), pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array((none - 1).astype(np.int32))], schema=kind)
-                grams = [window_hashes(word_hashes(w, cache), gram) for w in texts]
+                ends = np.cumsum([len(w) for w in texts])
+                hashes = np.split(word_hashes(b" ".join(w for ws in texts for w in ws)), ends[:-1])
+                grams = [window_hashes(x, gram) for x in hashes]
                 places = [np.unique(minimisers(g, span)) for g in grams]
                 n = [len(p) for p in places]
                 h = np.concatenate([g[p] for g, p in zip(grams, places, strict=True)]).view(np.int64)
@@ -322,8 +343,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kinds = texts.groupBy("c1", "c2").agg(name.alias("first"), F.max("doc_id").alias("last"), F.max("words").alias("words"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     kinds = scratch.save(scratch.save(kinds).withColumn("c", F.monotonically_increasing_id()))
     # Written before the join, so that the join can split the rows of a common k-gram.
-    pair = F.struct("c1", "c2")
-    shared = scratch.save(suffixes.groupBy("h").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).where("a <> b").select("h"))
+    # Plain longs: the least and greatest of a struct would sort all suffixes.
+    ends = [f(c).alias(f"{c}{k}") for c in ("c1", "c2") for k, f in (("a", F.min), ("b", F.max))]
+    shared = scratch.save(suffixes.groupBy("h").agg(*ends).where("c1a <> c1b OR c2a <> c2b").select("h"))
     places = suffixes.join(shared, "h").groupBy("c1", "c2").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
     # One text of each kind is enough.
     chosen = scratch.save(places.join(kinds.select("c1", "c2", "c", F.col("first.doc_id").alias("own_id"), F.col("first.k").alias("own_k")), ["c1", "c2"]))

@@ -734,3 +734,13 @@ def test_scratch_lies_in_the_shared_folder(spark):
     df = s.save(spark.range(3))
     assert df.count() == 3
     s.drop(df)
+
+
+def test_word_hashes_of_long_texts():
+    """A word has one hash wherever it stands, also across blocks of bytes."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.choice((1, 2, 3, 90_000 if i % 997 == 0 else 4)))).encode() for i in range(40_000)]
+    seen = {}
+    got = suffix_dedup.word_hashes(b" ".join(words)).tolist()
+    assert len(got) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, got, strict=True))
+    assert len(set(seen.values())) == len(seen)
