@@ -33,9 +33,11 @@ def build_items(images: DataFrame, annotations: DataFrame, sidecars: DataFrame |
     """Images with their annotation (the last of a path), else their sidecar; without ground truth they go.
 
     ``annotations`` and ``sidecars`` have ``image_path`` and the ground truth;
-    ``annotations`` may have ``ord``, the order of its rows.
+    ``annotations`` may have ``ord``, the order of its rows, and ``place``, of
+    which the least decides among rows that tie.
     """
     order = [F.desc("ord")] if "ord" in annotations.columns else [F.desc("gt_text")]
+    order += [F.col("place")] if "place" in annotations.columns else []
     last = stats.dedup(annotations, "image_path", order)
     fields = ["gt_text", "gt_latitude", "gt_longitude"]
     out = images.join(last.select("image_path", F.struct(*fields).alias("a")), "image_path", "left")

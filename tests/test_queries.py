@@ -44,3 +44,19 @@ def test_entry_imports():
 
     assert set(catalogue.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["annotations_last_wins", "metadata_patch_first_wins", "build_items"])
+def test_ties_over_many_files(spark, tmp_path, name):
+    """Where the SQL's order leaves ties open, DuckDB on one thread takes the row that stands first in the files (on more, its runs differ)."""
+    n = 200_000
+    (tmp_path / "lineitem.parquet").mkdir()
+    c = duckdb.connect(config={"threads": 1})
+    for i in range(5):
+        c.sql(f"COPY (SELECT (i * 7919 + {i}) % 3000 AS l_orderkey, (i % 2)::INTEGER AS l_linenumber, (i * 31 + {i}) % 99991 AS l_partkey FROM range({n // 5}) r(i)) TO '{tmp_path}/lineitem.parquet/part-{i}.parquet' (FORMAT parquet)")
+    c.sql(f"COPY (SELECT i AS o_orderkey, i % 500 AS o_custkey FROM range(3000) r(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    rel = c.sql(catalogue.ORACLE_SQL[name])
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rel.fetchall(), key=str)
