@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,36 +40,44 @@ def ellipsoidal_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps
 
     ``steps`` turns of the iteration reach a tenth of a millimetre but for
     points almost opposite to each other, whose distance is null then, as it
-    is for null coordinates.
+    is for null coordinates. The turns run over Arrow batches, each value of a
+    turn once; nested expressions would compute them anew wherever they are used.
     """
+    @F.pandas_udf("double")
+    def km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            return pd.Series(_vincenty_km(*(np.radians(x.to_numpy(float)) for x in (lat1, lon1, lat2, lon2)), steps))
+
+    return F.nanvl(km(lat1, lon1, lat2, lon2), F.lit(None).cast("double"))
+
+
+def _vincenty_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, steps: int) -> np.ndarray:
+    """Of radians; not a number where the turns do not settle."""
     a, f = 6378137.0, 1 / 298.257223563
     b = a * (1 - f)
-    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
-    wide = F.radians(lon2) - F.radians(lon1)
-
-    def parts(p: Column, lam: Column) -> dict[str, Column]:
-        s1, c1, s2, c2 = F.sin(p["u1"]), F.cos(p["u1"]), F.sin(p["u2"]), F.cos(p["u2"])
-        sin = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
-        cos = s1 * s2 + c1 * c2 * F.cos(lam)
-        sa = F.when(sin > 0, c1 * c2 * F.sin(lam) / sin).otherwise(0.0)
+    u1, u2 = (np.arctan((1 - f) * np.tan(x)) for x in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    wide = lon2 - lon1
+
+    def parts(lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        sin_lam, cos_lam = np.sin(lam), np.cos(lam)
+        sin = np.sqrt((c2 * sin_lam) ** 2 + (c1 * s2 - s1 * c2 * cos_lam) ** 2)
+        cos = s1 * s2 + c1 * c2 * cos_lam
+        sa = np.where(sin > 0, c1 * c2 * sin_lam / sin, 0.0)
         c2a = 1 - sa * sa
-        mid = F.when(c2a > 1e-15, cos - 2 * s1 * s2 / c2a).otherwise(0.0)
-        return {"sin": sin, "cos": cos, "angle": F.atan2(sin, cos), "sa": sa, "c2a": c2a, "mid": mid}
-
-    def turn(acc: Column, _: Column) -> Column:
-        p = parts(acc, acc["lam"])
-        c = f / 16 * p["c2a"] * (4 + f * (4 - 3 * p["c2a"]))
-        lam = acc["wide"] + (1 - c) * f * p["sa"] * (p["angle"] + c * p["sin"] * (p["mid"] + c * p["cos"] * (2 * p["mid"] * p["mid"] - 1)))
-        return F.struct(acc["u1"].alias("u1"), acc["u2"].alias("u2"), acc["wide"].alias("wide"), lam.alias("lam"), F.abs(lam - acc["lam"]).alias("moved"))
-
-    def far(acc: Column) -> Column:
-        p = parts(acc, acc["lam"])
-        v = p["c2a"] * (a * a - b * b) / (b * b)
-        big_a = 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v)))
-        big_b = v / 1024 * (256 + v * (-128 + v * (74 - 47 * v)))
-        m2 = 2 * p["mid"] * p["mid"]
-        bend = big_b * p["sin"] * (p["mid"] + big_b / 4 * (p["cos"] * (m2 - 1) - big_b / 6 * p["mid"] * (4 * p["sin"] * p["sin"] - 3) * (2 * m2 - 3)))
-        return F.when(acc["moved"] < 1e-11, b * big_a * (p["angle"] - bend) / 1000)
-
-    start = F.struct(u1.alias("u1"), u2.alias("u2"), wide.alias("wide"), wide.alias("lam"), F.lit(1.0).alias("moved"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn, far)
+        mid = np.where(c2a > 1e-15, cos - 2 * s1 * s2 / c2a, 0.0)
+        return sin, cos, np.arctan2(sin, cos), sa, c2a, mid
+
+    lam, moved = wide, np.ones_like(wide)
+    for _ in range(steps):
+        sin, cos, angle, sa, c2a, mid = parts(lam)
+        c = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
+        new = wide + (1 - c) * f * sa * (angle + c * sin * (mid + c * cos * (2 * mid * mid - 1)))
+        lam, moved = new, np.abs(new - lam)
+    sin, cos, angle, _, c2a, mid = parts(lam)
+    v = c2a * (a * a - b * b) / (b * b)
+    big_a = 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v)))
+    big_b = v / 1024 * (256 + v * (-128 + v * (74 - 47 * v)))
+    m2 = 2 * mid * mid
+    bend = big_b * sin * (mid + big_b / 4 * (cos * (m2 - 1) - big_b / 6 * mid * (4 * sin * sin - 3) * (2 * m2 - 3)))
+    return np.where(moved < 1e-11, b * big_a * (angle - bend) / 1000, np.nan)

@@ -128,3 +128,19 @@ def test_common_subsequence():
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
         assert metrics.common_subsequence(a, b) == row[-1]
+
+
+def test_ellipsoidal_terms_are_computed_once(spark):
+    """The plan holds each coordinate once; nested turns repeated every term wherever it is used."""
+    d = spark.range(200_000).select(*[(F.col("id") % m - m / 2).alias(c) for c, m in (("a", 170), ("b", 350), ("c", 160), ("d", 300))])
+    df = d.select(geo.ellipsoidal_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("km"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    assert df.where("km IS NOT NULL").count() > 190_000
+    assert spark.range(1).select(geo.ellipsoidal_km(F.lit(None).cast("double"), *[F.lit(1.0)] * 3).alias("km")).first().km is None
+
+
+def test_tied_annotations_go_by_place(spark):
+    images = spark.createDataFrame([("a",)], "image_path string")
+    rows = [("a", 2, i, f"t{i}", None, None) for i in range(50, 0, -1)] + [("a", 1, 0, "older", None, None)]
+    notes = spark.createDataFrame(rows, "image_path string, ord int, place int, gt_text string, gt_latitude double, gt_longitude double").repartition(7)
+    assert runs.build_items(images, notes).first().gt_text == "t1"
