@@ -22,22 +22,28 @@ class BatchLog:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _entries(self) -> list[str]:
+        """Names of the log's files: a batch's number, or first and last of a stretch that was committed at once."""
+        where = self._path(f"{self.path}/log")
+        return [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
     def done(self) -> list[int]:
         """Numbers of the committed batches."""
-        where = self._path(f"{self.path}/log")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        ends = [[int(i) for i in e.split("-")] for e in self._entries()]
+        return sorted({i for e in ends for i in range(e[0], e[-1] + 1)})
 
-    def write(self, number: int, rows: DataFrame) -> None:
-        """Writes a batch and then commits it; a batch that is committed is left alone."""
+    def write(self, number: int, rows: DataFrame, last: int | None = None) -> None:
+        """Writes a batch, or a stretch of them up to ``last``, and then commits it; a batch that is committed is left alone."""
         if number in self.done():
             return
-        rows.write.mode("overwrite").parquet(f"{self.path}/data/batch-{number}")
-        self._fs.create(self._path(f"{self.path}/log/{number}"), True).close()
+        name = str(number) if last in (None, number) else f"{number}-{last}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/data/batch-{name}")
+        self._fs.create(self._path(f"{self.path}/log/{name}"), True).close()
 
     def rows(self) -> DataFrame | None:
         """The rows of all committed batches; none before the first."""
-        done = self.done()
-        return self.spark.read.parquet(*[f"{self.path}/data/batch-{i}" for i in done]) if done else None
+        names = sorted(self._entries())
+        return self.spark.read.parquet(*[f"{self.path}/data/batch-{n}" for n in names]) if names else None
 
 
 def sliced(df: DataFrame, order: list[Column], size: int) -> tuple[DataFrame, int]:
@@ -47,12 +53,24 @@ def sliced(df: DataFrame, order: list[Column], size: int) -> tuple[DataFrame, in
     return rows, 0 if last is None else last + 1
 
 
-def run_batches(df: DataFrame, path: str, order: list[Column], size: int, make: Callable[[DataFrame], DataFrame], batches: Iterable[int] | None = None) -> DataFrame | None:
-    """What ``make`` gives for each batch of an order, appended in turn; batches that the log holds are passed over."""
+def run_batches(df: DataFrame, path: str, order: list[Column], size: int, make: Callable[[DataFrame], DataFrame], batches: Iterable[int] | None = None, at_once: int = 1) -> DataFrame | None:
+    """What ``make`` gives for each batch of an order, appended in turn; batches that the log holds are passed over.
+
+    A ``make`` that works row by row may be given up to ``at_once`` neighbouring
+    batches together, which are written by one job and committed together; so
+    the jobs need not grow with the batches. A run that breaks off loses no more.
+    """
     log = BatchLog(df.sparkSession, path)
     rows, n = sliced(df, order, size)
     done = set(log.done())
+    stretches: list[list[int]] = []
     for i in batches if batches is not None else range(n):
-        if i not in done:
-            log.write(i, make(rows.where(F.col("batch") == i).drop("batch")))
+        if i in done:
+            continue
+        if stretches and i == stretches[-1][1] + 1 and i - stretches[-1][0] < at_once:
+            stretches[-1][1] = i
+        else:
+            stretches.append([i, i])
+    for i, j in stretches:
+        log.write(i, make(rows.where(F.col("batch").between(i, j)).drop("batch")), j)
     return log.rows()

@@ -198,3 +198,21 @@ def test_scores_of_segmented_words(spark):
     assert set(got) == {1, 2} and got[2].rouge_l == 100 and got[2].rouge_1 == 100
     want = metrics.rouge_bleu(["今天", "天气", "很好"], ["今天", "天气", "好"])
     assert all(got[1][k] == pytest.approx(round(want[k], 6)) for k in want)
+
+
+def test_batches_are_committed_by_stretches(spark, tmp_path):
+    df = spark.range(100).select("id", (F.col("id") * 2).alias("w"))
+    made = []
+
+    def make(rows):
+        made.append(rows.count())
+        if len(made) == 4:
+            raise RuntimeError("broken off")
+        return rows
+
+    run = lambda **k: commits.run_batches(df, str(tmp_path), [F.col("id")], 6, make, at_once=4, **k)
+    assert run(batches=[5]).count() == 6
+    with pytest.raises(RuntimeError):
+        run()
+    assert commits.BatchLog(spark, str(tmp_path)).done() == [0, 1, 2, 3, 4, 5]
+    assert sorted(r.id for r in run().collect()) == list(range(100)) and made == [6, 24, 6, 24, 24, 24, 16]
