@@ -441,3 +441,11 @@ def test_largest_rows_both_ways(spark, monkeypatch):
             got = compose.largest(df, F.col("v"), [F.col("id")], k).collect()
             assert len(got) == min(k, 500)
             assert {r.id for r in got} == {i for *_, i in want[:k]}
+
+
+def test_rouge_n_shuffles_nothing(spark):
+    d = spark.createDataFrame([(1, "a b a b c", "a b a"), (2, "", "a"), (3, None, "a b"), (4, "a", "a")], "k long, h string, r string")
+    words = lambda c: F.array_remove(F.split(c, " "), "")
+    out = metrics.rouge_n(d, "k", words(F.col("h")), words(F.col("r")), 2)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.rouge_2 for r in out.collect()} == {1: pytest.approx(200 * 2 / 6), 2: 0, 3: 0, 4: 0}
