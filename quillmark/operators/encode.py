@@ -24,7 +24,7 @@ def words(messages: Column) -> Column:
 
 def characters(text: Column) -> Column:
     """Code points: the tokens of a text where no tokenizer is given."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c)))
 
 
 def labelled(df: DataFrame, template: str = "chatml", loss: str = "default", tokens: Callable[[Column], Column] = characters) -> DataFrame:
@@ -61,10 +61,12 @@ def truncated(df: DataFrame, max_length: int, strategy: str = "right", protected
     if strategy == "raise":
         return df.withColumn("input_ids", F.when(too_long, F.raise_error(F.lit(f"a row is longer than {max_length}"))).otherwise(F.col("input_ids")))
     if strategy == "split":
-        starts = F.when(too_long, F.sequence(F.lit(0), F.size("input_ids") - 1, F.lit(max_length))).otherwise(F.array(F.lit(0)))
-        df = df.withColumn("__long", too_long).withColumn("__start", F.explode(starts))
-        part = lambda c: F.slice(c, F.col("__start") + 1, F.lit(max_length))
-        return df.withColumns({c: F.when(F.col("__long"), _headless(c, part(c))).otherwise(F.col(c)) for c in keys}).drop("__long", "__start")
+        # Cut before they are exploded, so that no part carries the whole row.
+        starts = F.sequence(F.lit(0), F.size("input_ids") - 1, F.lit(max_length))
+        parts = F.transform(starts, lambda s: F.struct(*[F.slice(F.col(c), s + 1, F.lit(max_length)).alias(c) for c in keys]))
+        df = df.withColumn("__long", too_long).withColumn("__part", F.explode(F.when(too_long, parts).otherwise(F.array(F.struct(*keys)))))
+        part = lambda c: F.col("__part")[c]
+        return df.withColumns({c: F.when(F.col("__long"), _headless(c, part(c))).otherwise(part(c)) for c in keys}).drop("__long", "__part")
     if strategy not in ("left", "right"):
         raise ValueError(f"no truncation strategy: {strategy}")
     kept_always = lambda t: t.isin(*protected) if protected else F.lit(False)

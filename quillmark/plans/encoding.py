@@ -107,11 +107,12 @@ def loss_types(spark, sf_dir):
 def protected_truncation(spark, sf_dir):
     """Texts as code points cut to 40; blanks are protected."""
     ids = encode.characters(F.col("text"))
-    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", ids.alias("input_ids"), ids.alias("labels")).withColumn("n_tokens", F.size("input_ids"))
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", ids.alias("input_ids")).withColumn("n_tokens", F.size("input_ids")).withColumn("whole", F.col("input_ids"))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    right = encode.truncated(d, 40, "right", (32,)).select("doc_id", "n_tokens", join("input_ids").alias("right"))
-    left = encode.truncated(d, 40, "left", (32,)).select("doc_id", join("input_ids").alias("left"), F.coalesce(F.get("labels", F.lit(0)), F.lit(0)).alias("head"))
-    return right.join(left, "doc_id")
+    # Both cuts are made in one pass over a row.
+    right = encode.truncated(d, 40, "right", (32,)).select("doc_id", "n_tokens", join("input_ids").alias("right"), F.col("whole").alias("input_ids"), F.col("whole").alias("labels"))
+    left = encode.truncated(right, 40, "left", (32,))
+    return left.select("doc_id", "n_tokens", "right", join("input_ids").alias("left"), F.coalesce(F.get("labels", F.lit(0)), F.lit(0)).alias("head"))
 
 
 @query("""
@@ -122,8 +123,9 @@ def protected_truncation(spark, sf_dir):
 def split_truncation(spark, sf_dir):
     """Texts as code points in rows of 500; parts of a single token, whose head is blank as well, are left out."""
     ids = encode.characters(F.col("text"))
-    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.length("text").alias("n"), ids.alias("input_ids"), ids.alias("labels"), F.transform(ids, lambda x, i: i).alias("at"))
-    rows = encode.truncated(d.withColumn("loss_scale", F.transform("at", lambda i: i + 1.0)), 500, "split")
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.length("text").alias("n"), ids.alias("input_ids"))
+    d = d.withColumn("labels", F.col("input_ids")).withColumn("loss_scale", F.transform("input_ids", lambda x, i: i + 1.0))
+    rows = encode.truncated(d, 500, "split")
     size = F.size("input_ids")
     rows = rows.where((F.col("n") <= 500) | (size > 1))
     part = F.when(size > 1, F.floor((F.get("loss_scale", F.lit(1)) - 2) / 500)).otherwise(0).cast("int")

@@ -195,3 +195,15 @@ def test_cleared_scratch(spark):
     assert kept.count() == 3
     Scratch(spark).clear()
     assert path not in Scratch._made and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_truncations_carry_no_whole_rows(spark):
+    """Parts are cut before they are exploded; both cuts of the protected query come from one pass, without a join."""
+    from quillmark.plans import catalogue, encoding  # noqa: F401  (it registers its queries)
+
+    d = spark.createDataFrame([(1, list(range(7)))], "k int, input_ids array<int>")
+    plan = encode.truncated(d, 3, "split")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(CASE" in plan and "struct" in plan
+    assert [r.input_ids for r in encode.truncated(d, 3, "split").collect()] == [[0, 1, 2], [3, 4, 5], [6]]
+    plan = catalogue.QUERIES["protected_truncation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
