@@ -264,10 +264,10 @@ def interleave(frames: list[DataFrame], probabilities: list[float], order: list[
     ends = [r[0] for r in draws.where(F.col("k") - 1 == n_of).select("position").collect()]  # at most one row a source
     known = ends + [steps] * (sum(p > 0 for p in probabilities) - len(ends))
     last = min(known) if stop == "first_exhausted" else max(known)
-    turn = draws.where(F.col("position") < last).select("position", F.col("source").alias("__s"), F.col("k") - 1)
-    rows = concat([ranked(f, [F.col(c) for c in order], "__k").withColumn("source", F.lit(i)).withColumn("__n", F.lit(n)) for i, (f, n) in enumerate(zip(frames, sizes, strict=True))])
-    turn = turn.toDF("position", "__s", "__turn")
-    return rows.join(turn, (F.col("source") == F.col("__s")) & (F.pmod(F.col("__turn"), F.col("__n")) + 1 == F.col("__k"))).drop("__s", "__k", "__n", "__turn")
+    # The row's number is worked out on the draws' side, so that both conditions are keys of the join.
+    turn = draws.where(F.col("position") < last).select("position", F.col("source").alias("__s"), (F.pmod(F.col("k") - 1, n_of) + 1).cast("long").alias("__turn"))
+    rows = concat([ranked(f, [F.col(c) for c in order], "__k").withColumn("source", F.lit(i)) for i, f in enumerate(frames)])
+    return rows.join(turn, (F.col("source") == F.col("__s")) & (F.col("__k") == F.col("__turn"))).drop("__s", "__k", "__turn")
 
 
 def curriculum(df: DataFrame, bucket: str, ids: tuple[str, ...], mix: list[dict[str, float]] | None = None, seed: int = 42) -> DataFrame:

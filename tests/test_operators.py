@@ -3,6 +3,7 @@
 import json
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -279,6 +280,14 @@ def test_interleave(spark, stop):
         assert {r.id for r in got} == set(range(20)) | set(range(100, 105))
 
 
+def test_interleave_joins_by_source_and_number(spark):
+    """Both are keys of the join; by the source alone every row of it would meet every draw of it."""
+    got = compose.interleave([spark.range(20), spark.range(100, 105)], [0.5, 0.5], ["id"], stop="all_exhausted")
+    plan = got._jdf.queryExecution().optimizedPlan()
+    keys = [len(re.findall(r"\w+#\d+L? = \w+#\d+", line)) for line in plan.toString().splitlines() if "Join Inner" in line and "__turn" in line]
+    assert keys == [2], plan.toString()
+
+
 def test_curriculum_and_buckets(spark):
     df = spark.range(90).select("id", F.when(F.col("id") % 3 == 0, "low").when(F.col("id") % 3 == 1, "mid").otherwise("high").alias("b"))
     got = compose.curriculum(df, "b", ("id",))
