@@ -8,6 +8,10 @@ below crowded prefixes, and gives pairs of subtrees; each pair is one task that
 fingerprints. A task returns the spanning forest of the links it found, never
 the pairs themselves, and passes over pairs of subtrees that are connected
 already, so a dense group costs its size and not its square.
+
+``near_groups`` asks for a similarity that two bits do not reach. The same trie
+join goes first there; bands of MinHash bring together what it leaves apart,
+and exact similarities decide on both.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 NEAR_BANDS, NEAR_ROWS = 40, 6
 #: Candidates agree in so much of the sketch at least: at 0.8 that is missed by 5.8 deviations.
 NEAR_SKETCH = 0.65
+#: Distinct sets of a fingerprint group that is compared as it stands; the pairs of a larger one meet on bands, as those of different groups do.
+NEAR_GROUP = 8192
 #: So many rows of candidates, and shingles of candidates, go to a task together.
 NEAR_TASK_ROWS, NEAR_TASK_SHINGLES = 65536, 1 << 20
 #: Texts of candidates are looked up by a broadcast up to so many, by a shuffle beyond.
@@ -342,13 +348,14 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(texts: list[str | None]) -> list[list]:
-    """Columns ``n1, n2`` (128 bits of the shingle set), ``shingles``, ``sketch`` (a byte a minimum) and ``bands``; no band without a shingle."""
+    """Columns ``f0`` (the fingerprint), ``n1, n2`` (128 bits of the shingle set), ``shingles``, ``sketch`` (a byte a minimum) and ``bands``; no band without a shingle."""
+    prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
     sets = [shingle_set(t) for t in texts]
     low = np.array([minhashes(x) for x in sets], np.uint32).reshape(-1, NEAR_BANDS, NEAR_ROWS)
     bands = ((low.astype(np.uint64) * _MIX).sum(axis=2, dtype=np.uint64) ^ (_MIX[:, 0] * _MIX[:, 1])).view(np.int64)
     named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
     flat = (low & np.uint32(255)).astype(np.uint8).reshape(len(sets), -1)
-    return [named[:, 0].copy(), named[:, 1].copy(), [len(x) for x in sets], [r.tobytes() for r in flat], [b if len(x) else [] for b, x in zip(bands, sets, strict=True)]]
+    return [prints, named[:, 0].copy(), named[:, 1].copy(), [len(x) for x in sets], [r.tobytes() for r in flat], [b if len(x) else [] for b, x in zip(bands, sets, strict=True)]]
 
 
 def sketch_links(sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -403,15 +410,33 @@ def similar_components(sets: list[np.ndarray], similarity: float = NEAR_SIMILARI
     return root
 
 
-def candidate_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b``: links among ``node, sketch, bands`` whose components hold every pair at NEAR_SIMILARITY, and others."""
-    places = scratch.save(distinct.select("node", F.explode("bands").alias("band")))
+def fingerprint_groups(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """``bucket, n, head, node``: groups of the trie join over the fingerprints of ``node, f0``, from 2 up to NEAR_GROUP nodes; ``head`` is the least."""
+    prints = scratch.save(held.select("f0").distinct().withColumn("node", F.col("f0")))
+    roots = connected_components(near_links(prints)).toDF("linked", "root")
+    members = held.join(roots, held["f0"] == roots["linked"], "left").select(F.coalesce("root", "f0").alias("bucket"), "node")
+    members = scratch.save(members.distinct())  # texts of one set may differ in their fingerprints
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
+    groups = scratch.save(members.join(sizes.where(F.col("n").between(2, NEAR_GROUP)), "bucket").select("bucket", "n", "head", "node"))
+    scratch.drop(prints, members)
+    return groups
+
+
+def candidate_links(distinct: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: links among ``node, sketch, bands`` whose components hold every pair at NEAR_SIMILARITY, and others.
+
+    Pairs meet in ``groups``, those of the fingerprints, or in a bucket of a
+    band. A bucket whose nodes are all of one group adds nothing and goes.
+    """
+    own = groups.groupBy("node").agg(F.min("bucket").alias("group"))
+    places = scratch.save(distinct.select("node", "bands").join(own, "node", "left").select("node", "group", F.explode("bands").alias("band")))
     # A bucket is told by its size, its least node and two sums of hashes: no list of its nodes is ever one row.
     mark = [F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
-    buckets = places.groupBy("band").agg(*mark).where("n > 1")
+    within = (F.count("group") == F.count(F.lit(1))) & (F.min("group") == F.max("group"))
+    buckets = places.groupBy("band").agg(*mark, F.coalesce(within, F.lit(False)).alias("within")).where("n > 1 AND NOT within")
     # Copies meet on most bands: of buckets with the same nodes one stays.
     buckets = scratch.save(buckets.groupBy("n", "head", "x", "y").agg(F.min("band").alias("band")).select("band", "n", "head"))
-    met = scratch.save(places.join(buckets, "band").select(F.col("band").alias("bucket"), "n", "head", "node"))
+    met = scratch.save(places.join(buckets, "band").select(F.col("band").alias("bucket"), "n", "head", "node").unionByName(groups))
     scratch.drop(places, buckets)
     # What fills a task by itself is one candidate as a whole: its least node links with each.
     stars = met.where(F.col("n") > NEAR_TASK_ROWS).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -440,8 +465,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Words and ids as in ``simhash_groups``. Rows link when the sets of their
     five-word shingles have a Jaccard similarity of 0.8 or more, so repeats
     within a text do not count; texts without a word link with each other.
-    Candidates meet on bands of MinHash; what they form is split again into
-    what exact similarities connect, so nothing below 0.8 ever links.
+    Candidates are the groups of ``simhash_groups`` first; what they leave apart
+    meets on bands of MinHash. What candidates form is split again into what
+    exact similarities connect, so nothing below 0.8 ever links.
     """
     return near_rows(docs, id_col, text_col).select("doc_id", "component_id", "component_size")
 
@@ -450,12 +476,14 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``near_groups`` with ``text_key``, the SHA-256 of the row's text, and ``least_key``, the smallest of the group."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_key"), "text")
-    added = [("n1", pa.int64()), ("n2", pa.int64()), ("shingles", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    added = [("f0", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("shingles", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
     marked = scratch.save(map_texts(rows, sketches, added))
     one = [F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("shingles", "sketch", "bands"))]  # a node has one set
     distinct = scratch.save(marked.groupBy("n1", "n2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *one))
     distinct = scratch.save(distinct.withColumn("node", F.monotonically_increasing_id()))
-    families = connected_components(candidate_links(distinct, scratch)).toDF("node", "family")
+    held = scratch.save(marked.select("n1", "n2", "f0").distinct().join(distinct.select("n1", "n2", "node"), ["n1", "n2"]).select("node", "f0"))
+    links = candidate_links(distinct, fingerprint_groups(held, scratch), scratch)
+    families = connected_components(links).toDF("node", "family")
     families = scratch.save(families.join(distinct.select("node", "text_key", "shingles"), "node"))
     # A family too large for a task is dealt into blocks, and every two of its blocks are compared in a task.
     sizes = families.groupBy("family").agg(F.sum("shingles").alias("all")).select("family", F.when(F.col("all") > NEAR_TASK_SHINGLES, F.floor(2 * F.col("all") / NEAR_TASK_SHINGLES) + 1).otherwise(1).cast("int").alias("blocks"))

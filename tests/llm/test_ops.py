@@ -255,6 +255,24 @@ def test_near_groups_of_crowded_families(spark, monkeypatch, rows, shingles):
     assert near_ids(spark, texts) == want and 3 < len(set(want.values())) < len(texts) - 20
 
 
+def test_near_candidates_come_from_the_trie(spark):
+    """Fingerprints within two bits are candidates without any band; the sketch then decides."""
+    rnd = random.Random(21)
+    own = [f"t{rnd.randrange(10**6)}" for _ in range(400)]
+    line = [f"t{rnd.randrange(10**6)}" for _ in range(21)]
+    texts = [" ".join(own), " ".join(own[:-1]), " ".join(own[:200] + line * 1000), " ".join(own[200:] + line * 1000), "quite another text"]
+    f = [simhash_dedup.fingerprint(t) for t in texts]
+    assert (f[0] ^ f[1]).bit_count() <= 2 and (f[2] ^ f[3]).bit_count() <= 2 < (f[0] ^ f[2]).bit_count()
+    f0, *_, sketch, bands = simhash_dedup.sketches(texts)
+    scratch = Scratch(spark)
+    held = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f0)], "node long, f0 long")
+    groups = simhash_dedup.fingerprint_groups(held, scratch)
+    assert {tuple(sorted(r.nodes)) for r in groups.groupBy("bucket").agg(F.collect_list("node").alias("nodes")).collect()} == {(0, 1), (2, 3)}
+    for kept in ([[]] * 5, [[int(b) for b in row] for row in bands]):
+        distinct = spark.createDataFrame([(i, x, b) for i, (x, b) in enumerate(zip(sketch, kept, strict=True))], "node long, sketch binary, bands array<long>")
+        assert {tuple(sorted(r)) for r in simhash_dedup.candidate_links(distinct, groups, scratch).collect()} == {(0, 1)}
+
+
 def test_near_groups_link_nothing_below(spark):
     rnd, texts = random.Random(12), []
     words = lambda n: [f"t{rnd.randrange(10**6)}" for _ in range(n)]
