@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,11 @@ GRAM = 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLOCK = 1 << 16
+_LONG = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ROWS = 8192
+#: Bytes of text that are cut into words at once; a longer text is taken alone.
+_BYTES = 1 << 19
 #: Marks of rows in a sorted part: none of another text before or after; its first and last row, and the ones of another text next to them.
 _HEAD, _TAIL, _FIRST, _FIRST_OTHER, _LAST, _LAST_OTHER = 1, 2, 4, 8, 16, 32
 
@@ -54,9 +59,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def identity(words: list[bytes]) -> tuple[int, int]:
-    """128 bits of a text as a sequence of words, as two signed integers."""
-    return struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
+def identity(joined: bytes) -> tuple[int, int]:
+    """128 bits of a text as a sequence of words joined by single blanks, as two signed integers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(joined))
 
 
 def _powers(x: np.uint64, n: int) -> np.ndarray:
@@ -67,24 +72,27 @@ _UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
 
 
 def word_hashes(joined: bytes) -> np.ndarray:
-    """A hash of each word of words joined by single blanks; without a Python step a word, and blocks of bytes at a time."""
-    raw = np.frombuffer(joined, np.uint8)
-    if not len(raw):
+    """A hash of each word of words joined by single blanks: eight bytes of all words at a time, words beyond 64 bytes one by one."""
+    if not joined:
         return np.zeros(0, np.uint64)
-    ends = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(raw)]))
-    left, right, down = (np.empty(len(starts), np.uint64) for _ in range(3))
-    before, turn = np.zeros(1, np.uint64), 1  # the sum before the block and the base's power at its start
-    for o in range(0, len(raw), _BLOCK):
-        part = raw[o : o + _BLOCK].astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate((before, before + np.cumsum(part * (_UP[: len(part)] * np.uint64(turn)), dtype=np.uint64)))
-        i, j = np.searchsorted(starts, (o, o + len(part)))
-        left[i:j] = sums[starts[i:j] - o]
-        down[i:j] = _DOWN[starts[i:j] - o] * np.uint64(pow(turn, -1, 1 << 64))
-        i, j = np.searchsorted(ends, (o, o + len(part)), "right")
-        right[i:j] = sums[ends[i:j] - o]
-        before, turn = sums[-1:], turn * pow(int(_BASE), _BLOCK, 1 << 64) % (1 << 64)
-    return _mixed((right - left) * down)
+    raw = np.frombuffer(joined + bytes(16 - len(joined) % 8), np.uint8)
+    eights = raw.view("<u8")
+    ends = np.flatnonzero(raw[: len(joined)] == 32)
+    starts, ends = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(joined)]))
+    size = ends - starts
+    out = size.astype(np.uint64) * _BASE
+    at = slice(None)
+    for o in range(0, min(int(size.max()), _LONG), 8):
+        if o:
+            at = np.flatnonzero(size > o)
+        place, left = starts[at] + o, size[at] - o
+        shift = ((place & 7) << 3).astype(np.uint64)
+        place >>= 3
+        part = (eights[place] >> shift) | ((eights[place + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        out[at] = _mixed((out[at] ^ (part & _MASKS[np.minimum(left, 8)])) * _BASE)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(joined[starts[i] : ends[i]])
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -102,17 +110,40 @@ def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
     return _mixed((total[size:] - total[:n]) * down)
 
 
-def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
-    """For each window of ``span`` k-grams the place of its least, leftmost if tied."""
-    n = len(grams) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = np.empty(n, np.int64)
-    for i in range(0, n, 65536):
-        j = min(n, i + 65536)
-        view = np.lib.stride_tricks.sliding_window_view(grams[i : j + span - 1], span)
-        out[i:j] = view.argmin(axis=1) + np.arange(i, j)
-    return out
+def _extremes(x: np.ndarray, span: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of every window of ``span`` values, by doubling."""
+    n, w = len(x) - span + 1, 1
+    while 2 * w <= span:
+        x, w = least(x[:-w], x[w:]), 2 * w
+    return least(x[:n], x[span - w :][:n])
+
+
+def minimisers(x: np.ndarray, ends: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the least k-gram of each window of ``span`` k-grams of one text, leftmost if tied.
+
+    ``x``: the word hashes of texts, one after another, that end before ``ends``.
+    """
+    size = gram + span - 1
+    inside = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(x)) >= size  # the window from here on ends with its text
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    step = max(_BLOCK - size + 1, size)
+    for o in range(0, len(x) - size + 1, step):
+        g = window_hashes(x[o : o + step + size - 1], gram)
+        least = _extremes(g, span, np.minimum) * inside[o : o + len(g) - span + 1]
+        rim = np.zeros(span - 1, np.uint64)
+        # A k-gram is the least of a window if none of the windows over it has a greater least.
+        at = np.flatnonzero(_extremes(np.concatenate((rim, least, rim)), span, np.maximum) == g)
+        v = g[at]
+        tied = np.flatnonzero(v[1:] == v[:-1]) + 1
+        if len(tied):  # the latter of two must be the least of a window that begins after the former
+            since = np.maximum(at[tied - 1], at[tied] - span) + 1
+            own = np.maximum.reduceat(np.concatenate((least, rim, [np.uint64(0)])), np.stack((since, at[tied] + 1), 1).ravel())[::2]
+            gone = tied[own != v[tied]]
+            at, v = np.delete(at, gone), np.delete(v, gone)
+        places.append(at + o)
+        hashes.append(v)
+    found, first = np.unique(np.concatenate(places), return_index=True)
+    return found, np.concatenate(hashes)[first]
 
 
 def shared_words(a: str, b: str) -> int:
@@ -225,31 +256,50 @@ def neighbour_words(rows: DataFrame, key: str, name: str, scratch: Scratch) -> D
                         n[i] = max([n[i], *[shared_words(k, y) for x, y in near[b.column(at["part"])[i].as_py()] if x != c][:1]])
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n, pa.int32())], names=[*names, name])
 
-    return scanned.mapInArrow(mend, rows.withColumn(name, F.lit(0)).schema)
+    mended = scanned.where("mark > 0").mapInArrow(mend, rows.withColumn(name, F.lit(0)).schema)  # few rows; the others stay as they are
+    return scanned.where("mark = 0").drop("part", "mark").unionByName(mended)
 
 
 def contexts(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """``c, h, pos, right, left``: of each place the words from it on and those before it, nearest first, a blank after each.
+    """``c, h, pos, right, left, reach``: of each place the words from it on and the ``reach`` before it, nearest first, a blank after each.
 
     ``texts``: ``c, c1, c2, places, text``; texts that are not the ones that c1 and c2 name are left out.
     """
-    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("right", T.StringType()), T.StructField("left", T.StringType())])
+    schema = T._parse_datatype_string("c long, h long, pos int, right string, left string, reach int")
     kind = to_arrow_schema(schema)
 
-    def one(c: int, places: list[dict], words: list[bytes]) -> Iterator[tuple]:
-        shown = [w.decode("utf-8", "replace") + " " for w in words]
-        for x in places:
-            p = x["pos"]
-            yield c, x["h"], p, "".join(shown[p : p + min_words]), "".join(shown[max(0, p - min_words + gram) : p][::-1])
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        c, h, pos, right, left, reach = zip(*parts, strict=True)
+        strings = ([x.decode("utf-8", "replace") for part in col for x in part] for col in (right, left))
+        numbers = np.repeat(c, [len(p) for p in pos]), np.concatenate(h), np.concatenate(pos), *strings, np.concatenate(reach)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(numbers, kind, strict=True)], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cs, c1, c2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = b.column(3).offsets.to_numpy()
+            pos, h = (v.to_numpy(zero_copy_only=False) for v in b.column(3).values.flatten())
+            held, n = [], 0
             for i in range(b.num_rows):
-                c, c1, c2, places, text = (col[i].as_py() for col in b.columns)
-                words = words_of(text)
-                if identity(words) == (c1, c2):
-                    for k in range(0, len(places), _ROWS):
-                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*one(c, places[k : k + _ROWS], words), strict=True), kind, strict=True)], schema=kind)
+                words = words_of(b.column(4)[i].as_py())
+                joined = b" ".join(words)
+                if identity(joined) != (c1[i], c2[i]):
+                    continue
+                onward, turned = joined + b" ", b" ".join(words[::-1]) + b" "
+                starts = np.concatenate(([0], np.flatnonzero(np.frombuffer(onward, np.uint8) == 32) + 1))
+                for k in range(cuts[i], cuts[i + 1], _ROWS):
+                    p = pos[k : min(k + _ROWS, cuts[i + 1])]
+                    since = np.maximum(p - (min_words - gram), 0)
+                    at, ends, before = (starts[x].tolist() for x in (p, np.minimum(p + min_words, len(words)), since))
+                    right = [onward[x:y] for x, y in zip(at, ends, strict=True)]
+                    left = [turned[len(onward) - x : len(onward) - y] for x, y in zip(at, before, strict=True)]
+                    held.append((cs[i], h[k : k + len(p)], p, right, left, p - since))
+                    n += len(p)
+                    if n >= _ROWS:
+                        yield batch(held)
+                        held, n = [], 0
+            if held:
+                yield batch(held)
 
     return texts.select("c", "c1", "c2", "places", "text").mapInArrow(run, schema)
 
@@ -319,21 +369,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text (``pos`` -1) and for each of its places."""
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            size = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                until = np.searchsorted(size, (size[at - 1] if at else 0) + _BYTES, "right")
+                part = b.slice(at, max(int(until) - at, 1))
+                at += part.num_rows
                 texts = [words_of(t) for t in part.column(2).to_pylist()]
-                who = np.array([identity(w) for w in texts], np.int64).reshape(-1, 2)
-                none = np.zeros(len(texts), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(w) for w in texts], pa.int32()), pa.array(none), pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array((none - 1).astype(np.int32))], schema=kind)
-                ends = np.cumsum([len(w) for w in texts])
-                hashes = np.split(word_hashes(b" ".join(w for ws in texts for w in ws)), ends[:-1])
-                grams = [window_hashes(x, gram) for x in hashes]
-                places = [np.unique(minimisers(g, span)) for g in grams]
-                n = [len(p) for p in places]
-                h = np.concatenate([g[p] for g, p in zip(grams, places, strict=True)]).view(np.int64)
+                n = np.array([len(w) for w in texts], np.int64)
+                joined = [b" ".join(w) for w in texts]
+                who = np.array([identity(j) for j in joined], np.int64)
+                none = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int32)), pa.array(none), pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array((none - 1).astype(np.int32))], schema=kind)
+                ends = np.cumsum(n)
+                places, h = minimisers(word_hashes(b" ".join(filter(None, joined))), ends, gram, span)
+                rows = np.searchsorted(ends, places, "right")
                 empty = [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-                own = [pa.array(np.repeat(who[:, j], n)) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array(h), *own, pa.array(np.concatenate(places).astype(np.int32))], schema=kind)
+                yield pa.RecordBatch.from_arrays([*empty, pa.array(h.view(np.int64)), *(pa.array(who[rows, j]) for j in (0, 1)), pa.array((places - (ends - n)[rows]).astype(np.int32))], schema=kind)
 
     made = T._parse_datatype_string("doc_id long, k long, words int, h long, c1 long, c2 long, pos int")
     kind = to_arrow_schema(made)
@@ -353,8 +405,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = scratch.save(contexts(one, min_words, gram))
     scratch.drop(chosen)
     found = neighbour_words(found, "right", "r", scratch)
-    reach = F.length("left") - F.length(F.replace("left", F.lit(" "), F.lit("")))
-    found = found.where((F.col("r") >= gram) & (F.col("r") + reach >= min_words))
+    found = found.where((F.col("r") >= gram) & (F.col("r") + F.col("reach") >= min_words))
     turned = found.select("c", "h", "pos", "right", "r", F.concat(F.substring_index("right", " ", gram), F.lit(" "), F.col("left")).alias("turned"))
     found = neighbour_words(turned, "turned", "n", scratch).where(F.col("n") - gram + F.col("r") >= min_words)
     starts = scratch.save(matched_starts(found, min_words, gram, scratch))

@@ -762,3 +762,30 @@ def test_word_hashes_of_long_texts():
     got = suffix_dedup.word_hashes(b" ".join(words)).tolist()
     assert len(got) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, got, strict=True))
     assert len(set(seen.values())) == len(seen)
+
+
+def test_word_hashes_know_lengths_and_zero_bytes():
+    words = [bytes([97] * n) for n in range(1, 140)] + [bytes([97] * n) + bytes(1) for n in range(1, 140)] + [b"a" * 64 + b"b", b"\xc3\xa9" * 9]
+    got = suffix_dedup.word_hashes(b" ".join(words))
+    assert len(set(got.tolist())) == len(words)
+    assert got.tolist() == [suffix_dedup.word_hashes(w)[0] for w in words]
+
+
+@pytest.mark.parametrize("block", [1 << 16, 60])
+def test_minimisers_of_texts_in_one_array(monkeypatch, block):
+    """No window reaches into the next text; of tied k-grams the leftmost counts, also across blocks."""
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
+    rnd = random.Random(15)
+    for gram, span in ((15, 37), (2, 3), (1, 1), (3, 8)):
+        for kinds in (1, 2, 5, 10**6):
+            texts = [[rnd.randrange(kinds) for _ in range(rnd.choice((0, 1, gram, gram + span - 1, rnd.randrange(200))))] for _ in range(6)]
+            hashes = [np.array([hash((t, 1)) % (1 << 64) for t in x], np.uint64) for x in texts]
+            ends = np.cumsum([len(x) for x in texts])
+            want = {}
+            for x, end in zip(hashes, ends.tolist(), strict=True):
+                g = suffix_dedup.window_hashes(x, gram).tolist()
+                for i in range(len(g) - span + 1):
+                    at = min(range(i, i + span), key=g.__getitem__)
+                    want[end - len(x) + at] = g[at]
+            places, h = suffix_dedup.minimisers(np.concatenate(hashes), ends, gram, span)
+            assert dict(zip(places.tolist(), h.tolist(), strict=True)) == want
